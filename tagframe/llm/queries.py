@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, matroska, warc
+from . import exact_dedup, matroska, packing, toxicity, warc
 from .space import table
 
 
@@ -14,16 +15,27 @@ def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=4096)
+
+
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.describe(matroska.mux(table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=toxicity.fold_of() != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.fold_of() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "hit_weight")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op4_matroska, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op4_matroska, op6_toxicity, op7_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
