@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, matroska, packing, toxicity, warc
+from . import exact_dedup, matroska, order, packing, pieces, toxicity, warc
 from .space import table
 
 
@@ -23,6 +23,10 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.describe(matroska.mux(table(spark, sf_dir, "documents")))
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.training_order(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=toxicity.fold_of() != 0)
@@ -34,8 +38,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.decode(pieces.encode(table(spark, sf_dir, "documents")), keep_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op4_matroska, op6_toxicity, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op4_matroska, op5_training_order, op6_toxicity, op7_exact_dedup, op8_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

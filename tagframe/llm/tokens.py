@@ -16,21 +16,26 @@ def file_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokenizer:
-    """Encodes as the tokenizer file does, each distinct word once while it is in the cache.
+class CachedEncoder:
+    """Encodes texts that split into independent words, each distinct word once while it is in the cache.
 
-    For tokenizers that drop white space and never join what it parts. The cache holds ``max_words``
-    words and starts anew beyond that; results don't depend on it.
+    The cache holds ``max_words`` words and starts anew beyond that; results don't depend on it.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, max_words: int = 400_000):
         self.max_words = max_words
         self._reset()
 
+    def split(self, text: str) -> list[str] | None:
+        """Words of a text; None if it has to be encoded as one."""
+        raise NotImplementedError
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def encode_whole(self, text: str) -> list[int]:
+        raise NotImplementedError
+
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
@@ -38,7 +43,7 @@ class WordTokenizer:
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        got = self.encode_words(words)
         total = sum(map(len, got))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -55,13 +60,13 @@ class WordTokenizer:
         if len(self.index) > self.max_words:
             self._reset()
         out = []
-        words = [None if t and _ODD.search(t) else (t or "").split() for t in texts]
+        words = [self.split(t or "") for t in texts]
         new = set().union(*(w for w in words if w is not None)).difference(self.index)
         if new:
             self._learn(sorted(new))
         for text, w in zip(texts, words, strict=True):
             if w is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                out.append(np.array(self.encode_whole(text), np.uint32))
                 continue
             at = np.fromiter(map(self.index.__getitem__, w), np.int64, len(w))
             first, sizes = self.start[at], self.start[at + 1] - self.start[at]
@@ -71,6 +76,26 @@ class WordTokenizer:
         return out
 
 
+class WordTokenizer(CachedEncoder):
+    """As a tokenizer file says, for tokenizers that drop white space and never join what it parts."""
+
+    def __init__(self, path: str, max_words: int = 400_000):
+        from tokenizers import Tokenizer
+
+        super().__init__(max_words)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def split(self, text: str) -> list[str] | None:
+        return None if _ODD.search(text) else text.split()
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 _KNOWN: dict[str, WordTokenizer] = {}
 
 
