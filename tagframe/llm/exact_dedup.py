@@ -29,8 +29,8 @@ def _slots(key: Column, bits: int, hashes: int) -> list[Column]:
     return [F.xxhash64(key, F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(hashes)]
 
 
-def repeated_filter(keys: DataFrame, key: str, bits_per_row: int = 16, hashes: int = 3, max_bits: int = 1 << 28) -> tuple[DataFrame, int]:
-    """One row holding the filter of positions that several rows of ``keys`` set, and its size in bits.
+def bloom_filter(keys: DataFrame, key: str, bits_per_row: int = 16, hashes: int = 3, max_bits: int = 1 << 28, least: int = 1) -> tuple[DataFrame, int]:
+    """One row holding the filter of positions that ``least`` rows of ``keys`` or more set, and its size in bits.
 
     The size follows the row count up to ``max_bits`` (32 MB): beyond that the filter only gets fuller.
     """
@@ -39,7 +39,7 @@ def repeated_filter(keys: DataFrame, key: str, bits_per_row: int = 16, hashes: i
     while bits < min(max_bits, rows * bits_per_row):
         bits *= 2
     spark = keys.sparkSession
-    several = keys.select(F.explode(F.array(*_slots(F.col(key), bits, hashes))).alias("slot")).groupBy("slot").count().where("count > 1")
+    several = keys.select(F.explode(F.array(*_slots(F.col(key), bits, hashes))).alias("slot")).groupBy("slot").count().where(F.col("count") >= least)
     words = several.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("w"))
     dense = spark.range(bits // 64).withColumnRenamed("id", "word").join(words, "word", "left").select("word", F.coalesce("w", F.lit(0)).cast("long").alias("w"))
     chunk = dense.groupBy(F.shiftright("word", 10).alias("c")).agg(F.array_sort(F.collect_list(F.struct("word", "w"))).alias("ws"))
@@ -47,8 +47,8 @@ def repeated_filter(keys: DataFrame, key: str, bits_per_row: int = 16, hashes: i
     return chunk.agg(F.array_sort(F.collect_list(F.struct("c", "ws"))).alias("cs")).select(F.expr("transform(cs, x -> x.ws)").alias("bloom")), bits
 
 
-def maybe_repeated(key: Column, bloom: Column, bits: int, hashes: int = 3) -> Column:
-    """Whether all positions of a key are set in ``bloom``; false means that no other row has the key."""
+def maybe_in(key: Column, bloom: Column, bits: int, hashes: int = 3) -> Column:
+    """Whether all positions of a key are set in ``bloom``; false is certain."""
     out = F.lit(True)
     for slot in _slots(key, bits, hashes):
         word = F.get(F.get(bloom, F.shiftright(slot, 16).cast("int")), F.shiftright(slot, 6).bitwiseAND(F.lit(1023)).cast("int"))
@@ -59,9 +59,9 @@ def maybe_repeated(key: Column, bloom: Column, bits: int, hashes: int = 3) -> Co
 
 def _filtered(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, hashes: int, max_bits: int):
     keys = space.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("sha")), "digests")
-    bloom, bits = repeated_filter(keys, "sha", bits_per_row, hashes, max_bits)
+    bloom, bits = bloom_filter(keys, "sha", bits_per_row, hashes, max_bits, least=2)
     bloom = space.written(bloom, "bloom")
-    return keys, lambda key: maybe_repeated(key, bloom.scalar(), bits, hashes)
+    return keys, lambda key: maybe_in(key, bloom.scalar(), bits, hashes)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 3, max_bits: int = 1 << 28) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, matroska, order, packing, pieces, toxicity, warc
+from . import exact_dedup, matroska, near_dedup, order, packing, pieces, toxicity, warc
 from .space import table
 
 
@@ -19,6 +19,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.describe(matroska.mux(table(spark, sf_dir, "documents")))
 
@@ -43,7 +47,7 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op4_matroska, op5_training_order, op6_toxicity, op7_exact_dedup, op8_pieces)}
+    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op3_minhash, op4_matroska, op5_training_order, op6_toxicity, op7_exact_dedup, op8_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
