@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, matroska, near_dedup, order, packing, pieces, toxicity, warc
+from . import exact_dedup, matroska, near_dedup, order, packing, pieces, suffix_dedup, toxicity, warc
 from .space import table
 
 
@@ -46,8 +46,12 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(pieces.encode(table(spark, sf_dir, "documents")), keep_text=False)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op3_minhash, op4_matroska, op5_training_order, op6_toxicity, op7_exact_dedup, op8_pieces)}
+    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op3_minhash, op4_matroska, op5_training_order, op6_toxicity, op7_exact_dedup, op8_pieces, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
