@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, matroska, near_dedup, order, packing, pieces, suffix_dedup, toxicity, warc
+from . import exact_dedup, lm_score, matroska, near_dedup, order, packing, pieces, suffix_dedup, toxicity, warc
 from .space import table
 
 
@@ -50,8 +50,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=200)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op3_minhash, op4_matroska, op5_training_order, op6_toxicity, op7_exact_dedup, op8_pieces, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op3_minhash, op4_matroska, op5_training_order, op6_toxicity, op7_exact_dedup, op8_pieces, op9_suffix_dedup, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
