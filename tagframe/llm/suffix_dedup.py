@@ -349,12 +349,18 @@ def drop_repeats(docs: DataFrame, length: int = 200, gram: int = 100, shard_byte
     rows = _rows(docs, id_col, text_col)
     clear, maybe = _with_spans(docs, _spans(rows, length, gram, shard_bytes, hot), id_col)
 
-    @F.pandas_udf("string")
-    def cut(texts, founds):
-        return texts.combine(founds, lambda t, f: t if t is None or f is None else _kept(utf8(t), f, True)[0].decode("utf-8", "ignore"))
-
-    small = maybe.withColumn("_cut", F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_found"))))
-    out = small.withColumn(text_col, F.col("_cut"))
-    if chars_col and chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("_found").isNull(), F.col(chars_col)).otherwise(F.char_length(text_col)).cast(docs.schema[chars_col].dataType))
-    return clear.unionByName(out.select(*docs.columns))
+    names = docs.columns
+    chars = names.index(chars_col) if chars_col in names else None
+
+    def cut(batches):
+        for b in batches:
+            columns = [b.column(i) for i in range(len(names))]
+            at = names.index(text_col)
+            texts, founds = columns[at].to_pylist(), b.column(len(names)).to_pylist()
+            left = [t if t is None or not f else _kept(utf8(t), f, True)[0].decode("utf-8", "surrogatepass") for t, f in zip(texts, founds, strict=True)]
+            columns[at] = pa.array(left, columns[at].type)
+            if chars is not None:
+                columns[chars] = pa.array([c if not f or t is None else len(t) for c, t, f in zip(columns[chars].to_pylist(), left, founds, strict=True)], columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return clear.unionByName(maybe.select(*names, "_found").mapInArrow(cut, docs.schema))
