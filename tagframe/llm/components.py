@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from .space import written
 
 
+def _jump(parents: DataFrame) -> DataFrame:
+    """Parents' parents; ``moved`` where there were any."""
+    up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_top"))
+    return parents.join(up, "parent", "left").select("node", F.coalesce("_top", "parent").alias("parent"), F.col("_top").isNotNull().alias("moved"))
+
+
 def _flat(parents: DataFrame) -> DataFrame:
-    """Parents of parents, until every parent is a root; a parent is smaller than its node."""
-    parents = written(parents, "parents")
+    """Every node with the root of its tree; a parent is smaller than its node."""
     while True:
-        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
-        jumped = written(parents.join(up, "parent", "left").select("node", F.coalesce("top", "parent").alias("parent"), F.col("top").isNotNull().alias("moved")), "parents")
-        parents = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
+        parents = written(_jump(_jump(parents).drop("moved")), "parents")
+        moved, parents = parents.where("moved"), parents.drop("moved")
+        if moved.isEmpty():
             return parents
 
 
@@ -25,23 +29,17 @@ def components(links: DataFrame) -> DataFrame:
     Each round hooks every node to its smallest neighbour, flattens the trees and contracts them.
     The number of rounds grows with the logarithm of the nodes; each round's links are written, fewer each time.
     """
-    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    found = None
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    links = written(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").select(*ordered("a", "b")).distinct(), "links")
+    nodes, rounds = links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), []
     while not links.isEmpty():
-        # both ends know each other; the smaller of node and neighbours is the parent
-        hooked = links.select(F.col("b").alias("node"), F.col("a").alias("parent")).groupBy("node").agg(F.min("parent").alias("parent"))
-        parents = _flat(hooked)
-        if found is None:
-            roots = links.select(F.col("a").alias("node")).distinct().join(parents, "node", "left_anti")
-            found = parents.select("node", F.col("parent").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
-        else:
-            up = parents.select(F.col("node").alias("component"), "parent")
-            found = found.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        found = written(found, "components")
+        parents = _flat(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))
+        rounds.append(parents)
         pa, pb = (parents.select(F.col("node").alias(x), F.col("parent").alias("p" + x)) for x in "ab")
         links = links.join(pa, "a", "left").join(pb, "b", "left").select(F.coalesce("pa", "a").alias("x"), F.coalesce("pb", "b").alias("y")).where("x <> y")
-        links = written(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
-    if found is None:
-        found = links.select(F.col("a").alias("node"), F.col("a").alias("component"))
-    return found
+        links = written(links.select(*ordered("x", "y")).distinct(), "links")
+    found = nodes.select("node", F.col("node").alias("component"))
+    for parents in rounds:
+        up = parents.select(F.col("node").alias("component"), F.col("parent").alias("_up"))
+        found = found.join(up, "component", "left").select("node", F.coalesce("_up", "component").alias("component"))
+    return written(found, "components")

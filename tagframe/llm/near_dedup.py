@@ -171,10 +171,8 @@ def _postings(nodes: DataFrame, sketch: np.ndarray, coordinates: int, prefix: in
             often = counts[_slots(tokens, len(counts))].astype(np.int64)
             score = often.sum(axis=1)
             order = np.lexsort((tokens, often), axis=1)[:, :prefix]
-            t, o = np.take_along_axis(tokens, order, 1), np.take_along_axis(often, order, 1)
-            keep = o > 1  # a count is never too low: the others are alone
-            n = keep.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(np.repeat(ids, n)), pa.array(np.repeat(score, n))], ["token", "node", "score"])
+            t = np.take_along_axis(tokens, order, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(t.ravel()), pa.array(np.repeat(ids, prefix)), pa.array(np.repeat(score, prefix))], ["token", "node", "score"])
 
     return nodes.select("node", "sig").mapInArrow(run, "token long, node long, score long")
 
