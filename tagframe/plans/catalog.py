@@ -1,11 +1,479 @@
-"""Registry of the engine's queries and their SQL."""
+"""The engine's queries over the star-schema tables seen as tagged entities, and the SQL of each."""
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tagframe.functions import kinds, timezones, units
+from tagframe.operators import changes, graph, history, ontology
+from tagframe.plans.compile import Tag, Wide, where_dynamic, where_wide
+from tagframe.sources import formats
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- entity views ----------------------------------------------------------------------------------
+
+
+def region(spark, d) -> Wide:
+    return Wide(table(spark, d, "region"), {"dis": Tag("r_name")}, ("region",))
+
+
+def nation(spark, d) -> Wide:
+    return Wide(table(spark, d, "nation"), {"dis": Tag("n_name"), "regionRef": Tag("n_regionkey", "ref", target=region(spark, d), target_key="r_regionkey")}, ("nation",))
+
+
+def customer(spark, d) -> Wide:
+    tags = {"dis": Tag("c_name"), "acctbal": Tag("c_acctbal", "number"), "mktsegment": Tag("c_mktsegment"), "nationRef": Tag("c_nationkey", "ref", target=nation(spark, d), target_key="n_nationkey")}
+    return Wide(table(spark, d, "customer"), tags, ("customer",))
+
+
+def part(spark, d) -> Wide:
+    return Wide(table(spark, d, "part"), {"dis": Tag("p_name"), "brand": Tag("p_brand"), "type": Tag("p_type"), "size": Tag("p_size", "number", "in"), "retailprice": Tag("p_retailprice", "number")}, ("part",))
+
+
+def orders(spark, d) -> Wide:
+    tags = {"custRef": Tag("o_custkey", "ref", target=customer(spark, d), target_key="c_custkey"), "status": Tag("o_orderstatus"), "totalprice": Tag("o_totalprice", "number"), "orderDate": Tag("o_orderdate", "dateTime"), "priority": Tag("o_orderpriority")}
+    return Wide(table(spark, d, "orders"), tags, ("order",))
+
+
+def lineitem(spark, d) -> Wide:
+    tags = {"orderRef": Tag("l_orderkey", "ref", target=orders(spark, d), target_key="o_orderkey"), "partRef": Tag("l_partkey", "ref", target=part(spark, d), target_key="p_partkey"), "quantity": Tag("l_quantity", "number"), "discount": Tag("l_discount", "number"), "returnflag": Tag("l_returnflag")}
+    return Wide(table(spark, d, "lineitem"), tags, ("lineitem",))
+
+
+def documents(spark, d) -> Wide:
+    labels = Wide(table(spark, d, "labels"), {"quality": Tag("quality", "number"), "toxic": Tag("toxic", "number")}, ("label",))
+    return Wide(table(spark, d, "documents").drop("text"), {"lang": Tag("lang"), "source": Tag("source"), "nChars": Tag("n_chars", "number"), "labelRef": Tag("doc_id", "ref", target=labels, target_key="doc_id")}, ("document",))
+
+
+def labelled(spark, d) -> Wide:
+    df = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
+    return Wide(df, {"lang": Tag("lang"), "quality": Tag("quality", "number"), "toxic": Tag("toxic", "number")}, ("document",))
+
+
+def star(spark, d) -> DataFrame:
+    """Regions, nations, customers and suppliers as entities with tag maps."""
+    ident = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    r = table(spark, d, "region").select(ident("region-", "r_regionkey").alias("id"), kinds.tags(region=kinds.marker(), site=kinds.marker(), dis=kinds.string(F.col("r_name"))).alias("tags"))
+    n = table(spark, d, "nation").select(ident("nation-", "n_nationkey").alias("id"), kinds.tags(nation=kinds.marker(), dis=kinds.string(F.col("n_name")), siteRef=kinds.ref(ident("region-", "n_regionkey"))).alias("tags"))
+    c = table(spark, d, "customer").select(ident("cust-", "c_custkey").alias("id"), kinds.tags(customer=kinds.marker(), dis=kinds.string(F.col("c_name")), acctbal=kinds.number(F.col("c_acctbal"), "USD"), segment=kinds.string(F.col("c_mktsegment")), equipRef=kinds.ref(ident("nation-", "c_nationkey"))).alias("tags"))
+    s = table(spark, d, "supplier").select(ident("supp-", "s_suppkey").alias("id"), kinds.tags(supplier=kinds.marker(), dis=kinds.string(F.col("s_name")), acctbal=kinds.number(F.col("s_acctbal"), "EUR"), equipRef=kinds.ref(ident("nation-", "s_nationkey"))).alias("tags"))
+    return r.unionByName(n).unionByName(c).unionByName(s)
+
+
+def star_edges(spark, d) -> DataFrame:
+    """The same references from the columns, without building maps."""
+    e = lambda t, src, sp, tag, dst, dp: table(spark, d, t).select(F.concat(F.lit(sp), F.col(src).cast("string")).alias("src"), F.lit(tag).alias("tag"), F.concat(F.lit(dp), F.col(dst).cast("string")).alias("dst"))
+    return e("nation", "n_nationkey", "nation-", "regionRef", "n_regionkey", "region-").unionByName(e("customer", "c_custkey", "cust-", "nationRef", "c_nationkey", "nation-")).unionByName(e("supplier", "s_suppkey", "supp-", "nationRef", "s_nationkey", "nation-"))
+
+
+_EDGES = """SELECT 'nation-' || n_nationkey AS src, 'regionRef' AS tag, 'region-' || n_regionkey AS dst FROM nation
+UNION ALL SELECT 'cust-' || c_custkey, 'nationRef', 'nation-' || c_nationkey FROM customer
+UNION ALL SELECT 'supp-' || s_suppkey, 'nationRef', 'nation-' || s_nationkey FROM supplier"""
+
+
+def points(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("point_id"), "ts", F.col("event_id").alias("ord"), F.col("value").alias("val"))
+
+
+# --- predicates ------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+def q01_has(spark, d):
+    return where_wide(labelled(spark, d), "document and quality").select("doc_id", "lang", "quality")
+
+
+@query("SELECT doc_id, lang FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
+def q02_missing(spark, d):
+    return where_wide(labelled(spark, d), "not quality").select("doc_id", "lang")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def q03_eq_str(spark, d):
+    return where_wide(customer(spark, d), 'mktsegment == "BUILDING"').select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def q04_ne_str(spark, d):
+    return where_wide(customer(spark, d), 'mktsegment != "BUILDING"').select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT doc_id, quality FROM documents JOIN labels USING (doc_id) WHERE quality <> 1")
+def q05_ne_missing_is_false(spark, d):
+    return where_wide(labelled(spark, d), "quality != 1").select("doc_id", "quality")
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size < 10")
+def q06_lt(spark, d):
+    return where_wide(part(spark, d), "size < 10in").select("p_partkey", "p_size")
+
+
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice <= 1000")
+def q07_le(spark, d):
+    return where_wide(part(spark, d), "retailprice <= 1000").select("p_partkey", "p_retailprice")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+def q08_gt(spark, d):
+    return where_wide(orders(spark, d), "totalprice > 100000").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size >= 40 AND NOT p_size < 0")
+def q09_ge_unit_mismatch_is_false(spark, d):
+    return where_wide(part(spark, d), "size >= 40in or size >= 1cm").select("p_partkey")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
+def q10_datetime_range(spark, d):
+    w = orders(spark, d)
+    w = Wide(w.df.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), w.tags, w.markers)
+    return where_wide(w, "orderDate >= 1995-01-01T00:00:00Z and orderDate < 1996-01-01T00:00:00Z").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority < '2'")
+def q11_string_order(spark, d):
+    return where_wide(orders(spark, d), 'priority < "2"').select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 5000 AND c_mktsegment = 'MACHINERY'")
+def q12_precedence(spark, d):
+    return where_wide(customer(spark, d), 'mktsegment == "BUILDING" or acctbal > 5000 and mktsegment == "MACHINERY"').select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE (c_mktsegment = 'BUILDING' OR c_acctbal > 5000) AND (c_acctbal < 9000 AND (c_acctbal > 0))")
+def q13_nested(spark, d):
+    return where_wide(customer(spark, d), '(mktsegment == "BUILDING" or acctbal > 5000) and (acctbal < 9000 and (acctbal > 0))').select("c_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderkey LIMIT 50")
+def q14_read_limit(spark, d):
+    return where_wide(orders(spark, d), "totalprice > 1000").orderBy("o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
+
+
+# --- paths -----------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'")
+def q15_path_two_segments(spark, d):
+    return where_wide(customer(spark, d), 'nationRef->dis == "NATION_3"').select("c_custkey", "c_acctbal")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 5000 AND r_name = 'ASIA'")
+def q16_path_three_segments(spark, d):
+    return where_wide(customer(spark, d), 'customer and acctbal > 5000 and nationRef->regionRef->dis == "ASIA"').select("c_custkey", "c_acctbal")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7' AND l_quantity > 25")
+def q17_path_four_segments(spark, d):
+    return where_wide(lineitem(spark, d), 'orderRef->custRef->nationRef->dis == "NATION_7" and quantity > 25').select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)")
+def q18_path_exists(spark, d):
+    return where_wide(documents(spark, d), "labelRef->quality").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
+def q19_path_missing(spark, d):
+    return where_wide(documents(spark, d), "not labelRef->quality").select("doc_id", "lang")
+
+
+# --- references ------------------------------------------------------------------------------------
+
+
+@query(f"SELECT * FROM ({_EDGES}) WHERE src = 'nation-5'")
+def q20_refs_from(spark, d):
+    return graph.refs_from(star_edges(spark, d), "nation-5")
+
+
+@query(f"SELECT * FROM ({_EDGES}) WHERE dst = 'nation-5' AND tag = 'nationRef'")
+def q21_refs_to(spark, d):
+    return graph.refs_to(star_edges(spark, d), "nation-5", "nationRef")
+
+
+@query("SELECT 'nation-' || n_nationkey AS id, n_name AS dis FROM nation WHERE n_regionkey = 2")
+def q22_children(spark, d):
+    return graph.children(star(spark, d), "region-2").select("id", F.col("tags")["dis"].str.alias("dis"))
+
+
+@query("SELECT 1 AS step, 'nation-' || c_nationkey AS id FROM customer WHERE c_custkey = 7 UNION ALL SELECT 2, 'region-' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7")
+def q23_ref_chain(spark, d):
+    return graph.ref_chain(star(spark, d), "cust-7", ["equipRef", "siteRef"]).select("step", "id")
+
+
+@query("""SELECT 'cust-' || c_custkey AS id, 'region-' || n_regionkey AS site_id FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'supp-' || s_suppkey, 'region-' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'nation-' || n_nationkey, 'region-' || n_regionkey FROM nation UNION ALL SELECT 'region-' || r_regionkey, 'region-' || r_regionkey FROM region""")
+def q24_site_for(spark, d):
+    return graph.site_for(star(spark, d))
+
+
+@query("SELECT pos, id, c_name AS dis FROM (VALUES (0, 'cust-3'), (1, 'cust-none'), (2, 'cust-1'), (3, 'cust-3')) t(pos, id) LEFT JOIN customer ON id = 'cust-' || c_custkey")
+def q25_read_ids(spark, d):
+    ids = spark.createDataFrame([(0, "cust-3"), (1, "cust-none"), (2, "cust-1"), (3, "cust-3")], "pos int, id string")
+    return graph.read_ids(ids, star(spark, d)).select("pos", "id", F.col("tags")["dis"].str.alias("dis"))
+
+
+@query("SELECT 'region-' || r_regionkey AS id, r_name AS dis, 'region-' || r_regionkey AS nav_id FROM region")
+def q26_nav(spark, d):
+    return where_dynamic(star(spark, d), "site").select("id", F.col("tags")["dis"].str.alias("dis"), F.col("id").alias("nav_id"))
+
+
+# --- types and checks ------------------------------------------------------------------------------
+
+_NAMESPACE = ontology.Namespace.of(
+    [
+        {"symbol": s, "lib": "lib:own", "is": up, "tag_on": on, "of": None, "mandatory": m}
+        for s, up, on, m in [("entity", [], [], False), ("party", ["entity"], [], False), ("customer", ["party"], [], True), ("supplier", ["party"], [], True), ("segment", [], ["customer"], False), ("nation", ["entity"], [], True), ("site", ["entity"], [], True), ("region", ["site"], [], True), ("acctbal", [], ["party"], False)]
+    ]
+)
+
+
+@query("SELECT 'region-' || r_regionkey AS id FROM region")
+def q27_fits(spark, d):
+    return where_dynamic(star(spark, d), "own::Region", _NAMESPACE.required()).select("id")
+
+
+@query("SELECT 'nation-' || n_nationkey AS id, unnest(['region', 'site']) AS missing FROM nation")
+def q28_fits_explain(spark, d):
+    e = where_dynamic(star(spark, d), "nation")
+    return e.select("id", F.explode(ontology.missing(F.col("tags"), _NAMESPACE.mandatory_tags("region"))).alias("missing"))
+
+
+def _labelled_docs(spark, d) -> DataFrame:
+    docs, labels = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels")
+    both = docs.join(labels, "doc_id", "left")
+    return both.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), kinds.tags(document=kinds.marker(), judged=F.when(F.col("quality").isNotNull(), kinds.marker()), toxic=F.when(F.col("toxic") == 1, kinds.marker()), labelRef=kinds.ref(F.concat(F.lit("label-"), F.col("doc_id").cast("string")))).alias("tags"))
+
+
+_DOC_TYPES = ontology.Namespace.of([{"symbol": s, "lib": "lib:own", "is": up, "tag_on": [], "of": None, "mandatory": m} for s, up, m in [("entity", [], False), ("judged", ["entity"], True), ("toxic", ["judged"], True), ("document", ["toxic"], False)]])
+
+
+@query("""SELECT 'doc-' || doc_id AS id, t.tag AS tag, 'document' AS detail FROM documents LEFT JOIN labels USING (doc_id), (VALUES ('judged'), ('toxic')) t(tag) WHERE (t.tag = 'judged' AND quality IS NULL) OR (t.tag = 'toxic' AND coalesce(toxic, 0) <> 1)
+UNION ALL SELECT 'doc-' || doc_id, 'toxic', 'judged' FROM documents JOIN labels USING (doc_id) WHERE false""")
+def q29_validate(spark, d):
+    return ontology.validate(_labelled_docs(spark, d), _DOC_TYPES).where("issue = 'missing_marker'").select("id", "tag", "detail")
+
+
+@query("SELECT 'doc-' || doc_id AS src, 'labelRef' AS tag, 'label-' || doc_id AS dst FROM documents ANTI JOIN labels USING (doc_id)")
+def q30_dangling(spark, d):
+    labels = table(spark, d, "labels").select(F.concat(F.lit("label-"), F.col("doc_id").cast("string")).alias("id"))
+    links = table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("src"), F.lit("labelRef").alias("tag"), F.concat(F.lit("label-"), F.col("doc_id").cast("string")).alias("dst"))
+    return graph.dangling(links, labels)
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (quality IS NOT NULL AND toxic = 1) AS valid, count(*) FILTER (NOT (quality IS NOT NULL AND coalesce(toxic, 0) = 1)) AS with_errors,
+CAST(0 AS BIGINT) AS untyped, CAST(0 AS BIGINT) AS with_warnings, CAST(1.0 AS DOUBLE) AS coverage FROM documents LEFT JOIN labels USING (doc_id)""")
+def q31_validation_summary(spark, d):
+    return ontology.summary(_labelled_docs(spark, d), _DOC_TYPES)
+
+
+@query("SELECT lang, count(*) AS total, count(quality) AS typed, count(quality) / count(*) AS coverage FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def q32_coverage(spark, d):
+    n, t = F.count(F.lit(1)), F.count("quality")
+    return labelled(spark, d).df.groupBy("lang").agg(n.alias("total"), t.alias("typed"), F.try_divide(t, n).alias("coverage"))
+
+
+@query("""SELECT tag, sum(n)::BIGINT AS n FROM (SELECT unnest(['region','site','dis']) AS tag, 1 AS n FROM region UNION ALL SELECT unnest(['nation','dis','siteRef']), 1 FROM nation
+UNION ALL SELECT unnest(['customer','dis','acctbal','segment','equipRef']), 1 FROM customer UNION ALL SELECT unnest(['supplier','dis','acctbal','equipRef']), 1 FROM supplier) GROUP BY tag ORDER BY n DESC, tag LIMIT 15""")
+def q33_tag_distribution(spark, d):
+    return star(spark, d).select(F.explode(F.map_keys("tags")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "tag").limit(15)
+
+
+@query("SELECT unnest(['acctbal','customer','dis','equipRef','nation','region','segment','site','siteRef','supplier']) AS tag")
+def q34_column_union(spark, d):
+    return graph.columns_of(star(spark, d))
+
+
+# --- history ---------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id AS point_id, ts, value AS val FROM events WHERE user_id = 7 AND ts >= (SELECT date_trunc('day', min(ts)) FROM events) AND ts <= (SELECT date_trunc('day', min(ts)) + INTERVAL 20 DAY FROM events)")
+def q35_history_range(spark, d):
+    first = table(spark, d, "events").agg(F.date_trunc("day", F.min("ts"))).first()[0]
+    first = first.replace(tzinfo=None) if isinstance(first, dt.datetime) else first
+    return history.read(points(spark, d), 7, first, first + dt.timedelta(days=20)).select("point_id", "ts", "val")
+
+
+@query("SELECT user_id AS point_id, date_trunc('day', ts) AS ts, max(event_id) AS ord, arg_max(value, event_id) AS val FROM events GROUP BY 1, 2")
+def q36_last_wins(spark, d):
+    return history.last_wins(points(spark, d).withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz")))
+
+
+@query("SELECT point_id, ts, ord, val FROM (SELECT user_id AS point_id, ts, event_id AS ord, value AS val, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3")
+def q37_history_cap(spark, d):
+    return history.capped(points(spark, d), 3)
+
+
+@query("SELECT user_id AS point_id, count(*) AS n FROM events GROUP BY 1")
+def q38_history_count(spark, d):
+    return history.counts(points(spark, d))
+
+
+@query("""SELECT 'region-1' AS id, NULL::VARCHAR AS parent, 0 AS depth UNION ALL SELECT 'nation-' || n_nationkey, 'region-1', 1 FROM nation WHERE n_regionkey = 1
+UNION ALL SELECT 'cust-' || c_custkey, 'nation-' || c_nationkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1
+UNION ALL SELECT 'supp-' || s_suppkey, 'nation-' || s_nationkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1""")
+def q39_hierarchy(spark, d):
+    return graph.hierarchy(spark, star_edges(spark, d), "region-1")
+
+
+@query("""SELECT * FROM (VALUES ('acctbal','acctbal',0),('customer','customer',0),('customer','party',1),('customer','entity',2),('entity','entity',0),('nation','nation',0),('nation','entity',1),('party','party',0),('party','entity',1),
+('region','region',0),('region','site',1),('region','entity',2),('segment','segment',0),('site','site',0),('site','entity',1),('supplier','supplier',0),('supplier','party',1),('supplier','entity',2)) t(symbol, ancestor, depth)""")
+def q40_taxonomy_closure(spark, d):
+    return ontology.closure(_NAMESPACE.table(spark))
+
+
+# --- functions -------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, round((p_size * 0.0254 + 0.0 - 0.0) / 0.01, 6) AS size_cm FROM part")
+def q41_unit_convert(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.round(units.convert(F.col("p_size"), "in", "cm"), 6).alias("size_cm"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS ok, CASE WHEN p_size % 3 = 0 THEN 'length' WHEN p_size % 3 = 1 THEN 'temperature' END AS quantity FROM part")
+def q42_compatible(spark, d):
+    unit = F.when(F.col("p_size") % 3 == 0, "ft").when(F.col("p_size") % 3 == 1, "°F").otherwise("no-unit")
+    return table(spark, d, "part").select("p_partkey", units.compatible(unit, F.lit("m")).alias("ok"), units.quantity(unit).alias("quantity"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'sensor' WHEN p_size > 20 THEN 'ahu' WHEN p_size > 10 THEN 'site' END AS class FROM part")
+def q43_classify(spark, d):
+    size = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", graph.classify({"site": size > 10, "ahu": size > 20, "sensor": size > 40}).alias("class"))
+
+
+# --- changes ---------------------------------------------------------------------------------------
+
+
+def change_log(spark, d) -> DataFrame:
+    """Events as changes: the first of a user adds, every 50th event removes, others update."""
+    e = table(spark, d, "events").withColumn("_first", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) == 1)
+    tags = F.create_map(F.lit("value"), kinds.number(F.col("value")), F.lit("type"), kinds.string(F.col("event_type")))
+    op = F.when(F.col("_first"), "add").when(F.col("event_id") % 50 == 0, "remove").otherwise("update")
+    e = e.select((F.col("event_id") + 1).alias("version"), op.alias("op"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("ref"), tags.alias("tags"))
+    return e.select("version", "op", "ref", F.when(F.col("op") == "add", F.col("tags")).alias("new"), F.when(F.col("op") == "update", F.col("tags")).alias("changed"))
+
+
+_LOG = "SELECT event_id + 1 AS version, 'user-' || user_id AS ref, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 'add' WHEN event_id % 50 = 0 THEN 'remove' ELSE 'update' END AS op, value, event_type FROM events"
+
+
+@query(f"SELECT version, op, ref FROM ({_LOG}) WHERE version > 500")
+def q44_changes_since(spark, d):
+    return changes.since(change_log(spark, d), 500, floor=100).select("version", "op", "ref")
+
+
+@query(f"SELECT DISTINCT ref AS id FROM ({_LOG}) WHERE version > 500 AND ref IN ('user-1', 'user-2', 'user-3', 'user-none')")
+def q45_watch_poll(spark, d):
+    log = change_log(spark, d)
+    watches = spark.createDataFrame([("w1", "me", i, 500) for i in ("user-1", "user-2", "user-3", "user-none")], "watch_id string, owner string, id string, last_version long")
+    now = log.select(F.col("ref").alias("id")).distinct()
+    return changes.poll(watches, "w1", "me", log, now)
+
+
+@query(f"""WITH log AS ({_LOG}), last AS (SELECT ref, max(version) FILTER (op IN ('add', 'remove')) AS v, arg_max(op, version) FILTER (op IN ('add', 'remove')) AS o FROM log GROUP BY ref)
+SELECT ref AS id, arg_max(value, version) AS value, arg_max(event_type, version) AS type FROM log JOIN last USING (ref) WHERE version >= v AND o <> 'remove' GROUP BY ref""")
+def q46_replay(spark, d):
+    return changes.replay(change_log(spark, d)).select("id", F.col("tags")["value"].num.alias("value"), F.col("tags")["type"].str.alias("type"))
+
+
+@query("""SELECT 'M,"' || n_name || '",@region-' || n_regionkey AS value FROM nation""")
+def q47_zinc_rows(spark, d):
+    return formats.zinc_lines(where_dynamic(star(spark, d), "nation"), ["nation", "dis", "siteRef"])
+
+
+@query("SELECT o_orderkey, o_totalprice AS num, 'USD' AS unit FROM orders")
+def q48_json4_decode(spark, d):
+    raw = F.to_json(F.struct(F.lit("number").alias("_kind"), F.col("o_totalprice").alias("val"), F.lit("USD").alias("unit")))
+    v = formats.json4_decode(raw)
+    return table(spark, d, "orders").select("o_orderkey", v.alias("v")).select("o_orderkey", "v.num", "v.unit")
+
+
+@query("SELECT doc_id, 'n:' || n_chars || ' ch' AS raw, n_chars::DOUBLE AS num, 'ch' AS unit FROM documents")
+def q49_json3_number(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.concat(F.lit("n:"), F.col("n_chars").cast("string"), F.lit(" ch")).alias("raw"))
+    return df.select("doc_id", "raw", formats.json3_decode(F.concat(F.lit('"'), F.col("raw"), F.lit('"'))).alias("v")).select("doc_id", "raw", "v.num", "v.unit")
+
+
+@query("SELECT 'cust-' || c_custkey AS id, c_acctbal AS acctbal FROM customer WHERE c_acctbal > 9000")
+def q50_dynamic_unit(spark, d):
+    """Suppliers have another unit, so no order with this one."""
+    return where_dynamic(star(spark, d), "acctbal > 9000USD").select("id", F.col("tags")["acctbal"].num.alias("acctbal"))
+
+
+@query("""SELECT 'cust-' || c_custkey AS id FROM customer WHERE c_acctbal <> 0 UNION ALL SELECT 'supp-' || s_suppkey FROM supplier""")
+def q51_dynamic_ne_unit(spark, d):
+    return where_dynamic(star(spark, d), "acctbal != 0USD").select("id")
+
+
+@query("SELECT 'cust-' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND c_mktsegment = 'BUILDING'")
+def q52_dynamic_path(spark, d):
+    return where_dynamic(star(spark, d), 'segment == "BUILDING" and equipRef->siteRef->dis == "EUROPE"').select("id")
+
+
+@query("SELECT 'nation-' || n_nationkey AS id FROM nation WHERE n_regionkey = 2")
+def q53_ref_eq(spark, d):
+    return where_dynamic(star(spark, d), "siteRef == @region-2").select("id")
+
+
+@query("""SELECT 'cust-' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'VIP' ELSE c_name END AS dis, c_custkey % 3 <> 0 AS has_segment FROM customer""")
+def q54_merge_remove(spark, d):
+    e = where_dynamic(star(spark, d), "customer")
+    key = F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    new = F.map_concat(F.when(key % 2 == 0, F.create_map(F.lit("dis"), kinds.string(F.lit("VIP")))).otherwise(F.expr("map()").cast(kinds.TAGS)), F.when(key % 3 == 0, F.create_map(F.lit("segment"), kinds.value("remove"))).otherwise(F.expr("map()").cast(kinds.TAGS)))
+    out = changes.upsert(e, e.select("id", new.alias("tags")))
+    return out.select("id", F.col("tags")["dis"].str.alias("dis"), F.map_contains_key("tags", "segment").alias("has_segment"))
+
+
+@query("SELECT 'nation-' || n_nationkey AS id FROM nation UNION ALL SELECT 'region-' || r_regionkey FROM region UNION ALL SELECT 'supp-' || s_suppkey FROM supplier")
+def q55_remove(spark, d):
+    e = star(spark, d)
+    return changes.remove(e, where_dynamic(e, "customer").select("id")).select("id")
+
+
+@query("SELECT 'w-' || (user_id % 5) AS watch_id, list_sort(list(DISTINCT 'user-' || user_id)) AS ids FROM events WHERE event_id + 1 > 500 GROUP BY 1")
+def q56_affected(spark, d):
+    log = changes.since(change_log(spark, d), 500)
+    watches = log.sparkSession.read.parquet(f"{d}/events.parquet").select("user_id").distinct().select(F.concat(F.lit("w-"), (F.col("user_id") % 5).cast("string")).alias("watch_id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("id"))
+    return changes.affected(watches, log)
+
+
+@query("SELECT * FROM (VALUES ('New_York', 'America/New_York'), ('America/Chicago', 'America/Chicago'), ('Nowhere', NULL), ('UTC', 'Etc/UTC')) t(name, zone)")
+def q57_zones(spark, d):
+    return spark.createDataFrame([("New_York",), ("America/Chicago",), ("Nowhere",), ("UTC",)], "name string").select("name", timezones.zone_for(F.col("name")).alias("zone"))
+
+
+@query("SELECT 'cust-' || c_custkey AS id, 'Str' AS dis_type, 'Number' AS acctbal_type, 'Ref' AS ref_type FROM customer")
+def q58_type_names(spark, d):
+    e = where_dynamic(star(spark, d), "customer")
+    return e.select("id", *[kinds.type_name(F.col("tags")[t].kind).alias(n) for t, n in (("dis", "dis_type"), ("acctbal", "acctbal_type"), ("equipRef", "ref_type"))])
