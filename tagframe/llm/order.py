@@ -1,13 +1,14 @@
 """Materialises token sequences in training order, as shards of records of one size.
 
-Each sequence has a number, and a keyed Feistel permutation of the numbers gives its slot in the
-training order: a bijection without a table or a sort by random keys; numbers that fall outside the
-domain walk on along their cycle. Slots are cut into ranges, one task writes one range as one shard: a head and
-records of fixed stride, so that slot s lies at a known byte and a reader resumes anywhere.
+Each sequence has a number, and a keyed Feistel permutation of the numbers, walking on along its cycle
+where it leaves the domain, gives its place: a bijection without a table or a sort by random keys. Places are cut into ranges;
+one task takes one range, sorts it and writes one shard: a head and records of fixed stride. A sequence's slot in
+the training order is the number of records in the shards before and of those before it in its own. So slot s lies at a
+known byte, and a reader resumes anywhere.
 
-A record is doc_id (8 bytes), piece (4), length (4) and ``length_max`` ids of 2 bytes, the rest zeros. Numbers
-come from the counts of a first pass over the partitions; the second pass checks that it sees the
-same rows. Shards of lost or repeated attempts are not in the manifest and never read.
+Texts are encoded once: numbers come from allotments, an upper bound of each partition's sequences by
+its bytes, so they have gaps, which the places' ranks close. A record is doc_id (8 bytes), piece (4),
+length (4) and ``length_max`` ids of 2 bytes, the rest zeros. Shards of lost or repeated attempts are not in the manifest and never read.
 
 Defined cases: a null text is an empty document: its end id alone; a null id is stored as -1 and read
 as null; rows repeated are sequences each; an empty table gives no shards. Other columns are ignored.
@@ -25,14 +26,14 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .space import folder, small_batches, written
 from .tokens import file_of, word_tokenizer
 
 MAGIC = b"TFSHARD1"
-HEAD = "<8sqqi4x"  # magic, first slot, records, ids of a record
+HEAD = "<8sqi4x"  # magic, shard, ids of a record
 RECORD = "<qii"
 
 
@@ -44,7 +45,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
     """Slots of numbers below ``size``: a bijection of [0, size) for each key."""
-    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    half = max(1, ((max(size, 1) - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     keys = _mix(np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & 0xFFFFFFFFFFFFFFFF))
 
@@ -71,94 +72,87 @@ def _sequences(batches: Iterator[pa.RecordBatch], tokenizer: str, length_max: in
         yield rows
 
 
-def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int = 512, tokenizer: str | None = None, end_id: int = 1, shard_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards below ``path``; returns their manifest: ``shard, path, first_slot, records, crc32``.
+def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int = 512, tokenizer: str | None = None, end_id: int = 1, shard_text_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the shards below ``path``; returns their manifest: ``shard, path, records, crc32, first_slot, length_max``.
 
-    ``docs`` has to give the same rows in the same partitions when it is read again, as files do.
-    Ids have to be below 65,536.
+    ``docs`` has to give the same partitions when it is read again, as files do; one that grows
+    beyond its allotment is an error. Ids have to be below 65,536.
     """
     small_batches(docs.sparkSession)
     tokenizer = tokenizer or file_of("word_bpe_49k.json")
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-
-    def count(batches):
-        n = crc = 0
-        for seqs in _sequences(batches, tokenizer, length_max, end_id):
-            n += len(seqs)
-            crc = zlib.crc32(b"".join(struct.pack(RECORD, i, k, len(s)) for i, k, s in seqs), crc)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([crc], pa.int64())], ["part", "n", "crc"])
-
-    # a row per partition
-    counts = {r["part"]: (r["n"], r["crc"]) for r in rows.mapInArrow(count, "part int, n long, crc long").collect()}
-    total, base = 0, {}
-    for part in sorted(counts):
-        base[part] = total
-        total += counts[part][0]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # normal forms may grow threefold, then a token has a byte at least
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.floor((size * 3 + 1) / length_max) + 1).alias("n"), F.sum(size).alias("bytes")).collect()  # a row per partition
+    domain, base, room = 0, {}, {}
+    for r in sorted(parts, key=lambda r: r["part"]):
+        base[r["part"]], room[r["part"]] = domain, r["n"]
+        domain += r["n"]
+    shards = max(1, -(-sum(r["bytes"] for r in parts) // shard_text_bytes))
+    width = max(1, -(-domain // shards))
     stride = struct.calcsize(RECORD) + 2 * length_max
-    per_shard = max(1, shard_bytes // stride)
-    shards = max(1, -(-total // per_shard))
 
-    def slots(batches):
+    def place(batches):
         part = TaskContext.get().partitionId()
-        n, crc, pack = base.get(part, 0), 0, zstandard.ZstdCompressor(level=1)
+        n, pack = 0, zstandard.ZstdCompressor(level=1)
         for seqs in _sequences(batches, tokenizer, length_max, end_id):
-            slot = permute(np.arange(n, n + len(seqs)), total, key)
+            if n + len(seqs) > room.get(part, 0):
+                raise RuntimeError("the input changed between two readings; write it to files first")
+            at = permute(np.arange(base[part] + n, base[part] + n + len(seqs)), domain, key) if seqs else np.empty(0, np.int64)
             n += len(seqs)
-            heads = [struct.pack(RECORD, i, k, len(s)) for i, k, s in seqs]
-            crc = zlib.crc32(b"".join(heads), crc)
-            packed = [pack.compress(h + s.tobytes()) for h, (_, _, s) in zip(heads, seqs, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(packed, pa.binary())], ["shard", "slot", "record"])
-        if part in counts and (n - base[part], crc) != counts[part]:
-            raise RuntimeError("the input changed between two passes; write it to files first")
+            packed = [pack.compress(struct.pack(RECORD, i, k, len(s)) + s.tobytes()) for i, k, s in seqs]
+            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array(at), pa.array(packed, pa.binary())], ["shard", "place", "record"])
 
     def write(batches):
         fs, root = pafs.FileSystem.from_uri(path)
-        unpack, shard, out, done, crc, f = zstandard.ZstdDecompressor(), None, [], 0, 0, None
-        first, name = 0, ""
+        unpack, shard, out, done, crc, f, name = zstandard.ZstdDecompressor(), None, [], 0, 0, None, ""
 
         def close():
             f.close()
-            out.append((shard, f"{path}/{name}", first, done, crc))
+            out.append((shard, f"{path}/{name}", done, crc))
 
         for b in batches:
-            for s, slot, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            block = []
+            for s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if s != shard:
                     if f:
+                        f.write(b"".join(block))
                         close()
-                    shard, first, done, crc, name = s, s * per_shard, 0, 0, f"shard-{s:06d}-{uuid.uuid4().hex[:8]}.bin"
+                    block, shard, done, crc, name = [], s, 0, 0, f"shard-{s:06d}-{uuid.uuid4().hex[:8]}.bin"
                     fs.create_dir(root, recursive=True)
                     f = fs.open_output_stream(f"{root}/{name}")
-                    f.write(struct.pack(HEAD, MAGIC, first, min(per_shard, total - first), length_max))
-                if slot != first + done:
-                    raise RuntimeError(f"slot {first + done} is missing")
-                record = unpack.decompress(raw)
-                record += bytes(stride - len(record))
+                    f.write(struct.pack(HEAD, MAGIC, shard, length_max))
+                record = unpack.decompress(raw).ljust(stride, b"\0")
                 crc = zlib.crc32(record, crc)
-                f.write(record)
+                block.append(record)
                 done += 1
+            if block:
+                f.write(b"".join(block))
         if f:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "path", "first_slot", "records", "crc32"])
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["shard", "path", "records", "crc32"])
 
-    placed = rows.mapInArrow(slots, "shard int, slot long, record binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
-    return written(placed.mapInArrow(write, "shard int, path string, first_slot long, records long, crc32 long"), "shards")
+    placed = rows.mapInArrow(place, "shard int, place long, record binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
+    manifest = written(placed.select("shard", "record").mapInArrow(write, "shard int, path string, records long, crc32 long"), "shards")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
+    return manifest.withColumn("first_slot", F.coalesce(F.sum("records").over(before), F.lit(0))).withColumn("length_max", F.lit(length_max))
 
 
-def read_slots(path: str, start: int, stop: int) -> Iterator[tuple[int, int | None, int, np.ndarray, int]]:
+def read_slots(path: str, first_slot: int, records: int, start: int, stop: int) -> Iterator[tuple[int, int | None, int, np.ndarray, int]]:
     """Records of a shard from slot ``start`` to ``stop``: slot, doc_id, piece, ids, byte offset. One seek, then sequential."""
     fs, name = pafs.FileSystem.from_uri(path)
     with fs.open_input_file(name) as f:
-        magic, first, records, length_max = struct.unpack(HEAD, f.read(struct.calcsize(HEAD)))
+        head = struct.calcsize(HEAD)
+        magic, _, length_max = struct.unpack(HEAD, f.read(head))
         if magic != MAGIC:
             raise ValueError(f"{path} is no shard")
         stride = struct.calcsize(RECORD) + 2 * length_max
-        start, stop = max(start, first), min(stop, first + records)
-        at = struct.calcsize(HEAD) + (start - first) * stride
+        start, stop = max(start, first_slot), min(stop, first_slot + records)
+        at, slot = head + (start - first_slot) * stride, start
         f.seek(at)
-        slot = start
         while slot < stop:
             block = f.read(stride * min(4096, stop - slot))
-            if len(block) < stride:
+            if not block or len(block) % stride:
                 raise ValueError(f"{path} is cut off")
             for i in range(0, len(block), stride):
                 ident, piece, n = struct.unpack_from(RECORD, block, i)
@@ -172,7 +166,7 @@ def read_order(manifest: DataFrame, start: int = 0, stop: int | None = None) ->
     def run(batches):
         for b in batches:
             for shard, path, first, records in zip(*(b.column(c).to_pylist() for c in ("shard", "path", "first_slot", "records")), strict=True):
-                rows = [(s, i, k, len(x), zlib.crc32(x.astype("<u4").tobytes()), shard, at) for s, i, k, x, at in read_slots(path, start, first + records if stop is None else stop)]
+                rows = [(s, i, k, len(x), zlib.crc32(x.astype("<u4").tobytes()), shard, at) for s, i, k, x, at in read_slots(path, first, records, start, first + records if stop is None else stop)]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["slot", "doc_id", "piece", "length", "ids_crc32", "shard", "byte_offset"])
 

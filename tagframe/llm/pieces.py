@@ -35,10 +35,10 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n")
 
 
 class Pieces(CachedEncoder):
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 600_000, keep_words: int = 150_000):
         from sentencepiece import sentencepiece_model_pb2
 
-        super().__init__(max_words)
+        super().__init__(max_words, keep_words)
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
@@ -50,6 +50,7 @@ class Pieces(CachedEncoder):
         self.unknown_score = least - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         self.by_word = True
+        self.singles = {p.piece for p in model.pieces if p.type in (NORMAL, USER_DEFINED) and len(p.piece) == 1}
         for i, p in enumerate(model.pieces):
             if p.type in (NORMAL, USER_DEFINED) and p.piece:
                 self.automaton.add_word(p.piece, (len(p.piece), i, p.score))
@@ -63,6 +64,19 @@ class Pieces(CachedEncoder):
     def segment(self, text: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation of normalised text."""
         n = len(text)
+        if self.singles.issuperset(text):
+            # every position is reached by a piece, and the pieces that end at one come longest first
+            best, came = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1)
+            for end, (length, i, score) in self.automaton.iter(text):
+                got = best[end + 1 - length] + score
+                if got > best[end + 1]:
+                    best[end + 1], came[end + 1] = got, (length, i)
+            ids, at = [], n
+            while at:
+                length, i = came[at]
+                ids.append(i)
+                at -= length
+            return ids[::-1], best[n]
         best = [float("-inf")] * (n + 1)
         best[0] = 0.0
         came: list[tuple[int, int]] = [(0, -1)] * (n + 1)

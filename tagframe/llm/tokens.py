@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -19,11 +21,12 @@ def file_of(name: str) -> str:
 class CachedEncoder:
     """Encodes texts that split into independent words, each distinct word once while it is in the cache.
 
-    The cache holds ``max_words`` words and starts anew beyond that; results don't depend on it.
+    Beyond ``max_words`` words the cache keeps the first ``keep_words``: common words are met early.
+    Results don't depend on it.
     """
 
-    def __init__(self, max_words: int = 400_000):
-        self.max_words = max_words
+    def __init__(self, max_words: int = 600_000, keep_words: int = 150_000):
+        self.max_words, self.keep_words = max_words, keep_words
         self._reset()
 
     def split(self, text: str) -> list[str] | None:
@@ -52,13 +55,18 @@ class CachedEncoder:
         n = len(self.index)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         self.start[n + 1 : n + 1 + len(got)] = self.used + np.cumsum(sizes)
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
         self.used += total
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _shrink(self) -> None:
+        kept = list(self.index)[: self.keep_words]
+        self.index = dict(zip(kept, range(len(kept)), strict=True))
+        self.used = int(self.start[len(kept)])
+
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > self.max_words:
-            self._reset()
+            self._shrink()
         out = []
         words = [self.split(t or "") for t in texts]
         new = set().union(*(w for w in words if w is not None)).difference(self.index)
@@ -79,18 +87,58 @@ class CachedEncoder:
 class WordTokenizer(CachedEncoder):
     """As a tokenizer file says, for tokenizers that drop white space and never join what it parts."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 600_000, keep_words: int = 150_000):
         from tokenizers import Tokenizer
 
-        super().__init__(max_words)
+        super().__init__(max_words, keep_words)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # pieces that end a word, where the model marks them
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            known = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(known.values()) + 1, bool)
+            self.ends[[i for piece, i in known.items() if piece.endswith(suffix)]] = True
 
     def split(self, text: str) -> list[str] | None:
         return None if _ODD.search(text) else text.split()
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """A letter word is parted from a sign after it, as the tokenizer parts them, and put in lower case, so that
+        its forms are encoded once; letters beyond the Latin ones stay as they are."""
+        parts, need = [], {}
+        for w in words:
+            stem, sign = (w[:-1], w[-1]) if w[-1] in ".,;:!?" and w[:-1].isalpha() else (w, "")
+            if stem.isascii() or (max(stem) < "\u0180" and "\u0130" not in stem):
+                stem = stem.lower()
+            parts.append((stem, sign))
+            for p in (stem, sign):
+                if p and p not in self.index:
+                    need[p] = None
+        fresh = self._encode_each(list(need))
+
+        def ids(p: str) -> list[int]:
+            if p in fresh:
+                return fresh[p]
+            at = self.index[p]
+            return self.flat[self.start[at] : self.start[at + 1]].tolist()
+
+        return [ids(stem) + ids(sign) if sign else ids(stem) for stem, sign in parts]
+
+    def _encode_each(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids by word. Words of letters are encoded many at a time, where marks tell their ends."""
+        out: dict[str, list[int]] = {}
+        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
+        if letters:
+            texts = [" ".join(letters[i : i + 200]) for i in range(0, len(letters), 200)]
+            ids = np.fromiter(chain.from_iterable([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]), np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(letters):
+                flat, stops = ids.tolist(), stops.tolist()
+                out = {w: flat[a:b] for w, a, b in zip(letters, [0, *stops], stops, strict=False)}
+        rest = [w for w in words if w not in out]
+        return out | dict(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
