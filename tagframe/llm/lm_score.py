@@ -35,7 +35,7 @@ _U = np.uint64
 #: No word holds a blank.
 END = b" end"
 WINDOW = 16
-GROUPS, BINS, COMMON = 8, 4, 64
+GROUPS, BINS, COMMON = 8, 8, 64
 #: Groups by bins, the end, and all rarer words.
 CLASSES = GROUPS * BINS + 2
 END_CLASS, RARE_CLASS = CLASSES - 2, CLASSES - 1
@@ -137,7 +137,7 @@ def _batch_ranks(texts: list[str | None], known: _Ranks, rare: bool = False):
 
 
 def _company(train: DataFrame, keys: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """How often each frequent word comes one or two words after each of the most common: ``rank, common, n``."""
+    """How often each frequent word stands within three words of each of the most common: ``rank, common, n``."""
 
     def run(batches):
         known = _Ranks(keys, ranks)
@@ -145,9 +145,12 @@ def _company(train: DataFrame, keys: np.ndarray, ranks: np.ndarray) -> DataFrame
             r, n, _ = _batch_ranks(b.column(0).to_pylist(), known)
             text = np.repeat(np.arange(len(n)), n)
             pairs = []
-            for d in (1, 2):
-                keep = (text[d:] == text[:-d]) & (r[:-d] < COMMON) & (r[d:] < len(keys))
-                pairs.append(r[d:][keep].astype(np.int64) * COMMON + r[:-d][keep])
+            for d in (1, 2, 3):
+                same = text[d:] == text[:-d]
+                x, y = r[d:][same].astype(np.int64), r[:-d][same].astype(np.int64)
+                for p, q in ((x, y), (y, x)):
+                    keep = (q < COMMON) & (p < len(keys))
+                    pairs.append(p[keep] * COMMON + q[keep])
             cell, times = np.unique(np.concatenate(pairs), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((cell // COMMON).astype(np.int32)), pa.array((cell % COMMON).astype(np.int32)), pa.array(times.astype(np.int64))], ["rank", "common", "n"])
 
@@ -232,22 +235,22 @@ def _log_softmax(w: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarr
     return z
 
 
-def _learn(w: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndarray, prior: np.ndarray, turn: int, rate: float) -> None:
-    """One gradient step, on one template in turn, with a step size that falls as a row learns."""
+def _learn(w: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndarray, prior: np.ndarray, rate: float) -> None:
+    """One gradient step on every template, with a step size that falls as a row learns."""
     e = np.exp(_log_softmax(w, rows, prior))
     e[np.arange(len(classes)), classes] -= 1
-    mine = rows[turn % TEMPLATES]
-    order = np.argsort(mine.astype(np.uint16), kind="stable")
-    sorted_rows = mine[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    g = np.add.reduceat(e[order], first, axis=0)
-    g /= np.sqrt(np.diff(np.append(first, len(order)))).astype(np.float32)[:, None]
-    touched = sorted_rows[first]
-    memory[touched] += (g * g).mean(axis=1)
-    w[touched] -= rate * g / np.sqrt(memory[touched] + 1e-3)[:, None]
-
-
-def fit(train: DataFrame, v: Vocabulary, rows: int = 1 << 14, rounds: int = 1, rate: float = 0.2) -> np.ndarray:
+    for mine in rows:
+        order = np.argsort(mine, kind="stable")
+        sorted_rows = mine[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+        g = np.add.reduceat(e[order], first, axis=0)
+        g /= np.sqrt(np.diff(np.append(first, len(order)))).astype(np.float32)[:, None]
+        touched = sorted_rows[first]
+        memory[touched] += (g * g).mean(axis=1)
+        w[touched] -= rate * g / np.sqrt(memory[touched] + 1e-3)[:, None]
+
+
+def fit(train: DataFrame, v: Vocabulary, rows: int = 1 << 14, rounds: int = 2, rate: float = 0.1) -> np.ndarray:
     """Weights, ``rows`` by classes: every round reads all training texts."""
     context = train.sparkSession.sparkContext
     weights = np.zeros((rows, CLASSES), np.float32)
@@ -260,14 +263,13 @@ def fit(train: DataFrame, v: Vocabulary, rows: int = 1 << 14, rounds: int = 1, r
 
         def run(batches, common=common, rate=rate / (1 + turn)):
             v, w = words.value, common.value.copy()
-            known, memory, steps, tokens, prior = _Ranks(v.keys, v.ranks), np.zeros(rows, np.float32), 0, 0, v.prior
+            known, memory, tokens, prior = _Ranks(v.keys, v.ranks), np.zeros(rows, np.float32), 0, v.prior
             with np.errstate(over="ignore"):
                 for b in batches:
                     r, n, _ = _batch_ranks(b.column(0).to_pylist(), known)
                     f, c = _features(r, n, v, rows), v.classes[r]
                     for i in range(0, len(r), STEP):
-                        _learn(w, memory, f[:, i : i + STEP], c[i : i + STEP], prior, steps, rate)
-                        steps += 1
+                        _learn(w, memory, f[:, i : i + STEP], c[i : i + STEP], prior, rate)
                     tokens += len(r)
             delta = (w - common.value) * np.float32(tokens / v.tokens)
             blocks = [k for k in range(rows // block) if delta[k * block : (k + 1) * block].any()]
@@ -323,7 +325,7 @@ def _score_frequent(docs: DataFrame, v: Vocabulary, weights: np.ndarray) -> Data
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _SCORED)
 
 
-def score(docs: DataFrame, held_out: Column | None = None, frequent: int = 1 << 18, rows: int = 1 << 14, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, frequent: int = 1 << 18, rows: int = 1 << 14, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row, learning from those not held out."""
     small_batches(docs.sparkSession)
     held = F.coalesce((fold_of(id_col) == 1) if held_out is None else held_out, F.lit(False))
