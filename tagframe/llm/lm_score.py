@@ -1,14 +1,15 @@
 """Scores texts by a hashed maximum-entropy language model with a class-factored softmax.
 
-Every token has a class: the ``frequent`` most common words are grouped by the company that they keep and by frequency, all others
-share one class. The model gives P(class | history) as a softmax over sums of hashed feature rows - the
-words before, pairs of them, skips, their classes and what prevails in the last words - and P(word | class) from
-counts, unknown words standing for one word of count 0. So probabilities add up to 1 over the words of the
-training texts and one unknown.
+Every token has a class: the ``frequent`` most common words are grouped by the company that they keep and by frequency, into
+about as many classes as the root of their number; all others share one class. The model gives P(class | history) as a
+softmax over sums of hashed feature rows - the words before, pairs of them, skips, their classes and what prevails
+in the last words - and P(word | class, history) as a softmax of the same kind over the words of the class, with
+rows for each feature and class. Words of the class of all others have their shares of counts, unknown words standing for
+one word of count 0. So probabilities add up to 1 over the words of the training texts and one unknown.
 
 Training makes ``rounds`` passes over all training texts: each partition takes gradient steps from the
 common weights in sparse numpy batches, and the partitions' updates, weighted by their tokens, are summed by block. What
-the driver and tasks hold whole is bounded by ``frequent`` and ``rows``; counts of rarer words stay in a
+the driver and tasks hold whole is bounded by ``frequent``, ``rows`` and ``cells``; counts of rarer words stay in a
 table and are joined.
 
 Defined cases: null and empty texts consist of the end alone; a null id counts as a training row; rows
@@ -36,11 +37,9 @@ _U = np.uint64
 END = b" end"
 WINDOW = 16
 GROUPS, BINS, COMMON = 8, 8, 64
-#: Groups by bins, the end, and all rarer words.
-CLASSES = GROUPS * BINS + 2
-END_CLASS, RARE_CLASS = CLASSES - 2, CLASSES - 1
 TEMPLATES = 6
-STEP = 4_096
+STEP = 1_024
+BLOCK = 1 << 16
 
 
 def key_of(word: bytes) -> int:
@@ -87,7 +86,7 @@ class Vocabulary:
     keys: np.ndarray
     ranks: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray
+    classes: np.ndarray  # the last two are the end and all rarer words
     groups: np.ndarray
     totals: np.ndarray
     tokens: int
@@ -198,32 +197,71 @@ def vocabulary(train: DataFrame, counts: DataFrame, frequent: int = 1 << 18) ->
         best = by_group.groupBy("rank").agg(F.max_by("g", "w").alias("g")).toPandas()
         groups[best["rank"].to_numpy()] = best["g"].to_numpy(np.int32)
     classes = np.zeros(size, np.int32)
-    for g in range(GROUPS):  # bins of equal mass in each group, the most frequent words first
+    weight, used = np.sqrt(count), 0  # by roots of counts, classes of frequent words are the smallest
+    total = max(GROUPS * BINS, math.isqrt(size))
+    for g in range(GROUPS):  # bins of equal weight in each group, the most frequent words first
         mine = np.flatnonzero(groups == g)
         if len(mine):
-            mass = np.cumsum(count[mine])
-            classes[mine] = g * BINS + np.minimum(BINS - 1, (mass - count[mine]) * BINS // mass[-1])
+            sums = np.cumsum(weight[mine])
+            bins = max(1, round(total * sums[-1] / weight.sum()))
+            classes[mine] = used + np.minimum(bins - 1, ((sums - weight[mine]) * bins / sums[-1]).astype(np.int32))
+            used += bins
+    end = ranks[np.searchsorted(keys, END_KEY)] if size else 0
     if size:
-        classes[ranks[np.searchsorted(keys, END_KEY)]] = END_CLASS
-    totals = np.bincount(classes, weights=count + 0.5, minlength=CLASSES)
-    totals[RARE_CLASS] = tokens - count.sum() + 0.5 * (words - size) + 0.5
-    return Vocabulary(keys, ranks, count, np.append(classes, RARE_CLASS).astype(np.int32), np.append(groups, GROUPS).astype(np.int32), totals, tokens, words, rare_most)
-
-
-def _features(r: np.ndarray, n: np.ndarray, v: Vocabulary, rows: int) -> np.ndarray:
-    """Rows of the weights for each token: ``TEMPLATES`` by tokens."""
+        classes[end] = used
+    classes = np.unique(classes, return_inverse=True)[1].astype(np.int32)
+    rare_class = int(classes[end]) + 1 if size else 0
+    totals = np.bincount(classes, weights=count + 0.5, minlength=rare_class + 1)
+    totals[rare_class] = tokens - count.sum() + 0.5 * (words - size) + 0.5
+    return Vocabulary(keys, ranks, count, np.append(classes, rare_class).astype(np.int32), np.append(groups, GROUPS).astype(np.int32), totals, tokens, words, rare_most)
+
+
+class _Inside:
+    """Places of frequent words in their classes; classes of more than one word by width, the next power of two."""
+
+    def __init__(self, v: Vocabulary):
+        classes = v.classes[:-1]
+        sizes = np.bincount(classes, minlength=len(v.totals))
+        order = np.argsort(classes, kind="stable")
+        self.place = np.zeros(len(v.classes), np.int32)
+        self.place[order] = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[classes[order]]
+        widths = np.where(sizes > 1, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
+        self.width = widths
+        self.row, self.priors = np.zeros(len(sizes), np.int32), {}
+        share = np.log((v.counts + 0.5) / v.totals[classes]).astype(np.float32)
+        for width in map(int, np.unique(widths[widths > 0])):
+            of = np.flatnonzero(widths == width)
+            self.row[of] = np.arange(len(of))
+            prior = np.full((len(of), width), -1e9, np.float32)
+            mine = np.flatnonzero(widths[classes] == width)
+            prior[self.row[classes[mine]], self.place[mine]] = share[mine]
+            self.priors[width] = prior
+
+    def parts(self, hashes: np.ndarray, classes: np.ndarray, cells: int):
+        """Width by width: the tokens whose class has it, rows of the cells in that width, and shares of the class's words."""
+        width = self.width[classes]
+        for w, prior in self.priors.items():
+            at = np.flatnonzero(width == w)
+            if len(at):
+                c = classes[at]
+                rows = mix(hashes[:, at] ^ (c.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)) & _U(cells // w - 1)
+                yield w, at, rows.astype(np.int32), prior[self.row[c]]
+
+
+def _features(r: np.ndarray, n: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Hashes of the features of each token: ``TEMPLATES`` by tokens."""
     start = np.repeat(np.cumsum(n) - n, n)
     at = np.arange(len(r))
     none = len(v.keys) + 1
     h = [np.where(at - d >= start, r[np.maximum(at - d, 0)], none).astype(_U) for d in (1, 2, 3)]
-    classes = np.append(v.classes, CLASSES).astype(_U)
+    classes = np.append(v.classes, len(v.totals)).astype(_U)
     c = [classes[x.astype(np.int64)] for x in h]
     seen = np.zeros((len(r) + 1, GROUPS + 1), np.int32)
     np.cumsum(np.eye(GROUPS + 1, dtype=np.int32)[v.groups[r]], axis=0, out=seen[1:])
     lately = seen[at] - seen[np.maximum(at - WINDOW, start)]
     prevails = lately[:, :GROUPS].argmax(axis=1).astype(_U) * _U(WINDOW + 1) + lately[:, :GROUPS].max(axis=1).astype(_U)
-    raw = (h[0], h[1], h[0] * _U(1 << 20) + h[1], h[2], (c[0] * _U(128) + c[1]) * _U(128) + c[2], prevails)
-    return np.stack([mix(x * _U(TEMPLATES) + _U(k) + _U(1)) & _U(rows - 1) for k, x in enumerate(raw)]).astype(np.int32)
+    raw = (h[0], h[1], h[0] * _U(1 << 20) + h[1], h[2], (c[0] * _U(1 << 16) + c[1]) * _U(1 << 16) + c[2], prevails)
+    return np.stack([mix(x * _U(TEMPLATES) + _U(k) + _U(1)) for k, x in enumerate(raw)])
 
 
 def _log_softmax(w: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -246,15 +284,58 @@ def _learn(w: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndar
         g = np.add.reduceat(e[order], first, axis=0)
         g /= np.sqrt(np.diff(np.append(first, len(order)))).astype(np.float32)[:, None]
         touched = sorted_rows[first]
-        memory[touched] += (g * g).mean(axis=1)
+        memory[touched] += (g * g).sum(axis=1) / 64
         w[touched] -= rate * g / np.sqrt(memory[touched] + 1e-3)[:, None]
 
 
-def fit(train: DataFrame, v: Vocabulary, rows: int = 1 << 14, rounds: int = 2, rate: float = 0.1) -> np.ndarray:
-    """Weights, ``rows`` by classes: every round reads all training texts."""
+@dataclass
+class Weights:
+    """Rows of the classes' softmax, and the cells of the softmaxes inside classes, read as rows of any width."""
+
+    classes: np.ndarray
+    cells: np.ndarray
+
+    @classmethod
+    def none(cls, v: Vocabulary, rows: int, cells: int) -> Weights:
+        return cls(np.zeros((rows, len(v.totals)), np.float32), np.zeros(cells, np.float32))
+
+    def copy(self) -> Weights:
+        return Weights(self.classes.copy(), self.cells.copy())
+
+    def blocks(self) -> list[np.ndarray]:
+        """Views of all weights, of a bounded size each."""
+        return [x[k : k + BLOCK] for x in (self.classes.reshape(-1), self.cells) for k in range(0, len(x), BLOCK)]
+
+
+class _Learner:
+    """Gradient steps of one task, on both softmaxes."""
+
+    def __init__(self, v: Vocabulary, w: Weights, rate: float):
+        self.w, self.rate, self.prior, self.inside = w, rate, v.prior, _Inside(v)
+        self.memory = np.zeros(len(w.classes), np.float32)
+        self.memories = {width: np.zeros(len(w.cells) // width, np.float32) for width in self.inside.priors}
+
+    def step(self, hashes: np.ndarray, classes: np.ndarray, ranks: np.ndarray) -> None:
+        w = self.w
+        _learn(w.classes, self.memory, (hashes & _U(len(w.classes) - 1)).astype(np.int32), classes, self.prior, self.rate)
+        for width, at, rows, prior in self.inside.parts(hashes, classes, len(w.cells)):
+            _learn(w.cells.reshape(-1, width), self.memories[width], rows, self.inside.place[ranks[at]], prior, self.rate)
+
+
+def _log_chances(w: Weights, inside: _Inside, hashes: np.ndarray, classes: np.ndarray, ranks: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Logarithms of P(class | history) P(word | class, history), the second left out in the class of all rarer words."""
+    z = _log_softmax(w.classes, (hashes & _U(len(w.classes) - 1)).astype(np.int32), prior)
+    out = z[np.arange(len(z)), classes].astype(np.float64)
+    for width, at, rows, shares in inside.parts(hashes, classes, len(w.cells)):
+        z = _log_softmax(w.cells.reshape(-1, width), rows, shares)
+        out[at] += z[np.arange(len(z)), inside.place[ranks[at]]]
+    return out
+
+
+def fit(train: DataFrame, v: Vocabulary, rows: int = 1 << 14, rounds: int = 2, rate: float = 0.1, cells: int = 1 << 22) -> Weights:
+    """Weights of both softmaxes, ``rows`` and ``cells`` being powers of two: every round reads all training texts."""
     context = train.sparkSession.sparkContext
-    weights = np.zeros((rows, CLASSES), np.float32)
-    block = 256
+    weights = Weights.none(v, rows, cells)
     if not v.tokens:
         return weights
     words = context.broadcast(v)
@@ -263,17 +344,19 @@ def fit(train: DataFrame, v: Vocabulary, rows: int = 1 << 14, rounds: int = 2, r
 
         def run(batches, common=common, rate=rate / (1 + turn)):
             v, w = words.value, common.value.copy()
-            known, memory, tokens, prior = _Ranks(v.keys, v.ranks), np.zeros(rows, np.float32), 0, v.prior
+            known, learner, tokens = _Ranks(v.keys, v.ranks), _Learner(v, w, rate), 0
             with np.errstate(over="ignore"):
                 for b in batches:
                     r, n, _ = _batch_ranks(b.column(0).to_pylist(), known)
-                    f, c = _features(r, n, v, rows), v.classes[r]
+                    f, c = _features(r, n, v), v.classes[r]
                     for i in range(0, len(r), STEP):
-                        _learn(w, memory, f[:, i : i + STEP], c[i : i + STEP], prior, rate)
+                        learner.step(f[:, i : i + STEP], c[i : i + STEP], r[i : i + STEP])
                     tokens += len(r)
-            delta = (w - common.value) * np.float32(tokens / v.tokens)
-            blocks = [k for k in range(rows // block) if delta[k * block : (k + 1) * block].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([delta[k * block : (k + 1) * block].tobytes() for k in blocks], pa.binary())], ["block", "delta"])
+            share = np.float32(tokens / v.tokens)
+            for k, (mine, old) in enumerate(zip(w.blocks(), common.value.blocks(), strict=True)):
+                delta = (mine - old) * share
+                if delta.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([delta.tobytes()], pa.binary())], ["block", "delta"])
 
         def add(batches):
             at, total = None, None
@@ -282,22 +365,24 @@ def fit(train: DataFrame, v: Vocabulary, rows: int = 1 << 14, rounds: int = 2, r
                     if k != at:
                         if total is not None:
                             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "delta"])
-                        at, total = k, np.zeros(block * CLASSES, np.float64)
+                        at, total = k, np.zeros(len(raw) // 4, np.float32)
                     total += np.frombuffer(raw, np.float32)
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "delta"])
 
         deltas = train.select("text").mapInArrow(run, "block int, delta binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, delta binary")
         weights = weights.copy()
-        for r in deltas.collect():  # as large as the weights
-            weights[r["block"] * block : (r["block"] + 1) * block] += np.frombuffer(r["delta"], np.float64).reshape(block, CLASSES).astype(np.float32)
+        blocks = weights.blocks()
+        for r in deltas.toLocalIterator():  # as large as the weights
+            blocks[r["block"]] += np.frombuffer(r["delta"], np.float32)
+        common.unpersist()
     return weights
 
 
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, model double, rare array<bigint>"
 
 
-def _score_frequent(docs: DataFrame, v: Vocabulary, weights: np.ndarray) -> DataFrame:
+def _score_frequent(docs: DataFrame, v: Vocabulary, weights: Weights) -> DataFrame:
     """Scores without the counts of rare words, whose keys are listed."""
     context = docs.sparkSession.sparkContext
     words, common = context.broadcast(v), context.broadcast(weights)
@@ -307,16 +392,15 @@ def _score_frequent(docs: DataFrame, v: Vocabulary, weights: np.ndarray) -> Data
         known = _Ranks(v.keys, v.ranks)
         row, prior = TaskContext.get().partitionId() << 40, v.prior
         base = np.append(np.log10((v.counts + 0.5) / v.denominator), 0.0)
-        inside = np.append(np.log10((v.counts + 0.5) / v.totals[v.classes[:-1]]), 0.0)
+        inside = _Inside(v)
         with np.errstate(over="ignore"):
             for b in batches:
                 r, n, rare = _batch_ranks(b.column(2).to_pylist(), known, True)
-                f, c = _features(r, n, v, len(w)), v.classes[r]
+                f, c = _features(r, n, v), v.classes[r]
                 p = np.empty(len(r))
                 for i in range(0, len(r), STEP):
-                    z = _log_softmax(w, f[:, i : i + STEP], prior)
-                    p[i : i + STEP] = z[np.arange(len(z)), c[i : i + STEP]]
-                p = p / math.log(10) + inside[r]
+                    p[i : i + STEP] = _log_chances(w, inside, f[:, i : i + STEP], c[i : i + STEP], r[i : i + STEP], prior)
+                p /= math.log(10)
                 first = np.cumsum(n) - n
                 sums = [np.add.reduceat(x, first) if len(n) else np.empty(0) for x in (base[r], p)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), b.column(0), b.column(1), pa.array(n), pa.array(n - np.array([len(k) for k in rare], np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(rare, pa.list_(pa.int64()))], [c.split()[0] for c in _SCORED.split(", ")])
@@ -325,7 +409,7 @@ def _score_frequent(docs: DataFrame, v: Vocabulary, weights: np.ndarray) -> Data
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _SCORED)
 
 
-def score(docs: DataFrame, held_out: Column | None = None, frequent: int = 1 << 18, rows: int = 1 << 14, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, frequent: int = 1 << 18, rows: int = 1 << 14, rounds: int = 2, cells: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row, learning from those not held out."""
     small_batches(docs.sparkSession)
     held = F.coalesce((fold_of(id_col) == 1) if held_out is None else held_out, F.lit(False))
@@ -337,8 +421,8 @@ def score(docs: DataFrame, held_out: Column | None = None, frequent: int = 1 <<
         n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\x09-\\x0D]+"), lambda x: x != "")).cast("long") + 1
         zero = F.lit(0).cast("long")
         return data.select("doc_id", "held_out", n.alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    scored = written(_score_frequent(data, v, fit(train, v, rows, rounds)), "scored")
-    unit, share = math.log10(v.denominator), math.log10(v.totals[RARE_CLASS])
+    scored = written(_score_frequent(data, v, fit(train, v, rows, rounds, cells=cells)), "scored")
+    unit, share = math.log10(v.denominator), math.log10(v.totals[-1])
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("n"))
     # frequent words are counted already: only the others can be in these lists
     found = rare.join(counts.where(F.col("c") <= v.rare_most), "key", "left")

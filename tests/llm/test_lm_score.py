@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pytest
 
@@ -29,8 +31,8 @@ def test_every_template_learns_from_every_step(train, words):
     r, n = tokens(texts, words)
     assert len(r) < lm_score.STEP
     with np.errstate(over="ignore"):
-        f = lm_score._features(r, n, words, 1 << 14)
-    w = lm_score.fit(train, words, rows=1 << 14, rounds=1)
+        f = (lm_score._features(r, n, words) & np.uint64((1 << 14) - 1)).astype(int)
+    w = lm_score.fit(train, words, rows=1 << 14, rounds=1).classes
     for k in range(lm_score.TEMPLATES):
         assert np.abs(w[f[k]]).max(axis=1).all()
 
@@ -41,3 +43,31 @@ def test_company_counts_three_words_on_both_sides(spark):
     (a, b, c, d, _), _ = tokens(["a b c d"], v)
     got = {(x["rank"], x["common"]): x["n"] for x in lm_score._company(df, v.keys, v.ranks).collect()}
     assert got[(a, d)] == got[(d, a)] == got[(b, c)] == got[(c, b)] == 1
+
+
+def test_history_separates_words_of_one_class(train, words):
+    r, _ = tokens(["new york", "new town", "north south east west old"], words)
+    end = r[2]
+    classes = np.where(np.arange(len(words.keys)) == end, 1, 0).astype(np.int32)
+    totals = np.append(np.bincount(classes, weights=words.counts + 0.5), words.totals[-1])
+    v = dataclasses.replace(words, classes=np.append(classes, 2).astype(np.int32), totals=totals)
+    w, inside = lm_score.fit(train, v, rows=1 << 14), lm_score._Inside(v)
+    new, york, town = r[0], r[1], r[4]
+    assert v.counts[york] == v.counts[town]
+
+    def chances(word, ranks):  # each rank in place of the last word of "new x"
+        h, n, _ = lm_score._batch_ranks([word], lm_score._Ranks(v.keys, v.ranks))
+        with np.errstate(over="ignore"):
+            f = np.repeat(lm_score._features(h, n, v)[:, 1:2], len(ranks), axis=1)
+        return np.exp(lm_score._log_chances(w, inside, f, v.classes[ranks], ranks, v.prior))
+
+    p = chances("new york", np.arange(len(v.keys) + 1))  # the last one is the share of the class of rarer words
+    assert abs(p.sum() - 1) < 1e-4
+    assert p[york] > 2 * p[town] and p[york] > 2 * p[new]
+
+
+def test_classes_grow_with_the_root_of_the_vocabulary(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(400)], "doc_id long, text string")
+    v = lm_score.vocabulary(df, lm_score._counts(df))
+    assert 150 < len(v.totals) < 300
+    assert np.bincount(v.classes).max() < 1000
