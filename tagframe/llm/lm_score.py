@@ -8,7 +8,8 @@ rows for each feature and class. Words of the class of all others have their sha
 one word of count 0. So probabilities add up to 1 over the words of the training texts and one unknown.
 
 Training makes ``rounds`` passes over all training texts: each partition takes gradient steps from the
-common weights in sparse numpy batches, and the partitions' updates, weighted by their tokens, are summed by block. What
+common weights in sparse numpy batches, and the partitions' updates are averaged by block, those of each row weighted by
+the tokens that touched it: a feature met in one partition keeps its whole update however many partitions there are. What
 the driver and tasks hold whole is bounded by ``frequent``, ``rows`` and ``cells``; counts of rarer words stay in a
 table and are joined.
 
@@ -273,8 +274,8 @@ def _log_softmax(w: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarr
     return z
 
 
-def _learn(w: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndarray, prior: np.ndarray, rate: float) -> None:
-    """One gradient step on every template, with a step size that falls as a row learns."""
+def _learn(w: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndarray, prior: np.ndarray, rate: float, seen: np.ndarray) -> None:
+    """One gradient step on every template, counted in ``seen``, with a step size that falls as a row learns."""
     e = np.exp(_log_softmax(w, rows, prior))
     e[np.arange(len(classes)), classes] -= 1
     for mine in rows:
@@ -282,8 +283,10 @@ def _learn(w: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndar
         sorted_rows = mine[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
         g = np.add.reduceat(e[order], first, axis=0)
-        g /= np.sqrt(np.diff(np.append(first, len(order)))).astype(np.float32)[:, None]
+        times = np.diff(np.append(first, len(order))).astype(np.float32)
+        g /= np.sqrt(times)[:, None]
         touched = sorted_rows[first]
+        seen[touched] += times if seen.ndim == 1 else times[:, None]
         memory[touched] += (g * g).sum(axis=1) / 64
         w[touched] -= rate * g / np.sqrt(memory[touched] + 1e-3)[:, None]
 
@@ -303,8 +306,10 @@ class Weights:
         return Weights(self.classes.copy(), self.cells.copy())
 
     def blocks(self) -> list[np.ndarray]:
-        """Views of all weights, of a bounded size each."""
-        return [x[k : k + BLOCK] for x in (self.classes.reshape(-1), self.cells) for k in range(0, len(x), BLOCK)]
+        """Views of all weights, of a bounded size each; weights in one row were touched by the same tokens."""
+        rows = max(1, BLOCK // self.classes.shape[1])
+        cells = self.cells.reshape(-1, 1)
+        return [x[k : k + n] for x, n in ((self.classes, rows), (cells, BLOCK)) for k in range(0, len(x), n)]
 
 
 class _Learner:
@@ -313,13 +318,15 @@ class _Learner:
     def __init__(self, v: Vocabulary, w: Weights, rate: float):
         self.w, self.rate, self.prior, self.inside = w, rate, v.prior, _Inside(v)
         self.memory = np.zeros(len(w.classes), np.float32)
+        #: Tokens by which each row of the classes and each cell learnt.
+        self.seen = Weights(np.zeros((len(w.classes), 1), np.float32), np.zeros(len(w.cells), np.float32))
         self.memories = {width: np.zeros(len(w.cells) // width, np.float32) for width in self.inside.priors}
 
     def step(self, hashes: np.ndarray, classes: np.ndarray, ranks: np.ndarray) -> None:
         w = self.w
-        _learn(w.classes, self.memory, (hashes & _U(len(w.classes) - 1)).astype(np.int32), classes, self.prior, self.rate)
+        _learn(w.classes, self.memory, (hashes & _U(len(w.classes) - 1)).astype(np.int32), classes, self.prior, self.rate, self.seen.classes[:, 0])
         for width, at, rows, prior in self.inside.parts(hashes, classes, len(w.cells)):
-            _learn(w.cells.reshape(-1, width), self.memories[width], rows, self.inside.place[ranks[at]], prior, self.rate)
+            _learn(w.cells.reshape(-1, width), self.memories[width], rows, self.inside.place[ranks[at]], prior, self.rate, self.seen.cells.reshape(-1, width))
 
 
 def _log_chances(w: Weights, inside: _Inside, hashes: np.ndarray, classes: np.ndarray, ranks: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -338,43 +345,48 @@ def fit(train: DataFrame, v: Vocabulary, rows: int = 1 << 14, rounds: int = 2, r
     weights = Weights.none(v, rows, cells)
     if not v.tokens:
         return weights
-    words = context.broadcast(v)
+    words, names = context.broadcast(v), ["block", "delta", "times"]
     for turn in range(rounds):
         common = context.broadcast(weights)
 
         def run(batches, common=common, rate=rate / (1 + turn)):
             v, w = words.value, common.value.copy()
-            known, learner, tokens = _Ranks(v.keys, v.ranks), _Learner(v, w, rate), 0
+            known, learner = _Ranks(v.keys, v.ranks), _Learner(v, w, rate)
             with np.errstate(over="ignore"):
                 for b in batches:
                     r, n, _ = _batch_ranks(b.column(0).to_pylist(), known)
                     f, c = _features(r, n, v), v.classes[r]
                     for i in range(0, len(r), STEP):
                         learner.step(f[:, i : i + STEP], c[i : i + STEP], r[i : i + STEP])
-                    tokens += len(r)
-            share = np.float32(tokens / v.tokens)
-            for k, (mine, old) in enumerate(zip(w.blocks(), common.value.blocks(), strict=True)):
-                delta = (mine - old) * share
-                if delta.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([delta.tobytes()], pa.binary())], ["block", "delta"])
+            per = max(1, BLOCK // w.classes.shape[1])
+            seen = [x[k : k + n] for x, n in ((learner.seen.classes, per), (learner.seen.cells.reshape(-1, 1), BLOCK)) for k in range(0, len(x), n)]
+            for k, (mine, old, times) in enumerate(zip(w.blocks(), common.value.blocks(), seen, strict=True)):
+                if times.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([((mine - old) * times).tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary())], names)
 
         def add(batches):
-            at, total = None, None
+            def mean():
+                delta = total.reshape(len(times), -1) / np.maximum(times, 1)[:, None]
+                return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([delta.tobytes()], pa.binary())], names[:2])
+
+            at, total, times = None, None, None
             for b in batches:
-                for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for k, raw, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if k != at:
                         if total is not None:
-                            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "delta"])
-                        at, total = k, np.zeros(len(raw) // 4, np.float32)
+                            yield mean()
+                        at, total, times = k, np.zeros(len(raw) // 4, np.float32), np.zeros(len(n) // 4, np.float32)
                     total += np.frombuffer(raw, np.float32)
+                    times += np.frombuffer(n, np.float32)
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "delta"])
+                yield mean()
 
-        deltas = train.select("text").mapInArrow(run, "block int, delta binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, delta binary")
+        deltas = train.select("text").mapInArrow(run, "block int, delta binary, times binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, delta binary")
         weights = weights.copy()
         blocks = weights.blocks()
         for r in deltas.toLocalIterator():  # as large as the weights
-            blocks[r["block"]] += np.frombuffer(r["delta"], np.float32)
+            b = blocks[r["block"]]
+            b += np.frombuffer(r["delta"], np.float32).reshape(b.shape)
         common.unpersist()
     return weights
 

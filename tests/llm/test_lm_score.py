@@ -71,3 +71,17 @@ def test_classes_grow_with_the_root_of_the_vocabulary(spark):
     v = lm_score.vocabulary(df, lm_score._counts(df))
     assert 150 < len(v.totals) < 300
     assert np.bincount(v.classes).max() < 1000
+
+
+def test_a_feature_of_one_partition_keeps_its_update(spark, train, words):
+    v = words
+    r, n = tokens(["new york"], v)
+    with np.errstate(over="ignore"):
+        row = int(lm_score._features(r, n, v)[0, 1] & np.uint64((1 << 14) - 1))  # after "new"
+    alone = lm_score.fit(train, v, rounds=1).classes[row]
+    rows = [tuple(x) for x in train.collect()] + [(i, "north south east west " * 3) for i in range(100, 260)]
+    both = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), train.schema)
+    assert both.rdd.glom().map(len).collect() == [40] * 5
+    shared = lm_score.fit(both, dataclasses.replace(v, tokens=v.tokens + 160 * 13), rounds=1).classes[row]
+    assert np.abs(alone).max() > 0.01
+    assert np.allclose(alone, shared, atol=1e-5)
