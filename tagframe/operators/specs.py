@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagframe.functions import kinds
+from tagframe.llm.space import written
 
 KIND_OF = {v: k for k, v in kinds.TYPE_NAMES.items()}
 
@@ -92,15 +93,17 @@ def check(entities: DataFrame, specs: dict[str, Spec], name: str) -> DataFrame:
     return found.distinct()
 
 
-def reached(entities: DataFrame, via: str, max_steps: int = 50) -> DataFrame:
+def reached(entities: DataFrame, via: str) -> DataFrame:
     """``id, target`` of entities that a reference leads to, one step or, for ``tag+``, any number; cycles end."""
     tag = via.rstrip("+")
     step = entities.select("id", F.when(F.col("tags")[tag].kind == "ref", F.col("tags")[tag].str).alias("target")).where("target is not null").join(entities.select(F.col("id").alias("target")), "target", "left_semi").select("id", "target")
+    if not via.endswith("+"):
+        return step
+    step = written(step, "step")
     out = level = step
-    while via.endswith("+") and max_steps:
-        max_steps -= 1
-        level = level.join(step.select(F.col("id").alias("target"), F.col("target").alias("_next")), "target").select("id", F.col("_next").alias("target")).distinct().join(out, ["id", "target"], "left_anti")
+    # pairs are finite and none comes twice, so a level is empty at last; tables keep the plan of each level short
+    while True:
+        level = written(level.join(step.select(F.col("id").alias("target"), F.col("target").alias("_next")), "target").select("id", F.col("_next").alias("target")).distinct().join(out, ["id", "target"], "left_anti"), "level")
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return out
+        out = written(out.unionByName(level), "reached")
