@@ -121,10 +121,9 @@ class _Plan:
                             only_one = partner >= self.best_pair(room, length)
                         if not only_one:
                             break
-                        # one at a time where taking items may change what still fits
-                        sets, n = [length, partner], 1
-                        if partner != length and (two is None or two > room):
-                            n = min(int(self.left[length]), int(self.left[partner]))
+                        # taking items raises the smallest sums and lowers the best pair: the set holds while both items last
+                        sets = [length, partner]
+                        n = min(int(self.left[length]), int(self.left[partner])) if partner != length else int(self.left[length]) // 2
                     self.fix(sets, n)
                     changed = True
 
