@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .space import small_batches, written
 from .tokens import file_of, word_tokenizer
+from .words import slices
 
 
 class Run(NamedTuple):
@@ -176,21 +177,26 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """A row per piece: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` (little-endian, 32 bits)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2500)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokenizer(tokenizer)
-        for b in batches:
+        for b in slices(batches, 1, 4 << 20):
             rows: list[list] = [[] for _ in names]
-            for ident, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(b.column(1).to_pylist()), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity].tobytes()
-                    for column, value in zip(rows, (ident, k, start, len(part) // 4, zlib.crc32(part), part), strict=False):
+            flat, counts = encoder.encode_flat(b.column(1))
+            whole = np.full(len(flat) + len(counts), end_id, "<u4")
+            whole[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
+            raw, at = memoryview(whole.tobytes()), 0
+            for ident, n in zip(b.column(0).to_pylist(), (counts + 1).tolist(), strict=True):
+                for k, start in enumerate(range(0, n, capacity)):
+                    stop = min(start + capacity, n)
+                    part = raw[4 * (at + start) : 4 * (at + stop)]
+                    for column, value in zip(rows, (ident, k, start, stop - start, zlib.crc32(part), part), strict=False):
                         column.append(value)
+                at += n
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)

@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import json
-import re
 from itertools import chain
 
 import numpy as np
-
-#: White space that ``str.split`` knows and the tokenizer's own expression does not.
-_ODD = re.compile("[\x1c-\x1f]")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .words import unicode_words
+
+#: White space that splitting texts knows and the tokenizer's own expression does not.
+_ODD = "[\x1c-\x1f]"
+#: A word of letters and a sign after it; letters whose other forms are not simply those in lower case.
+_SIGNED = r"^(?P<stem>\pL+)(?P<sign>[.,;:!?])$"
+_NOT_LATIN = r"[^\x{00}-\x{17f}]|\x{130}"
+# How the one kind of tokenizer that may be used by the word takes texts apart.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def file_of(name: str) -> str:
@@ -18,6 +33,12 @@ def file_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def take(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat``, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class CachedEncoder:
     """Encodes texts that split into independent words, each distinct word once while it is in the cache.
 
@@ -25,7 +46,7 @@ class CachedEncoder:
     Results don't depend on it.
     """
 
-    def __init__(self, max_words: int = 600_000, keep_words: int = 150_000):
+    def __init__(self, max_words: int = 400_000, keep_words: int = 150_000):
         self.max_words, self.keep_words = max_words, keep_words
         self._reset()
 
@@ -45,18 +66,20 @@ class CachedEncoder:
         self.start = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        got = self.encode_words(words)
-        total = sum(map(len, got))
-        while self.used + total > len(self.flat):
+    def _append(self, known: int, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of words that follow the ``known`` ones."""
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while len(self.index) + len(got) + 1 > len(self.start):
+        while known + len(sizes) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.start[known + 1 : known + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def _learn(self, words: list[str]) -> None:
+        got = self.encode_words(words)
         n = len(self.index)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.start[n + 1 : n + 1 + len(got)] = self.used + np.cumsum(sizes)
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
-        self.used += total
+        self._append(n, np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got))), np.fromiter(map(len, got), np.int64, len(got)))
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
     def _shrink(self) -> None:
@@ -77,68 +100,117 @@ class CachedEncoder:
                 out.append(np.array(self.encode_whole(text), np.uint32))
                 continue
             at = np.fromiter(map(self.index.__getitem__, w), np.int64, len(w))
-            first, sizes = self.start[at], self.start[at + 1] - self.start[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(first - (ends - sizes), sizes) + np.arange(total)])
+            out.append(take(self.flat, self.start[at], self.start[at + 1] - self.start[at]))
         return out
 
 
 class WordTokenizer(CachedEncoder):
-    """As a tokenizer file says, for tokenizers that drop white space and never join what it parts."""
+    """As a tokenizer file says. Texts of a tokenizer that drops white space and never joins what it parts are encoded
+    by the word; for any other file each text is encoded whole."""
 
-    def __init__(self, path: str, max_words: int = 600_000, keep_words: int = 150_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, max_words: int = 400_000, keep_words: int = 150_000):
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         super().__init__(max_words, keep_words)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # pieces that end a word, where the model marks them
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
-        self.ends = None
-        if suffix:
-            known = self.tokenizer.get_vocab()
-            self.ends = np.zeros(max(known.values()) + 1, bool)
-            self.ends[[i for piece, i in known.items() if piece.endswith(suffix)]] = True
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        model = said["model"]
+        kind = {k: model.get(k) or None for k in ("type", "dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")}
+        suffix = model.get("end_of_word_suffix")
+        self.by_word = (said.get("normalizer"), said.get("pre_tokenizer")) == (_NORMALIZER, _PRE_TOKENIZER) and kind == dict.fromkeys(kind) | {"type": "BPE"} and bool(suffix)
+        self.most = self.tokenizer.get_vocab_size()
+        if self.by_word:
+            # the same model for words of Latin letters, which need no normaliser
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.light = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=suffix))
+            self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            # pieces that end a word
+            self.ends = np.zeros(self.most, bool)
+            self.ends[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
 
-    def split(self, text: str) -> list[str] | None:
-        return None if _ODD.search(text) else text.split()
+    def _reset(self) -> None:
+        super()._reset()
+        self.words = pa.array([], pa.string())
+
+    def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the cache of all words of some texts, and the words of each."""
+        if len(self.words) > self.max_words:
+            self.words = pa.concat_arrays([self.words[: self.keep_words]])
+            self.used = int(self.start[self.keep_words])
+        words = unicode_words(texts)
+        at = pc.index_in(words.distinct, self.words)
+        place = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if at.null_count:
+            new = words.distinct.filter(at.is_null())
+            place[place < 0] = len(self.words) + np.arange(len(new))
+            self._append(len(self.words), *self._encode_new(new))
+            self.words = pa.concat_arrays([self.words, new])
+        return place[words.ids], words.sizes
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        return self._encoded(texts, True)
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        return self._encoded(texts, False)[1]
+
+    def _encoded(self, texts: pa.Array, with_ids: bool) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        at, words = self._numbers(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        sizes = self.start[at + 1] - self.start[at]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.cumsum(words)
+        counts = total[ends] - total[ends - words]
+        flat = take(self.flat, self.start[at], sizes) if with_ids else np.empty(0, np.uint32)
+        if whole.any():
+            each = {i: np.array(self.encode_whole(texts[i].as_py()), np.uint32) for i in np.flatnonzero(whole).tolist()}
+            if with_ids:
+                flat = np.concatenate([each.get(i, part) for i, part in enumerate(np.split(flat, np.cumsum(counts)[:-1]))])
+            counts[list(each)] = [len(x) for x in each.values()]
+        return flat, counts
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """A letter word is parted from a sign after it, as the tokenizer parts them, and put in lower case, so that
-        its forms are encoded once; letters beyond the Latin ones stay as they are."""
-        parts, need = [], {}
-        for w in words:
-            stem, sign = (w[:-1], w[-1]) if w[-1] in ".,;:!?" and w[:-1].isalpha() else (w, "")
-            if stem.isascii() or (max(stem) < "\u0180" and "\u0130" not in stem):
-                stem = stem.lower()
-            parts.append((stem, sign))
-            for p in (stem, sign):
-                if p and p not in self.index:
-                    need[p] = None
-        fresh = self._encode_each(list(need))
-
-        def ids(p: str) -> list[int]:
-            if p in fresh:
-                return fresh[p]
-            at = self.index[p]
-            return self.flat[self.start[at] : self.start[at + 1]].tolist()
-
-        return [ids(stem) + ids(sign) if sign else ids(stem) for stem, sign in parts]
-
-    def _encode_each(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids by word. Words of letters are encoded many at a time, where marks tell their ends."""
-        out: dict[str, list[int]] = {}
-        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
-        if letters:
-            texts = [" ".join(letters[i : i + 200]) for i in range(0, len(letters), 200)]
-            ids = np.fromiter(chain.from_iterable([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]), np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(letters):
-                flat, stops = ids.tolist(), stops.tolist()
-                out = {w: flat[a:b] for w, a, b in zip(letters, [0, *stops], stops, strict=False)}
-        rest = [w for w in words if w not in out]
-        return out | dict(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        flat, counts = self.encode_flat(pa.array(texts, pa.string()))
+        return np.split(flat, np.cumsum(counts)[:-1])
+
+    def _encode_new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words and how many each has. A letter word is parted from a sign after it, as the tokenizer parts them,
+        and put in lower case, so that its forms are encoded once; letters beyond the Latin ones stay as they are."""
+        parted = pc.extract_regex(words, _SIGNED)
+        stem = pc.if_else(parted.is_valid(), pc.struct_field(parted, 0), words)
+        stem = pc.if_else(pc.match_substring_regex(stem, _NOT_LATIN), stem, pc.utf8_lower(stem))
+        coded = pc.dictionary_encode(pa.concat_arrays([stem, pc.fill_null(pc.struct_field(parted, 1), "")]))
+        names, part = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        at = pc.index_in(names, self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, first, sizes = self._encode_each(names.filter(pa.array(at < 0)))
+        places, lengths = self.start[at], self.start[at + 1] - self.start[at]
+        places[at < 0], lengths[at < 0] = self.used + first, sizes
+        part = part.reshape(2, -1).T.ravel()
+        return take(np.concatenate([self.flat[: self.used], flat]), places[part], lengths[part]), lengths[part].reshape(-1, 2).sum(axis=1)
+
+    def _encode_each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each word begin and how many they are. Words of Latin letters in lower case go many at a time
+        past the normaliser, which leaves them as they are; marks tell their ends."""
+        plain = pc.and_(pc.utf8_is_alpha(words), pc.invert(pc.match_substring_regex(words, _NOT_LATIN))).to_numpy(zero_copy_only=False)
+        letters = words.filter(pa.array(plain)).to_pylist()
+        texts = [" ".join(letters[i : i + 200]) for i in range(0, len(letters), 200)]
+        ids = np.fromiter(chain.from_iterable([e.ids for e in self.light.encode_batch_fast(texts, add_special_tokens=False)]), np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(letters):
+            raise RuntimeError("a word of letters has not one end")
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(stops, prepend=0), [len(x) for x in rest]
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        first = np.zeros(len(words), np.int64)
+        first[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(rest), np.uint32)]), first, sizes
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
