@@ -1,17 +1,16 @@
 """Materialises token sequences in training order, as shards of records of one size.
 
-Each sequence has a number, and a keyed Feistel permutation of the numbers, walking on along its cycle
-where it leaves the domain, gives its place: a bijection without a table or a sort by random keys. Places are cut into ranges;
-one task takes one range, sorts it and writes one shard: a head and records of fixed stride. A sequence's slot in
-the training order is the number of records in the shards before and of those before it in its own. So slot s lies at a
-known byte, and a reader resumes anywhere.
-
-Texts are encoded once: numbers come from allotments, an upper bound of each partition's sequences by
-its bytes, so they have gaps, which the places' ranks close. A record is doc_id (8 bytes), piece (4),
-length (4) and ``length_max`` ids of 2 bytes, the rest zeros. Shards of lost or repeated attempts are not in the manifest and never read.
-
-Defined cases: a null text is an empty document: its end id alone; a null id is stored as -1 and read
-as null; rows repeated are sequences each; an empty table gives no shards. Other columns are ignored.
+Each sequence has a number: those of a partition follow those of the partitions before it, which a first reading counts.
+A keyed Feistel permutation of the numbers, walking on along its cycle where it leaves the domain, is the sequence's slot in
+the training order: a bijection of all slots without a table or a sort by random keys. Slots are cut into ranges of one size, the last one
+shorter; one task takes one range, sorts it and writes one shard: a head and records of fixed stride. So slot s lies in shard
+s // records at a byte that arithmetic gives, and a reader resumes anywhere.
+
+A record is doc_id (8 bytes), piece (4), length (4) and ``length_max`` ids of 2 or 4 bytes, the rest zeros; the highest
+bit of the piece marks a null id. Shards of lost or repeated attempts are not in the manifest and never read.
+
+Defined cases: a null text is an empty document: its end id alone; rows repeated are sequences each; an empty table gives
+no shards. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,33 +25,29 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .space import folder, small_batches, written
 from .tokens import file_of, word_tokenizer
+from .words import mix, slices
 
-MAGIC = b"TFSHARD1"
-HEAD = "<8sqi4x"  # magic, shard, ids of a record
-RECORD = "<qii"
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+MAGIC = b"TFSHARD2"
+HEAD = "<8sqii"  # magic, shard, ids of a record, bytes of an id
+RECORD = "<qIi"
+NO_ID = 1 << 31
 
 
 def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
     """Slots of numbers below ``size``: a bijection of [0, size) for each key."""
     half = max(1, ((max(size, 1) - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
-    keys = _mix(np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & 0xFFFFFFFFFFFFFFFF))
+    keys = mix(np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & 0xFFFFFFFFFFFFFFFF))
 
     def once(x: np.ndarray) -> np.ndarray:
         left, right = x >> np.uint64(half), x & mask
         for k in keys:
-            left, right = right, left ^ (_mix(right + k) & mask)
+            left, right = right, left ^ (mix(right + k) & mask)
         return left << np.uint64(half) | right
 
     with np.errstate(over="ignore"):
@@ -62,46 +57,66 @@ def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nda
     return x.astype(np.int64)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], tokenizer: str, length_max: int, end_id: int) -> Iterator[list[tuple]]:
-    encoder = word_tokenizer(tokenizer)
-    for b in batches:
-        rows = []
-        for ident, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(b.column(1).to_pylist()), strict=True):
-            ids = np.append(ids, np.uint32(end_id)).astype("<u2")
-            rows += [(-1 if ident is None else ident, k, ids[s : s + length_max]) for k, s in enumerate(range(0, len(ids), length_max))]
-        yield rows
+def sequence_counts(rows: DataFrame, tokenizer: str, length_max: int, path: str) -> dict[int, tuple[int, str]]:
+    """How many sequences each partition of ``doc_id, text`` has, and a file below ``path`` with the ids of its words, so that
+    a second reading doesn't encode them again."""
+
+    def run(batches):
+        encoder, n = word_tokenizer(tokenizer), 0
+        for b in slices(batches, 0):
+            n += int((encoder.count(b.column(0)) // length_max + 1).sum())
+        fs, root = pafs.FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        name = f"words-{uuid.uuid4().hex}.arrow"
+        with fs.open_output_stream(f"{root}/{name}") as f:
+            encoder.save(f)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([name], pa.string())], ["part", "n", "name"])
+
+    got = rows.select("text").mapInArrow(run, "part int, n long, name string").collect()  # a row per partition
+    return {r["part"]: (r["n"], r["name"]) for r in got}
 
 
-def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int = 512, tokenizer: str | None = None, end_id: int = 1, shard_text_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int = 512, tokenizer: str | None = None, end_id: int = 1, shard_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards below ``path``; returns their manifest: ``shard, path, records, crc32, first_slot, length_max``.
 
-    ``docs`` has to give the same partitions when it is read again, as files do; one that grows
-    beyond its allotment is an error. Ids have to be below 65,536.
+    ``docs`` is read twice and has to give the same partitions both times, as files do; one that doesn't is an error.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2500)
     tokenizer = tokenizer or file_of("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # normal forms may grow threefold, then a token has a byte at least
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.floor((size * 3 + 1) / length_max) + 1).alias("n"), F.sum(size).alias("bytes")).collect()  # a row per partition
-    domain, base, room = 0, {}, {}
-    for r in sorted(parts, key=lambda r: r["part"]):
-        base[r["part"]], room[r["part"]] = domain, r["n"]
-        domain += r["n"]
-    shards = max(1, -(-sum(r["bytes"] for r in parts) // shard_text_bytes))
-    width = max(1, -(-domain // shards))
-    stride = struct.calcsize(RECORD) + 2 * length_max
+    parts = sequence_counts(rows, tokenizer, length_max, path)
+    counts, total, base = {part: n for part, (n, _) in parts.items()}, 0, {}
+    for part in sorted(counts):
+        base[part] = total
+        total += counts[part]
+    width = 2 if max(word_tokenizer(tokenizer).most, end_id + 1) <= 1 << 16 else 4
+    stride = struct.calcsize(RECORD) + width * length_max
+    per_shard = max(1, shard_bytes // stride)
+    shards = max(1, -(-total // per_shard))
 
     def place(batches):
-        part = TaskContext.get().partitionId()
-        n, pack = 0, zstandard.ZstdCompressor(level=1)
-        for seqs in _sequences(batches, tokenizer, length_max, end_id):
-            if n + len(seqs) > room.get(part, 0):
-                raise RuntimeError("the input changed between two readings; write it to files first")
-            at = permute(np.arange(base[part] + n, base[part] + n + len(seqs)), domain, key) if seqs else np.empty(0, np.int64)
-            n += len(seqs)
-            packed = [pack.compress(struct.pack(RECORD, i, k, len(s)) + s.tobytes()) for i, k, s in seqs]
-            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array(at), pa.array(packed, pa.binary())], ["shard", "place", "record"])
+        part, encoder, pack, n = TaskContext.get().partitionId(), word_tokenizer(tokenizer), zstandard.ZstdCompressor(level=1), 0
+        if part in parts:
+            fs, root = pafs.FileSystem.from_uri(path)
+            with fs.open_input_file(f"{root}/{parts[part][1]}") as f:
+                encoder.load(f)
+        for b in slices(batches, 1, 4 << 20):
+            flat, sizes = encoder.encode_flat(b.column(1))
+            whole = np.full(len(flat) + len(sizes), end_id, f"<u{width}")
+            whole[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
+            raw, at, packed = memoryview(whole.tobytes()), 0, []
+            for ident, size in zip(b.column(0).to_pylist(), (sizes + 1).tolist(), strict=True):
+                for k, start in enumerate(range(0, size, length_max)):
+                    stop = min(start + length_max, size)
+                    packed.append(pack.compress(struct.pack(RECORD, ident or 0, k | NO_ID * (ident is None), stop - start) + raw[width * (at + start) : width * (at + stop)]))
+                at += size
+            slot = permute(np.arange(base.get(part, 0) + n, base.get(part, 0) + n + len(packed)), total, key) if packed and n + len(packed) <= counts.get(part, 0) else np.empty(0, np.int64)
+            n += len(packed)
+            if n > counts.get(part, 0):
+                break
+            yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(packed, pa.binary())], ["shard", "slot", "record"])
+        if n != counts.get(part, 0):
+            raise RuntimeError("the input changed between two readings; write it to files first")
 
     def write(batches):
         fs, root = pafs.FileSystem.from_uri(path)
@@ -109,11 +124,13 @@ def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int =
 
         def close():
             f.close()
+            if done != min(per_shard, total - shard * per_shard):
+                raise RuntimeError(f"shard {shard} has gaps")
             out.append((shard, f"{path}/{name}", done, crc))
 
         for b in batches:
             block = []
-            for s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for s, slot, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if s != shard:
                     if f:
                         f.write(b"".join(block))
@@ -121,7 +138,9 @@ def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int =
                     block, shard, done, crc, name = [], s, 0, 0, f"shard-{s:06d}-{uuid.uuid4().hex[:8]}.bin"
                     fs.create_dir(root, recursive=True)
                     f = fs.open_output_stream(f"{root}/{name}")
-                    f.write(struct.pack(HEAD, MAGIC, shard, length_max))
+                    f.write(struct.pack(HEAD, MAGIC, shard, length_max, width))
+                if slot != shard * per_shard + done:
+                    raise RuntimeError(f"slot {shard * per_shard + done} is missing or taken twice")
                 record = unpack.decompress(raw).ljust(stride, b"\0")
                 crc = zlib.crc32(record, crc)
                 block.append(record)
@@ -132,10 +151,14 @@ def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int =
             close()
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["shard", "path", "records", "crc32"])
 
-    placed = rows.mapInArrow(place, "shard int, place long, record binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
-    manifest = written(placed.select("shard", "record").mapInArrow(write, "shard int, path string, records long, crc32 long"), "shards")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
-    return manifest.withColumn("first_slot", F.coalesce(F.sum("records").over(before), F.lit(0))).withColumn("length_max", F.lit(length_max))
+    placed = rows.mapInArrow(place, "shard int, slot long, record binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+    manifest = written(placed.select("shard", "slot", "record").mapInArrow(write, "shard int, path string, records long, crc32 long"), "shards")
+    return manifest.withColumn("first_slot", F.col("shard").cast("long") * per_shard).withColumn("length_max", F.lit(length_max))
+
+
+def byte_of(slot: int, per_shard: int, length_max: int, width: int = 2) -> tuple[int, int]:
+    """The shard that holds a slot, and the byte at which its record begins."""
+    return slot // per_shard, struct.calcsize(HEAD) + slot % per_shard * (struct.calcsize(RECORD) + width * length_max)
 
 
 def read_slots(path: str, first_slot: int, records: int, start: int, stop: int) -> Iterator[tuple[int, int | None, int, np.ndarray, int]]:
@@ -143,10 +166,10 @@ def read_slots(path: str, first_slot: int, records: int, start: int, stop: int)
     fs, name = pafs.FileSystem.from_uri(path)
     with fs.open_input_file(name) as f:
         head = struct.calcsize(HEAD)
-        magic, _, length_max = struct.unpack(HEAD, f.read(head))
+        magic, _, length_max, width = struct.unpack(HEAD, f.read(head))
         if magic != MAGIC:
             raise ValueError(f"{path} is no shard")
-        stride = struct.calcsize(RECORD) + 2 * length_max
+        stride = struct.calcsize(RECORD) + width * length_max
         start, stop = max(start, first_slot), min(stop, first_slot + records)
         at, slot = head + (start - first_slot) * stride, start
         f.seek(at)
@@ -156,23 +179,30 @@ def read_slots(path: str, first_slot: int, records: int, start: int, stop: int)
                 raise ValueError(f"{path} is cut off")
             for i in range(0, len(block), stride):
                 ident, piece, n = struct.unpack_from(RECORD, block, i)
-                yield slot, None if ident == -1 else ident, piece, np.frombuffer(block, "<u2", n, i + struct.calcsize(RECORD)), at
+                yield slot, None if piece & NO_ID else ident, piece & ~NO_ID, np.frombuffer(block, f"<u{width}", n, i + struct.calcsize(RECORD)), at
                 slot, at = slot + 1, at + stride
 
 
 def read_order(manifest: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
-    """Sequences of slots ``start`` to ``stop`` without their ids: ``slot, doc_id, piece, length, ids_crc32, shard, byte_offset``."""
+    """Sequences of slots ``start`` to ``stop`` without their ids: ``slot, doc_id, piece, length, ids_crc32, shard, byte_offset``; a task a shard."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    names = ["slot", "doc_id", "piece", "length", "ids_crc32", "shard", "byte_offset"]
 
     def run(batches):
         for b in batches:
             for shard, path, first, records in zip(*(b.column(c).to_pylist() for c in ("shard", "path", "first_slot", "records")), strict=True):
-                rows = [(s, i, k, len(x), zlib.crc32(x.astype("<u4").tobytes()), shard, at) for s, i, k, x, at in read_slots(path, first, records, start, first + records if stop is None else stop)]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["slot", "doc_id", "piece", "length", "ids_crc32", "shard", "byte_offset"])
+                rows = []
+                for s, i, k, x, at in read_slots(path, first, records, start, first + records if stop is None else stop):
+                    rows.append((s, i, k, len(x), zlib.crc32(x.astype("<u4").tobytes()), shard, at))
+                    if len(rows) == 8192:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                        rows = []
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     wanted = manifest.where(F.col("first_slot") + F.col("records") > start)
     wanted = wanted if stop is None else wanted.where(F.col("first_slot") < stop)
-    return wanted.repartition("shard").mapInArrow(run, "slot long, doc_id long, piece int, length long, ids_crc32 long, shard int, byte_offset long")
+    tasks = max(1, wanted.count())
+    return wanted.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).mapInArrow(run, "slot long, doc_id long, piece int, length long, ids_crc32 long, shard int, byte_offset long")
 
 
 def training_order(docs: DataFrame, key: int = 2024, length_max: int = 512) -> DataFrame:

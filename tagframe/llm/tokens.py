@@ -108,7 +108,7 @@ class WordTokenizer(CachedEncoder):
     """As a tokenizer file says. Texts of a tokenizer that drops white space and never joins what it parts are encoded
     by the word; for any other file each text is encoded whole."""
 
-    def __init__(self, path: str, max_words: int = 400_000, keep_words: int = 150_000):
+    def __init__(self, path: str, max_words: int = 600_000, keep_words: int = 150_000):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         super().__init__(max_words, keep_words)
@@ -159,7 +159,10 @@ class WordTokenizer(CachedEncoder):
 
     def _encoded(self, texts: pa.Array, with_ids: bool) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        whole = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        if not self.by_word:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+        whole = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         at, words = self._numbers(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
         sizes = self.start[at + 1] - self.start[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -173,6 +176,22 @@ class WordTokenizer(CachedEncoder):
             counts[list(each)] = [len(x) for x in each.values()]
         return flat, counts
 
+    def save(self, sink) -> None:
+        """Writes the words of the cache and their ids to an open file."""
+        n = len(self.words)
+        ids = pa.ListArray.from_arrays(pa.array(self.start[: n + 1].astype(np.int32)), pa.array(self.flat[: self.used]))
+        batch = pa.RecordBatch.from_arrays([self.words, ids], ["word", "ids"])
+        with pa.ipc.new_file(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+            f.write_batch(batch)
+
+    def load(self, source) -> None:
+        """Takes a saved cache in the place of its own."""
+        table = pa.ipc.open_file(source).read_all().combine_chunks()
+        self._reset()
+        if table.num_rows:
+            self.words, ids = table.column(0).chunk(0), table.column(1).chunk(0)
+            self._append(0, ids.flatten().to_numpy(zero_copy_only=False), np.diff(ids.offsets.to_numpy()))
+
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         if not texts:
             return []
