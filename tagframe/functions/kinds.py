@@ -111,6 +111,11 @@ def display(v: Column) -> Column:
     )
 
 
+def ref_is_valid(ident: Column) -> Column:
+    """Whether an id has characters that a reference may have, and at least one."""
+    return F.coalesce(ident.rlike(r"\A[A-Za-z0-9_:.~-]+\z"), F.lit(False))
+
+
 def _same_zero(a: Column, b: Column) -> Column:
     """Bitwise equality of numbers: NaN equals NaN, 0.0 is not -0.0."""
     return (a == b) & ((a != 0) | (a.cast("string") == b.cast("string")))

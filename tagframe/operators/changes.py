@@ -110,6 +110,35 @@ def subscribe(watches: DataFrame, watch: str, owner: str, ids: DataFrame, versio
     return watches.unionByName(ids.distinct().select(F.lit(watch).alias("watch_id"), F.lit(owner).alias("owner"), "id", F.lit(version).cast("long").alias("last_version")))
 
 
+def watch_ids(watches: DataFrame, watch: str, owner: str, ids: DataFrame) -> DataFrame:
+    """More ids for a watch, those it has already aside, within the limits; they start at its version."""
+    mine = watches.where((F.col("watch_id") == watch) & (F.col("owner") == owner))
+    version = mine.agg(F.min("last_version")).first()[0]
+    if version is None:
+        raise GraphError("no such watch")
+    new = ids.select("id").distinct().join(mine.select("id"), "id", "left_anti")
+    n, there = new.limit(IDS_A_WATCH + 1).count(), mine.count()
+    if there + n > IDS_A_WATCH or watches.where(F.col("owner") == owner).count() + n > IDS_A_USER:
+        raise GraphError("too many watches or ids")
+    return watches.unionByName(new.select(F.lit(watch).alias("watch_id"), F.lit(owner).alias("owner"), "id", F.lit(version).cast("long").alias("last_version")))
+
+
+def unwatch_ids(watches: DataFrame, watch: str, owner: str, ids: DataFrame) -> DataFrame:
+    """A watch without some of its ids; ids that it doesn't have are none."""
+    gone = ids.select("id", F.lit(watch).alias("watch_id"), F.lit(owner).alias("owner"))
+    return watches.join(gone, ["watch_id", "owner", "id"], "left_anti")
+
+
+def unsubscribe(watches: DataFrame, watch: str, owner: str) -> DataFrame:
+    """Watches without one; one that isn't there is none."""
+    return watches.where(~((F.col("watch_id") == watch) & (F.col("owner") == owner)))
+
+
+def watched(watches: DataFrame) -> DataFrame:
+    """The ids that any watch has, each once."""
+    return watches.select("id").distinct()
+
+
 def poll(watches: DataFrame, watch: str, owner: str, log: DataFrame, entities: DataFrame, floor: int = 0) -> DataFrame:
     """Current rows of watched entities that changed since the watch's last version; all of them after a gap. Removed ones don't come."""
     mine = watches.where((F.col("watch_id") == watch) & (F.col("owner") == owner))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagframe.operators.lineage import written
 from tagframe.plans.compile import where_dynamic
 
 # Entity classes, the most specific first.
@@ -74,11 +75,10 @@ def hierarchy(spark, links: DataFrame, root: str, max_depth: int = 50) -> DataFr
     for depth in range(1, max_depth + 1):
         found = level.select(F.col("id").alias("parent")).join(up, "parent").groupBy("id").agg(F.min("parent").alias("parent"))
         level = found.join(seen.select("id"), "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth"))
-        if spark.conf.get("spark.checkpoint.dir", None):
-            level = level.checkpoint()
+        level = written(level, "level")
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
+        seen = written(seen.unionByName(level), "seen")
     return seen
 
 
@@ -115,9 +115,13 @@ def display_name(entities: DataFrame) -> DataFrame:
     return entities.select("id", F.coalesce(F.when(dis.kind == "str", dis.str), ident.json).alias("dis"))
 
 
+def nav(entities: DataFrame, ident: str | None = None) -> DataFrame:
+    """A level of navigation, ``id, dis, nav_id``: sites at the top, then what refers to an entity, each once."""
+    rows = entities.where(F.map_contains_key("tags", F.lit("site"))) if ident is None else children(entities, ident).dropDuplicates(["id"])
+    return display_name(rows).select("id", "dis", F.col("id").alias("nav_id"))
+
+
 def merge(old: Column, new: Column) -> Column:
     """Tags overwritten by others; a ``remove`` value deletes one."""
     kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k))
     return F.map_concat(kept, F.map_filter(new, lambda k, v: v.kind != "remove"))
-
-

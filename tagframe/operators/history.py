@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP = 1_000_000
@@ -23,8 +23,8 @@ def parse_range(text: str, today: dt.date | None = None) -> tuple[dt.datetime, d
     return dt.datetime.combine(days[0], dt.time()), dt.datetime.combine(days[-1], dt.time(23, 59, 59))
 
 
-def read(history: DataFrame, point: object, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
-    """Rows of a point between two inclusive bounds, in order of time; an unknown point has none."""
+def read(history: DataFrame, point: object, start: dt.datetime | Column | None = None, end: dt.datetime | Column | None = None) -> DataFrame:
+    """Rows of a point between two inclusive bounds, instants or columns without references, in order of time; an unknown point has none."""
     out = history.where(F.col("point_id") == point)
     out = out if start is None else out.where(F.col("ts") >= F.lit(start).cast(history.schema["ts"].dataType))
     out = out if end is None else out.where(F.col("ts") <= F.lit(end).cast(history.schema["ts"].dataType))
@@ -46,7 +46,7 @@ def capped(history: DataFrame, cap: int = CAP) -> DataFrame:
 
 def write(history: DataFrame, rows: DataFrame, cap: int = CAP) -> DataFrame:
     """History after a write; at most 100,000 rows at once."""
-    if len(rows.limit(WRITE_ROWS + 1).take(WRITE_ROWS + 1)) > WRITE_ROWS:
+    if rows.limit(WRITE_ROWS + 1).count() > WRITE_ROWS:
         raise ValueError(f"more than {WRITE_ROWS} rows in one write")
     return capped(last_wins(history.unionByName(rows)), cap)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagframe.operators.graph import dangling, edges, triples
+from tagframe.operators.lineage import written
 
 DEF = "symbol string, lib string, is array<string>, tag_on array<string>, of string, mandatory boolean"
 
@@ -25,6 +26,18 @@ class Namespace:
         """From rows with the columns of ``DEF``; of equal symbols the last stands."""
         return cls({r["symbol"]: {"symbol": r["symbol"], "lib": r["lib"], "is": list(r["is"] or []), "tag_on": list(r["tag_on"] or []), "of": r["of"], "mandatory": bool(r["mandatory"])} for r in rows})
 
+    @classmethod
+    def read(cls, records: DataFrame) -> Namespace:
+        """From records of Trio files, rows with ``tags``, that hold a ``def``; others are not definitions. The library is the ``lib`` tag's."""
+        tag = lambda t: F.col("tags")[t]
+        symbols = lambda t: F.when(tag(t).kind == "list", F.regexp_extract_all(tag(t).json, F.lit(r"\^([A-Za-z][\w:.-]*)"), 1)).when(tag(t).kind == "symbol", F.array(tag(t).str))
+        name = lambda t: F.when(tag(t).kind.isin("symbol", "str"), F.regexp_replace(tag(t).str, "^lib:", ""))
+        rows = records.where(tag("def").kind == "symbol").select(
+            tag("def").str.alias("symbol"), name("lib").alias("lib"), symbols("is").alias("is"), symbols("tagOn").alias("tag_on"), name("of").alias("of"),
+            F.map_contains_key("tags", F.lit("mandatory")).alias("mandatory"), "file", "pos",
+        )
+        return cls.of(rows.orderBy("file", "pos").collect())  # a catalog of a few thousand
+
     def supertypes(self, symbol: str) -> list[str]:
         """Nearest first; cycles end."""
         out, level = [], [symbol]
@@ -89,13 +102,13 @@ def conjunct_parts(symbol: Column) -> Column:
 def closure(defs: DataFrame, max_depth: int = 100) -> DataFrame:
     """``symbol, ancestor, depth`` of a table of definitions, itself at depth 0, each pair once at its least depth."""
     above = defs.select("symbol", F.explode("is").alias("parent")).distinct()
-    out = level = defs.select("symbol", F.col("symbol").alias("ancestor"), F.lit(0).alias("depth"))
+    out = level = written(defs.select("symbol", F.col("symbol").alias("ancestor"), F.lit(0).alias("depth")), "closure")
     for depth in range(1, max_depth + 1):
         level = level.join(above.select(F.col("symbol").alias("ancestor"), "parent"), "ancestor").select("symbol", F.col("parent").alias("ancestor")).distinct()
-        level = level.join(out.select("symbol", "ancestor"), ["symbol", "ancestor"], "left_anti").select("symbol", "ancestor", F.lit(depth).alias("depth"))
+        level = written(level.join(out.select("symbol", "ancestor"), ["symbol", "ancestor"], "left_anti").select("symbol", "ancestor", F.lit(depth).alias("depth")), "level")
         if level.isEmpty():
             return out
-        out = out.unionByName(level)
+        out = written(out.unionByName(level), "closure")
     raise ValueError(f"deeper than {max_depth}")
 
 

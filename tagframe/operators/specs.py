@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagframe.functions import kinds
-from tagframe.llm.space import written
+from tagframe.operators.lineage import written
 
 KIND_OF = {v: k for k, v in kinds.TYPE_NAMES.items()}
 

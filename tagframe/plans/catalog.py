@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagframe.functions import kinds, timezones, units
-from tagframe.operators import changes, graph, history, ontology
+from tagframe.operators import changes, graph, history, ontology, specs
 from tagframe.plans.compile import Tag, Wide, where_dynamic, where_wide
 from tagframe.sources import formats
 
@@ -246,7 +245,7 @@ def q25_read_ids(spark, d):
 
 @query("SELECT 'region-' || r_regionkey AS id, r_name AS dis, 'region-' || r_regionkey AS nav_id FROM region")
 def q26_nav(spark, d):
-    return where_dynamic(star(spark, d), "site").select("id", F.col("tags")["dis"].str.alias("dis"), F.col("id").alias("nav_id"))
+    return graph.nav(star(spark, d))
 
 
 # --- types and checks ------------------------------------------------------------------------------
@@ -320,9 +319,8 @@ def q34_column_union(spark, d):
 
 @query("SELECT user_id AS point_id, ts, value AS val FROM events WHERE user_id = 7 AND ts >= (SELECT date_trunc('day', min(ts)) FROM events) AND ts <= (SELECT date_trunc('day', min(ts)) + INTERVAL 20 DAY FROM events)")
 def q35_history_range(spark, d):
-    first = table(spark, d, "events").agg(F.date_trunc("day", F.min("ts"))).first()[0]
-    first = first.replace(tzinfo=None) if isinstance(first, dt.datetime) else first
-    return history.read(points(spark, d), 7, first, first + dt.timedelta(days=20)).select("point_id", "ts", "val")
+    first = table(spark, d, "events").agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("first")).scalar()
+    return history.read(points(spark, d), 7, first, first + F.expr("INTERVAL 20 DAYS")).select("point_id", "ts", "val")
 
 
 @query("SELECT user_id AS point_id, date_trunc('day', ts) AS ts, max(event_id) AS ord, arg_max(value, event_id) AS val FROM events GROUP BY 1, 2")
@@ -477,3 +475,205 @@ def q57_zones(spark, d):
 def q58_type_names(spark, d):
     e = where_dynamic(star(spark, d), "customer")
     return e.select("id", *[kinds.type_name(F.col("tags")[t].kind).alias(n) for t, n in (("dis", "dis_type"), ("acctbal", "acctbal_type"), ("equipRef", "ref_type"))])
+
+
+# --- grids that keep kinds -------------------------------------------------------------------------
+
+
+def _grid(spark, d, cells: Column) -> DataFrame:
+    text = F.concat(F.lit('{"meta":{"ver":"3.0"},"cols":[],"rows":['), F.to_json(cells), F.lit("]}"))
+    return table(spark, d, "nation").select(F.col("n_name").alias("file"), text.alias("text"))
+
+
+_GRID_CELLS = """SELECT 'n-' || n_nationkey AS id, n_nationkey::VARCHAR AS a, 'str' AS a_kind, 'true' AS b, 'str' AS b_kind, '[' || n_name || ']' AS c, 'str' AS c_kind, n_nationkey + 0.5::DOUBLE AS n, 'list' AS l_kind FROM nation"""
+
+
+def _grid_cells(rows: DataFrame) -> DataFrame:
+    t = lambda name: F.col("tags")[name]
+    return rows.select("id", *[x for k in "abc" for x in (t(k).str.alias(k), t(k).kind.alias(f"{k}_kind"))], t("n").num.alias("n"), t("l").kind.alias("l_kind"))
+
+
+@query(_GRID_CELLS)
+def q59_json4_grid(spark, d):
+    key = F.col("n_nationkey")
+    ident = F.struct(F.lit("ref").alias("_kind"), F.concat(F.lit("n-"), key.cast("string")).alias("val"))
+    cells = F.struct(ident.alias("id"), key.cast("string").alias("a"), F.lit("true").alias("b"), F.concat(F.lit("["), "n_name", F.lit("]")).alias("c"), (key + 0.5).cast("double").alias("n"), F.array(F.lit(1), F.lit(2)).alias("l"))
+    return _grid_cells(formats.json_rows(_grid(spark, d, cells), formats.json4_decode))
+
+
+@query(_GRID_CELLS)
+def q60_json3_grid(spark, d):
+    key = F.col("n_nationkey").cast("string")
+    cells = F.struct(F.concat(F.lit("r:n-"), key).alias("id"), key.alias("a"), F.lit("s:true").alias("b"), F.concat(F.lit("["), "n_name", F.lit("]")).alias("c"), F.concat(F.lit("n:"), key, F.lit(".5 kW")).alias("n"), F.array(F.lit("n:1")).alias("l"))
+    return _grid_cells(formats.json_rows(_grid(spark, d, cells), formats.json3_decode))
+
+
+# --- more walks ------------------------------------------------------------------------------------
+
+
+def _with_tag(entities: DataFrame, name: str, test: Column, val: Column | None = None) -> DataFrame:
+    more = F.when(test, F.create_map(F.lit(name), kinds.marker() if val is None else val)).otherwise(F.expr("map()").cast(kinds.TAGS))
+    return entities.select("id", F.map_concat("tags", more).alias("tags"))
+
+
+@query("SELECT 'cust-' || c_custkey AS id FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+def q61_equip_points(spark, d):
+    e = _with_tag(star(spark, d), "point", F.coalesce(F.col("tags")["segment"].str == "BUILDING", F.lit(False)))
+    return graph.equip_points(e, "nation-3", "acctbal > 0USD").select("id")
+
+
+@query("""WITH RECURSIVE up AS (SELECT p_partkey AS k, p_partkey // 2 AS t FROM part WHERE p_partkey > 1 UNION ALL SELECT k, t // 2 FROM up WHERE t > 1)
+SELECT 'part-' || k AS id, 'part-' || t AS target FROM up""")
+def q62_reached(spark, d):
+    """A tree of parts: every part refers to that of half its number."""
+    key = F.col("p_partkey")
+    ident = lambda k: F.concat(F.lit("part-"), k.cast("string"))
+    e = table(spark, d, "part").select(ident(key).alias("id"), kinds.tags(part=kinds.marker(), upRef=F.when(key > 1, kinds.ref(ident(F.floor(key / 2))))).alias("tags"))
+    return specs.reached(e, "upRef+")
+
+
+_SPECS = {
+    s.name: s
+    for s in (
+        specs.Spec("Party", None, [specs.Slot("dis", "Str", non_empty=True, pattern="^[A-Z]"), specs.Slot("acctbal", "Number", min_val=0.0, max_val=9000.0, unit="USD")]),
+        specs.Spec("Buyer", "Party", [specs.Slot("customer"), specs.Slot("segment", "Str", max_size=8), specs.Slot("vip", maybe=True)]),
+        specs.Spec("Placed", None, [specs.Slot("region", via="siteRef"), specs.Slot("top", via="upRef+", maybe=True)]),
+    )
+}
+
+
+@query("""SELECT 'cust-' || c_custkey AS id, 'constraint' AS issue, 'acctbal' AS slot FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9000
+UNION ALL SELECT 'cust-' || c_custkey, 'constraint', 'segment' FROM customer WHERE length(c_mktsegment) > 8
+UNION ALL SELECT 'supp-' || s_suppkey, 'missing_marker', 'customer' FROM supplier UNION ALL SELECT 'supp-' || s_suppkey, 'constraint', 'acctbal' FROM supplier""")
+def q63_spec_check(spark, d):
+    """Suppliers have another unit and are no customers."""
+    e = star(spark, d).where(F.map_contains_key("tags", F.lit("acctbal")))
+    return specs.check(e, _SPECS, "Buyer")
+
+
+@query("SELECT 'region-' || r_regionkey AS id, 'constraint' AS issue, 'region' AS slot FROM region UNION ALL SELECT 'cust-' || c_custkey, 'constraint', 'region' FROM customer UNION ALL SELECT 'supp-' || s_suppkey, 'constraint', 'region' FROM supplier")
+def q64_query_slot(spark, d):
+    return specs.check(star(spark, d), _SPECS, "Placed")
+
+
+@query("SELECT * FROM (VALUES ('Buyer', 1, 'dis'), ('Buyer', 2, 'acctbal'), ('Buyer', 3, 'customer'), ('Buyer', 4, 'segment'), ('Buyer', 5, 'vip'), ('Party', 1, 'dis'), ('Party', 2, 'acctbal')) t(spec, pos, slot)")
+def q65_effective_slots(spark, d):
+    rows = [(n, i, s.name) for n in ("Buyer", "Party") for i, s in enumerate(specs.effective_slots(_SPECS, n), 1)]
+    return spark.createDataFrame(rows, "spec string, pos int, slot string")
+
+
+# --- more writes and watches -----------------------------------------------------------------------
+
+
+@query("SELECT 'cust-' || c_custkey AS id FROM customer UNION ALL SELECT 'supp-' || s_suppkey FROM supplier")
+def q66_add(spark, d):
+    e = star(spark, d)
+    return changes.add(where_dynamic(e, "customer"), where_dynamic(e, "supplier")).select("id")
+
+
+@query("SELECT 'supp-' || s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal * 2 END AS cur_val, CASE WHEN s_suppkey % 8 = 0 THEN 8.0::DOUBLE WHEN s_suppkey % 4 = 0 THEN 17.0::DOUBLE END AS level FROM supplier")
+def q67_point_write(spark, d):
+    e = _with_tag(where_dynamic(star(spark, d), "supplier"), "writable", F.lit(True))
+    key = F.col("s_suppkey")
+    writes = table(spark, d, "supplier").where(key % 4 == 0).select(F.concat(F.lit("supp-"), key.cast("string")).alias("id"), kinds.number(F.col("s_acctbal") * 2).alias("val"), F.when(key % 8 == 0, 8).alias("level"))
+    return changes.point_write(e, writes).select("id", F.col("tags")["curVal"].num.alias("cur_val"), F.col("tags")["writeLevel"].num.alias("level"))
+
+
+@query("""WITH h AS (SELECT user_id AS point_id, date_trunc('day', ts) AS ts, event_id AS ord, value AS val FROM events UNION ALL SELECT user_id, date_trunc('day', ts), event_id + 1000000000, -value FROM events WHERE event_type = 'click'),
+l AS (SELECT point_id, ts, max(ord) AS ord, arg_max(val, ord) AS val FROM h GROUP BY 1, 2)
+SELECT point_id, ts, ord, val FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ts DESC) AS n FROM l) WHERE n <= 5""")
+def q68_history_write(spark, d):
+    h = points(spark, d).withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    e = table(spark, d, "events").where("event_type = 'click'")
+    rows = e.select(F.col("user_id").alias("point_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), (F.col("event_id") + 1_000_000_000).alias("ord"), (-F.col("value")).alias("val"))
+    return history.write(h, rows, cap=5)
+
+
+@query("SELECT user_id AS point_id, ts, value AS val FROM events WHERE user_id = 5 AND ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-19 23:59:59'")
+def q69_history_named_range(spark, d):
+    start, end = history.parse_range("2024-01-03,2024-01-19")
+    return history.read(points(spark, d), 5, start, end).select("point_id", "ts", "val")
+
+
+@query(f"SELECT version, op, ref FROM ({_LOG}) WHERE version > (SELECT max(event_id) + 1 - 300 FROM events)")
+def q70_retained(spark, d):
+    return changes.retained(change_log(spark, d), 300)[0].select("version", "op", "ref")
+
+
+@query("SELECT * FROM (VALUES ('w1', 'me', 'cust-1', 9), ('w1', 'me', 'cust-4', 9), ('w1', 'me', 'cust-5', 9), ('w2', 'you', 'cust-1', 9)) t(watch_id, owner, id, last_version)")
+def q71_watch_ids(spark, d):
+    """A watch gets ids, loses some, and another one ends."""
+    ids = lambda *x: spark.createDataFrame([(f"cust-{i}",) for i in x], "id string")
+    watches = spark.createDataFrame([], "watch_id string, owner string, id string, last_version long")
+    for name, owner, first in (("w1", "me", (1, 2)), ("w2", "you", (1,)), ("w3", "you", (7, 8))):
+        watches = changes.subscribe(watches, name, owner, ids(*first), 9)
+    watches = changes.watch_ids(watches, "w1", "me", ids(2, 4, 5))
+    return changes.unsubscribe(changes.unwatch_ids(watches, "w1", "me", ids(2, 99)), "w3", "you")
+
+
+@query("SELECT count(DISTINCT user_id) AS n FROM events")
+def q72_watched_total(spark, d):
+    e = table(spark, d, "events")
+    watches = e.select(F.concat(F.lit("w-"), (F.col("event_id") % 3).cast("string")).alias("watch_id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("id"))
+    return changes.watched(watches).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- more functions --------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN round(p_size * 0.0254 / 0.3048, 6) END AS feet, CASE WHEN p_size % 2 = 0 THEN 'foot' END AS unit FROM part")
+def q73_convert_number(spark, d):
+    v = kinds.number(F.col("p_size").cast("double"), F.when(F.col("p_size") % 2 == 0, "in").otherwise("kg"))
+    out = table(spark, d, "part").select("p_partkey", units.convert_number(v, "ft").alias("v"))
+    return out.select("p_partkey", F.round("v.num", 6).alias("feet"), "v.unit")
+
+
+@query("SELECT * FROM (VALUES ('°F', 'temperature', 'fahrenheit', 'celsius'), ('kWh', 'energy', 'kilowatt_hour', 'joule'), ('psi', 'pressure', 'pounds_per_square_inch', 'pascal'), ('none', NULL, NULL, NULL)) t(symbol, quantity, unit, base)")
+def q74_unit_registry(spark, d):
+    df = spark.createDataFrame([("°F",), ("kWh",), ("psi",), ("none",)], "symbol string")
+    return df.select("symbol", units.quantity(F.col("symbol")).alias("quantity"), units.unit_name(F.col("symbol")).alias("unit"), units.base_unit(units.quantity(F.col("symbol"))).alias("base"))
+
+
+@query("SELECT 'cust-' || c_custkey AS id, c_name AS dis, '✓' AS customer, '@nation-' || c_nationkey AS equip FROM customer")
+def q75_display(spark, d):
+    e = where_dynamic(star(spark, d), "customer")
+    return e.select("id", *[kinds.display(F.col("tags")[t]).alias(n) for t, n in (("dis", "dis"), ("customer", "customer"), ("equipRef", "equip"))])
+
+
+@query("SELECT 'nation-' || n_nationkey AS id, n_name AS dis FROM nation UNION ALL SELECT 'region-' || r_regionkey, r_name FROM region")
+def q76_display_name(spark, d):
+    return graph.display_name(where_dynamic(star(spark, d), "nation or region"))
+
+
+@query("SELECT doc_id, regexp_full_match(left(text, 20), '[A-Za-z0-9_:.~-]+') AS valid FROM documents WHERE text IS NOT NULL")
+def q77_ref_valid(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", kinds.ref_is_valid(F.left("text", F.lit(20))).alias("valid"))
+
+
+@query("SELECT 'nation-' || n_nationkey AS id, n_name AS dis, 'nation-' || n_nationkey AS nav_id FROM nation WHERE n_regionkey = 2")
+def q78_nav_children(spark, d):
+    return graph.nav(star(spark, d), "region-2")
+
+
+@query("SELECT * FROM (VALUES ('customer', 'party', true), ('customer', 'customer', true), ('customer', 'site', false), ('region', 'entity', true), ('none', 'entity', false)) t(symbol, other, is_a)")
+def q79_is_a(spark, d):
+    pairs = [("customer", "party"), ("customer", "customer"), ("customer", "site"), ("region", "entity"), ("none", "entity")]
+    return spark.createDataFrame([(a, b, _NAMESPACE.is_a(a, b)) for a, b in pairs], "symbol string, other string, is_a boolean")
+
+
+@query("SELECT * FROM (VALUES ('entity', false, 'nation'), ('entity', false, 'party'), ('entity', false, 'site'), ('entity', true, 'customer'), ('entity', true, 'nation'), ('entity', true, 'party'), ('entity', true, 'region'), ('entity', true, 'site'), ('entity', true, 'supplier')) t(symbol, deep, subtype)")
+def q80_subtypes(spark, d):
+    return spark.createDataFrame([("entity", deep, s) for deep in (False, True) for s in _NAMESPACE.subtypes("entity", deep)], "symbol string, deep boolean, subtype string")
+
+
+@query("SELECT * FROM (VALUES ('ac-elec-meter', 1, 'ac'), ('ac-elec-meter', 2, 'elec'), ('ac-elec-meter', 3, 'meter'), ('site', 1, 'site')) t(symbol, pos, part)")
+def q81_conjuncts(spark, d):
+    df = spark.createDataFrame([("ac-elec-meter",), ("site",)], "symbol string")
+    return df.select("symbol", F.posexplode(ontology.conjunct_parts(F.col("symbol"))).alias("pos", "part")).select("symbol", (F.col("pos") + 1).alias("pos"), "part")
+
+
+@query("""SELECT 'def' AS list, unnest(['acctbal','customer','entity','nation','party','region','segment','site','supplier']) AS name
+UNION ALL SELECT 'lib', 'lib:own' UNION ALL SELECT 'search', unnest(['region','segment'])""")
+def q82_listings(spark, d):
+    rows = [("def", s) for s in sorted(_NAMESPACE.defs)] + [("lib", x) for x in _NAMESPACE.libs()] + [("search", s) for s in _NAMESPACE.search("eg")]
+    return spark.createDataFrame(rows, "list string, name string")

@@ -109,6 +109,12 @@ def zinc_encode(v: Column) -> Column:
     )
 
 
+def _json_text(text: Column) -> Column:
+    """A string as JSON writes it; null stays null."""
+    raw = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substr(raw, F.lit(2), F.length(raw) - 2))
+
+
 def json4_decode(raw: Column) -> Column:
     """The value of a JSON text in the ``_kind`` form."""
     t = F.trim(raw)
@@ -139,13 +145,12 @@ def json4_encode(v: Column) -> Column:
         return F.to_json(F.struct(F.lit(kind).alias("_kind"), *[c.alias(k) for k, c in fields.items()]))
 
     finite = ~F.isnan(v.num) & (F.abs(v.num) != float("inf"))
-    bare = F.concat(F.lit('{"_kind":"number","val":'), F.when(finite, number_text(v.num)).otherwise(F.concat(F.lit('"'), number_text(v.num), F.lit('"'))), F.coalesce(F.concat(F.lit(',"unit":'), F.concat(F.lit('"'), v.unit, F.lit('"'))), F.lit("")), F.lit("}"))
-    raw = F.to_json(F.array(v.str))
+    bare = F.concat(F.lit('{"_kind":"number","val":'), F.when(finite, number_text(v.num)).otherwise(F.concat(F.lit('"'), number_text(v.num), F.lit('"'))), F.coalesce(F.concat(F.lit(',"unit":'), _json_text(v.unit)), F.lit("")), F.lit("}"))
     return (
         F.when(v.kind == "null", F.lit("null")).when(v.kind.isin("marker", "na", "remove"), F.concat(F.lit('{"_kind":"'), v.kind, F.lit('"}')))
         .when(v.kind == "bool", v.b.cast("string"))
         .when(v.kind == "number", F.when(finite & v.unit.isNull(), number_text(v.num)).otherwise(bare))
-        .when(v.kind == "str", F.substr(raw, F.lit(2), F.length(raw) - 2))
+        .when(v.kind == "str", _json_text(v.str))
         .when(v.kind == "ref", of("ref", val=v.str, dis=v.json)).when(v.kind == "uri", of("uri", val=v.str)).when(v.kind == "symbol", of("symbol", val=v.str))
         .when(v.kind == "date", of("date", val=v.d.cast("string"))).when(v.kind == "time", of("time", val=_clock_text(v.t_ns)))
         .when(v.kind == "dateTime", of("dateTime", val=_stamp_text(v), tz=v.tz)).when(v.kind == "coord", of("coord", lat=v.lat, lng=v.lng))
@@ -177,8 +182,7 @@ def json3_decode(raw: Column) -> Column:
 
 def json3_encode(v: Column) -> Column:
     def text(prefix: str, body: Column) -> Column:
-        raw = F.to_json(F.array(F.concat(F.lit(prefix), body)))
-        return F.substr(raw, F.lit(2), F.length(raw) - 2)
+        return _json_text(F.concat(F.lit(prefix), body))
 
     spaced = lambda a, b: F.concat(a, F.coalesce(F.concat(F.lit(" "), F.nullif(b, F.lit(""))), F.lit("")))
     return (
@@ -233,15 +237,15 @@ def read_trio(spark: SparkSession, path: str) -> DataFrame:
     return _rows(df.where(F.size(names) > 0), names, cells, decode)
 
 
-def _read_json(spark: SparkSession, path: str, decode) -> DataFrame:
-    grid = _whole(spark, path).select("file", F.from_json("text", "rows array<map<string,string>>").alias("g"))
-    df = grid.select("file", F.posexplode("g.rows").alias("pos", "row"))
-    return _rows(df, F.map_keys("row"), F.map_values("row"), lambda c: decode(F.when(c.rlike(r'^\s*[\[{]|^(true|false|null|-?\d+(\.\d+)?([eE][+-]?\d+)?)$'), c).otherwise(_as_json(c))))
+def json_rows(grids: DataFrame, decode) -> DataFrame:
+    """Rows of JSON grids ``file, text``. Each cell keeps its own JSON text, so that a string stays one whatever it looks like."""
+    rows = F.from_json("text", "rows array<map<string,variant>>")["rows"]
+    df = grids.select("file", F.posexplode(rows).alias("pos", "row"))
+    return _rows(df, F.map_keys("row"), F.map_values("row"), lambda c: decode(F.to_json(c)))
 
 
-def _as_json(text: Column) -> Column:
-    raw = F.to_json(F.array(text))
-    return F.substr(raw, F.lit(2), F.length(raw) - 2)
+def _read_json(spark: SparkSession, path: str, decode) -> DataFrame:
+    return json_rows(_whole(spark, path), decode)
 
 
 def read_json4(spark: SparkSession, path: str) -> DataFrame:
@@ -285,7 +289,7 @@ def csv_lines(entities: DataFrame, names: list[str]) -> DataFrame:
 
 def json_lines(entities: DataFrame, encode=json4_encode) -> DataFrame:
     """A row as a JSON object; names in order."""
-    pairs = F.transform(F.array_sort(F.map_keys("tags")), lambda k: F.concat(F.lit('"'), k, F.lit('":'), encode(F.col("tags")[k])))
+    pairs = F.transform(F.array_sort(F.map_keys("tags")), lambda k: F.concat(_json_text(k), F.lit(":"), encode(F.col("tags")[k])))
     return entities.select(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("value"))
 
 
