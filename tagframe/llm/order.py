@@ -63,6 +63,7 @@ def sequence_counts(rows: DataFrame, tokenizer: str, length_max: int, path: str)
 
     def run(batches):
         encoder, n = word_tokenizer(tokenizer), 0
+        encoder.forget()
         for b in slices(batches, 0):
             n += int((encoder.count(b.column(0)) // length_max + 1).sum())
         fs, root = pafs.FileSystem.from_uri(path)

@@ -133,12 +133,14 @@ class WordTokenizer(CachedEncoder):
     def _reset(self) -> None:
         super()._reset()
         self.words = pa.array([], pa.string())
+        self.met = np.zeros(1 << 14, bool)  # which words of the cache came since the last call of ``forget``
 
     def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places in the cache of all words of some texts, and the words of each."""
         if len(self.words) > self.max_words:
             self.words = pa.concat_arrays([self.words[: self.keep_words]])
             self.used = int(self.start[self.keep_words])
+            self.met[self.keep_words :] = False
         words = unicode_words(texts)
         at = pc.index_in(words.distinct, self.words)
         place = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -147,8 +149,14 @@ class WordTokenizer(CachedEncoder):
             place[place < 0] = len(self.words) + np.arange(len(new))
             self._append(len(self.words), *self._encode_new(new))
             self.words = pa.concat_arrays([self.words, new])
+        if len(self.met) < len(self.words):
+            self.met = np.concatenate([self.met, np.zeros(max(len(self.met), len(self.words)), bool)])
+        self.met[place] = True
         return place[words.ids], words.sizes
 
+    def forget(self) -> None:
+        self.met[:] = False
+
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
         return self._encoded(texts, True)
@@ -177,10 +185,12 @@ class WordTokenizer(CachedEncoder):
         return flat, counts
 
     def save(self, sink) -> None:
-        """Writes the words of the cache and their ids to an open file."""
-        n = len(self.words)
-        ids = pa.ListArray.from_arrays(pa.array(self.start[: n + 1].astype(np.int32)), pa.array(self.flat[: self.used]))
-        batch = pa.RecordBatch.from_arrays([self.words, ids], ["word", "ids"])
+        """Writes the words of the cache that came since ``forget``, and their ids, to an open file."""
+        at = np.flatnonzero(self.met[: len(self.words)])
+        sizes = self.start[at + 1] - self.start[at]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(take(self.flat, self.start[at], sizes).astype(np.uint16 if self.most <= 1 << 16 else np.uint32)))
+        batch = pa.RecordBatch.from_arrays([self.words.take(pa.array(at)), ids], ["word", "ids"])
         with pa.ipc.new_file(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
             f.write_batch(batch)
 
@@ -190,7 +200,7 @@ class WordTokenizer(CachedEncoder):
         self._reset()
         if table.num_rows:
             self.words, ids = table.column(0).chunk(0), table.column(1).chunk(0)
-            self._append(0, ids.flatten().to_numpy(zero_copy_only=False), np.diff(ids.offsets.to_numpy()))
+            self._append(0, ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.diff(ids.offsets.to_numpy()))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         if not texts:
