@@ -130,30 +130,39 @@ def where_wide(w: Wide, text: str, required: dict[str, tuple[str, ...]] | None =
     return joined.where(build(node)).select(*w.df.columns)
 
 
-def _dynamic_leaf(node, tags: Column) -> Column:
-    v = tags[node.path[-1]]
+def _dynamic_leaf(node, v: Column, there: Column) -> Column:
     if isinstance(node, Missing):
-        return F.coalesce(~F.map_contains_key(tags, node.path[-1]), F.lit(True))
+        return F.coalesce(~there, F.lit(True))
     if isinstance(node, Has):
-        return F.map_contains_key(tags, node.path[-1])
+        return there
     other = kinds.literal(node.literal)
     if node.op in ("==", "!="):
         same = kinds.equal(v, other)
-        return same if node.op == "==" else F.map_contains_key(tags, node.path[-1]) & ~F.coalesce(same, F.lit(False))
+        return same if node.op == "==" else there & ~F.coalesce(same, F.lit(False))
     return {"<": lambda: kinds.less(v, other), "<=": lambda: kinds.less(v, other, True), ">": lambda: kinds.less(other, v), ">=": lambda: kinds.less(other, v, True)}[node.op]()
 
 
 def where_dynamic(df: DataFrame, text: str, required: dict[str, tuple[str, ...]] | None = None, strict: bool = False, resolve: bool = True) -> DataFrame:
     """Rows of ``id, tags`` that a filter accepts. Without ``resolve`` longer paths lead nowhere."""
     node = parse(text)
-    joined, have = df, {(): "tags"}
-    prefixes = sorted({p[:k] for p in paths(node) for k in range(1, len(p))}, key=lambda p: (len(p), p)) if resolve else []
-    for p in prefixes:
+    everything = paths(node)
+    joined, have = df, {()}
+    prefixes = sorted({p[:k] for p in everything for k in range(1, len(p))}, key=lambda p: (len(p), p)) if resolve else []
+
+    def tag(p: tuple[str, ...]) -> tuple[Column, Column]:
+        """The value at a path's end, and whether the tag is there."""
+        if len(p) == 1:
+            return F.col("tags")[p[0]], F.map_contains_key("tags", F.lit(p[0]))
         mark = "_" + "_".join(p)
-        step = F.col(have[p[:-1]])[p[-1]]
-        right = df.select(F.col("id").alias(mark + "_id"), F.col("tags").alias(mark))
+        return F.col(mark), F.col(mark + "_there")
+
+    for p in prefixes:
+        mark, step = "_" + "_".join(p), tag(p)[0]
+        # of what a reference leads to only the tags that the filter looks at
+        names = sorted({q[len(p)] for q in everything if len(q) > len(p) and q[: len(p)] == p})
+        right = df.select(F.col("id").alias(mark + "_id"), *[c for n in names for c in (F.col("tags")[n].alias(f"{mark}_{n}"), F.map_contains_key("tags", F.lit(n)).alias(f"{mark}_{n}_there"))])
         joined = joined.join(right, F.when(step.kind == "ref", step.str) == F.col(mark + "_id"), "left")
-        have[p] = mark
+        have.add(p)
 
     def build(n) -> Column:
         if isinstance(n, And):
@@ -167,6 +176,6 @@ def where_dynamic(df: DataFrame, text: str, required: dict[str, tuple[str, ...]]
             return out
         if n.path[:-1] not in have:
             return F.lit(isinstance(n, Missing))
-        return _dynamic_leaf(n, F.col(have[n.path[:-1]]))
+        return _dynamic_leaf(n, *tag(n.path))
 
     return joined.where(build(node)).select(*df.columns)

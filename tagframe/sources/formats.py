@@ -65,6 +65,11 @@ def _stamp_text(v: Column) -> Column:
     return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")), zone)
 
 
+def _once(value_: Column, f) -> Column:
+    """``f`` of a value that is computed once however often ``f`` looks at it, and stays out of one huge generated method."""
+    return F.get(F.transform(F.array(value_), f), F.lit(0))
+
+
 def zinc_decode(cell: Column) -> Column:
     """The value of a Zinc scalar; null for none, error for text that is no scalar."""
     t = F.trim(cell)
@@ -89,7 +94,11 @@ def zinc_decode(cell: Column) -> Column:
     )
 
 
-def zinc_encode(v: Column) -> Column:
+def zinc_encode(value_: Column) -> Column:
+    return _once(value_, _zinc_encode)
+
+
+def _zinc_encode(v: Column) -> Column:
     """A value as a Zinc scalar; nothing for an absent one."""
     return (
         F.when(v.isNull() | v.kind.isNull(), F.lit("")).when(v.kind == "null", F.lit("N"))
@@ -118,7 +127,12 @@ def _json_text(text: Column) -> Column:
 def json4_decode(raw: Column) -> Column:
     """The value of a JSON text in the ``_kind`` form."""
     t = F.trim(raw)
-    at = lambda k: F.get_json_object(t, f"$.{k}")
+    fields = F.from_json(t, ", ".join(f"{n} string" for n in ("_kind", "val", "unit", "dis", "tz", "lat", "lng", "type")))
+    return _once(F.struct(t.alias("t"), fields.alias("f")), lambda x: _json4_decode(x.t, x.f))
+
+
+def _json4_decode(t: Column, fields: Column) -> Column:
+    at = lambda k: fields[k]
     kind = at("_kind")
     return (
         F.when(t.isNull(), F.lit(None).cast(KIND)).when(t == "null", value("null"))
@@ -140,7 +154,11 @@ def json4_decode(raw: Column) -> Column:
     )
 
 
-def json4_encode(v: Column) -> Column:
+def json4_encode(value_: Column) -> Column:
+    return _once(value_, _json4_encode)
+
+
+def _json4_encode(v: Column) -> Column:
     def of(kind: str, **fields: Column) -> Column:
         return F.to_json(F.struct(F.lit(kind).alias("_kind"), *[c.alias(k) for k, c in fields.items()]))
 
@@ -180,7 +198,11 @@ def json3_decode(raw: Column) -> Column:
     )
 
 
-def json3_encode(v: Column) -> Column:
+def json3_encode(value_: Column) -> Column:
+    return _once(value_, _json3_encode)
+
+
+def _json3_encode(v: Column) -> Column:
     def text(prefix: str, body: Column) -> Column:
         return _json_text(F.concat(F.lit(prefix), body))
 
