@@ -1,17 +1,21 @@
 """Scores texts by a hashed maximum-entropy language model with a class-factored softmax.
 
-Every token has a class: the ``frequent`` most common words are grouped by the company that they keep and by frequency, into
-about as many classes as the root of their number; all others share one class. The model gives P(class | history) as a
-softmax over sums of hashed feature rows - the words before, pairs of them, skips, their classes and what prevails
-in the last words - and P(word | class, history) as a softmax of the same kind over the words of the class, with
-rows for each feature and class. Words of the class of all others have their shares of counts, unknown words standing for
-one word of count 0. So probabilities add up to 1 over the words of the training texts and one unknown.
-
-Training makes ``rounds`` passes over all training texts: each partition takes gradient steps from the
-common weights in sparse numpy batches, and the partitions' updates are averaged by block, those of each row weighted by
-the tokens that touched it: a feature met in one partition keeps its whole update however many partitions there are. What
-the driver and tasks hold whole is bounded by ``frequent``, ``rows`` and ``cells``; counts of rarer words stay in a
-table and are joined.
+Every token has a class: frequent words are grouped by the company that they keep and by frequency, the end of a text is a
+class of its own, and all rarer words share one. P(class | history) is a softmax over sums of hashed feature rows - the words
+before, pairs of them, skips, their classes and what prevails in the last words. P(word | class, history) is factored on
+inside the class: its words, the most frequent first, are halved by weight again and again down to single words, and each half is
+a softmax of two whose score is a sum of cells hashed from the same features and the half. Rarer words have their
+shares of counts in their class, unknown words standing for one word of count 0. So probabilities add up to 1 over the
+words of the training texts and one unknown.
+
+Training makes ``rounds`` passes over all training texts. Each pass adds up, in numpy batches inside the tasks and then by
+block across them, how often every feature met every outcome and how often the model expected it to: the gradient of the
+likelihood. Then every weight takes one step of scaling, by the logarithm of what was met over what was expected,
+drawn towards no change by ``strength`` tokens, divided by the number of features of a token. The sums are those of all texts, so
+the result doesn't depend on partitions but for rounding.
+
+The counts of all words are a table that grows with the corpus. What the driver and tasks hold whole is bounded by
+``frequent``, ``rows`` and ``cells``.
 
 Defined cases: null and empty texts consist of the end alone; a null id counts as a training row; rows
 repeated are scored each. Without training rows every score is that of one unknown word among none (0). Other columns are ignored.
@@ -25,57 +29,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import mix
-from .space import small_batches, utf8, written
+from .space import small_batches, written
+from .words import ascii_words, hashes, mix, slices
 
 _U = np.uint64
+_GOLD32, _ODD32 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 #: No word holds a blank.
-END = b" end"
+END_KEY = int(hashes(pa.array([" end"])).view(np.int64)[0])
 WINDOW = 16
-GROUPS, BINS, COMMON = 8, 8, 64
+GROUPS, BINS, COMMON = 8, 1, 64
 TEMPLATES = 6
-STEP = 1_024
+#: Parts of the cells, one for each template.
+PARTS = 8
+#: Tokens that are handled at once.
+STEP = 1 << 13
 BLOCK = 1 << 16
 
 
-def key_of(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
-
-
-END_KEY = key_of(END)
-
-
-class _Keys(dict):
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = key_of(word)
-        return k
-
-
-class _Ranks(dict):
-    """Numbers of frequent words by word; all others have the number after the last."""
-
-    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
-        self.keys_, self.ranks_ = keys, ranks
-        self.learn({END})
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > 500_000:
-            self.clear()
-            self.learn({END})
-        new = list(words.difference(self))
-        if not new or not len(self.keys_):
-            self.update(dict.fromkeys(new, 0))
-            return
-        k = np.fromiter(map(key_of, new), np.int64, len(new))
-        at = np.minimum(np.searchsorted(self.keys_, k), len(self.keys_) - 1)
-        self.update(zip(new, np.where(self.keys_[at] == k, self.ranks_[at], len(self.keys_)).tolist(), strict=True))
-
-
 def fold_of(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
 
@@ -92,7 +66,7 @@ class Vocabulary:
     totals: np.ndarray
     tokens: int
     words: int
-    rare_most: int  # no rarer word has a greater count
+    least: int  # frequent words, but for the end, have this level of counts or more
 
     @property
     def prior(self) -> np.ndarray:
@@ -104,53 +78,50 @@ class Vocabulary:
         return self.tokens + 0.5 * (self.words + 1)
 
 
+def _level(c: str = "c") -> Column:
+    """Counts below 1,024 as they are, greater ones by the 64th of a doubling: some thousands of levels at most."""
+    return F.when(F.col(c) < 1024, F.col(c)).otherwise(F.floor(F.log2(c) * 64) + 384).cast("int")
+
+
 def _counts(train: DataFrame) -> DataFrame:
     def run(batches):
-        known = _Keys()
-        for b in batches:
-            if len(known) > 500_000:
-                known.clear()
-            parts, ends = [], 0
-            for text in b.column(0).to_pylist():
-                words = utf8(text).lower().split()
-                parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-                ends += 1
-            keys, n = np.unique(np.concatenate([*parts, np.full(ends, END_KEY, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+        for b in slices(batches, 0):
+            words = ascii_words(b.column(0))
+            keys = np.append(hashes(words.distinct).view(np.int64), END_KEY)
+            n = np.append(np.bincount(words.ids, minlength=len(words.distinct)), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"]).filter(pa.array(n > 0))
 
     return train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
 
 
-def _batch_ranks(texts: list[str | None], known: _Ranks, rare: bool = False):
-    """Ranks of all tokens of a batch, ends included, tokens of each text, and keys of its rare words."""
-    split = [utf8(text).lower().split() for text in texts]
-    known.learn(set().union(*split, (END,)))
-    parts, keys = [], []
-    last, end = len(known.keys_), known[END]
-    for words in split:
-        r = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        if rare:
-            keys.append([key_of(words[i]) for i in np.flatnonzero(r == last)])
-        parts += [r, np.array([end], np.int32)]
-    n = np.array([len(p) + 1 for p in parts[::2]], np.int64)
-    return np.concatenate(parts) if parts else np.empty(0, np.int32), n, keys
+def _ranks(texts: pa.Array, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of all tokens of some texts, ends included, tokens of each text, and keys of the tokens; rarer words have the rank after the last."""
+    words = ascii_words(texts)
+    mine = np.append(hashes(words.distinct).view(np.int64), END_KEY)
+    rank = np.full(len(mine), len(keys), np.int32)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+        found = keys[at] == mine
+        rank[found] = ranks[at[found]]
+    ids = np.full(len(words.ids) + len(words.sizes), len(mine) - 1, np.int32)
+    ids[np.arange(len(words.ids)) + np.repeat(np.arange(len(words.sizes)), words.sizes)] = words.ids
+    return rank[ids], words.sizes + 1, mine[ids]
 
 
 def _company(train: DataFrame, keys: np.ndarray, ranks: np.ndarray) -> DataFrame:
     """How often each frequent word stands within three words of each of the most common: ``rank, common, n``."""
 
     def run(batches):
-        known = _Ranks(keys, ranks)
-        for b in batches:
-            r, n, _ = _batch_ranks(b.column(0).to_pylist(), known)
+        for b in slices(batches, 0):
+            r, n, _ = _ranks(b.column(0), keys, ranks)
             text = np.repeat(np.arange(len(n)), n)
             pairs = []
             for d in (1, 2, 3):
                 same = text[d:] == text[:-d]
-                x, y = r[d:][same].astype(np.int64), r[:-d][same].astype(np.int64)
+                x, y = r[d:], r[:-d]
                 for p, q in ((x, y), (y, x)):
-                    keep = (q < COMMON) & (p < len(keys))
-                    pairs.append(p[keep] * COMMON + q[keep])
+                    keep = same & (q < min(COMMON, len(keys))) & (p < len(keys))
+                    pairs.append(p[keep] * np.int32(COMMON) + q[keep])
             cell, times = np.unique(np.concatenate(pairs), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((cell // COMMON).astype(np.int32)), pa.array((cell % COMMON).astype(np.int32)), pa.array(times.astype(np.int64))], ["rank", "common", "n"])
 
@@ -172,41 +143,46 @@ def _cluster(matrix: np.ndarray, groups: int) -> np.ndarray:
     return label
 
 
+def _groups(train: DataFrame, keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """By rank the group of common words in whose company a word is found most."""
+    size = len(keys)
+    groups = np.zeros(size, np.int32)
+    company = written(_company(train, keys, ranks), "company")
+    common = np.zeros((COMMON, COMMON))
+    for r in company.where(F.col("rank") < COMMON).collect():
+        common[r["rank"], r["common"]] = r["n"]
+    label = _cluster(common[: min(COMMON, size)], GROUPS)
+    names = F.array(*[F.lit(int(x)) for x in label])
+    weight = common[: len(label), : len(label)].sum(axis=0)
+    rarity = F.array(*[F.lit(float(1 / math.sqrt(w + 1))) for w in weight])
+    by_group = company.groupBy("rank", F.get(names, F.col("common")).alias("g")).agg(F.sum(F.col("n") * F.get(rarity, F.col("common"))).alias("w"))
+    best = by_group.groupBy("rank").agg(F.max_by("g", F.struct("w", -F.col("g"))).alias("g")).toPandas()  # a row per frequent word
+    groups[best["rank"].to_numpy()] = best["g"].to_numpy(np.int32)
+    return groups
+
+
 def vocabulary(train: DataFrame, counts: DataFrame, frequent: int = 1 << 18) -> Vocabulary:
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, words = int(total["n"] or 0), int(total["v"])
-    top = counts.orderBy(F.col("c").desc(), "key").limit(frequent).toPandas()  # ``frequent`` rows at most
-    rare_most = int(top["c"].min()) if len(top) else 0
-    # the end is one of the frequent words however few texts there are
-    if tokens and not (top["key"] == END_KEY).any():
-        top = top.iloc[:-1]
-        top.loc[len(top)] = [END_KEY, counts.where(F.col("key") == END_KEY).first()["c"]]
+    """The words that occur twice or more, at most ``frequent``: those of the highest levels of counts that fit whole."""
+    levels = counts.groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).orderBy(F.col("level").desc()).collect()
+    tokens, words = sum(r["n"] for r in levels), sum(r["v"] for r in levels)
+    least, size = 1 << 30, 0
+    for r in levels:
+        size += r["v"]
+        if size > frequent or r["level"] < 2:
+            break
+        least = r["level"]
+    top = counts.where((_level() >= least) | (F.col("key") == END_KEY)).toPandas().sort_values(["c", "key"], ascending=[False, True])  # ``frequent`` rows and one
     size = len(top)
     order = np.argsort(top["key"].to_numpy(), kind="stable")
-    keys, ranks, count = top["key"].to_numpy()[order].astype(np.int64), order.astype(np.int32), top["c"].to_numpy(np.int64)
-    groups = np.zeros(size, np.int32)
-    if size:
-        company = written(_company(train, keys, ranks), "company")
-        common = np.zeros((COMMON, COMMON))
-        for r in company.where(F.col("rank") < COMMON).collect():
-            common[r["rank"], r["common"]] = r["n"]
-        label = _cluster(common[: min(COMMON, size)], GROUPS)
-        names = F.array(*[F.lit(int(x)) for x in label])
-        weight = common[: len(label), : len(label)].sum(axis=0)
-        rarity = F.array(*[F.lit(float(1 / math.sqrt(w + 1))) for w in weight])
-        by_group = company.groupBy("rank", F.get(names, F.col("common")).alias("g")).agg(F.sum(F.col("n") * F.get(rarity, F.col("common"))).alias("w"))
-        best = by_group.groupBy("rank").agg(F.max_by("g", "w").alias("g")).toPandas()
-        groups[best["rank"].to_numpy()] = best["g"].to_numpy(np.int32)
-    classes = np.zeros(size, np.int32)
-    weight, used = np.sqrt(count), 0  # by roots of counts, classes of frequent words are the smallest
-    total = max(GROUPS * BINS, math.isqrt(size))
+    keys, ranks, count = top["key"].to_numpy(np.int64)[order], order.astype(np.int32), top["c"].to_numpy(np.int64)
+    groups = _groups(train, keys, ranks) if size else np.zeros(0, np.int32)
+    classes, used = np.zeros(size, np.int32), 0
     for g in range(GROUPS):  # bins of equal weight in each group, the most frequent words first
         mine = np.flatnonzero(groups == g)
         if len(mine):
-            sums = np.cumsum(weight[mine])
-            bins = max(1, round(total * sums[-1] / weight.sum()))
-            classes[mine] = used + np.minimum(bins - 1, ((sums - weight[mine]) * bins / sums[-1]).astype(np.int32))
-            used += bins
+            sums = np.cumsum(count[mine])
+            classes[mine] = used + np.minimum(BINS - 1, ((sums - count[mine]) * BINS // sums[-1]).astype(np.int32))
+            used += BINS
     end = ranks[np.searchsorted(keys, END_KEY)] if size else 0
     if size:
         classes[end] = used
@@ -214,39 +190,46 @@ def vocabulary(train: DataFrame, counts: DataFrame, frequent: int = 1 << 18) ->
     rare_class = int(classes[end]) + 1 if size else 0
     totals = np.bincount(classes, weights=count + 0.5, minlength=rare_class + 1)
     totals[rare_class] = tokens - count.sum() + 0.5 * (words - size) + 0.5
-    return Vocabulary(keys, ranks, count, np.append(classes, rare_class).astype(np.int32), np.append(groups, GROUPS).astype(np.int32), totals, tokens, words, rare_most)
+    return Vocabulary(keys, ranks, count, np.append(classes, rare_class).astype(np.int32), np.append(groups, GROUPS).astype(np.int32), totals, tokens, words, least)
 
 
-class _Inside:
-    """Places of frequent words in their classes; classes of more than one word by width, the next power of two."""
+class Halves:
+    """How the words of each class are halved by weight down to single words: by rank, the halves on a word's way and the side that it takes."""
 
     def __init__(self, v: Vocabulary):
-        classes = v.classes[:-1]
-        sizes = np.bincount(classes, minlength=len(v.totals))
-        order = np.argsort(classes, kind="stable")
-        self.place = np.zeros(len(v.classes), np.int32)
-        self.place[order] = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[classes[order]]
-        widths = np.where(sizes > 1, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
-        self.width = widths
-        self.row, self.priors = np.zeros(len(sizes), np.int32), {}
-        share = np.log((v.counts + 0.5) / v.totals[classes]).astype(np.float32)
-        for width in map(int, np.unique(widths[widths > 0])):
-            of = np.flatnonzero(widths == width)
-            self.row[of] = np.arange(len(of))
-            prior = np.full((len(of), width), -1e9, np.float32)
-            mine = np.flatnonzero(widths[classes] == width)
-            prior[self.row[classes[mine]], self.place[mine]] = share[mine]
-            self.priors[width] = prior
-
-    def parts(self, hashes: np.ndarray, classes: np.ndarray, cells: int):
-        """Width by width: the tokens whose class has it, rows of the cells in that width, and shares of the class's words."""
-        width = self.width[classes]
-        for w, prior in self.priors.items():
-            at = np.flatnonzero(width == w)
-            if len(at):
-                c = classes[at]
-                rows = mix(hashes[:, at] ^ (c.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)) & _U(cells // w - 1)
-                yield w, at, rows.astype(np.int32), prior[self.row[c]]
+        order = np.argsort(v.classes[:-1], kind="stable")
+        total = np.concatenate([[0.0], np.cumsum(v.counts[order] + 0.5)])
+        b = np.cumsum(np.bincount(v.classes[:-1], minlength=len(v.totals)))
+        a = np.concatenate([[0], b[:-1]])
+        #: by half the logarithm of its second side's weight over the first's, and the second side's share
+        self.prior = np.zeros(len(order) + 1, np.float32)
+        words, halves, sides = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, bool)]
+        while (open_ := b - a > 1).any():
+            a, b = a[open_], b[open_]
+            middle = (total[a] + total[b]) / 2
+            cut = np.searchsorted(total, middle)
+            cut = np.clip(np.where(middle - total[cut - 1] < total[cut] - middle, cut - 1, cut), a + 1, b - 1)
+            self.prior[cut] = np.log((total[b] - total[cut]) / (total[cut] - total[a]))
+            size = b - a
+            word = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            half = np.repeat(cut, size)
+            words.append(order[word])
+            halves.append(half.astype(np.int32))
+            sides.append(word >= half)
+            a, b = np.concatenate([a, cut]), np.concatenate([cut, b])
+        self.share = 1 / (1 + np.exp(-self.prior))
+        words = np.concatenate(words)
+        by_word = np.argsort(words, kind="stable")
+        self.halves, self.sides = np.concatenate(halves)[by_word], np.concatenate(sides)[by_word]
+        self.steps = np.bincount(words, minlength=len(v.classes))
+        self.first = np.cumsum(self.steps) - self.steps
+
+    def ways(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all steps on the ways of some tokens: the token, the half and the side taken."""
+        steps = self.steps[ranks]
+        ends = np.cumsum(steps)
+        at = np.repeat(self.first[ranks] - (ends - steps), steps) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.repeat(np.arange(len(ranks)), steps), self.halves[at], self.sides[at]
 
 
 def _features(r: np.ndarray, n: np.ndarray, v: Vocabulary) -> np.ndarray:
@@ -257,43 +240,22 @@ def _features(r: np.ndarray, n: np.ndarray, v: Vocabulary) -> np.ndarray:
     h = [np.where(at - d >= start, r[np.maximum(at - d, 0)], none).astype(_U) for d in (1, 2, 3)]
     classes = np.append(v.classes, len(v.totals)).astype(_U)
     c = [classes[x.astype(np.int64)] for x in h]
-    seen = np.zeros((len(r) + 1, GROUPS + 1), np.int32)
-    np.cumsum(np.eye(GROUPS + 1, dtype=np.int32)[v.groups[r]], axis=0, out=seen[1:])
-    lately = seen[at] - seen[np.maximum(at - WINDOW, start)]
-    prevails = lately[:, :GROUPS].argmax(axis=1).astype(_U) * _U(WINDOW + 1) + lately[:, :GROUPS].max(axis=1).astype(_U)
-    raw = (h[0], h[1], h[0] * _U(1 << 20) + h[1], h[2], (c[0] * _U(1 << 16) + c[1]) * _U(1 << 16) + c[2], prevails)
+    prevails, strength = np.zeros(len(r), np.int32), np.zeros(len(r), np.int32)
+    back = np.maximum(at - WINDOW, start)
+    mine = v.groups[r]
+    for g in range(GROUPS):  # of equal ones the first
+        seen = np.concatenate([[0], np.cumsum(mine == g, dtype=np.int32)])
+        lately = seen[at] - seen[back]
+        more = lately > strength
+        prevails[more] = g
+        np.maximum(strength, lately, out=strength)
+    raw = (h[0], h[1], h[0] * _U(1 << 20) + h[1], h[2], (c[0] * _U(1 << 16) + c[1]) * _U(1 << 16) + c[2], prevails.astype(_U) * _U(WINDOW + 1) + strength.astype(_U))
     return np.stack([mix(x * _U(TEMPLATES) + _U(k) + _U(1)) for k, x in enumerate(raw)])
 
 
-def _log_softmax(w: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    z = w[rows[0]] + prior
-    for x in rows[1:]:
-        z += w[x]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def _learn(w: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndarray, prior: np.ndarray, rate: float, seen: np.ndarray) -> None:
-    """One gradient step on every template, counted in ``seen``, with a step size that falls as a row learns."""
-    e = np.exp(_log_softmax(w, rows, prior))
-    e[np.arange(len(classes)), classes] -= 1
-    for mine in rows:
-        order = np.argsort(mine, kind="stable")
-        sorted_rows = mine[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        g = np.add.reduceat(e[order], first, axis=0)
-        times = np.diff(np.append(first, len(order))).astype(np.float32)
-        g /= np.sqrt(times)[:, None]
-        touched = sorted_rows[first]
-        seen[touched] += times if seen.ndim == 1 else times[:, None]
-        memory[touched] += (g * g).sum(axis=1) / 64
-        w[touched] -= rate * g / np.sqrt(memory[touched] + 1e-3)[:, None]
-
-
 @dataclass
 class Weights:
-    """Rows of the classes' softmax, and the cells of the softmaxes inside classes, read as rows of any width."""
+    """Rows of the classes' softmax, and the cells of the halves; both in powers of two."""
 
     classes: np.ndarray
     cells: np.ndarray
@@ -302,128 +264,213 @@ class Weights:
     def none(cls, v: Vocabulary, rows: int, cells: int) -> Weights:
         return cls(np.zeros((rows, len(v.totals)), np.float32), np.zeros(cells, np.float32))
 
-    def copy(self) -> Weights:
-        return Weights(self.classes.copy(), self.cells.copy())
-
-    def blocks(self) -> list[np.ndarray]:
-        """Views of all weights, of a bounded size each; weights in one row were touched by the same tokens."""
-        rows = max(1, BLOCK // self.classes.shape[1])
-        cells = self.cells.reshape(-1, 1)
-        return [x[k : k + n] for x, n in ((self.classes, rows), (cells, BLOCK)) for k in range(0, len(x), n)]
-
-
-class _Learner:
-    """Gradient steps of one task, on both softmaxes."""
 
-    def __init__(self, v: Vocabulary, w: Weights, rate: float):
-        self.w, self.rate, self.prior, self.inside = w, rate, v.prior, _Inside(v)
-        self.memory = np.zeros(len(w.classes), np.float32)
-        #: Tokens by which each row of the classes and each cell learnt.
-        self.seen = Weights(np.zeros((len(w.classes), 1), np.float32), np.zeros(len(w.cells), np.float32))
-        self.memories = {width: np.zeros(len(w.cells) // width, np.float32) for width in self.inside.priors}
-
-    def step(self, hashes: np.ndarray, classes: np.ndarray, ranks: np.ndarray) -> None:
-        w = self.w
-        _learn(w.classes, self.memory, (hashes & _U(len(w.classes) - 1)).astype(np.int32), classes, self.prior, self.rate, self.seen.classes[:, 0])
-        for width, at, rows, prior in self.inside.parts(hashes, classes, len(w.cells)):
-            _learn(w.cells.reshape(-1, width), self.memories[width], rows, self.inside.place[ranks[at]], prior, self.rate, self.seen.cells.reshape(-1, width))
-
-
-def _log_chances(w: Weights, inside: _Inside, hashes: np.ndarray, classes: np.ndarray, ranks: np.ndarray, prior: np.ndarray) -> np.ndarray:
+def cell_of(feature: np.ndarray, keys: np.ndarray, cells: int) -> np.ndarray:
+    """Cells of one template's features and halves: every template has a part of its own, small enough for a processor's cache."""
+    h = feature ^ keys
+    h *= _ODD32
+    h >>= np.uint32(33 - (cells // PARTS).bit_length())
+    return h.astype(np.int64)
+
+
+class Batch:
+    """The sparse form of some tokens - rows and cells of their features - and the model's chances of all that they meet; without weights
+    the chances of halves are their shares and those of classes are left out."""
+
+    def __init__(self, w: Weights | None, shape: tuple[int, int, int], halves: Halves, prior: np.ndarray, features: np.ndarray, ranks: np.ndarray):
+        rows, _, cells = shape
+        self.rows = (features & _U(rows - 1)).astype(np.int64)
+        self.token, half, self.sides = halves.ways(ranks)
+        keys = half.astype(np.uint32) * _GOLD32
+        upper = (features >> _U(32)).astype(np.uint32)
+        self.cells: list[np.ndarray] = []
+        self.chances = None  # by class, then token
+        if w is None:
+            for x in upper:
+                self.cells.append(cell_of(x[self.token], keys, cells))
+            self.second = halves.share[half]
+            return
+        z = w.classes[self.rows[0]]
+        for x in self.rows[1:]:
+            z += w.classes[x]
+        z = np.ascontiguousarray(z.T)
+        z += prior[:, None]
+        z -= z.max(axis=0)
+        np.exp(z, out=z)
+        z /= z.sum(axis=0)
+        self.chances = z
+        y, part = halves.prior[half], cells // PARTS
+        for k, x in enumerate(upper):
+            at = cell_of(x[self.token], keys, cells)
+            y += w.cells[k * part : (k + 1) * part][at]
+            self.cells.append(at)
+        np.negative(y, out=y)
+        np.exp(y, out=y)
+        y += 1
+        self.second = np.reciprocal(y, out=y)  # the chance of the second side
+
+
+def log_chances(w: Weights, halves: Halves, v: Vocabulary, features: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Logarithms of P(class | history) P(word | class, history), the second left out in the class of all rarer words."""
-    z = _log_softmax(w.classes, (hashes & _U(len(w.classes) - 1)).astype(np.int32), prior)
-    out = z[np.arange(len(z)), classes].astype(np.float64)
-    for width, at, rows, shares in inside.parts(hashes, classes, len(w.cells)):
-        z = _log_softmax(w.cells.reshape(-1, width), rows, shares)
-        out[at] += z[np.arange(len(z)), inside.place[ranks[at]]]
+    b = Batch(w, (*w.classes.shape, len(w.cells)), halves, v.prior, features, ranks)
+    out = np.log(np.maximum(b.chances[v.classes[ranks], np.arange(len(ranks))].astype(np.float64), 1e-30))
+    taken = np.where(b.sides, b.second, 1 - b.second)
+    return out + np.bincount(b.token, weights=np.log(np.maximum(taken, 1e-30)), minlength=len(ranks))
+
+
+class Sums:
+    """What a task adds up in a round: what is expected of each feature and outcome and, in the first round, what is met."""
+
+    def __init__(self, rows: int, classes: int, cells: int, met: bool):
+        self.shape, self.met = (rows, classes, cells), met
+        sizes = [rows * classes + cells, rows * classes + cells, rows + cells] if met else [rows * classes + cells]
+        self.parts = [np.zeros(n) for n in sizes]
+        #: Single precision is enough for the tokens between two calls of ``settle``.
+        self.open = [np.zeros(n, np.float32) for n in sizes]
+
+    def add(self, b: Batch, classes: np.ndarray) -> None:
+        (rows, width, cells), one = self.shape, np.float32(1)
+        size, part, outcomes = rows * width, cells // PARTS, np.arange(width)[:, None]
+        # types that came out of a broadcast are equal to numpy's own but not the same, which ``add.at`` answers by its slow way
+        second, sides = b.second.astype(np.float32), b.sides.astype(np.float32)
+        chances = None if b.chances is None else b.chances.astype(np.float32).ravel()
+        for k, (row, cell) in enumerate(zip(b.rows, b.cells, strict=True)):
+            at, first = row * width, size + k * part
+            if chances is not None:
+                np.add.at(self.open[0], (at + outcomes).ravel(), chances)
+            np.add.at(self.open[0][first : first + part], cell, second)
+            if self.met:
+                np.add.at(self.open[1], at + classes, one)
+                np.add.at(self.open[1][first : first + part], cell, sides)
+                np.add.at(self.open[2], row, one)
+                np.add.at(self.open[2][rows + k * part : rows + (k + 1) * part], cell, one)
+
+    def settle(self) -> list[np.ndarray]:
+        """Adds what is open to the sums, and returns them."""
+        for total, x in zip(self.parts, self.open, strict=True):
+            total += x
+            x[:] = 0
+        return self.parts
+
+
+def stepped(w: Weights, expected: np.ndarray, seen: np.ndarray, times: np.ndarray, strength: float) -> Weights:
+    """One step of scaling of every weight."""
+    rows, width = w.classes.shape
+    size = rows * width
+
+    def share(met, wanted, n):
+        """What was expected of ``n`` tokens, and what was met, drawn towards that."""
+        p = np.clip(wanted / np.maximum(n, 1), 1e-7, 1 - 1e-7)
+        return p, np.clip((met + strength * p) / (n + strength), 1e-7, 1 - 1e-7)
+
+    p, q = share(seen[:size].reshape(rows, width), expected[:size].reshape(rows, width), times[:rows, None])
+    classes = w.classes + np.where(times[:rows, None] > 0, np.log(q / p) / TEMPLATES, 0)
+    p, q = share(seen[size:], expected[size:], times[rows:])
+    cells = w.cells + np.where(times[rows:] > 0, (np.log(q / (1 - q)) - np.log(p / (1 - p))) / TEMPLATES, 0)
+    return Weights(classes.astype(np.float32), cells.astype(np.float32))
+
+
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of vectors of equal blocks, which follow each other."""
+
+    def done():
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
+
+    at, total = None, None
+    for b in batches:
+        for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            x = np.frombuffer(raw.as_buffer(), np.float32)
+            if k != at:
+                if at is not None:
+                    yield done()
+                at, total = k, np.zeros(len(x))
+            total += x
+    if at is not None:
+        yield done()
+
+
+def sums_of(train: DataFrame, v, halves, weights, shape: tuple[int, int, int]) -> list[np.ndarray]:
+    """What the model of ``weights`` expects of all training texts or, without weights, what their shares do and what the texts hold.
+    ``v``, ``halves`` and ``weights`` are broadcast; ``shape``: rows, classes and cells."""
+    met = weights is None
+
+    def run(batches):
+        voc, ways, w = v.value, halves.value, None if met else weights.value
+        sums, prior = Sums(*shape, met), voc.prior
+        with np.errstate(over="ignore"):
+            for b in slices(batches, 0, 4 << 20):
+                r, n, _ = _ranks(b.column(0), voc.keys, voc.ranks)
+                f = _features(r, n, voc)
+                for i in range(0, len(r), STEP):
+                    sums.add(Batch(w, shape, ways, prior, f[:, i : i + STEP], r[i : i + STEP]), voc.classes[r[i : i + STEP]])
+                sums.settle()
+        first = 0
+        for x in sums.parts:
+            for k in range(0, len(x), BLOCK):
+                part = x[k : k + BLOCK]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([first + k // BLOCK], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["block", "sums"])
+            first += -(-len(x) // BLOCK)
+
+    blocks = train.select("text").mapInArrow(run, "block int, sums binary").repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block int, sums binary")
+    out = Sums(*shape, met).parts
+    places = [part[k : k + BLOCK] for part in out for k in range(0, len(part), BLOCK)]
+    for r in blocks.toLocalIterator():  # as large as the weights
+        places[r["block"]][:] = np.frombuffer(r["sums"])
+    if met:  # of classes every row expects their shares
+        rows, width, _ = shape
+        out[0][: rows * width] = np.outer(out[2][:rows], np.exp(v.value.prior)).ravel()
     return out
 
 
-def fit(train: DataFrame, v: Vocabulary, rows: int = 1 << 14, rounds: int = 2, rate: float = 0.1, cells: int = 1 << 22) -> Weights:
-    """Weights of both softmaxes, ``rows`` and ``cells`` being powers of two: every round reads all training texts."""
+def fit(train: DataFrame, v: Vocabulary, halves: Halves, rows: int = 1 << 14, rounds: int = 2, cells: int = 1 << 18, strength: float = 10.0) -> Weights:
+    """Weights of all features, ``rows`` and ``cells`` being powers of two: every round reads all training texts."""
     context = train.sparkSession.sparkContext
-    weights = Weights.none(v, rows, cells)
-    if not v.tokens:
+    weights, shape = Weights.none(v, rows, cells), (rows, len(v.totals), cells)
+    if not v.tokens or not rounds:
         return weights
-    words, names = context.broadcast(v), ["block", "delta", "times"]
-    for turn in range(rounds):
+    shared = [context.broadcast(v), context.broadcast(halves)]
+    expected, *met = sums_of(train, *shared, None, shape)
+    weights = stepped(weights, expected, *met, strength)
+    for _ in range(rounds - 1):
         common = context.broadcast(weights)
-
-        def run(batches, common=common, rate=rate / (1 + turn)):
-            v, w = words.value, common.value.copy()
-            known, learner = _Ranks(v.keys, v.ranks), _Learner(v, w, rate)
-            with np.errstate(over="ignore"):
-                for b in batches:
-                    r, n, _ = _batch_ranks(b.column(0).to_pylist(), known)
-                    f, c = _features(r, n, v), v.classes[r]
-                    for i in range(0, len(r), STEP):
-                        learner.step(f[:, i : i + STEP], c[i : i + STEP], r[i : i + STEP])
-            per = max(1, BLOCK // w.classes.shape[1])
-            seen = [x[k : k + n] for x, n in ((learner.seen.classes, per), (learner.seen.cells.reshape(-1, 1), BLOCK)) for k in range(0, len(x), n)]
-            for k, (mine, old, times) in enumerate(zip(w.blocks(), common.value.blocks(), seen, strict=True)):
-                if times.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([((mine - old) * times).tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary())], names)
-
-        def add(batches):
-            def mean():
-                delta = total.reshape(len(times), -1) / np.maximum(times, 1)[:, None]
-                return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([delta.tobytes()], pa.binary())], names[:2])
-
-            at, total, times = None, None, None
-            for b in batches:
-                for k, raw, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if k != at:
-                        if total is not None:
-                            yield mean()
-                        at, total, times = k, np.zeros(len(raw) // 4, np.float32), np.zeros(len(n) // 4, np.float32)
-                    total += np.frombuffer(raw, np.float32)
-                    times += np.frombuffer(n, np.float32)
-            if total is not None:
-                yield mean()
-
-        deltas = train.select("text").mapInArrow(run, "block int, delta binary, times binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, delta binary")
-        weights = weights.copy()
-        blocks = weights.blocks()
-        for r in deltas.toLocalIterator():  # as large as the weights
-            b = blocks[r["block"]]
-            b += np.frombuffer(r["delta"], np.float32).reshape(b.shape)
-        common.unpersist()
+        weights = stepped(weights, *sums_of(train, *shared, common, shape), *met, strength)
+        common.destroy()
+    for x in shared:
+        x.destroy()
     return weights
 
 
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, model double, rare array<bigint>"
 
 
-def _score_frequent(docs: DataFrame, v: Vocabulary, weights: Weights) -> DataFrame:
+def _score_frequent(docs: DataFrame, v, halves, weights) -> DataFrame:
     """Scores without the counts of rare words, whose keys are listed."""
-    context = docs.sparkSession.sparkContext
-    words, common = context.broadcast(v), context.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = words.value, common.value
-        known = _Ranks(v.keys, v.ranks)
-        row, prior = TaskContext.get().partitionId() << 40, v.prior
-        base = np.append(np.log10((v.counts + 0.5) / v.denominator), 0.0)
-        inside = _Inside(v)
+        voc, ways, w = v.value, halves.value, weights.value
+        row = TaskContext.get().partitionId() << 40
+        base = np.append(np.log10((voc.counts + 0.5) / voc.denominator), 0.0)
         with np.errstate(over="ignore"):
-            for b in batches:
-                r, n, rare = _batch_ranks(b.column(2).to_pylist(), known, True)
-                f, c = _features(r, n, v), v.classes[r]
-                p = np.empty(len(r))
+            for b in slices(batches, 2, 4 << 20):
+                r, n, keys = _ranks(b.column(2), voc.keys, voc.ranks)
+                f, p = _features(r, n, voc), np.empty(len(r))
                 for i in range(0, len(r), STEP):
-                    p[i : i + STEP] = _log_chances(w, inside, f[:, i : i + STEP], c[i : i + STEP], r[i : i + STEP], prior)
+                    p[i : i + STEP] = log_chances(w, ways, voc, f[:, i : i + STEP], r[i : i + STEP])
                 p /= math.log(10)
-                first = np.cumsum(n) - n
-                sums = [np.add.reduceat(x, first) if len(n) else np.empty(0) for x in (base[r], p)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), b.column(0), b.column(1), pa.array(n), pa.array(n - np.array([len(k) for k in rare], np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(rare, pa.list_(pa.int64()))], [c.split()[0] for c in _SCORED.split(", ")])
+                first, rare = np.cumsum(n) - n, r == len(voc.keys)
+                n_rare = np.add.reduceat(rare, first, dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()), pa.array(keys[rare]))
+                sums = [pa.array(np.add.reduceat(x, first)) for x in (base[r], p)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), b.column(0), b.column(1), pa.array(n), pa.array(n - n_rare), *sums, lists], [c.split()[0] for c in _SCORED.split(", ")])
                 row += len(n)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _SCORED)
 
 
-def score(docs: DataFrame, held_out: Column | None = None, frequent: int = 1 << 18, rows: int = 1 << 14, rounds: int = 2, cells: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, frequent: int = 1 << 18, rows: int = 1 << 14, rounds: int = 2, cells: int = 1 << 18, strength: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row, learning from those not held out."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2500)
     held = F.coalesce((fold_of(id_col) == 1) if held_out is None else held_out, F.lit(False))
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
     train = data.where("not held_out")
@@ -433,11 +480,16 @@ def score(docs: DataFrame, held_out: Column | None = None, frequent: int = 1 <<
         n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\x09-\\x0D]+"), lambda x: x != "")).cast("long") + 1
         zero = F.lit(0).cast("long")
         return data.select("doc_id", "held_out", n.alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    scored = written(_score_frequent(data, v, fit(train, v, rows, rounds, cells=cells)), "scored")
+    halves = Halves(v)
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(x) for x in (v, halves, fit(train, v, halves, rows, rounds, cells, strength))]
+    scored = written(_score_frequent(data, *shared), "scored")
+    for x in shared:
+        x.destroy()
     unit, share = math.log10(v.denominator), math.log10(v.totals[-1])
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("n"))
     # frequent words are counted already: only the others can be in these lists
-    found = rare.join(counts.where(F.col("c") <= v.rare_most), "key", "left")
+    found = rare.join(counts.where((_level() < v.least) & (F.col("key") != END_KEY)), "key", "left")
     c = F.coalesce("c", F.lit(0))
     sums = found.groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(c + 0.5)).alias("logs"))
     n, logs = F.coalesce("n", F.lit(0)), F.coalesce("logs", F.lit(0.0))
@@ -447,4 +499,4 @@ def score(docs: DataFrame, held_out: Column | None = None, frequent: int = 1 <<
         F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + logs - n * unit).alias("base_score"),
         (F.col("model") + logs - n * share).alias("score"),
-    )
+    )
