@@ -69,8 +69,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys, test = _filtered(docs, id_col, text_col, bits_per_row, hashes, max_bits)
     tested = keys.withColumn("again", test(F.col("sha")))
     alone = tested.where(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    rows = tested.where("again").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    groups = rows.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # both written, so that a hot group's rows stand alone on one side of the join, which can then be split
+    rows = space.written(tested.where("again").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("n")), "again")
+    groups = space.written(rows.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     shuffled = (
         rows.join(groups, "sha")
         .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
@@ -85,12 +86,12 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that the filter clears keep their place; the texts of the others are not shuffled either: a
     digest and id decide.
     """
+    sha, again, chosen_sha, keep = space.free_names(docs, "sha", "again", "chosen_sha", "keep")
     keys, test = _filtered(docs, id_col, text_col, bits_per_row, hashes, max_bits)
-    chosen = keys.where(test(F.col("sha"))).groupBy("sha").agg(F.max("doc_id").alias("_keep_id"))
-    tested = docs.withColumn("_sha", digest(text_col)).withColumn("_again", test(F.col("_sha")))
-    alone = tested.where(~F.col("_again"))
-    again = tested.where("_again").join(chosen.withColumnRenamed("sha", "_sha"), "_sha").where(F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")))
-    return alone.select(*docs.columns).unionByName(again.dropDuplicates(["_sha"]).select(*docs.columns))
+    chosen = space.written(keys.where(test(F.col("sha"))).groupBy(F.col("sha").alias(chosen_sha)).agg(F.max("doc_id").alias(keep)), "chosen")
+    tested = docs.withColumn(sha, digest(text_col)).withColumn(again, test(F.col(sha)))
+    mine = tested.where(F.col(again)).join(chosen, F.col(sha) == F.col(chosen_sha)).where(F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
+    return tested.where(~F.col(again)).select(*docs.columns).unionByName(mine.dropDuplicates([sha]).select(*docs.columns))
 
 
 ORACLE = """

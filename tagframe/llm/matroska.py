@@ -6,7 +6,8 @@ groups, the three kinds of lacing, and cues. Every packet keeps its byte range i
 reader can fetch single packets without parsing the rest.
 
 Defined cases: a null text is an empty one; a payload is padded with zeros to a positive multiple of
-64, so an empty text gives 64 zero samples; equal texts give equal files. Damaged files raise ValueError.
+64, so an empty text gives 64 zero samples; equal texts give equal files. Damaged files raise ValueError, and so does asking for
+the payload of a track whose frames are compressed or encrypted; bytes stripped from the frames' heads are put back.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .space import small_batches, utf8
+from .words import slices
 
 # Fixed values of the format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION, ENCODINGS, ENCODING, COMPRESSION, COMPRESSION_KIND, COMPRESSION_SETTINGS, ENCRYPTION = 0x23E383, 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
+STRIPPED = 3
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-MASTERS = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_TRACK_POSITIONS}
 TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
@@ -43,7 +46,7 @@ CLUSTER_FRAMES = 32
 
 class Packet(NamedTuple):
     track: int
-    timestamp: int  # in units of the file's timestamp scale; frames of a lace share their block's
+    timestamp: int  # in units of the file's timestamp scale; frames of a lace share their block's unless the track has a duration of frames
     lace_index: int
     offset: int
     size: int
@@ -100,7 +103,7 @@ _TRACK = _element(
     TRACKS,
     _element(
         TRACK_ENTRY,
-        _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(FLAG_LACING, 1) + _element(CODEC_ID, b"A_PCM/INT/LIT") + _element(AUDIO, _element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8)),
+        _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(FLAG_LACING, 1) + _uint(DEFAULT_DURATION, FRAME * 10**9 // RATE) + _element(CODEC_ID, b"A_PCM/INT/LIT") + _element(AUDIO, _element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8)),
     ),
 )
 
@@ -218,6 +221,20 @@ def _block(data: bytes, at: int, end: int, base: int, keyframe: bool | None) ->
     return out
 
 
+def _stripped(data: bytes, at: int, end: int) -> bytes | None:
+    """The bytes that a track's encoding took off the head of each frame; None if the frames are encoded in another way."""
+    head = b""
+    for kind, _, x, y in elements(data, at, end):
+        inner = {c: (p, q) for c, _, p, q in elements(data, x, y)}
+        if kind != ENCODING or ENCRYPTION in inner or COMPRESSION not in inner:
+            return None
+        how = {c: (p, q) for c, _, p, q in elements(data, *inner[COMPRESSION])}
+        if COMPRESSION_KIND not in how or _number(data, *how[COMPRESSION_KIND]) != STRIPPED:
+            return None
+        head = data[slice(*how.get(COMPRESSION_SETTINGS, (0, 0)))] + head
+    return head
+
+
 def parse(data: bytes) -> Media:
     scale, tracks, packets, cues, clusters = 1_000_000, {}, [], [], []
     seen = False
@@ -236,7 +253,7 @@ def parse(data: bytes) -> Media:
                             got = {c: (p, q) for c, _, p, q in elements(data, x, y)}
                             audio = {c: (p, q) for c, _, p, q in elements(data, *got[AUDIO])} if AUDIO in got else {}
                             rate = data[slice(*audio[SAMPLING_FREQUENCY])] if SAMPLING_FREQUENCY in audio else b""
-                            tracks[_number(data, *got[TRACK_NUMBER])] = {"type": _number(data, *got[TRACK_TYPE]), "codec": data[slice(*got[CODEC_ID])].decode(), "rate": struct.unpack(">d" if len(rate) == 8 else ">f", rate)[0] if rate else None, "bits": _number(data, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else None}
+                            tracks[_number(data, *got[TRACK_NUMBER])] = {"type": _number(data, *got[TRACK_TYPE]), "codec": data[slice(*got[CODEC_ID])].decode(), "rate": struct.unpack(">d" if len(rate) == 8 else ">f", rate)[0] if rate else None, "bits": _number(data, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else None, "frame_ns": _number(data, *got[DEFAULT_DURATION]) if DEFAULT_DURATION in got else None, "stripped": _stripped(data, *got[ENCODINGS]) if ENCODINGS in got else b""}
                 elif kind == CLUSTER:
                     base = 0
                     for k, _, x, y in elements(data, a, e):
@@ -260,11 +277,18 @@ def parse(data: bytes) -> Media:
                                     cues.append((time, place[CUE_TRACK], segment + place[CUE_CLUSTER_POSITION]))
     if not seen:
         raise ValueError("not a Matroska file")
+    step = {k: t["frame_ns"] // scale for k, t in tracks.items() if t["frame_ns"]}
+    packets = [p._replace(timestamp=p.timestamp + p.lace_index * step[p.track]) if p.lace_index and p.track in step else p for p in packets]
     return Media(scale, tracks, packets, cues, clusters)
 
 
 def payload_of(data: bytes, media: Media | None = None, track: int = 1) -> bytes:
-    return b"".join(data[p.offset : p.offset + p.size] for p in (media or parse(data)).packets if p.track == track)
+    """A track's frames; ValueError if they are compressed or encrypted."""
+    media = media or parse(data)
+    head = media.tracks.get(track, {}).get("stripped", b"")
+    if head is None:
+        raise ValueError(f"frames of track {track} are encoded")
+    return b"".join(head + data[p.offset : p.offset + p.size] for p in media.packets if p.track == track)
 
 
 def padded(data: bytes) -> bytes:
@@ -279,7 +303,7 @@ def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     small_batches(docs.sparkSession)
 
     def write(batches):
-        for b in batches:
+        for b in slices(batches, 1, 4 << 20):
             raw = [utf8(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([mux_bytes(padded(r)) for r in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -321,7 +345,7 @@ def describe(media: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in _READ.split(", ")]
 
     def read(batches):
-        for b in batches:
+        for b in slices(batches, 2, 4 << 20):
             out = [[], [], [], [], [], []]
             for data in b.column("media").to_pylist():
                 m = parse(data)

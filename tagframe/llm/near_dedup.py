@@ -31,50 +31,36 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exact_dedup import bloom_filter, maybe_in
-from .space import small_batches, utf8, written
+from .space import free_names, small_batches, written
+from .words import ascii_words, hashes, mix, slices
 
 _U = np.uint64
-_C1, _C2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
+_GOLD = _U(0x9E3779B97F4A7C15)
 #: Documents of a block in the comparison across components.
 BLOCK = 512
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _C1
-    x = (x ^ (x >> _U(27))) * _C2
-    return x ^ (x >> _U(31))
-
-
-class _Words(dict):
-    """Hashes of words seen; started anew when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-class Shingler:
-    def __init__(self, words: int = 5):
-        self.words = words
-        self.known = _Words()
-        with np.errstate(over="ignore"):
-            self.odd = mix(np.arange(1, words + 1, dtype=_U) * _GOLD) | _U(1)
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Sorted distinct 64-bit hashes of a text's shingles."""
-        if len(self.known) > 500_000:
-            self.known.clear()
-        words = utf8(text).lower().split()  # of bytes: A-Z only, and the six ASCII blanks
-        if not words:
-            return np.empty(0, _U)
-        if len(words) < self.words:
-            return np.array([xxhash.xxh64_intdigest(b"\x20".join(words), seed=len(words))], _U)
-        h = np.fromiter(map(self.known.__getitem__, words), _U, len(words))
-        n = len(h) - self.words + 1
+def shingles(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles."""
+    w = ascii_words(texts)
+    ends = np.cumsum(w.sizes)
+    with np.errstate(over="ignore"):
+        h = hashes(w.distinct)[w.ids]
+        odd = mix(np.arange(1, words + 1, dtype=_U) * _GOLD) | _U(1)
+        n = max(0, len(h) - words + 1)
         total = np.zeros(n, _U)
-        for j in range(self.words):
-            total += mix(h[j : j + n] * self.odd[j])
-        return np.unique(mix(total))
+        for j in range(words):
+            total += mix(h[j : j + n] * odd[j])
+        total = mix(total)
+        out = []
+        for end, size in zip(ends.tolist(), w.sizes.tolist(), strict=True):
+            if size >= words:
+                out.append(np.unique(total[end - size : end - words + 1]))
+            elif size:  # the whole, told apart from longer ones by its size
+                out.append(mix(np.array([sum(int(x) * int(k) for x, k in zip(mix(h[end - size : end] * odd[:size]), odd, strict=False)) + size & (1 << 64) - 1], _U)))
+            else:
+                out.append(np.empty(0, _U))
+    return out
 
 
 def signature(hashes: np.ndarray, coordinates: int) -> np.ndarray:
@@ -108,12 +94,10 @@ def _slots(tokens: np.ndarray, width: int) -> np.ndarray:
 
 def _signatures_of(docs: DataFrame, id_col: str, text_col: str, words: int, coordinates: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for b in batches:
+        for b in slices(batches, 1, 4 << 20):
             n, keys, sigs = [], [], []
             with np.errstate(over="ignore"):
-                for text in b.column(1).to_pylist():
-                    s = shingler.shingles(text)
+                for s in shingles(b.column(1), words):
                     n.append(len(s))
                     keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                     sigs.append(signature(s, coordinates).tobytes() if len(s) else None)
@@ -130,9 +114,9 @@ def _sketch(nodes: DataFrame, coordinates: int, rows: int, width_max: int = 1 <<
 
     def count(batches):
         total = np.zeros(width, np.uint32)
-        for b in batches:
+        for b in slices(batches, 0):
             sigs = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32).reshape(-1, coordinates)
-            total += np.bincount(_slots(_tokens(sigs), width).ravel(), minlength=width).astype(np.uint32)
+            np.add.at(total, _slots(_tokens(sigs), width).ravel(), np.uint32(1))
         blocks = [i for i in range(width // part) if total[i * part : (i + 1) * part].any()]
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([total[i * part : (i + 1) * part].tobytes() for i in blocks], pa.binary())], ["block", "counts"])
 
@@ -160,11 +144,12 @@ def _one_block(block: int, total: np.ndarray) -> pa.RecordBatch:
 
 
 def _postings(nodes: DataFrame, sketch: np.ndarray, coordinates: int, prefix: int) -> DataFrame:
+    """``token, node, score``, written."""
     shared = nodes.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
         counts = shared.value
-        for b in batches:
+        for b in slices(batches, 1):
             ids = b.column(0).to_numpy()
             sigs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, coordinates)
             tokens = _tokens(sigs)
@@ -174,7 +159,9 @@ def _postings(nodes: DataFrame, sketch: np.ndarray, coordinates: int, prefix: in
             t = np.take_along_axis(tokens, order, 1)
             yield pa.RecordBatch.from_arrays([pa.array(t.ravel()), pa.array(np.repeat(ids, prefix)), pa.array(np.repeat(score, prefix))], ["token", "node", "score"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "token long, node long, score long")
+    out = written(nodes.select("node", "sig").mapInArrow(run, "token long, node long, score long"), "postings")
+    shared.destroy()
+    return out
 
 
 def _enough(both: int, a: int, b: int, percent: int) -> bool:
@@ -185,7 +172,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that are similar enough on full sets."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             keep = []
             for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
@@ -200,7 +187,7 @@ def _screen(pairs: DataFrame, nodes: DataFrame, coordinates: int, matches: int)
     """Pairs whose signatures agree in enough coordinates."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, coordinates) for c in ("sig_a", "sig_b"))
             yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= matches))
 
@@ -216,17 +203,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
     rows = rows.where(maybe_in(F.col("node"), written(bloom, "bloom").scalar(), bits))
 
     def run(batches):
-        shingler = Shingler(words)
-        for b in batches:
-            with np.errstate(over="ignore"):
-                sets = [shingler.shingles(t) for t in b.column(1).to_pylist()]
+        for b in slices(batches, 1, 4 << 20):
+            sets = shingles(b.column(1), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"]).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
 
     return written(rows.mapInArrow(run, "node long, shingles binary").join(wanted, "node", "left_semi"), "sets")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of equal leading columns from sorted batches."""
+    """Tables of equal leading columns from sorted batches; the column that makes rows large is the sixth."""
+    batches = slices(batches, 5, 4 << 20)
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
@@ -320,7 +306,7 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, coordinates:
     prefix = coordinates - matches + 1
     all_rows = written(_signatures_of(docs, id_col, text_col, words, coordinates), "signatures")
     nodes = written(all_rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "nodes")
-    postings = written(_postings(nodes, _sketch(nodes, coordinates, nodes.count()), coordinates, prefix), "postings")
+    postings = _postings(nodes, _sketch(nodes, coordinates, nodes.count()), coordinates, prefix)
 
     # each document against the leader of its lists
     leader = F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("top")
@@ -346,13 +332,14 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, coordinates:
     first = found.join(upper.select(F.col("node").alias("component"), F.col("component").alias("_top")), "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("_top", "component").alias("component"))
     # of equal sets the smallest id stands for all
     named = nodes.join(written(first, "components"), "node", "left").select("set_key", F.coalesce("component", "node").alias("_component"), "n", "node")
-    named = named.where("n > 1 or _component <> node").drop("node", "n")
+    named = written(named.where("n > 1 or _component <> node").drop("node", "n"), "named")
+    rows = all_rows.select("doc_id", "n_shingles", "set_key")
+    # rows without a set are a group of their own and need no partner
+    full = rows.where("set_key is not null").join(named, "set_key", "left").unionByName(rows.where("set_key is null").withColumn("_component", F.lit(None).cast("long")))
     return (
-        all_rows.select("doc_id", "n_shingles", "set_key")
-        .join(named, "set_key", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
+        full.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    )
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch], coordinates: int) -> Iterator[pa.RecordBatch]:
@@ -364,5 +351,6 @@ def _bytes_of(batches: Iterator[pa.RecordBatch], coordinates: int) -> Iterator[p
 def drop_near(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, all columns as they were."""
     groups = written(near_groups(docs, percent, words, id_col=id_col, text_col=text_col), "groups")
-    dropped = groups.where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    gone = free_names(docs, "gone")[0]
+    dropped = groups.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti")

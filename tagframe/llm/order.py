@@ -64,7 +64,7 @@ def sequence_counts(rows: DataFrame, tokenizer: str, length_max: int, path: str)
     def run(batches):
         encoder, n = word_tokenizer(tokenizer), 0
         encoder.forget()
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, keep=True):
             n += int((encoder.count(b.column(0)) // length_max + 1).sum())
         fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
@@ -101,7 +101,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int =
             fs, root = pafs.FileSystem.from_uri(path)
             with fs.open_input_file(f"{root}/{parts[part][1]}") as f:
                 encoder.load(f)
-        for b in slices(batches, 1, 4 << 20):
+        for b in slices(batches, 1, 4 << 20, keep=True):
             flat, sizes = encoder.encode_flat(b.column(1))
             whole = np.full(len(flat) + len(sizes), end_id, f"<u{width}")
             whole[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .space import small_batches, utf8
 from .tokens import CachedEncoder, file_of
+from .words import held
 
 MARK = "▁"
 #: What a model takes off an unknown character, beside its least score.
@@ -132,13 +133,8 @@ class Pieces(CachedEncoder):
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_KNOWN: dict[str, Pieces] = {}
-
-
 def pieces_of(path: str) -> Pieces:
-    if path not in _KNOWN:
-        _KNOWN[path] = Pieces(path)
-    return _KNOWN[path]
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, lm_score, matroska, near_dedup, order, packing, pieces, suffix_dedup, toxicity, warc
-from .space import table
+from .space import table, written
 
 
 def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.describe(matroska.mux(table(spark, sf_dir, "documents")))
+    return matroska.describe(written(matroska.mux(table(spark, sf_dir, "documents")), "media"))
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,36 +1,12 @@
-"""The shared folder in which operators cut lineage and keep their files."""
+"""The shared folder and small helpers of this package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tagframe.operators.lineage import folder, written
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``.
-
-    Only a purely local session may leave that setting unset; a temporary folder then takes its
-    place for the rest of the session. On a cluster an unset setting is an error, since executors
-    could not see each other's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tagframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later stages start from the files."""
-    spark = df.sparkSession
-    path = folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "free_names", "small_batches", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows that a Python task holds at once, unless the session has a smaller bound."""
+    """Bounds the rows that Spark hands a Python task at once, for the rest of the session and never above what it has set. Tasks
+    themselves take their rows by bytes (``words.slices``); this only keeps Spark's own batches small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many marks after it as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")

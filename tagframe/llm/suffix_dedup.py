@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import bloom_filter, maybe_in
 from .induced import common_prefixes, suffix_array
-from .near_dedup import mix
-from .space import small_batches, utf8, written
+from .space import free_names, small_batches, utf8, written
+from .words import mix, slices
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -132,7 +132,9 @@ def _place_key(doc_id: int | None, text_hash: int, first: np.ndarray) -> np.ndar
 
 
 def _text_hash(data: bytes) -> int:
-    return xxhash.xxh64_intdigest(data) - (1 << 63)
+    """As Spark's ``xxhash64`` of the text."""
+    h = xxhash.xxh64_intdigest(data, seed=42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -141,7 +143,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _anchor_hashes(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1, 2 << 20):
             got = [np.empty(0, np.int64)]
             for text in b.column(1).to_pylist():
                 got += [h for h, _, _ in anchors(np.frombuffer(utf8(text), np.uint8), length, gram)]
@@ -160,9 +162,18 @@ def _contexts(rows: DataFrame, length: int, gram: int, bloom, with_bytes: bool)
 
     def run(batches):
         held = bloom.value
-        for b in batches:
-            out: list[list] = [[] for _ in names]
-            raw: list[bytes] = []
+        out: list[list] = [[] for _ in names]
+        raw: list[bytes] = []
+        size = 0
+
+        def flush():
+            columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+            batch = pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] * with_bytes)], [*names, *(["bytes"] * with_bytes)])
+            for c in (*out, raw):
+                c.clear()
+            return batch
+
+        for b in slices(batches, 1, 2 << 20):
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = utf8(text)
                 if len(data) < length:
@@ -170,16 +181,19 @@ def _contexts(rows: DataFrame, length: int, gram: int, bloom, with_bytes: bool)
                 text_hash = _text_hash(data)
                 for h, first, n in anchors(np.frombuffer(data, np.uint8), length, gram):
                     keep = _member(held, _place_key(ident, text_hash, first) if with_bytes else h)
-                    if not keep.any():
-                        continue
                     h, first, n = h[keep], first[keep].tolist(), n[keep].tolist()
-                    parts = [data[s : s + k + length - 1] for s, k in zip(first, n, strict=True)]
-                    for column, values in zip(out, (h.tolist(), map(xxhash.xxh3_128_digest, parts), [ident] * len(first), [text_hash] * len(first), first, n), strict=True):
-                        column.extend(values)
-                    if with_bytes:
-                        raw += parts
-            columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] * with_bytes)], [*names, *(["bytes"] * with_bytes)])
+                    for k in range(0, len(first), 8192):
+                        parts = [data[s : s + m + length - 1] for s, m in zip(first[k : k + 8192], n[k : k + 8192], strict=True)]
+                        mine = (h[k : k + 8192].tolist(), map(xxhash.xxh3_128_digest, parts), [ident] * len(parts), [text_hash] * len(parts), first[k : k + 8192], n[k : k + 8192])
+                        for column, values in zip(out, mine, strict=True):
+                            column.extend(values)
+                        if with_bytes:
+                            raw += parts
+                        size += len(parts)
+                        if size >= 8192:
+                            yield flush()
+                            size = 0
+        yield flush()
 
     return rows.mapInArrow(run, _CONTEXT + ", bytes binary" * with_bytes)
 
@@ -219,7 +233,7 @@ def _sort_shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFram
                 out += [(anchor, context, int(a), int(b)) for a, b in zip(*_runs(flags), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int32()))], ["anchor", "context", "lo", "hi"])
 
-        for b in batches:
+        for b in slices(batches, 2, 1 << 20):
             for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "bytes")), strict=True):
                 if size >= shard_bytes and row[0] != last:
                     yield sort()
@@ -230,14 +244,16 @@ def _sort_shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFram
         if held:
             yield sort()
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, _FOUND)
+    # work grows with the bytes, not with what they take up compressed: the number of tasks is not left to their size
+    tasks = max(1, contexts.count() // 4096)
+    return contexts.repartition(tasks, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, _FOUND)
 
 
 def _window_digests(contexts: DataFrame, length: int) -> DataFrame:
     """Windows of contexts as ``anchor, context, at, window``."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2, 1 << 18):
             rows: list[list] = [[], [], [], []]
             for anchor, context, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "bytes")), strict=True):
                 n = len(data) - length + 1
@@ -255,6 +271,7 @@ def _spans(rows: DataFrame, length: int, gram: int, shard_bytes: int, hot: int)
     twice = written(_anchor_hashes(rows, length, gram).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     bloom = context.broadcast(_collect_bloom(twice, twice.count()))
     places = written(_contexts(rows, length, gram, bloom, False), "contexts")
+    bloom.destroy()
 
     # equal contexts are counted first; each is represented by one place
     distinct = places.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "first", "windows")).alias("at"))
@@ -272,6 +289,7 @@ def _spans(rows: DataFrame, length: int, gram: int, shard_bytes: int, hot: int)
     fetched = _contexts(rows, length, gram, chosen, True).select("anchor", "context", "bytes")
     fetched = fetched.groupBy("anchor", "context").agg(F.first("bytes").alias("bytes")).join(mixed, "anchor")
     fetched = written(fetched, "context-bytes")
+    chosen.destroy()
     found = _sort_shards(fetched.where(F.col("kinds") <= hot).select("anchor", "context", "bytes"), length, shard_bytes)
     digests = _window_digests(fetched.where(F.col("kinds") > hot), length)
     again = digests.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
@@ -282,23 +300,22 @@ def _spans(rows: DataFrame, length: int, gram: int, shard_bytes: int, hot: int)
     return written(spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("span")).alias("spans")), "spans")
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` that a filter clears, and the others with their ``_text_hash`` and, if they have any, ``_spans``."""
+def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """Rows of ``docs`` that a filter clears, the others with their spans if they have any, and the name of that column."""
+    ident, text, name = free_names(docs, "span_id", "span_text", "spans")
     keys = written(spans.select("doc_id").distinct(), "span-ids")
     bloom, bits = bloom_filter(keys.where("doc_id is not null"), "doc_id")
     bloom = written(bloom, "bloom")
-    test = maybe_in(F.col(id_col).cast("long"), bloom.scalar(), bits) | F.col(id_col).isNull()
-    found = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("text_hash", "spans")).alias("_found"))
-    maybe = docs.where(test).join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return docs.where(~test), maybe
+    mine = F.col(id_col).cast("long")
+    test = F.coalesce(maybe_in(mine, bloom.scalar(), bits), F.lit(False)) | mine.isNull()
+    found = spans.select(F.col("doc_id").alias(ident), F.col("text_hash").alias(text), F.col("spans").alias(name))
+    same = mine.eqNullSafe(F.col(ident)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(text))
+    maybe = docs.where(test).join(found, same, "left").select(*docs.columns, name)
+    return docs.where(~test), maybe, name
 
 
-def _kept(data: bytes, found: list[dict] | None, whole_characters: bool) -> tuple[bytes, int]:
+def _kept(data: bytes, spans: list[dict] | None, whole_characters: bool) -> tuple[bytes, int]:
     """The bytes that stay, and the number of maximal removed runs."""
-    if not found:
-        return data, 0
-    mine = _text_hash(data)
-    spans = next((f["spans"] for f in found if f["text_hash"] == mine), None)
     if not spans:
         return data, 0
     merged: list[list[int]] = []
@@ -319,17 +336,17 @@ def _kept(data: bytes, found: list[dict] | None, whole_characters: bool) -> tupl
     return b"".join(parts) + data[at:], len(merged)
 
 
-def repeats(docs: DataFrame, length: int = 200, gram: int = 100, shard_bytes: int = 2 << 20, hot: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, length: int = 200, gram: int = 100, shard_bytes: int = 1 << 19, hot: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
     small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
-    clear, maybe = _with_spans(rows, _spans(rows, length, gram, shard_bytes, hot), "doc_id")
+    clear, maybe, name = _with_spans(rows, _spans(rows, length, gram, shard_bytes, hot), "doc_id", "text")
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     none = F.lit(0).cast("long")
     untouched = clear.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1, 4 << 20):
             n, gone, spans, digest = [], [], [], []
             for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = utf8(t)
@@ -340,22 +357,22 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 100, shard_bytes: in
                 digest.append(hashlib.sha256(left).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n, gone, spans)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return untouched.unionByName(maybe.select("doc_id", "text", "_found").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return untouched.unionByName(maybe.select("doc_id", "text", name).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
-def drop_repeats(docs: DataFrame, length: int = 200, gram: int = 100, shard_bytes: int = 2 << 20, hot: int = 2000, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 200, gram: int = 100, shard_bytes: int = 1 << 19, hot: int = 2000, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with repeated bytes taken out of the texts, whole characters only, and ``chars_col`` counted anew; no row is dropped."""
     small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
-    clear, maybe = _with_spans(docs, _spans(rows, length, gram, shard_bytes, hot), id_col)
-
+    clear, maybe, name = _with_spans(docs, _spans(rows, length, gram, shard_bytes, hot), id_col, text_col)
     names = docs.columns
     chars = names.index(chars_col) if chars_col in names else None
 
+    at = names.index(text_col)
+
     def cut(batches):
-        for b in batches:
+        for b in slices(batches, at, 4 << 20):
             columns = [b.column(i) for i in range(len(names))]
-            at = names.index(text_col)
             texts, founds = columns[at].to_pylist(), b.column(len(names)).to_pylist()
             left = [t if t is None or not f else _kept(utf8(t), f, True)[0].decode("utf-8", "surrogatepass") for t, f in zip(texts, founds, strict=True)]
             columns[at] = pa.array(left, columns[at].type)
@@ -363,4 +380,4 @@ def drop_repeats(docs: DataFrame, length: int = 200, gram: int = 100, shard_byte
                 columns[chars] = pa.array([c if not f or t is None else len(t) for c, t, f in zip(columns[chars].to_pylist(), left, founds, strict=True)], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return clear.unionByName(maybe.select(*names, "_found").mapInArrow(cut, docs.schema))
+    return clear.unionByName(maybe.select(*names, name).mapInArrow(cut, docs.schema))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import unicode_words
+from .words import held, unicode_words
 
 #: White space that splitting texts knows and the tokenizer's own expression does not.
 _ODD = "[\x1c-\x1f]"
@@ -108,7 +108,7 @@ class WordTokenizer(CachedEncoder):
     """As a tokenizer file says. Texts of a tokenizer that drops white space and never joins what it parts are encoded
     by the word; for any other file each text is encoded whole."""
 
-    def __init__(self, path: str, max_words: int = 600_000, keep_words: int = 150_000):
+    def __init__(self, path: str, max_words: int = 500_000, keep_words: int = 150_000):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         super().__init__(max_words, keep_words)
@@ -245,11 +245,6 @@ class WordTokenizer(CachedEncoder):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-_KNOWN: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     """The worker's tokenizer of a file; workers are reused between tasks."""
-    if path not in _KNOWN:
-        _KNOWN[path] = WordTokenizer(path)
-    return _KNOWN[path]
+    return held(("words", path), lambda: WordTokenizer(path))

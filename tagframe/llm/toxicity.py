@@ -18,7 +18,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .space import small_batches, written
+from .words import slices
 
 # Letters that look like Latin ones, and digits or signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i"}
@@ -87,7 +90,10 @@ def hits(a, folded: str) -> list[float]:
         elif weight > found.get(start, 0.0):
             found[start] = weight
     if spans:
-        found = {s: w for s, w in found.items() if not any(x <= s < y for x, y in spans)}
+        spans.sort()
+        first = [s for s, _ in spans]
+        reach = list(accumulate((e for _, e in spans), max))  # how far the spans up to each one go
+        found = {s: w for s, w in found.items() if not (k := bisect_right(first, s)) or reach[k - 1] <= s}
     return list(found.values())
 
 
@@ -139,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             seen.clear()
             return batch
 
-        for b in batches:
+        for b in slices(batches, 0, 4 << 20):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for t in _tokens_of(text, longest):
                     seen.setdefault(t, [0, 0])[y] += 1
@@ -162,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def phrases(batches):
         a = automaton(model)
-        for b in batches:
+        for b in slices(batches, 0, 4 << 20):
             seen: dict[str, list[int]] = {}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 folded, found = fold(text), set()
@@ -185,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def measured(batches):
         a = automaton(model)
-        for b in batches:
+        for b in slices(batches, 0, 4 << 20):
             x = np.array([_features(a, t) for t in b.column(0).to_pylist()]).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(5)), b.column(1).cast(pa.float64())], [*"abcde", "y"])
 
@@ -214,7 +220,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         a = automaton(model)
         w = np.array(model.weights)
-        for b in batches:
+        for b in slices(batches, 1, 4 << 20):
             x = np.array([_features(a, t) for t in b.column(1).to_pylist()]).reshape(-1, 5)
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(np.rint(np.expm1(x[:, 4])).astype(np.int64)), pa.array(np.expm1(x[:, 1]))], ["doc_id", "score", "n_hits", "hit_weight"])
@@ -230,7 +236,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     def run(batches):
         a = automaton(model)
         w = np.array(model.weights)
-        for b in batches:
+        for b in slices(batches, at, 4 << 20):
             x = np.array([_features(a, t) for t in b.column(at).to_pylist()]).reshape(-1, 5)
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) < threshold))
 

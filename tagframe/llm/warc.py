@@ -34,7 +34,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .space import folder, small_batches, utf8, written
+from .exact_dedup import bloom_filter, maybe_in
+from .space import folder, small_batches, written
+from .words import slices
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -88,10 +90,16 @@ def write_packages(pages: DataFrame, path: str, roll_bytes: int = 32 << 20, min_
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     keys = rows.where(F.octet_length("payload") >= min_revisit_bytes).select("page_id", F.sha2("payload", 256).alias("sha")).distinct()
     keys = written(keys, "payload-keys")
-    first = keys.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # both sides written, so that the rows of a hot payload stand alone on one side of the join, which can then be split
+    first = written(keys.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first-ids")
     revisits = keys.join(first, "sha").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "first_id")
-    rows = rows.withColumn("sha", F.sha2("payload", 256))
-    marked = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select("page_id", "url", "payload", "first_id")
+    revisits = written(revisits, "revisits")
+    # payloads of pages that are no revisits for sure stay in their place
+    bloom, bits = bloom_filter(revisits.where("p is not null").select("p"), "p")
+    bloom = written(bloom, "bloom")
+    maybe = F.coalesce(maybe_in(F.col("page_id"), bloom.scalar(), bits), F.lit(False)) | F.col("page_id").isNull()
+    joined = rows.where(maybe).withColumn("sha", F.sha2("payload", 256)).join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
+    marked = rows.where(~maybe).select("page_id", "url", "payload", F.lit(None).cast("long").alias("first_id")).unionByName(joined.select("page_id", "url", "payload", "first_id"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
@@ -106,7 +114,7 @@ def write_packages(pages: DataFrame, path: str, roll_bytes: int = 32 << 20, min_
             done.append((name, len(held), len(body)))
             held.clear()
 
-        for b in batches:
+        for b in slices(batches, 2, 4 << 20):
             for ident, url, body, first_id in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 kind = "response" if first_id is None else "revisit"
                 held.append((record_bytes(kind, "" if ident is None else str(ident), " ".join(url.split()), body, base32_sha1(body), None if first_id is None else str(first_id)), "" if ident is None else str(ident)))

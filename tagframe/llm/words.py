@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,16 +31,42 @@ class Words(NamedTuple):
     sizes: np.ndarray  # words of each text
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of a string or binary column, a longer value alone."""
-    for b in batches:
-        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(size)
-        start = 0
-        while start < len(size):
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - size[start] + most, "right")))
-            yield b.slice(start, stop - start)
-            start = stop
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps between tasks: one thing at a time, until an operator that doesn't ask for it runs there."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def _release() -> None:
+    """Gives freed memory back to the system, so that a reused worker doesn't keep the most that any task has needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of a string or binary column, a longer value alone. What the worker
+    has ``held`` goes unless ``keep``; in the end freed memory goes back to the system."""
+    if not keep and _HELD:
+        _HELD.clear()
+        _release()
+    try:
+        for b in batches:
+            size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(size)
+            start = 0
+            while start < len(size):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] - size[start] + most, "right")))
+                yield b.slice(start, stop - start)
+                start = stop
+    finally:
+        _release()
 
 
 def _numbered(lists: pa.ListArray) -> Words:

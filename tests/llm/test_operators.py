@@ -219,7 +219,7 @@ def test_word_tokenizer_is_the_tokenizer():
 
 
 def test_training_order(docs, none):
-    manifest = order.write_shards(docs, folder(docs.sparkSession, "t"), length_max=64, shard_text_bytes=4000).cache()
+    manifest = order.write_shards(docs, folder(docs.sparkSession, "t"), length_max=64, shard_bytes=4000).cache()
     rows = order.read_order(manifest).collect()
     assert manifest.count() > 1 and sorted(r["slot"] for r in rows) == list(range(len(rows)))
     assert sum(r["length"] for r in rows) == sum(len(x) + 1 for x in tokens.word_tokenizer(tokens.file_of("word_bpe_49k.json")).encode_batch([t for _, t in TEXTS]))
@@ -359,7 +359,7 @@ def test_lm_base_scores_equal_brute_force(spark, none):
     rows = [(i, " ".join(r.choice(WORDS[:10] if i % 2 else WORDS[10:]) for _ in range(40)) + (" rare%d" % i if i % 7 == 0 else "")) for i in range(200)] + [(900, None), (901, ""), (902, "Alpha ALPHA unseen")]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, row string").repartition(3)
     got = {x["doc_id"]: x for x in lm_score.score(df, frequent=16, rows=1 << 10).collect()}
-    tokens_of = {i: [*(t or "").encode().lower().split(), lm_score.END] for i, t in rows}
+    tokens_of = {i: [*(t or "").encode().lower().split(), b" end"] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens_of}
     c = collections.Counter(w for i, ws in tokens_of.items() if not held[i] for w in ws)
     n, v = sum(c.values()), len(c)
