@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -44,7 +43,6 @@ def held(key, make):
 
 def _release() -> None:
     """Gives freed memory back to the system, so that a reused worker doesn't keep the most that any task has needed."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
