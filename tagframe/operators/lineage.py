@@ -31,3 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` made, once their last reader has ended."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if f"/{spark.sparkContext.applicationId}-" not in path:
+                raise ValueError(f"{path} wasn't written by this session")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
