@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagframe.operators.lineage import folder, written
+from tagframe.operators.lineage import folder, removed, written
 
-__all__ = ["folder", "free_names", "small_batches", "table", "utf8", "written"]
+__all__ = ["folder", "free_names", "removed", "small_batches", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

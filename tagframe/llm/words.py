@@ -80,9 +80,10 @@ def _numbered(lists: pa.ListArray) -> Words:
     return Words(distinct, ids, sizes.astype(np.int64))
 
 
-def ascii_words(texts: pa.Array) -> Words:
-    """Words between the six ASCII blanks, A-Z in lower case; a null is an empty text."""
-    return _numbered(pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))))
+def ascii_words(texts: pa.Array, lower: bool = True) -> Words:
+    """Words between the six ASCII blanks, A-Z in lower case unless told otherwise; a null is an empty text."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    return _numbered(pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts))
 
 
 def unicode_words(texts: pa.Array) -> Words:
