@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bands, clusters, exact_dedup, lm_score, matroska, near_dedup, order, packing, pieces, suffix_dedup, toxicity, warc
+from . import bands, clusters, exact_dedup, lm_score, matroska, near_dedup, order, packing, pieces, repair, suffix_dedup, toxicity, warc
 from .space import table, written
 
 
@@ -62,8 +62,12 @@ def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed="2:")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op3_minhash, op4_matroska, op5_training_order, op6_toxicity, op7_exact_dedup, op8_pieces, op9_suffix_dedup, op10_lm_score, op11_compression_bands, op12_hamerly)}
+    return {f.__name__: f for f in (op1_warc_packages, op2_packing, op3_minhash, op4_matroska, op5_training_order, op6_toxicity, op7_exact_dedup, op8_pieces, op9_suffix_dedup, op10_lm_score, op11_compression_bands, op12_hamerly, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
