@@ -1,5 +1,6 @@
 """Compression bands against plain loops."""
 
+import base64
 import collections
 import os
 import random
@@ -49,7 +50,7 @@ def prose(seed, n):
 
 
 TEXTS = [
-    (1, prose(1, 300)), (2, prose(2, 40) + "\n" + prose(2, 40)), (3, None), (4, ""), (5, " \t\n\x0b "), (6, "word"), (7, "a b " * 400), (8, prose(3, 9000)), (9, prose(4, 2500) + " x" * 9000), (10, os.urandom(9000).hex()), (10, prose(5, 30)),
+    (1, prose(1, 300)), (2, prose(2, 40) + "\n" + prose(2, 40)), (3, None), (4, ""), (5, " \t\n\x0b "), (6, "word"), (7, "a b " * 400), (8, prose(3, 9000)), (9, prose(4, 2500) + " x" * 9000), (10, base64.b64encode(os.urandom(9000)).decode()), (10, prose(5, 30)),
     (None, prose(6, 100)), (11, " ".join(f"w{random.Random(i).getrandbits(60):x}" for i in range(400))), (12, "日本語 テキスト 🙂 é\r\n" * 30), (13, "line\nline\r\nline\n \n \nother\nline"), (14, "#*$%&|<> " * 3 + prose(7, 50)), (15, "x" * 200_000),
     (16, " ".join(f"n{i}" for i in range(8)) + " mid " + " ".join(f"n{i}" for i in range(8)) + " " + prose(8, 200)),
 ]
