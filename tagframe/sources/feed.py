@@ -23,11 +23,9 @@ from pyspark.sql.types import StructType
 from tagframe.operators.changes import ChangelogGap
 from tagframe.operators.store import LOG
 
-NAME = "tagframe_changes"
-
+from .lines import open_path
 
-def open_path(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+NAME = "tagframe_changes"
 
 
 @dataclass

@@ -1,16 +1,20 @@
 """Text formats of tagged grids as Spark sources and sinks. Cells are decoded and encoded by column expressions.
 
-Reading gives a row per grid row, ``file, pos, id, tags``; ``operators.graph.from_rows`` makes entities of them. Lists,
-dicts and grids in cells keep their text. A cell splits at commas outside quotes, back-quotes and one level of brackets.
+Reading gives a row per grid row, ``file, pos, id, tags``; ``operators.graph.from_rows`` makes entities of them. Large files are read by
+splits (``sources.lines``). Meta of grids and columns is a table beside (``read_meta``). Lists, dicts and grids in cells keep their text. A cell splits at commas outside quotes, back-quotes and one level of brackets.
 """
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagframe.functions.kinds import KIND, number_text, value
+from tagframe.operators.lineage import written
+from tagframe.sources import lines
 
 ZINC, TRIO, JSON4, JSON3, CSV = "text/zinc", "text/trio", "application/json", "application/json;v=3", "text/csv"
 
@@ -230,23 +234,65 @@ def _rows(df: DataFrame, names: Column, cells: Column, decode) -> DataFrame:
     return df.select("file", "pos", tags.alias("tags")).withColumn("id", F.when(F.col("tags")["id"].kind == "ref", F.col("tags")["id"].str)).select("file", "pos", "id", "tags")
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+def _lines_of(text: Column) -> Column:
+    return F.filter(F.split(text, r"\r?\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("//"))
+
+
+def _whole(spark: SparkSession, path: str, layout: str) -> tuple[DataFrame, DataFrame]:
+    """Records and heads of files in stores that only Spark reads: each file by one task."""
+    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    none = F.lit(None).cast("array<string>")
+    if layout == "trio":
+        rows = df.select("file", F.posexplode(F.split(F.regexp_replace("text", r"\r", ""), r"(?m)^-{3,}[^\n]*\n?")).alias("pos", "text"))
+        return rows.select("file", F.col("pos").cast("long").alias("pos"), "text", F.lit(False).alias("whole")), df.select("file", none.alias("head")).where("false")
+    if layout == "json_grid":
+        return df.select("file", F.lit(0).cast("long").alias("pos"), "text", F.lit(True).alias("whole")), df.select("file", F.array(F.regexp_replace("text", r'(?s)("rows"\s*:\s*\[).*$', "$1")).alias("head"))
+    grids = df.where(F.trim("text") != "").select("file", _lines_of(F.col("text")).alias("lines"))
+    head = F.when(F.col("lines")[0].startswith("ver:"), F.slice("lines", 1, 2)).otherwise(F.raise_error(F.lit("a Zinc grid starts with ver:")))
+    rows = grids.select("file", F.posexplode(F.slice("lines", 3, F.greatest(F.size("lines") - 2, F.lit(0)))).alias("pos", "text"))
+    return rows.select("file", F.col("pos").cast("long").alias("pos"), "text", F.lit(False).alias("whole")), grids.select("file", head.alias("head"))
+
+
+#: Heads of up to so many bytes in all go to every task; beyond, each record carries its own.
+HEADS = 32 << 20
+
+
+def records(spark: SparkSession, path: str, layout: str, split: int = lines.SPLIT) -> tuple[DataFrame, DataFrame]:
+    """``file, pos, text, whole`` of records and ``file, head`` of files. Files are read by splits where their store allows it."""
+    if not lines.openable(path):
+        return _whole(spark, path, layout)
+    lines.register(spark)
+    source = spark.read.format(layout).option("splitSize", split)
+    return source.load(path).drop("head"), source.option("only", "head").load(path).select("file", "head")
+
+
+def _with_heads(spark: SparkSession, path: str, layout: str, split: int) -> DataFrame:
+    """Records with ``head``, which files have once: sent to every task if all of them are small, else read with each record."""
+    rows, heads = records(spark, path, layout, split)
+    heads = written(heads, "heads")
+    size = heads.agg(F.sum(F.octet_length(F.concat_ws("", "head"))) + F.sum(F.octet_length("file"))).first()[0] or 0
+    if size <= HEADS:
+        return rows.join(F.broadcast(heads), "file")
+    if not lines.openable(path):
+        return rows.join(heads, "file")
+    return spark.read.format(layout).option("splitSize", split).option("head", "true").load(path)
+
+
+def _cells(line: Column) -> Column:
+    return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), 1)
 
 
-def read_zinc(spark: SparkSession, path: str) -> DataFrame:
-    """Grids of Zinc files, one each. Blank lines and comments are skipped; a missing cell is an absent tag."""
-    lines = F.filter(F.split("text", r"\r?\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("//"))
-    df = _whole(spark, path).select("file", lines.alias("lines"))
-    head = F.when(F.col("lines")[0].startswith("ver:"), F.col("lines")[1]).otherwise(F.raise_error(F.lit("a Zinc grid starts with ver:")))
-    names = F.transform(F.regexp_extract_all(F.concat(F.lit(","), head), F.lit(_CELL), 1), lambda c: F.regexp_extract(F.trim(c), r"^(\w+)", 1))
-    df = df.select("file", names.alias("names"), F.posexplode(F.slice("lines", 3, F.greatest(F.size("lines") - 2, F.lit(0)))).alias("pos", "line")).where(F.col("names")[0] != "empty")
-    return _rows(df, F.col("names"), F.regexp_extract_all(F.concat(F.lit(","), F.col("line")), F.lit(_CELL), 1), zinc_decode)
+def read_zinc(spark: SparkSession, path: str, split: int = lines.SPLIT) -> DataFrame:
+    """Grids of Zinc files, one each. Blank lines and comments are skipped; a missing cell is an absent tag. ``pos`` rises in a file."""
+    df = _with_heads(spark, path, "zinc", split)
+    names = F.transform(_cells(F.col("head")[1]), lambda c: F.regexp_extract(F.trim(c), r"^(\w+)", 1))
+    df = df.select("file", "pos", "text", names.alias("names")).where(F.col("names")[0] != "empty")
+    return _rows(df, F.col("names"), _cells(F.col("text")), zinc_decode)
 
 
-def read_trio(spark: SparkSession, path: str) -> DataFrame:
+def read_trio(spark: SparkSession, path: str, split: int = lines.SPLIT) -> DataFrame:
     """Records of Trio files: parted by dashes, ``name: value`` lines, a name alone is a marker, indented lines go on; what is no scalar is a string."""
-    df = _whole(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("text", r"\r", ""), r"(?m)^-{3,}[^\n]*\n?")).alias("pos", "record"))
+    df = records(spark, path, "trio", split)[0].select("file", "pos", F.col("text").alias("record"))
     entry = r"(?m)^([A-Za-z]\w*)(?::[ \t]*([^\n]*(?:\n[ \t]+[^\n]*)*))?$"
     names, cells = (F.regexp_extract_all("record", F.lit(entry), i) for i in (1, 2))
     scalar = F.lit(rf'^(?:N|M|NA|R|T|F|".*"|`.*`|@\S+(?:\s+".*")?|\^\S+|{_DATE}(?:T.*)?|{_CLOCK}|C\(.*\)|{_NUMBER[1:]}{_UNIT}|[A-Z]\w*\(.*\)|\[.*\]|\{{.*\}})$')
@@ -262,20 +308,56 @@ def read_trio(spark: SparkSession, path: str) -> DataFrame:
 def json_rows(grids: DataFrame, decode) -> DataFrame:
     """Rows of JSON grids ``file, text``. Each cell keeps its own JSON text, so that a string stays one whatever it looks like."""
     rows = F.from_json("text", "rows array<map<string,variant>>")["rows"]
-    df = grids.select("file", F.posexplode(rows).alias("pos", "row"))
-    return _rows(df, F.map_keys("row"), F.map_values("row"), lambda c: decode(F.to_json(c)))
+    return _json_cells(grids.select("file", F.posexplode(rows).alias("pos", "row")), decode)
 
 
-def _read_json(spark: SparkSession, path: str, decode) -> DataFrame:
-    return json_rows(_whole(spark, path), decode)
+def _json_cells(rows: DataFrame, decode) -> DataFrame:
+    return _rows(rows, F.map_keys("row"), F.map_values("row"), lambda c: decode(F.to_json(c)))
 
 
-def read_json4(spark: SparkSession, path: str) -> DataFrame:
-    return _read_json(spark, path, json4_decode)
+def _read_json(spark: SparkSession, path: str, decode, split: int) -> DataFrame:
+    """Grids whose rows have lines of their own are read by splits, others whole."""
+    df = records(spark, path, "json_grid", split)[0]
+    row = F.from_json("text", "map<string,variant>")
+    by_line = df.where(~F.col("whole")).select("file", "pos", row.alias("row"))
+    inside = F.from_json("text", "rows array<map<string,variant>>")["rows"]
+    whole = df.where("whole").select("file", F.posexplode(inside).alias("pos", "row")).withColumn("pos", F.col("pos").cast("long"))
+    return _json_cells(by_line.unionByName(whole), decode)
 
 
-def read_json3(spark: SparkSession, path: str) -> DataFrame:
-    return _read_json(spark, path, json3_decode)
+def read_json4(spark: SparkSession, path: str, split: int = lines.SPLIT) -> DataFrame:
+    return _read_json(spark, path, json4_decode, split)
+
+
+def read_json3(spark: SparkSession, path: str, split: int = lines.SPLIT) -> DataFrame:
+    return _read_json(spark, path, json3_decode, split)
+
+
+_META = r"""(?:^|\s)([A-Za-z_]\w*)(?::("(?:[^"\\]|\\.)*"|`(?:[^`\\]|\\.)*`|@\S+(?: "(?:[^"\\]|\\.)*")?|\d{4}-\d\d-\d\dT\S+(?: [A-Z]\S*)?|[^\s"`]+))?(?=\s|$)"""
+
+
+def read_meta(spark: SparkSession, path: str, mime: str = "text/zinc") -> DataFrame:
+    """``file, column, tag, value`` of the meta of grids (column null) and of their columns. Only the files' beginnings are read."""
+    if mime == ZINC:
+        heads = records(spark, path, "zinc")[1].where(F.size("head") > 0)
+        own = F.struct(F.lit(None).cast("string").alias("column"), F.regexp_replace(F.col("head")[0], r'^ver:"[^"]*"', "").alias("meta"))
+        columns = F.transform(_cells(F.coalesce(F.col("head")[1], F.lit(""))), lambda c: F.struct(F.regexp_extract(F.trim(c), r"^(\w+)", 1).alias("column"), F.regexp_replace(F.trim(c), r"^\w+", "").alias("meta")))
+        parts = heads.select("file", F.explode(F.array_prepend(columns, own)).alias("p")).select("file", "p.column", "p.meta")
+        pairs = F.arrays_zip(F.regexp_extract_all("meta", F.lit(_META), 1).alias("tag"), F.regexp_extract_all("meta", F.lit(_META), 2).alias("text"))
+        rows = parts.select("file", "column", F.explode(pairs).alias("x"))
+        return rows.select("file", "column", F.col("x.tag").alias("tag"), F.when(F.col("x.text") == "", value("marker")).otherwise(zinc_decode(F.col("x.text"))).alias("value"))
+    if mime not in (JSON4, JSON3):
+        raise ValueError(f"no meta in {mime}")
+    # of a grid that is one record the head is the text itself
+    both, heads = records(spark, path, "json_grid")
+    texts = heads.where(F.col("head").isNotNull()).select("file", F.concat(F.col("head")[0], F.lit("]}")).alias("text")).unionByName(both.where("whole").select("file", "text").join(heads.where(F.col("head").isNull()), "file", "left_semi"))
+    got = texts.select("file", F.from_json("text", "meta map<string,variant>, cols array<map<string,variant>>").alias("g"))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("column"), F.col("g.meta").alias("meta")))
+    nested = lambda c: F.from_json(F.to_json(c["meta"]), "map<string,variant>") if mime == JSON4 else F.map_filter(c, lambda k, _: k != "name")
+    columns = F.transform("g.cols", lambda c: F.struct(c["name"].cast("string").alias("column"), nested(c).alias("meta")))
+    rows = got.select("file", F.explode(F.concat(own, F.coalesce(columns, F.array().cast("array<struct<column:string,meta:map<string,variant>>>")))).alias("p"))
+    rows = rows.select("file", "p.column", F.explode("p.meta").alias("tag", "v")).where(F.col("column").isNotNull() | (F.col("tag") != "ver"))
+    return rows.select("file", "column", "tag", (json4_decode if mime == JSON4 else json3_decode)(F.to_json("v")).alias("value"))
 
 
 READERS = {ZINC: read_zinc, TRIO: read_trio, JSON4: read_json4, JSON3: read_json3}
@@ -325,20 +407,50 @@ def trio_lines(entities: DataFrame) -> DataFrame:
     return entities.select(F.concat(F.array_join(F.transform(F.array_sort(F.map_keys("tags")), entry), "\n"), F.lit("\n---")).alias("value"))
 
 
-def write(entities: DataFrame, path: str, mime: str = ZINC) -> None:
-    """Every part file is a grid of its own with the same head, so parts can be read alone or together."""
+def _meta_texts(meta: DataFrame | None, mime: str) -> dict[str | None, list[tuple[str, str]]]:
+    """Of each column, or null for the grid, its tags in order with their encoded values: as much as the head of a file holds."""
+    if meta is None:
+        return {}
+    encode = {ZINC: zinc_encode, JSON4: json4_encode, JSON3: json3_encode}[mime]
+    rows = meta.select("column", "tag", encode(F.col("value")).alias("text"), (F.col("value.kind") == "marker").alias("marker")).orderBy("tag").collect()
+    out: dict[str | None, list[tuple[str, str]]] = {}
+    for r in rows:
+        out.setdefault(r["column"], []).append((r["tag"], "" if r["marker"] and mime == ZINC else r["text"]))
+    return out
+
+
+def head_of(names: list[str], mime: str, meta: DataFrame | None = None) -> tuple[list[str], list[str], str]:
+    """What stands before the rows of a file, after them, and between two."""
+    if mime == CSV:
+        return [",".join(f'"{n}"' for n in names)], [], ""
+    about = _meta_texts(meta, mime)
+    if mime == ZINC:
+        tags = lambda c: "".join(f" {t}:{v}" if v else f" {t}" for t, v in about.get(c, []))
+        return ['ver:"3.0"' + tags(None), ",".join(n + tags(n) for n in names) or "empty"], [], ""
+    tags = lambda c: ",".join(f"{json.dumps(t)}:{v}" for t, v in about.get(c, []))
+    if mime == JSON4:
+        columns = [f'{{"name":{json.dumps(n)}' + (f',"meta":{{{tags(n)}}}' if n in about else "") + "}" for n in names]
+        first = '{"_kind":"grid",' + (f'"meta":{{{tags(None)}}},' if None in about else "")
+    else:
+        columns = [f'{{"name":{json.dumps(n)}' + (f",{tags(n)}" if n in about else "") + "}" for n in names]
+        first = '{"meta":{"ver":"3.0"' + (f",{tags(None)}" if None in about else "") + "},"
+    return [f'{first}"cols":[{",".join(columns)}],"rows":['], ["]}"], ","
+
+
+def write(entities: DataFrame, path: str, mime: str = ZINC, meta: DataFrame | None = None) -> None:
+    """Every part file is a grid of its own with the same head, so parts can be read alone or together. ``meta`` is ``column, tag, value``."""
     head, tail, between = [], [], ""
-    if mime in (ZINC, CSV):
+    if mime in (ZINC, CSV, JSON4, JSON3):
         names = names_of(entities)
-        head = ['ver:"3.0"', ",".join(names) or "empty"] if mime == ZINC else [",".join(f'"{n}"' for n in names)]
-        lines = zinc_lines(entities, names) if mime == ZINC else csv_lines(entities, names)
+        head, tail, between = head_of(names, mime, meta)
+    if mime == ZINC:
+        rows = zinc_lines(entities, names)
+    elif mime == CSV:
+        rows = csv_lines(entities, names)
     elif mime in (JSON4, JSON3):
-        names = names_of(entities)
-        columns = ",".join(f'{{"name":"{n}"}}' for n in names)
-        head, tail, between = [('{"_kind":"grid",' if mime == JSON4 else '{"meta":{"ver":"3.0"},') + f'"cols":[{columns}],"rows":['], ["]}"], ","
-        lines = json_lines(entities, json4_encode if mime == JSON4 else json3_encode)
+        rows = json_lines(entities, json4_encode if mime == JSON4 else json3_encode)
     elif mime == TRIO:
-        lines = trio_lines(entities)
+        rows = trio_lines(entities)
     else:
         raise ValueError(f"no writer of {mime}")
 
@@ -346,9 +458,9 @@ def write(entities: DataFrame, path: str, mime: str = ZINC) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], ["value"])
         first = True
         for b in batches:
-            rows = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([r if first and i == 0 else between + r for i, r in enumerate(rows)], pa.string())], ["value"])
-            first = first and not rows
+            texts = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([r if first and i == 0 else between + r for i, r in enumerate(texts)], pa.string())], ["value"])
+            first = first and not texts
         yield pa.RecordBatch.from_arrays([pa.array(tail, pa.string())], ["value"])
 
-    (lines.mapInArrow(frame, "value string") if head or tail else lines).write.text(path)
+    (rows.mapInArrow(frame, "value string") if head or tail else rows).write.text(path)
