@@ -2,16 +2,20 @@
 
 A document's set is that of its word shingles; its signature has ``coordinates`` minima. Documents are
 posted under pairs of coordinate and value. Two documents as similar as the threshold agree in
-``matches`` coordinates or more but for a chance below ``miss``, so each is posted only under the
-``coordinates - matches + 1`` pairs that are rarest in the corpus (the prefix): two such documents meet
-under one of them, and the long lists of common pairs are skipped. Rarity comes from a sketch of bounded
-size and only orders the pairs; any order is right.
+``matches`` coordinates or more but for a chance below ``miss``. In an order of pairs from rare to common
+the first pair that two such documents share is one of the first ``coordinates - matches + 1`` of both, so
+each is posted under these alone (the prefix), and the long lists of common pairs are skipped. Rarity
+comes from a sketch of bounded size and only orders the pairs; any order is right.
 
 Lists are never expanded into all their pairs. First each document is compared with the list's leader,
-the document of the most common pairs. What that links forms components. In lists that still hold
-several components all pairs across components are compared in blocks of bounded size, by signature
-first and then by full sets. Links are confirmed on full sets in both steps, so the components are exactly those of
-the confirmed links; documents of equal sets are joined before and take part once.
+the document of the most common pairs. What that links forms components. A list that still holds
+several is merged across them: members of its largest component are dealt out in blocks, the others, at
+most ``BLOCK``, join each block, so that rows grow with the list and not with its square. Lists with more
+others than that are parted by the next pair that documents share, which is one of the next in the order
+of both (the prefix, longer by one), and each part is a list again. Signatures screen every comparison, full sets confirm it, so the
+components are exactly those of the confirmed links; documents of equal sets are joined before and take part once.
+
+Tables that a step leaves are removed when their last reader has ended; what is returned is a table of its own.
 
 Defined cases: null and empty texts have empty sets, are linked with nothing and kept; documents of fewer than
 ``words`` words have one shingle, the whole; a row without id is linked with nothing: its component is null and it is kept;
@@ -31,13 +35,16 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exact_dedup import bloom_filter, maybe_in
-from .space import free_names, small_batches, written
+from .space import free_names, removed, small_batches, written
 from .words import ascii_words, hashes, mix, slices
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
-#: Documents of a block in the comparison across components.
+_C = _U(0xD6E8FEB86659FD93)
+#: Documents of the largest component in a block, and of the others that join it, in the comparison across components.
 BLOCK = 512
+#: Documents that are compared with one copy of their leader.
+FAN = 1024
 
 
 def shingles(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -115,7 +122,7 @@ def _sketch(nodes: DataFrame, coordinates: int, rows: int, width_max: int = 1 <<
     def count(batches):
         total = np.zeros(width, np.uint32)
         for b in slices(batches, 0):
-            sigs = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32).reshape(-1, coordinates)
+            sigs = _stacked(b.column(0), coordinates)
             np.add.at(total, _slots(_tokens(sigs), width).ravel(), np.uint32(1))
         blocks = [i for i in range(width // part) if total[i * part : (i + 1) * part].any()]
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([total[i * part : (i + 1) * part].tobytes() for i in blocks], pa.binary())], ["block", "counts"])
@@ -143,44 +150,47 @@ def _one_block(block: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
 
-def _postings(nodes: DataFrame, sketch: np.ndarray, coordinates: int, prefix: int) -> DataFrame:
-    """``token, node, score``, written."""
-    shared = nodes.sparkSession.sparkContext.broadcast(sketch)
+def _ranked(sigs: np.ndarray, counts: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each signature the ``first`` rarest pairs, in the order that all documents share, and how common its pairs are in all."""
+    tokens = _tokens(sigs)
+    often = counts[_slots(tokens, len(counts))].astype(np.int64)
+    order = np.lexsort((tokens, often), axis=1)[:, :first]
+    return np.take_along_axis(tokens, order, 1), often.sum(axis=1)
+
+
+def _stacked(column: pa.Array, coordinates: int, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, coordinates)
+
+
+def _postings(nodes: DataFrame, shared, coordinates: int, prefix: int) -> DataFrame:
+    """``token, node, score, rank``: each document under the pairs of its prefix."""
 
     def run(batches):
-        counts = shared.value
         for b in slices(batches, 1):
-            ids = b.column(0).to_numpy()
-            sigs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, coordinates)
-            tokens = _tokens(sigs)
-            often = counts[_slots(tokens, len(counts))].astype(np.int64)
-            score = often.sum(axis=1)
-            order = np.lexsort((tokens, often), axis=1)[:, :prefix]
-            t = np.take_along_axis(tokens, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(t.ravel()), pa.array(np.repeat(ids, prefix)), pa.array(np.repeat(score, prefix))], ["token", "node", "score"])
-
-    out = written(nodes.select("node", "sig").mapInArrow(run, "token long, node long, score long"), "postings")
-    shared.destroy()
-    return out
-
+            t, score = _ranked(_stacked(b.column(1), coordinates), shared.value, prefix)
+            n = t.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(t.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(score, n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(t)))], ["token", "node", "score", "rank"])
 
-def _enough(both: int, a: int, b: int, percent: int) -> bool:
-    return 100 * both >= percent * (a + b - both)
+    return nodes.select("node", "sig").mapInArrow(run, "token long, node long, score long, rank int")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` that are similar enough on full sets."""
+def _parted(wide: DataFrame, nodes: DataFrame, shared, coordinates: int, upto: int) -> DataFrame:
+    """Members ``token, node, rank`` of lists posted again under the list and each later pair of their prefix of ``upto``."""
 
     def run(batches):
-        for b in slices(batches, 2):
-            keep = []
-            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                keep.append(100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and _enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for b in slices(batches, 3):
+            t, score = _ranked(_stacked(b.column(3), coordinates), shared.value, upto)
+            rank = b.column(2).to_numpy()
+            row, at = np.nonzero(np.arange(t.shape[1])[None, :] > rank[:, None])
+            with np.errstate(over="ignore"):
+                token = mix(mix(b.column(0).to_numpy().astype(_U))[row] * _C + t[row, at].astype(_U)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(b.column(1).to_numpy()[row]), pa.array(score[row]), pa.array(at.astype(np.int32))], ["token", "node", "score", "rank"])
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return wide.join(nodes.select("node", "sig"), "node").select("token", "node", "rank", "sig").mapInArrow(run, "token long, node long, score long, rank int")
+
+
+def _enough(both: int, a: int, b: int, percent: int) -> bool:
+    return 100 * both >= percent * (a + b - both)
 
 
 def _screen(pairs: DataFrame, nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -188,31 +198,53 @@ def _screen(pairs: DataFrame, nodes: DataFrame, coordinates: int, matches: int)
 
     def run(batches):
         for b in slices(batches, 2):
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, coordinates) for c in ("sig_a", "sig_b"))
+            x, y = (_stacked(b.column(c), coordinates) for c in ("sig_a", "sig_b"))
             yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= matches))
 
     joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``node, shingles`` of the documents whose ids are ``wanted.node``; texts of others don't leave their place."""
-    wanted = written(wanted.distinct(), "wanted")
-    bloom, bits = bloom_filter(wanted, "node")
+def _with_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``wanted`` with the text of their ``node``; texts of other documents don't leave their place."""
+    ids = written(wanted.select("node").distinct(), "wanted")
+    bloom, bits = bloom_filter(ids, "node")
+    bloom = written(bloom, "bloom")
+    removed(ids)
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(maybe_in(F.col("node"), written(bloom, "bloom").scalar(), bits))
+    return rows.where(maybe_in(F.col("node"), bloom.scalar(), bits)).join(wanted, "node")
 
-    def run(batches):
-        for b in slices(batches, 1, 4 << 20):
-            sets = shingles(b.column(1), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"]).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
 
-    return written(rows.mapInArrow(run, "node long, shingles binary").join(wanted, "node", "left_semi"), "sets")
+def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` that are similar enough on full sets. The documents of one ``b`` are dealt out, ``FAN`` with each copy of it."""
+    fan = written(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAN)).cast("int").alias("parts")), "fan")
+    mine = pairs.join(fan, "b").select(F.col("a").alias("node"), F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(1).alias("turn"))
+    lead = fan.select(F.col("b").alias("node"), F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"))
+    todo = written(mine.unionByName(lead), "todo")
+    removed(fan)
+
+    def run(batches):
+        now, first = None, None
+        for b in slices(batches, 4, 4 << 20):
+            a, c = [], []
+            for node, lead, part, turn, s in zip(*(b.column(i).to_pylist() for i in range(4)), shingles(b.column(4), words), strict=True):
+                if turn == 0:
+                    now, first = (lead, part), s
+                elif now == (lead, part) and 100 * min(len(s), len(first)) >= percent * max(len(s), len(first)) and _enough(len(np.intersect1d(s, first, assume_unique=True)), len(s), len(first), percent):
+                    a.append(node)
+                    c.append(lead)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    full = _with_texts(docs, todo, id_col, text_col).select("node", "lead", "part", "turn", "text")
+    out = written(full.repartition("lead", "part").sortWithinPartitions("lead", "part", "turn").mapInArrow(run, "a long, b long"), "links")
+    removed(todo)
+    return out
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of equal leading columns from sorted batches; the column that makes rows large is the sixth."""
-    batches = slices(batches, 5, 4 << 20)
+    """Tables of equal leading columns from sorted batches; the column that makes rows large is the fifth."""
+    batches = slices(batches, 4, 4 << 20)
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
@@ -232,37 +264,35 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _blocked(open_lists: DataFrame) -> DataFrame:
-    """Deals each posting of a list out to the pairs of blocks that its block belongs to: ``token, i, j, ...``."""
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    out = open_lists.withColumn("_blocks", blocks).withColumn("_mine", mine)
-    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return out.withColumn("i", F.least("_mine", "_other")).withColumn("j", F.greatest("_mine", "_other")).drop("_blocks", "_mine", "_other", "n")
+def _blocked(lists: DataFrame) -> DataFrame:
+    """``token, block, node, comp`` of lists ``token, node, comp, n, most, others``: the largest component dealt out, the others in every block."""
+    blocks = F.ceil((F.col("n") - F.col("others")) / F.lit(BLOCK)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    return lists.withColumn("block", F.explode(F.when(F.col("comp") == F.col("most"), own).otherwise(F.sequence(F.lit(0), blocks - 1)))).select("token", "block", "node", "comp")
 
 
 def _alive(batches: Iterator[pa.RecordBatch], coordinates: int, matches: int) -> Iterator[pa.RecordBatch]:
     """Of each group the documents with a signature near that of a document of another component."""
-    for t in _grouped(batches, 3):
+    for t in _grouped(batches, 2):
         comp = t.column("comp").to_numpy()
         if len(comp) < 2 or comp.min() == comp.max():
             continue
-        sig = np.frombuffer(b"".join(t.column("sig8").to_pylist()), np.uint8).reshape(-1, coordinates)
+        sig = _stacked(t.column("sig8"), coordinates, np.uint8)
         agree = np.zeros((len(comp), len(comp)), np.uint8)
         for k in range(coordinates):
             agree += sig[:, k, None] == sig[None, :, k]
         keep = ((agree >= matches) & (comp[:, None] != comp[None, :])).any(axis=1)
         if keep.any():
-            yield from t.select(["token", "i", "j", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
+            yield from t.select(["token", "block", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
 
-def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _link(batches: Iterator[pa.RecordBatch], percent: int, words: int) -> Iterator[pa.RecordBatch]:
     """Of each group the links that join different components, as a forest: between two components one is enough."""
-    for t in _grouped(batches, 3):
-        nodes, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-        if len(nodes) < 2:
+    for t in _grouped(batches, 2):
+        comp = t.column("comp").to_numpy()
+        if len(comp) < 2:
             continue
-        sets = [np.frombuffer(s, _U) for s in t.column("shingles").to_pylist()]
+        sets = [s for c in t.column("text").chunks for s in shingles(c, words)]
         sizes = np.array([len(s) for s in sets])
         values, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), sizes)
@@ -296,61 +326,101 @@ def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _composed(found: DataFrame | None, upper: DataFrame) -> DataFrame:
+    """Components of components: ``node, component``."""
+    if found is None:
+        return upper
+    top = upper.select(F.col("node").alias("component"), F.col("component").alias("_top"))
+    out = written(found.join(top, "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("_top", "component").alias("component")), "components")
+    removed(found, upper)
+    return out
+
+
+def _named(rows: DataFrame, found: DataFrame | None, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of a node, itself where it has no other."""
+    if found is None:
+        return rows.withColumn(name, F.col(node))
+    return rows.join(found.select(F.col("node").alias("_node"), F.col("component").alias("_up")), F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_up", node)).drop("_node", "_up")
+
+
 def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, coordinates: int = 64, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked whose sets have 100 * intersection >= ``percent`` * union.
     """
+    if not 1 <= coordinates <= 255:  # agreements are counted in bytes
+        raise ValueError("a signature has 1 to 255 coordinates")
     small_batches(docs.sparkSession)
     matches = least_matches(coordinates, percent / 100, miss)
     prefix = coordinates - matches + 1
-    all_rows = written(_signatures_of(docs, id_col, text_col, words, coordinates), "signatures")
-    nodes = written(all_rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "nodes")
-    postings = _postings(nodes, _sketch(nodes, coordinates, nodes.count()), coordinates, prefix)
-
-    # each document against the leader of its lists
-    leader = F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("top")
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), leader).where("n > 1").select("token", "n", (-F.col("top.minus")).alias("leader"))
-    lists = written(lists, "lists")
-    pairs = postings.join(lists, "token").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = written(_screen(pairs, nodes, coordinates, matches), "pairs")
-    sets = _sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), id_col, text_col, words)
-    links = written(_confirm(pairs, sets, percent), "links")
-    found = components(links)
-
-    # lists of three or more with several components beside the leader
-    placed = postings.join(lists.where("n > 2"), "token").where("node <> leader").join(found, "node", "left").select("token", "n", "node", F.coalesce("component", "node").alias("comp"))
-    placed = written(placed, "placed")
-    still = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    signed = written(_signatures_of(docs, id_col, text_col, words, coordinates), "signatures")
+    nodes = written(signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "nodes")
+    all_rows = written(signed.select("doc_id", "n_shingles", "set_key"), "rows")
+    removed(signed)
+    shared = docs.sparkSession.sparkContext.broadcast(_sketch(nodes, coordinates, nodes.count()))
     small = nodes.mapInArrow(lambda bs: _bytes_of(bs, coordinates), "node long, sig8 binary")
-    blocks = _blocked(placed.join(still, "token", "left_semi")).join(small, "node").select("token", "i", "j", "node", "comp", "sig8")
-    alive = blocks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda bs: _alive(bs, coordinates, matches), "token long, i int, j int, node long, comp long")
-    alive = written(alive, "alive")
-    more = _sets(docs, alive.select("node"), id_col, text_col, words)
-    across = alive.join(more, "node").select("token", "i", "j", "node", "comp", "shingles").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda bs: _link(bs, percent), "a long, b long")
-    upper = components(across)
-    first = found.join(upper.select(F.col("node").alias("component"), F.col("component").alias("_top")), "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("_top", "component").alias("component"))
+
+    found, postings, level = None, _postings(nodes, shared, coordinates, prefix), 0
+    while True:
+        # members of lists of two or more, and each list's leader
+        leader = F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("top")
+        lists = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), leader).where("n > 1").select("token", (-F.col("top.minus")).alias("leader")), "lists")
+        held = written(postings.join(lists, "token").select("token", "node", "rank", "leader"), "held")
+        removed(lists)
+        pairs = held.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        if found is not None:  # most are of one component by now
+            pairs = _named(_named(pairs, found, "a", "_ca"), found, "b", "_cb").where("_ca <> _cb").select("a", "b")
+        pairs = written(_screen(pairs, nodes, coordinates, matches), "pairs")
+        links = _confirm(pairs, docs, id_col, text_col, words, percent)
+        removed(pairs)
+        upper = components(_named(_named(links, found, "a", "_ca"), found, "b", "_cb").select(F.col("_ca").alias("a"), F.col("_cb").alias("b")))
+        removed(links)
+        found = _composed(found, upper)
+
+        # lists that still hold several components: how many documents are not of the largest
+        placed = written(_named(held.where("node <> leader").select("token", "node", "rank"), found, "node", "comp"), "placed")
+        removed(held)
+        sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
+        about = sizes.groupBy("token").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top")).select("token", "n", F.col("top.comp").alias("most"), (F.col("n") - F.col("top.m")).alias("others")).where("others > 0")
+        about = written(about, "open")
+        fits = F.lit(True) if level == matches - 1 else F.col("others") <= BLOCK  # in the end all share as many pairs as it takes
+        narrow = _blocked(placed.join(about.where(fits), "token"))
+        blocks = narrow.join(small, "node").select("token", "block", "node", "comp", "sig8")
+        alive = written(blocks.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(lambda bs: _alive(bs, coordinates, matches), "token long, block int, node long, comp long"), "alive")
+        full = _with_texts(docs, alive, id_col, text_col).select("token", "block", "node", "comp", "text")
+        across = written(full.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(lambda bs: _link(bs, percent, words), "a long, b long"), "across")
+        removed(alive)
+        found = _composed(found, components(across))
+        wide = written(placed.join(about.where(~fits), "token", "left_semi").select("token", "node", "rank"), "wide")
+        removed(across, about, placed)
+        level += 1
+        if wide.isEmpty():
+            break
+        postings = _parted(wide, nodes, shared, coordinates, prefix + level)
+
     # of equal sets the smallest id stands for all
-    named = nodes.join(written(first, "components"), "node", "left").select("set_key", F.coalesce("component", "node").alias("_component"), "n", "node")
-    named = written(named.where("n > 1 or _component <> node").drop("node", "n"), "named")
-    rows = all_rows.select("doc_id", "n_shingles", "set_key")
+    named = _named(nodes.select("set_key", "node", "n"), found, "node", "_component")
+    named = written(named.where("n > 1 or _component <> node").select("set_key", "_component"), "named")
     # rows without a set are a group of their own and need no partner
-    full = rows.where("set_key is not null").join(named, "set_key", "left").unionByName(rows.where("set_key is null").withColumn("_component", F.lit(None).cast("long")))
-    return (
+    full = all_rows.where("set_key is not null").join(named, "set_key", "left").unionByName(all_rows.where("set_key is null").withColumn("_component", F.lit(None).cast("long")))
+    out = written(
         full.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "groups",
     )
+    removed(all_rows, nodes, named, found, wide)
+    shared.destroy()
+    return out
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch], coordinates: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, coordinates)
+        sig = _stacked(b.column("sig"), coordinates)
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], ["node", "sig8"])
 
 
 def drop_near(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, all columns as they were."""
-    groups = written(near_groups(docs, percent, words, id_col=id_col, text_col=text_col), "groups")
+    groups = near_groups(docs, percent, words, id_col=id_col, text_col=text_col)
     gone = free_names(docs, "gone")[0]
     dropped = groups.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti")
