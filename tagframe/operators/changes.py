@@ -134,6 +134,11 @@ def unsubscribe(watches: DataFrame, watch: str, owner: str) -> DataFrame:
     return watches.where(~((F.col("watch_id") == watch) & (F.col("owner") == owner)))
 
 
+def totals(watches: DataFrame) -> DataFrame:
+    """``owner, watches, ids``: how many each owner has, an id of two watches counting twice; what the limits are held against."""
+    return watches.groupBy("owner").agg(F.count_distinct("watch_id").alias("watches"), F.count(F.lit(1)).alias("ids"))
+
+
 def watched(watches: DataFrame) -> DataFrame:
     """The ids that any watch has, each once."""
     return watches.select("id").distinct()

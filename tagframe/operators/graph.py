@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,15 +73,15 @@ def hierarchy(spark, links: DataFrame, root: str, max_depth: int = 50) -> DataFr
     the parents there under the smallest. A loop of joins, one per level; cycles end it."""
     up = links.select(F.col("dst").alias("parent"), F.col("src").alias("id")).distinct()
     level = spark.createDataFrame([(root, None, 0)], "id string, parent string, depth int")
-    seen = level
+    levels = [level]  # each is written once
     for depth in range(1, max_depth + 1):
         found = level.select(F.col("id").alias("parent")).join(up, "parent").groupBy("id").agg(F.min("parent").alias("parent"))
-        level = found.join(seen.select("id"), "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth"))
+        level = found.join(reduce(DataFrame.unionByName, levels).select("id"), "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth"))
         level = written(level, "level")
         if level.isEmpty():
             break
-        seen = written(seen.unionByName(level), "seen")
-    return seen
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def dangling(links: DataFrame, ids: DataFrame) -> DataFrame:

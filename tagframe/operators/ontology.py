@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagframe.operators.graph import dangling, edges, triples
-from tagframe.operators.lineage import written
+from tagframe.operators.walks import reachable
 
 DEF = "symbol string, lib string, is array<string>, tag_on array<string>, of string, mandatory boolean"
 
@@ -101,15 +101,9 @@ def conjunct_parts(symbol: Column) -> Column:
 
 def closure(defs: DataFrame, max_depth: int = 100) -> DataFrame:
     """``symbol, ancestor, depth`` of a table of definitions, itself at depth 0, each pair once at its least depth."""
-    above = defs.select("symbol", F.explode("is").alias("parent")).distinct()
-    out = level = written(defs.select("symbol", F.col("symbol").alias("ancestor"), F.lit(0).alias("depth")), "closure")
-    for depth in range(1, max_depth + 1):
-        level = level.join(above.select(F.col("symbol").alias("ancestor"), "parent"), "ancestor").select("symbol", F.col("parent").alias("ancestor")).distinct()
-        level = written(level.join(out.select("symbol", "ancestor"), ["symbol", "ancestor"], "left_anti").select("symbol", "ancestor", F.lit(depth).alias("depth")), "level")
-        if level.isEmpty():
-            return out
-        out = written(out.unionByName(level), "closure")
-    raise ValueError(f"deeper than {max_depth}")
+    itself = defs.select("symbol", F.col("symbol").alias("ancestor"), F.lit(0).alias("depth"))
+    pairs = reachable(defs.select(F.col("symbol").alias("src"), F.explode("is").alias("dst")), max_depth)
+    return itself.unionByName(pairs.where("src <> dst").select(F.col("src").alias("symbol"), F.col("dst").alias("ancestor"), "depth"))
 
 
 def fits(tags: Column, required: tuple[str, ...]) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagframe.functions import kinds
-from tagframe.operators.lineage import written
+from tagframe.operators.walks import reachable
 
 KIND_OF = {v: k for k, v in kinds.TYPE_NAMES.items()}
 
@@ -89,7 +89,7 @@ def check(entities: DataFrame, specs: dict[str, Spec], name: str) -> DataFrame:
     found = entities.select("id", F.explode(F.array_compact(F.array(*local)))).select("id", "col.issue", "col.slot") if local else entities.select("id", F.lit("").alias("issue"), F.lit("").alias("slot")).where("false")
     for s in slots:
         if s.via and not s.maybe:
-            found = found.unionByName(entities.select("id").join(reached(entities, s.via).select("id").distinct(), "id", "left_anti").select("id", F.lit("constraint").alias("issue"), F.lit(s.name).alias("slot")))
+            found = found.unionByName(entities.select("id").join(reached(entities, s.via.rstrip("+")).select("id"), "id", "left_anti").select("id", F.lit("constraint").alias("issue"), F.lit(s.name).alias("slot")))
     return found.distinct()
 
 
@@ -99,11 +99,4 @@ def reached(entities: DataFrame, via: str) -> DataFrame:
     step = entities.select("id", F.when(F.col("tags")[tag].kind == "ref", F.col("tags")[tag].str).alias("target")).where("target is not null").join(entities.select(F.col("id").alias("target")), "target", "left_semi").select("id", "target")
     if not via.endswith("+"):
         return step
-    step = written(step, "step")
-    out = level = step
-    # pairs are finite and none comes twice, so a level is empty at last; tables keep the plan of each level short
-    while True:
-        level = written(level.join(step.select(F.col("id").alias("target"), F.col("target").alias("_next")), "target").select("id", F.col("_next").alias("target")).distinct().join(out, ["id", "target"], "left_anti"), "level")
-        if level.isEmpty():
-            return out
-        out = written(out.unionByName(level), "reached")
+    return reachable(step.select(F.col("id").alias("src"), F.col("target").alias("dst"))).select(F.col("src").alias("id"), F.col("dst").alias("target"))

@@ -345,12 +345,6 @@ def q39_hierarchy(spark, d):
     return graph.hierarchy(spark, star_edges(spark, d), "region-1")
 
 
-@query("""SELECT * FROM (VALUES ('acctbal','acctbal',0),('customer','customer',0),('customer','party',1),('customer','entity',2),('entity','entity',0),('nation','nation',0),('nation','entity',1),('party','party',0),('party','entity',1),
-('region','region',0),('region','site',1),('region','entity',2),('segment','segment',0),('site','site',0),('site','entity',1),('supplier','supplier',0),('supplier','party',1),('supplier','entity',2)) t(symbol, ancestor, depth)""")
-def q40_taxonomy_closure(spark, d):
-    return ontology.closure(_NAMESPACE.table(spark))
-
-
 # --- functions -------------------------------------------------------------------------------------
 
 
@@ -466,11 +460,6 @@ def q56_affected(spark, d):
     return changes.affected(watches, log)
 
 
-@query("SELECT * FROM (VALUES ('New_York', 'America/New_York'), ('America/Chicago', 'America/Chicago'), ('Nowhere', NULL), ('UTC', 'Etc/UTC')) t(name, zone)")
-def q57_zones(spark, d):
-    return spark.createDataFrame([("New_York",), ("America/Chicago",), ("Nowhere",), ("UTC",)], "name string").select("name", timezones.zone_for(F.col("name")).alias("zone"))
-
-
 @query("SELECT 'cust-' || c_custkey AS id, 'Str' AS dis_type, 'Number' AS acctbal_type, 'Ref' AS ref_type FROM customer")
 def q58_type_names(spark, d):
     e = where_dynamic(star(spark, d), "customer")
@@ -556,12 +545,6 @@ def q64_query_slot(spark, d):
     return specs.check(star(spark, d), _SPECS, "Placed")
 
 
-@query("SELECT * FROM (VALUES ('Buyer', 1, 'dis'), ('Buyer', 2, 'acctbal'), ('Buyer', 3, 'customer'), ('Buyer', 4, 'segment'), ('Buyer', 5, 'vip'), ('Party', 1, 'dis'), ('Party', 2, 'acctbal')) t(spec, pos, slot)")
-def q65_effective_slots(spark, d):
-    rows = [(n, i, s.name) for n in ("Buyer", "Party") for i, s in enumerate(specs.effective_slots(_SPECS, n), 1)]
-    return spark.createDataFrame(rows, "spec string, pos int, slot string")
-
-
 # --- more writes and watches -----------------------------------------------------------------------
 
 
@@ -600,17 +583,6 @@ def q70_retained(spark, d):
     return changes.retained(change_log(spark, d), 300)[0].select("version", "op", "ref")
 
 
-@query("SELECT * FROM (VALUES ('w1', 'me', 'cust-1', 9), ('w1', 'me', 'cust-4', 9), ('w1', 'me', 'cust-5', 9), ('w2', 'you', 'cust-1', 9)) t(watch_id, owner, id, last_version)")
-def q71_watch_ids(spark, d):
-    """A watch gets ids, loses some, and another one ends."""
-    ids = lambda *x: spark.createDataFrame([(f"cust-{i}",) for i in x], "id string")
-    watches = spark.createDataFrame([], "watch_id string, owner string, id string, last_version long")
-    for name, owner, first in (("w1", "me", (1, 2)), ("w2", "you", (1,)), ("w3", "you", (7, 8))):
-        watches = changes.subscribe(watches, name, owner, ids(*first), 9)
-    watches = changes.watch_ids(watches, "w1", "me", ids(2, 4, 5))
-    return changes.unsubscribe(changes.unwatch_ids(watches, "w1", "me", ids(2, 99)), "w3", "you")
-
-
 @query("SELECT count(DISTINCT user_id) AS n FROM events")
 def q72_watched_total(spark, d):
     e = table(spark, d, "events")
@@ -628,12 +600,6 @@ def q73_convert_number(spark, d):
     return out.select("p_partkey", F.round("v.num", 6).alias("feet"), "v.unit")
 
 
-@query("SELECT * FROM (VALUES ('°F', 'temperature', 'fahrenheit', 'celsius'), ('kWh', 'energy', 'kilowatt_hour', 'joule'), ('psi', 'pressure', 'pounds_per_square_inch', 'pascal'), ('none', NULL, NULL, NULL)) t(symbol, quantity, unit, base)")
-def q74_unit_registry(spark, d):
-    df = spark.createDataFrame([("°F",), ("kWh",), ("psi",), ("none",)], "symbol string")
-    return df.select("symbol", units.quantity(F.col("symbol")).alias("quantity"), units.unit_name(F.col("symbol")).alias("unit"), units.base_unit(units.quantity(F.col("symbol"))).alias("base"))
-
-
 @query("SELECT 'cust-' || c_custkey AS id, c_name AS dis, '✓' AS customer, '@nation-' || c_nationkey AS equip FROM customer")
 def q75_display(spark, d):
     e = where_dynamic(star(spark, d), "customer")
@@ -645,35 +611,6 @@ def q76_display_name(spark, d):
     return graph.display_name(where_dynamic(star(spark, d), "nation or region"))
 
 
-@query("SELECT doc_id, regexp_full_match(left(text, 20), '[A-Za-z0-9_:.~-]+') AS valid FROM documents WHERE text IS NOT NULL")
-def q77_ref_valid(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", kinds.ref_is_valid(F.left("text", F.lit(20))).alias("valid"))
-
-
 @query("SELECT 'nation-' || n_nationkey AS id, n_name AS dis, 'nation-' || n_nationkey AS nav_id FROM nation WHERE n_regionkey = 2")
 def q78_nav_children(spark, d):
     return graph.nav(star(spark, d), "region-2")
-
-
-@query("SELECT * FROM (VALUES ('customer', 'party', true), ('customer', 'customer', true), ('customer', 'site', false), ('region', 'entity', true), ('none', 'entity', false)) t(symbol, other, is_a)")
-def q79_is_a(spark, d):
-    pairs = [("customer", "party"), ("customer", "customer"), ("customer", "site"), ("region", "entity"), ("none", "entity")]
-    return spark.createDataFrame([(a, b, _NAMESPACE.is_a(a, b)) for a, b in pairs], "symbol string, other string, is_a boolean")
-
-
-@query("SELECT * FROM (VALUES ('entity', false, 'nation'), ('entity', false, 'party'), ('entity', false, 'site'), ('entity', true, 'customer'), ('entity', true, 'nation'), ('entity', true, 'party'), ('entity', true, 'region'), ('entity', true, 'site'), ('entity', true, 'supplier')) t(symbol, deep, subtype)")
-def q80_subtypes(spark, d):
-    return spark.createDataFrame([("entity", deep, s) for deep in (False, True) for s in _NAMESPACE.subtypes("entity", deep)], "symbol string, deep boolean, subtype string")
-
-
-@query("SELECT * FROM (VALUES ('ac-elec-meter', 1, 'ac'), ('ac-elec-meter', 2, 'elec'), ('ac-elec-meter', 3, 'meter'), ('site', 1, 'site')) t(symbol, pos, part)")
-def q81_conjuncts(spark, d):
-    df = spark.createDataFrame([("ac-elec-meter",), ("site",)], "symbol string")
-    return df.select("symbol", F.posexplode(ontology.conjunct_parts(F.col("symbol"))).alias("pos", "part")).select("symbol", (F.col("pos") + 1).alias("pos"), "part")
-
-
-@query("""SELECT 'def' AS list, unnest(['acctbal','customer','entity','nation','party','region','segment','site','supplier']) AS name
-UNION ALL SELECT 'lib', 'lib:own' UNION ALL SELECT 'search', unnest(['region','segment'])""")
-def q82_listings(spark, d):
-    rows = [("def", s) for s in sorted(_NAMESPACE.defs)] + [("lib", x) for x in _NAMESPACE.libs()] + [("search", s) for s in _NAMESPACE.search("eg")]
-    return spark.createDataFrame(rows, "list string, name string")
