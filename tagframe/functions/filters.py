@@ -1,33 +1,80 @@
-"""The filter language: expressions over tags, parsed on the driver into a small tree for ``plans.compile``.
+"""Conditions on tags, built in Python: ``tag("siteRef", "geoCity") == "Richmond"``, ``tag("point") & ~tag("equipRef")``, ``fits("ph::Ahu")``.
 
-``a and b or not c->d`` with ``== != < <= > >=`` against literals, and ``lib::Type``. A missing tag makes every comparison
-false, ``!=`` too; ``not`` applies to a path only.
+A path goes along references to a tag at its end. A missing tag makes every comparison false, ``!=`` too; ``~`` applies to a path only. Numbers
+with a unit are ``num(72, "°F")``, references ``ref_to("site")``; strings, numbers, booleans, dates, times and times with a zone are
+Python's own. ``plans.compile`` turns conditions into column predicates and joins.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import functools
-import re
 from dataclasses import dataclass
 
+MARKER, NA, REMOVE, NULL = ({"kind": k} for k in ("marker", "na", "remove", "null"))
+
 
 class FilterError(ValueError):
     pass
 
 
-@dataclass(frozen=True)
-class Has:
+class Node:
+    def __and__(self, other: Node) -> And:
+        return And(self, _condition(other))
+
+    def __or__(self, other: Node) -> Or:
+        return Or(self, _condition(other))
+
+    def __invert__(self) -> Node:
+        raise FilterError("only a path can be missing")
+
+    def __bool__(self) -> bool:
+        raise FilterError("conditions are joined by & and |")
+
+
+def _condition(x: object) -> Node:
+    if not isinstance(x, Node):
+        raise FilterError(f"no condition: {x!r}")
+    return x
+
+
+@dataclass(frozen=True, eq=False)
+class Has(Node):
     path: tuple[str, ...]
 
+    def __invert__(self) -> Missing:
+        return Missing(self.path)
+
+    def _compare(self, op: str, value: object) -> Compare:
+        return Compare(self.path, op, tuple(literal(value).items()))
+
+    def __eq__(self, value: object) -> Compare:  # type: ignore[override]
+        return self._compare("==", value)
 
-@dataclass(frozen=True)
-class Missing:
+    def __ne__(self, value: object) -> Compare:  # type: ignore[override]
+        return self._compare("!=", value)
+
+    def __lt__(self, value: object) -> Compare:
+        return self._compare("<", value)
+
+    def __le__(self, value: object) -> Compare:
+        return self._compare("<=", value)
+
+    def __gt__(self, value: object) -> Compare:
+        return self._compare(">", value)
+
+    def __ge__(self, value: object) -> Compare:
+        return self._compare(">=", value)
+
+    __hash__ = object.__hash__
+
+
+@dataclass(frozen=True, eq=False)
+class Missing(Node):
     path: tuple[str, ...]
 
 
-@dataclass(frozen=True)
-class Compare:
+@dataclass(frozen=True, eq=False)
+class Compare(Node):
     path: tuple[str, ...]
     op: str
     value: tuple  # of (field, value) pairs
@@ -37,166 +84,86 @@ class Compare:
         return dict(self.value)
 
 
-@dataclass(frozen=True)
-class And:
-    left: object
-    right: object
+@dataclass(frozen=True, eq=False)
+class And(Node):
+    left: Node
+    right: Node
 
 
-@dataclass(frozen=True)
-class Or:
-    left: object
-    right: object
+@dataclass(frozen=True, eq=False)
+class Or(Node):
+    left: Node
+    right: Node
 
 
-@dataclass(frozen=True)
-class Fits:
+@dataclass(frozen=True, eq=False)
+class Fits(Node):
     type_name: str
 
 
-DEPTH = 100
-_TOKEN = re.compile(
-    r"""\s*(?:
-      (?P<op>==|!=|<=|>=|<|>|->|\(|\))
-    | (?P<dateTime>\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)(?:[ ](?!(?:and|or)\b)[A-Z][\w/+-]*)?)
-    | (?P<date>\d{4}-\d\d-\d\d)
-    | (?P<time>\d\d:\d\d(?::\d\d(?:\.\d+)?)?)
-    | (?P<number>-?(?:INF|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+(?![\w]))?)(?P<unit>[A-Za-z%_/$°²³Δ℃µ\u0080-\uffff]*)|NaN)
-    | (?P<ref>@[A-Za-z0-9_:.~-]+)(?:\s+"(?:[^"\\]|\\.)*")?
-    | (?P<symbol>\^[A-Za-z0-9_:.~-]+)
-    | (?P<uri>`(?:[^`\\]|\\.)*`)
-    | (?P<str>"(?:[^"\\]|\\.)*")
-    | (?P<coord>C\(\s*-?[\d.]+\s*,\s*-?[\d.]+\s*\))
-    | (?P<spec>[A-Za-z][\w.]*::[A-Za-z]\w*)
-    | (?P<xstr>[A-Z]\w*\("(?:[^"\\]|\\.)*"\))
-    | (?P<name>[A-Za-z]\w*)
-    )""",
-    re.X,
-)
-_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
-_WORDS = {"true": ("bool", True), "false": ("bool", False), "M": ("marker", None), "NA": ("na", None), "R": ("remove", None), "N": ("null", None)}
-
-
-def unescape(text: str) -> str:
-    return re.sub(r"\\(u[0-9a-fA-F]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] == "u" and len(m[1]) == 5 else _ESCAPES.get(m[1], m[1]), text)
-
-
-def _nanoseconds(text: str) -> int:
-    clock, _, fraction = text.partition(".")
-    h, m, *s = clock.split(":")
-    return ((int(h) * 60 + int(m)) * 60 + int(s[0] if s else 0)) * 10**9 + int((fraction + "0" * 9)[:9])
-
-
-def scalar(kind: str, text: str, unit: str = "") -> dict:
-    """Fields of a literal."""
-    if kind == "number":
-        raw = text[: len(text) - len(unit)] if unit else text
-        num = {"INF": float("inf"), "-INF": float("-inf"), "NaN": float("nan")}.get(raw)
-        return {"kind": "number", "num": float(raw.replace("_", "")) if num is None else num, "unit": unit or None}
-    if kind in ("ref", "symbol"):
-        return {"kind": kind, "str": text[1:]}
-    if kind in ("str", "uri"):
-        return {"kind": kind, "str": unescape(text[1:-1])}
-    if kind == "date":
-        return {"kind": kind, "d": dt.date.fromisoformat(text)}
-    if kind == "time":
-        return {"kind": kind, "t_ns": _nanoseconds(text)}
-    if kind == "dateTime":
-        stamp, _, tz = text.partition(" ")
-        whole, fraction, zone = re.fullmatch(r"([^.]*?)(?:\.(\d+))?(Z|[+-]\d\d:\d\d)", stamp).groups()
-        at = dt.datetime.fromisoformat(whole + zone.replace("Z", "+00:00"))
-        ns = int(((fraction or "") + "0" * 9)[:9])
-        return {"kind": kind, "ts": at.astimezone(dt.UTC) + dt.timedelta(microseconds=ns // 1000), "ts_ns": ns % 1000, "off_s": int(at.utcoffset().total_seconds()), "tz": tz or "UTC"}
-    if kind == "coord":
-        lat, lng = text[2:-1].split(",")
-        return {"kind": kind, "lat": float(lat), "lng": float(lng)}
-    if kind == "xstr":
-        name, _, rest = text.partition("(")
-        return {"kind": kind, "json": name, "str": unescape(rest[1:-2])}
-    raise FilterError(f"no literal: {text}")
-
-
-@functools.lru_cache(maxsize=10_000)
-def parse(text: str):
-    """The tree of a filter; FilterError if it isn't one."""
-    tokens, at = [], 0
-    text = text.rstrip()
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise FilterError(f"unexpected {text[at : at + 10]!r} at {at}")
-        tokens.append((m.lastgroup if m.lastgroup != "unit" else "number", m[m.lastgroup] if m.lastgroup != "unit" else m["number"], m["unit"] or ""))
-        at = m.end()
-    tokens.append(("end", "", ""))
-    place = 0
-
-    def peek(value: str) -> bool:
-        return tokens[place][1] == value and tokens[place][0] in ("op", "name")
-
-    def take() -> tuple[str, str, str]:
-        nonlocal place
-        place += 1
-        return tokens[place - 1]
-
-    def path() -> tuple[str, ...]:
-        out = []
-        while True:
-            kind, name, _ = take()
-            if kind != "name" or name in ("and", "or", "not"):
-                raise FilterError(f"a tag name is missing before {name!r}")
-            out.append(name)
-            if not peek("->"):
-                return tuple(out)
-            take()
-
-    def either(depth: int):
-        left = both(depth)
-        while peek("or"):
-            take()
-            left = Or(left, both(depth))
-        return left
-
-    def both(depth: int):
-        left = term(depth)
-        while peek("and"):
-            take()
-            left = And(left, term(depth))
-        return left
-
-    def term(depth: int):
-        if depth > DEPTH:
-            raise FilterError("nested too deeply")
-        if peek("("):
-            take()
-            out = either(depth + 1)
-            if not peek(")"):
-                raise FilterError("a bracket isn't closed")
-            take()
-            return out
-        if peek("not"):
-            take()
-            return Missing(path())
-        if tokens[place][0] == "spec":
-            return Fits(take()[1])
-        p = path()
-        if tokens[place][0] == "op" and tokens[place][1] in ("==", "!=", "<", "<=", ">", ">="):
-            op = take()[1]
-            kind, word, unit = take()
-            if kind == "name" and word in _WORDS:
-                k, flag = _WORDS[word]
-                return Compare(p, op, tuple({"kind": k, **({"b": flag} if k == "bool" else {})}.items()))
-            if kind in ("op", "end", "name", "spec"):
-                raise FilterError(f"a literal is missing before {word!r}")
-            return Compare(p, op, tuple(scalar(kind, word, unit).items()))
-        return Has(p)
-
-    out = either(0)
-    if tokens[place][0] != "end":
-        raise FilterError(f"unexpected {tokens[place][1]!r}")
-    return out
-
-
-def paths(node) -> list[tuple[str, ...]]:
+def tag(*path: str) -> Has:
+    """A tag at the end of a path of references; by itself: it is there."""
+    if not path or not all(isinstance(p, str) and p.isidentifier() for p in path):
+        raise FilterError(f"no path: {path!r}")
+    return Has(path)
+
+
+def fits(type_name: str) -> Fits:
+    return Fits(type_name)
+
+
+def num(value: float, unit: str | None = None) -> dict:
+    return {"kind": "number", "num": float(value), "unit": unit}
+
+
+def ref_to(ident: str) -> dict:
+    return {"kind": "ref", "str": ident}
+
+
+def symbol(name: str) -> dict:
+    return {"kind": "symbol", "str": name}
+
+
+def uri(text: str) -> dict:
+    return {"kind": "uri", "str": text}
+
+
+def coord(lat: float, lng: float) -> dict:
+    return {"kind": "coord", "lat": float(lat), "lng": float(lng)}
+
+
+def xstr(type_name: str, text: str) -> dict:
+    return {"kind": "xstr", "json": type_name, "str": text}
+
+
+def at(stamp: dt.datetime, tz: str = "UTC", ns: int = 0) -> dict:
+    """An instant with the name of its zone and the nanoseconds beyond its microseconds."""
+    if stamp.tzinfo is None:
+        raise FilterError("an instant has a zone")
+    return {"kind": "dateTime", "ts": stamp.astimezone(dt.UTC), "ts_ns": ns, "off_s": int(stamp.utcoffset().total_seconds()), "tz": tz}
+
+
+def literal(value: object) -> dict:
+    """The fields of a tag value, from Python's own or one of the helpers above."""
+    match value:
+        case dict():
+            return value
+        case bool():
+            return {"kind": "bool", "b": value}
+        case int() | float():
+            return num(value)
+        case str():
+            return {"kind": "str", "str": value}
+        case dt.datetime():
+            return at(value)
+        case dt.date():
+            return {"kind": "date", "d": value}
+        case dt.time():
+            return {"kind": "time", "t_ns": ((value.hour * 60 + value.minute) * 60 + value.second) * 10**9 + value.microsecond * 1000}
+    raise FilterError(f"no literal: {value!r}")
+
+
+def paths(node: Node) -> list[tuple[str, ...]]:
     if isinstance(node, (And, Or)):
         return paths(node.left) + paths(node.right)
     return [] if isinstance(node, Fits) else [node.path]

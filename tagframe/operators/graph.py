@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagframe.functions.filters import Node
 from tagframe.operators.lineage import written
-from tagframe.plans.compile import where_dynamic
+from tagframe.plans.compile import Branches, values, where_dynamic
 
 # Entity classes, the most specific first.
 CLASSES = ["sensor", "cmd", "sp", "ahu", "vav", "boiler", "chiller", "meter", "point", "equip", "room", "floor", "zone", "space", "site", "weather", "device", "network"]
@@ -39,10 +40,10 @@ def children(entities: DataFrame, ident: str) -> DataFrame:
     return refs_to(edges(entities), ident).select(F.col("src").alias("id")).join(entities, "id")
 
 
-def equip_points(entities: DataFrame, ident: str, text: str | None = None) -> DataFrame:
-    """Children that are points and that a filter accepts; it follows no references."""
+def equip_points(entities: DataFrame, ident: str, test: Node | None = None) -> DataFrame:
+    """Children that are points and that meet a condition; it follows no references."""
     out = children(entities, ident).where(F.map_contains_key("tags", "point"))
-    return where_dynamic(out, text, resolve=False) if text else out
+    return out if test is None else where_dynamic(out, test, resolve=False)
 
 
 def ref_chain(entities: DataFrame, ident: str, tags: list[str]) -> DataFrame:
@@ -58,12 +59,13 @@ def ref_chain(entities: DataFrame, ident: str, tags: list[str]) -> DataFrame:
     return out
 
 
-def site_for(entities: DataFrame) -> DataFrame:
+def site_for(entities: DataFrame | Branches) -> DataFrame:
     """``id, site_id``: itself if a site; else what ``siteRef`` names, null if that is missing; else that of ``equipRef``."""
-    ref = lambda c, t: F.when(c[t].kind == "ref", c[t].str)
-    e = entities.select("id", F.map_contains_key("tags", "site").alias("_is"), ref(F.col("tags"), "siteRef").alias("_s"), ref(F.col("tags"), "equipRef").alias("_e"))
-    equip = entities.select(F.col("id").alias("_e"), ref(F.col("tags"), "siteRef").alias("_es"))
-    ids = entities.select(F.col("id").alias("_want"), F.col("id").alias("_found"))
+    ref = lambda t: F.when(F.col(t).kind == "ref", F.col(t).str)
+    rows = [b.select("site", "siteRef", "equipRef") for b in entities.all] if isinstance(entities, Branches) else [values(entities, "site", "siteRef", "equipRef")]
+    e = reduce(DataFrame.unionByName, rows).select("id", F.col("site").isNotNull().alias("_is"), ref("siteRef").alias("_s"), ref("equipRef").alias("_e"))
+    equip = values(entities, "siteRef").select(F.col("id").alias("_e"), ref("siteRef").alias("_es"))
+    ids = e.select(F.col("id").alias("_want"), F.col("id").alias("_found"))
     want = F.when(F.col("_is"), F.col("id")).when(F.col("_s").isNotNull(), F.col("_s")).otherwise(F.col("_es"))
     return e.join(equip, "_e", "left").withColumn("_want", want).join(ids, "_want", "left").select("id", F.col("_found").alias("site_id"))
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagframe.functions import kinds, timezones, units
+from tagframe.functions import kinds, units
+from tagframe.functions.filters import fits, num, ref_to, tag
 from tagframe.operators import changes, graph, history, ontology, specs
-from tagframe.plans.compile import Tag, Wide, where_dynamic, where_wide
+from tagframe.plans.compile import Branch, Branches, Tag, Wide, where_dynamic, where_wide
 from tagframe.sources import formats
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,14 +81,23 @@ def labelled(spark, d) -> Wide:
     return Wide(df, {"lang": Tag("lang"), "quality": Tag("quality", "number"), "toxic": Tag("toxic", "number")}, ("document",))
 
 
-def star(spark, d) -> DataFrame:
-    """Regions, nations, customers and suppliers as entities with tag maps."""
+def branches(spark, d) -> Branches:
+    """Regions, nations, customers and suppliers as entities."""
     ident = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
-    r = table(spark, d, "region").select(ident("region-", "r_regionkey").alias("id"), kinds.tags(region=kinds.marker(), site=kinds.marker(), dis=kinds.string(F.col("r_name"))).alias("tags"))
-    n = table(spark, d, "nation").select(ident("nation-", "n_nationkey").alias("id"), kinds.tags(nation=kinds.marker(), dis=kinds.string(F.col("n_name")), siteRef=kinds.ref(ident("region-", "n_regionkey"))).alias("tags"))
-    c = table(spark, d, "customer").select(ident("cust-", "c_custkey").alias("id"), kinds.tags(customer=kinds.marker(), dis=kinds.string(F.col("c_name")), acctbal=kinds.number(F.col("c_acctbal"), "USD"), segment=kinds.string(F.col("c_mktsegment")), equipRef=kinds.ref(ident("nation-", "c_nationkey"))).alias("tags"))
-    s = table(spark, d, "supplier").select(ident("supp-", "s_suppkey").alias("id"), kinds.tags(supplier=kinds.marker(), dis=kinds.string(F.col("s_name")), acctbal=kinds.number(F.col("s_acctbal"), "EUR"), equipRef=kinds.ref(ident("nation-", "s_nationkey"))).alias("tags"))
-    return r.unionByName(n).unionByName(c).unionByName(s)
+    of = lambda name, prefix, key, **tags: Branch(table(spark, d, name), ident(prefix, key), {name: kinds.marker()} | tags)
+    return Branches(
+        [
+            of("region", "region-", "r_regionkey", site=kinds.marker(), dis=kinds.string(F.col("r_name"))),
+            of("nation", "nation-", "n_nationkey", dis=kinds.string(F.col("n_name")), siteRef=kinds.ref(ident("region-", "n_regionkey"))),
+            of("customer", "cust-", "c_custkey", dis=kinds.string(F.col("c_name")), acctbal=kinds.number(F.col("c_acctbal"), "USD"), segment=kinds.string(F.col("c_mktsegment")), equipRef=kinds.ref(ident("nation-", "c_nationkey"))),
+            of("supplier", "supp-", "s_suppkey", dis=kinds.string(F.col("s_name")), acctbal=kinds.number(F.col("s_acctbal"), "EUR"), equipRef=kinds.ref(ident("nation-", "s_nationkey"))),
+        ]
+    )
+
+
+def star(spark, d) -> DataFrame:
+    """The same with tag maps."""
+    return branches(spark, d).frame()
 
 
 def star_edges(spark, d) -> DataFrame:
@@ -109,74 +121,74 @@ def points(spark, d) -> DataFrame:
 
 @query("SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
 def q01_has(spark, d):
-    return where_wide(labelled(spark, d), "document and quality").select("doc_id", "lang", "quality")
+    return where_wide(labelled(spark, d), tag("document") & tag("quality")).select("doc_id", "lang", "quality")
 
 
 @query("SELECT doc_id, lang FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
 def q02_missing(spark, d):
-    return where_wide(labelled(spark, d), "not quality").select("doc_id", "lang")
+    return where_wide(labelled(spark, d), ~tag("quality")).select("doc_id", "lang")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
 def q03_eq_str(spark, d):
-    return where_wide(customer(spark, d), 'mktsegment == "BUILDING"').select("c_custkey", "c_name")
+    return where_wide(customer(spark, d), tag("mktsegment") == "BUILDING").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def q04_ne_str(spark, d):
-    return where_wide(customer(spark, d), 'mktsegment != "BUILDING"').select("c_custkey", "c_mktsegment")
+    return where_wide(customer(spark, d), tag("mktsegment") != "BUILDING").select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT doc_id, quality FROM documents JOIN labels USING (doc_id) WHERE quality <> 1")
 def q05_ne_missing_is_false(spark, d):
-    return where_wide(labelled(spark, d), "quality != 1").select("doc_id", "quality")
+    return where_wide(labelled(spark, d), tag("quality") != 1).select("doc_id", "quality")
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_size < 10")
 def q06_lt(spark, d):
-    return where_wide(part(spark, d), "size < 10in").select("p_partkey", "p_size")
+    return where_wide(part(spark, d), tag("size") < num(10, "in")).select("p_partkey", "p_size")
 
 
 @query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice <= 1000")
 def q07_le(spark, d):
-    return where_wide(part(spark, d), "retailprice <= 1000").select("p_partkey", "p_retailprice")
+    return where_wide(part(spark, d), tag("retailprice") <= 1000).select("p_partkey", "p_retailprice")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
 def q08_gt(spark, d):
-    return where_wide(orders(spark, d), "totalprice > 100000").select("o_orderkey", "o_totalprice")
+    return where_wide(orders(spark, d), tag("totalprice") > 100000).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size >= 40 AND NOT p_size < 0")
 def q09_ge_unit_mismatch_is_false(spark, d):
-    return where_wide(part(spark, d), "size >= 40in or size >= 1cm").select("p_partkey")
+    return where_wide(part(spark, d), (tag("size") >= num(40, "in")) | (tag("size") >= num(1, "cm"))).select("p_partkey")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
 def q10_datetime_range(spark, d):
     w = orders(spark, d)
     w = Wide(w.df.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), w.tags, w.markers)
-    return where_wide(w, "orderDate >= 1995-01-01T00:00:00Z and orderDate < 1996-01-01T00:00:00Z").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    return where_wide(w, (tag("orderDate") >= dt.datetime(1995, 1, 1, tzinfo=dt.UTC)) & (tag("orderDate") < dt.datetime(1996, 1, 1, tzinfo=dt.UTC))).select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority < '2'")
 def q11_string_order(spark, d):
-    return where_wide(orders(spark, d), 'priority < "2"').select("o_orderkey", "o_orderpriority")
+    return where_wide(orders(spark, d), tag("priority") < "2").select("o_orderkey", "o_orderpriority")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 5000 AND c_mktsegment = 'MACHINERY'")
 def q12_precedence(spark, d):
-    return where_wide(customer(spark, d), 'mktsegment == "BUILDING" or acctbal > 5000 and mktsegment == "MACHINERY"').select("c_custkey")
+    return where_wide(customer(spark, d), (tag("mktsegment") == "BUILDING") | ((tag("acctbal") > 5000) & (tag("mktsegment") == "MACHINERY"))).select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE (c_mktsegment = 'BUILDING' OR c_acctbal > 5000) AND (c_acctbal < 9000 AND (c_acctbal > 0))")
 def q13_nested(spark, d):
-    return where_wide(customer(spark, d), '(mktsegment == "BUILDING" or acctbal > 5000) and (acctbal < 9000 and (acctbal > 0))').select("c_custkey")
+    return where_wide(customer(spark, d), ((tag("mktsegment") == "BUILDING") | (tag("acctbal") > 5000)) & ((tag("acctbal") < 9000) & (tag("acctbal") > 0))).select("c_custkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderkey LIMIT 50")
 def q14_read_limit(spark, d):
-    return where_wide(orders(spark, d), "totalprice > 1000").orderBy("o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
+    return where_wide(orders(spark, d), tag("totalprice") > 1000).orderBy("o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
 
 
 # --- paths -----------------------------------------------------------------------------------------
@@ -184,27 +196,27 @@ def q14_read_limit(spark, d):
 
 @query("SELECT c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'")
 def q15_path_two_segments(spark, d):
-    return where_wide(customer(spark, d), 'nationRef->dis == "NATION_3"').select("c_custkey", "c_acctbal")
+    return where_wide(customer(spark, d), tag("nationRef", "dis") == "NATION_3").select("c_custkey", "c_acctbal")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 5000 AND r_name = 'ASIA'")
 def q16_path_three_segments(spark, d):
-    return where_wide(customer(spark, d), 'customer and acctbal > 5000 and nationRef->regionRef->dis == "ASIA"').select("c_custkey", "c_acctbal")
+    return where_wide(customer(spark, d), (tag("customer") & (tag("acctbal") > 5000)) & (tag("nationRef", "regionRef", "dis") == "ASIA")).select("c_custkey", "c_acctbal")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7' AND l_quantity > 25")
 def q17_path_four_segments(spark, d):
-    return where_wide(lineitem(spark, d), 'orderRef->custRef->nationRef->dis == "NATION_7" and quantity > 25').select("l_orderkey", "l_linenumber", "l_quantity")
+    return where_wide(lineitem(spark, d), (tag("orderRef", "custRef", "nationRef", "dis") == "NATION_7") & (tag("quantity") > 25)).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)")
 def q18_path_exists(spark, d):
-    return where_wide(documents(spark, d), "labelRef->quality").select("doc_id", "lang")
+    return where_wide(documents(spark, d), tag("labelRef", "quality")).select("doc_id", "lang")
 
 
 @query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
 def q19_path_missing(spark, d):
-    return where_wide(documents(spark, d), "not labelRef->quality").select("doc_id", "lang")
+    return where_wide(documents(spark, d), ~tag("labelRef", "quality")).select("doc_id", "lang")
 
 
 # --- references ------------------------------------------------------------------------------------
@@ -234,7 +246,7 @@ def q23_ref_chain(spark, d):
 UNION ALL SELECT 'supp-' || s_suppkey, 'region-' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT 'nation-' || n_nationkey, 'region-' || n_regionkey FROM nation UNION ALL SELECT 'region-' || r_regionkey, 'region-' || r_regionkey FROM region""")
 def q24_site_for(spark, d):
-    return graph.site_for(star(spark, d))
+    return graph.site_for(branches(spark, d))
 
 
 @query("SELECT pos, id, c_name AS dis FROM (VALUES (0, 'cust-3'), (1, 'cust-none'), (2, 'cust-1'), (3, 'cust-3')) t(pos, id) LEFT JOIN customer ON id = 'cust-' || c_custkey")
@@ -260,12 +272,12 @@ _NAMESPACE = ontology.Namespace.of(
 
 @query("SELECT 'region-' || r_regionkey AS id FROM region")
 def q27_fits(spark, d):
-    return where_dynamic(star(spark, d), "own::Region", _NAMESPACE.required()).select("id")
+    return where_dynamic(branches(spark, d), fits("own::Region"), _NAMESPACE.required()).select("id")
 
 
 @query("SELECT 'nation-' || n_nationkey AS id, unnest(['region', 'site']) AS missing FROM nation")
 def q28_fits_explain(spark, d):
-    e = where_dynamic(star(spark, d), "nation")
+    e = where_dynamic(branches(spark, d), tag("nation"))
     return e.select("id", F.explode(ontology.missing(F.col("tags"), _NAMESPACE.mandatory_tags("region"))).alias("missing"))
 
 
@@ -401,7 +413,7 @@ def q46_replay(spark, d):
 
 @query("""SELECT 'M,"' || n_name || '",@region-' || n_regionkey AS value FROM nation""")
 def q47_zinc_rows(spark, d):
-    return formats.zinc_lines(where_dynamic(star(spark, d), "nation"), ["nation", "dis", "siteRef"])
+    return formats.zinc_lines(where_dynamic(branches(spark, d), tag("nation")), ["nation", "dis", "siteRef"])
 
 
 @query("SELECT o_orderkey, o_totalprice AS num, 'USD' AS unit FROM orders")
@@ -420,27 +432,27 @@ def q49_json3_number(spark, d):
 @query("SELECT 'cust-' || c_custkey AS id, c_acctbal AS acctbal FROM customer WHERE c_acctbal > 9000")
 def q50_dynamic_unit(spark, d):
     """Suppliers have another unit, so no order with this one."""
-    return where_dynamic(star(spark, d), "acctbal > 9000USD").select("id", F.col("tags")["acctbal"].num.alias("acctbal"))
+    return where_dynamic(branches(spark, d), tag("acctbal") > num(9000, "USD")).select("id", F.col("tags")["acctbal"].num.alias("acctbal"))
 
 
 @query("""SELECT 'cust-' || c_custkey AS id FROM customer WHERE c_acctbal <> 0 UNION ALL SELECT 'supp-' || s_suppkey FROM supplier""")
 def q51_dynamic_ne_unit(spark, d):
-    return where_dynamic(star(spark, d), "acctbal != 0USD").select("id")
+    return where_dynamic(branches(spark, d), tag("acctbal") != num(0, "USD")).select("id")
 
 
 @query("SELECT 'cust-' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND c_mktsegment = 'BUILDING'")
 def q52_dynamic_path(spark, d):
-    return where_dynamic(star(spark, d), 'segment == "BUILDING" and equipRef->siteRef->dis == "EUROPE"').select("id")
+    return where_dynamic(branches(spark, d), (tag("segment") == "BUILDING") & (tag("equipRef", "siteRef", "dis") == "EUROPE")).select("id")
 
 
 @query("SELECT 'nation-' || n_nationkey AS id FROM nation WHERE n_regionkey = 2")
 def q53_ref_eq(spark, d):
-    return where_dynamic(star(spark, d), "siteRef == @region-2").select("id")
+    return where_dynamic(branches(spark, d), tag("siteRef") == ref_to("region-2")).select("id")
 
 
 @query("""SELECT 'cust-' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'VIP' ELSE c_name END AS dis, c_custkey % 3 <> 0 AS has_segment FROM customer""")
 def q54_merge_remove(spark, d):
-    e = where_dynamic(star(spark, d), "customer")
+    e = where_dynamic(branches(spark, d), tag("customer"))
     key = F.regexp_extract("id", r"(\d+)", 1).cast("long")
     new = F.map_concat(F.when(key % 2 == 0, F.create_map(F.lit("dis"), kinds.string(F.lit("VIP")))).otherwise(F.expr("map()").cast(kinds.TAGS)), F.when(key % 3 == 0, F.create_map(F.lit("segment"), kinds.value("remove"))).otherwise(F.expr("map()").cast(kinds.TAGS)))
     out = changes.upsert(e, e.select("id", new.alias("tags")))
@@ -450,7 +462,7 @@ def q54_merge_remove(spark, d):
 @query("SELECT 'nation-' || n_nationkey AS id FROM nation UNION ALL SELECT 'region-' || r_regionkey FROM region UNION ALL SELECT 'supp-' || s_suppkey FROM supplier")
 def q55_remove(spark, d):
     e = star(spark, d)
-    return changes.remove(e, where_dynamic(e, "customer").select("id")).select("id")
+    return changes.remove(e, where_dynamic(e, tag("customer")).select("id")).select("id")
 
 
 @query("SELECT 'w-' || (user_id % 5) AS watch_id, list_sort(list(DISTINCT 'user-' || user_id)) AS ids FROM events WHERE event_id + 1 > 500 GROUP BY 1")
@@ -462,7 +474,7 @@ def q56_affected(spark, d):
 
 @query("SELECT 'cust-' || c_custkey AS id, 'Str' AS dis_type, 'Number' AS acctbal_type, 'Ref' AS ref_type FROM customer")
 def q58_type_names(spark, d):
-    e = where_dynamic(star(spark, d), "customer")
+    e = where_dynamic(branches(spark, d), tag("customer"))
     return e.select("id", *[kinds.type_name(F.col("tags")[t].kind).alias(n) for t, n in (("dis", "dis_type"), ("acctbal", "acctbal_type"), ("equipRef", "ref_type"))])
 
 
@@ -508,7 +520,7 @@ def _with_tag(entities: DataFrame, name: str, test: Column, val: Column | None =
 @query("SELECT 'cust-' || c_custkey AS id FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING' AND c_acctbal > 0")
 def q61_equip_points(spark, d):
     e = _with_tag(star(spark, d), "point", F.coalesce(F.col("tags")["segment"].str == "BUILDING", F.lit(False)))
-    return graph.equip_points(e, "nation-3", "acctbal > 0USD").select("id")
+    return graph.equip_points(e, "nation-3", tag("acctbal") > num(0, "USD")).select("id")
 
 
 @query("""WITH RECURSIVE up AS (SELECT p_partkey AS k, p_partkey // 2 AS t FROM part WHERE p_partkey > 1 UNION ALL SELECT k, t // 2 FROM up WHERE t > 1)
@@ -551,12 +563,12 @@ def q64_query_slot(spark, d):
 @query("SELECT 'cust-' || c_custkey AS id FROM customer UNION ALL SELECT 'supp-' || s_suppkey FROM supplier")
 def q66_add(spark, d):
     e = star(spark, d)
-    return changes.add(where_dynamic(e, "customer"), where_dynamic(e, "supplier")).select("id")
+    return changes.add(where_dynamic(e, tag("customer")), where_dynamic(e, tag("supplier"))).select("id")
 
 
 @query("SELECT 'supp-' || s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal * 2 END AS cur_val, CASE WHEN s_suppkey % 8 = 0 THEN 8.0::DOUBLE WHEN s_suppkey % 4 = 0 THEN 17.0::DOUBLE END AS level FROM supplier")
 def q67_point_write(spark, d):
-    e = _with_tag(where_dynamic(star(spark, d), "supplier"), "writable", F.lit(True))
+    e = _with_tag(where_dynamic(branches(spark, d), tag("supplier")), "writable", F.lit(True))
     key = F.col("s_suppkey")
     writes = table(spark, d, "supplier").where(key % 4 == 0).select(F.concat(F.lit("supp-"), key.cast("string")).alias("id"), kinds.number(F.col("s_acctbal") * 2).alias("val"), F.when(key % 8 == 0, 8).alias("level"))
     return changes.point_write(e, writes).select("id", F.col("tags")["curVal"].num.alias("cur_val"), F.col("tags")["writeLevel"].num.alias("level"))
@@ -602,13 +614,13 @@ def q73_convert_number(spark, d):
 
 @query("SELECT 'cust-' || c_custkey AS id, c_name AS dis, '✓' AS customer, '@nation-' || c_nationkey AS equip FROM customer")
 def q75_display(spark, d):
-    e = where_dynamic(star(spark, d), "customer")
+    e = where_dynamic(branches(spark, d), tag("customer"))
     return e.select("id", *[kinds.display(F.col("tags")[t]).alias(n) for t, n in (("dis", "dis"), ("customer", "customer"), ("equipRef", "equip"))])
 
 
 @query("SELECT 'nation-' || n_nationkey AS id, n_name AS dis FROM nation UNION ALL SELECT 'region-' || r_regionkey, r_name FROM region")
 def q76_display_name(spark, d):
-    return graph.display_name(where_dynamic(star(spark, d), "nation or region"))
+    return graph.display_name(where_dynamic(branches(spark, d), tag("nation") | tag("region")))
 
 
 @query("SELECT 'nation-' || n_nationkey AS id, n_name AS dis, 'nation-' || n_nationkey AS nav_id FROM nation WHERE n_regionkey = 2")

@@ -1,19 +1,20 @@
-"""Filters as DataFrame filters: bare column expressions, and one left join for each distinct path prefix.
+"""Conditions on tags as DataFrame filters: bare column expressions, and one left join for each distinct path prefix.
 
 Two bindings give tags to the compiler. ``Wide`` reads ordinary typed columns, so predicates reach the Parquet
-scan; ``Dynamic`` reads a map of values. Null and false are the same to a filter, and the language has no general
+scan; ``where_dynamic`` reads a map of values. Null and false are the same to a filter, and conditions have no general
 negation, so predicates stay unwrapped.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagframe.functions import kinds
-from tagframe.functions.filters import And, Compare, Fits, Has, Missing, Or, parse, paths
+from tagframe.functions.filters import And, Compare, Fits, Has, Missing, Node, Or, paths
 
 
 @dataclass
@@ -80,12 +81,11 @@ def mandatory(type_name: str, required: dict[str, tuple[str, ...]], strict: bool
     return found or ()
 
 
-def where_wide(w: Wide, text: str, required: dict[str, tuple[str, ...]] | None = None, strict: bool = False) -> DataFrame:
-    """Rows of ``w.df`` that a filter accepts, with its columns."""
-    node = parse(text)
+def where_wide(w: Wide, node: Node, required: dict[str, tuple[str, ...]] | None = None, strict: bool = False) -> DataFrame:
+    """Rows of ``w.df`` that meet a condition, with its columns."""
     if isinstance(node, Missing) and len(node.path) == 2 and node.path[0] in w.tags and w.tags[node.path[0]].target:
         tag = w.tags[node.path[0]]
-        there = where_wide(tag.target, node.path[1]).select(F.col(tag.target_key).alias("_there"))
+        there = where_wide(tag.target, Has((node.path[1],))).select(F.col(tag.target_key).alias("_there"))
         return w.df.join(there, F.col(tag.column) == F.col("_there"), "left_anti")
     joined, bound = w.df, {(): (w, "")}
     prefixes = sorted({p[:k] for p in paths(node) for k in range(1, len(p))}, key=lambda p: (len(p), p))
@@ -142,9 +142,100 @@ def _dynamic_leaf(node, v: Column, there: Column) -> Column:
     return {"<": lambda: kinds.less(v, other), "<=": lambda: kinds.less(v, other, True), ">": lambda: kinds.less(other, v), ">=": lambda: kinds.less(other, v, True)}[node.op]()
 
 
-def where_dynamic(df: DataFrame, text: str, required: dict[str, tuple[str, ...]] | None = None, strict: bool = False, resolve: bool = True) -> DataFrame:
-    """Rows of ``id, tags`` that a filter accepts. Without ``resolve`` longer paths lead nowhere."""
-    node = parse(text)
+@dataclass
+class Branch:
+    """Entities of one table: their id, and of each tag that they may have its value (null: absent)."""
+
+    df: DataFrame
+    id: Column
+    tags: dict[str, Column]
+
+    def select(self, *names: str) -> DataFrame:
+        """``id`` and a column a tag, null where it is absent."""
+        none = F.lit(None).cast(kinds.KIND)
+        return self.df.select(self.id.alias("id"), *[(F.when(self.tags[n].kind.isNotNull(), self.tags[n]) if n in self.tags else none).alias(n) for n in names])
+
+
+@dataclass
+class Branches:
+    """Entities of several tables, before any map is built: conditions leave out the tables that can't meet them, and only what meets them gets its map."""
+
+    all: list[Branch]
+
+    def select(self, *names: str) -> DataFrame:
+        """``id`` and a column a tag, of the tables that have any of them."""
+        some = [b for b in self.all if not names or set(names) & set(b.tags)] or self.all[:1]
+        return reduce(DataFrame.unionByName, [b.select(*names) for b in some])
+
+    def frame(self) -> DataFrame:
+        """``id, tags``."""
+        return reduce(DataFrame.unionByName, [b.df.select(b.id.alias("id"), kinds.tags(**b.tags).alias("tags")) for b in self.all])
+
+
+def may_meet(node: Node, tags: set[str]) -> bool:
+    """Whether an entity with these tags at most can meet a condition."""
+    match node:
+        case And():
+            return may_meet(node.left, tags) and may_meet(node.right, tags)
+        case Or():
+            return may_meet(node.left, tags) or may_meet(node.right, tags)
+        case Has() | Compare():
+            return node.path[0] in tags
+    return True
+
+
+def values(entities: DataFrame | Branches, *names: str) -> DataFrame:
+    """``id`` and the values of some tags, null where absent; of branches without them no rows need come (``Branches.select``), so only joins by id may rest on it."""
+    if isinstance(entities, Branches):
+        return entities.select(*names)
+    return entities.select("id", *[F.when(F.map_contains_key("tags", F.lit(n)), F.col("tags")[n]).alias(n) for n in names])
+
+
+def _where_branches(entities: Branches, node: Node, required: dict[str, tuple[str, ...]] | None, strict: bool) -> DataFrame:
+    everything, out = paths(node), []
+    prefixes = sorted({p[:k] for p in everything for k in range(1, len(p))}, key=lambda p: (len(p), p))
+    for b in entities.all:
+        if not may_meet(node, set(b.tags)):
+            continue
+        rows = b.df.select(b.id.alias("id"), *[v.alias("_v_" + t) for t, v in b.tags.items()])
+        have = {()}
+        none = F.lit(None).cast(kinds.KIND)
+
+        def at(p: tuple[str, ...], own: dict[str, Column] = b.tags) -> Column:
+            return F.col("_".join(("_v", *p))) if len(p) > 1 or p[0] in own else none  # noqa: B023
+
+        for p in prefixes:
+            if p[:-1] not in have or len(p) == 1 and p[0] not in b.tags:
+                continue
+            mark, step = "_".join(("_v", *p)), at(p)
+            names = sorted({q[len(p)] for q in everything if len(q) > len(p) and q[: len(p)] == p})
+            right = entities.select(*names).select(F.col("id").alias(mark + "_id"), *[F.col(n).alias(f"{mark}_{n}") for n in names])
+            rows = rows.join(right, F.when(step.kind == "ref", step.str) == F.col(mark + "_id"), "left")
+            have.add(p)
+
+        def build(n: Node) -> Column:
+            if isinstance(n, And):
+                return build(n.left) & build(n.right)
+            if isinstance(n, Or):
+                return build(n.left) | build(n.right)
+            if isinstance(n, Fits):
+                test = F.lit(required is not None)
+                for t in mandatory(n.type_name, required or {}, strict):
+                    test = test & at((t,)).kind.isNotNull()  # noqa: B023
+                return test
+            if n.path[:-1] not in have:  # noqa: B023
+                return F.lit(isinstance(n, Missing))
+            v = at(n.path)  # noqa: B023
+            return _dynamic_leaf(n, v, v.kind.isNotNull())
+
+        out.append(rows.where(build(node)).select("id", kinds.tags(**{t: F.col("_v_" + t) for t in b.tags}).alias("tags")))
+    return reduce(DataFrame.unionByName, out) if out else entities.frame().where("false")
+
+
+def where_dynamic(df: DataFrame | Branches, node: Node, required: dict[str, tuple[str, ...]] | None = None, strict: bool = False, resolve: bool = True) -> DataFrame:
+    """Rows of ``id, tags`` that meet a condition. Without ``resolve`` longer paths lead nowhere."""
+    if isinstance(df, Branches):
+        return _where_branches(df, node, required, strict)
     everything = paths(node)
     joined, have = df, {()}
     prefixes = sorted({p[:k] for p in everything for k in range(1, len(p))}, key=lambda p: (len(p), p)) if resolve else []
