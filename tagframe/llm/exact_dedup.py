@@ -83,14 +83,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 3, max_bits: int = 1 << 28) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    Rows that the filter clears keep their place; the texts of the others are not shuffled either: a
-    digest and id decide.
+    Rows that the filter clears keep their place. The others are joined with the chosen ones by digest and id together, so that
+    the rows of a hot group are spread, and only its chosen row meets more than itself.
     """
     sha, again, chosen_sha, keep = space.free_names(docs, "sha", "again", "chosen_sha", "keep")
     keys, test = _filtered(docs, id_col, text_col, bits_per_row, hashes, max_bits)
     chosen = space.written(keys.where(test(F.col("sha"))).groupBy(F.col("sha").alias(chosen_sha)).agg(F.max("doc_id").alias(keep)), "chosen")
     tested = docs.withColumn(sha, digest(text_col)).withColumn(again, test(F.col(sha)))
-    mine = tested.where(F.col(again)).join(chosen, F.col(sha) == F.col(chosen_sha)).where(F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
+    mine = tested.where(F.col(again)).join(chosen, (F.col(sha) == F.col(chosen_sha)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
     return tested.where(~F.col(again)).select(*docs.columns).unionByName(mine.dropDuplicates([sha]).select(*docs.columns))
 
 

@@ -23,12 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .space import folder, small_batches, written
+from .space import folder, removed, small_batches, written
 from .tokens import file_of, word_tokenizer
 from .words import mix, slices
 
@@ -57,9 +58,10 @@ def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nda
     return x.astype(np.int64)
 
 
-def sequence_counts(rows: DataFrame, tokenizer: str, length_max: int, path: str) -> dict[int, tuple[int, str]]:
-    """How many sequences each partition of ``doc_id, text`` has, and a file below ``path`` with the ids of its words, so that
-    a second reading doesn't encode them again."""
+def sequence_counts(rows: DataFrame, tokenizer: str, length_max: int, path: str) -> int:
+    """Counts the sequences of each partition of ``doc_id, text``. Below ``path`` a partition has a file with its count, the sum of
+    those before it, and the name of a file with the ids of its words, so that a second reading doesn't encode them again.
+    Returns the sum of all; nothing else of it reaches the driver."""
 
     def run(batches):
         encoder, n = word_tokenizer(tokenizer), 0
@@ -73,8 +75,24 @@ def sequence_counts(rows: DataFrame, tokenizer: str, length_max: int, path: str)
             encoder.save(f)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([name], pa.string())], ["part", "n", "name"])
 
-    got = rows.select("text").mapInArrow(run, "part int, n long, name string").collect()  # a row per partition
-    return {r["part"]: (r["n"], r["name"]) for r in got}
+    counts = written(rows.select("text").mapInArrow(run, "part int, n long, name string"), "counts")
+    # a row per partition
+    before = counts.select("part", "n", "name", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    before.write.partitionBy("part").parquet(f"{path}/parts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    removed(counts)
+    return total
+
+
+def part_of(path: str, part: int) -> tuple[int, int, str | None]:
+    """Count, sum before and file of words of a partition; zeros for one that the first reading didn't have."""
+    fs, root = pafs.FileSystem.from_uri(f"{path}/parts/part={part}")
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.endswith(".parquet"):
+            with fs.open_input_file(f.path) as source:
+                row = pq.read_table(source).to_pylist()[0]
+            return row["n"], row["base"], row["name"]
+    return 0, 0, None
 
 
 def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int = 512, tokenizer: str | None = None, end_id: int = 1, shard_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,11 +103,8 @@ def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int =
     small_batches(docs.sparkSession, 2500)
     tokenizer = tokenizer or file_of("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = sequence_counts(rows, tokenizer, length_max, path)
-    counts, total, base = {part: n for part, (n, _) in parts.items()}, 0, {}
-    for part in sorted(counts):
-        base[part] = total
-        total += counts[part]
+    words = folder(docs.sparkSession, "words")
+    total = sequence_counts(rows, tokenizer, length_max, words)
     width = 2 if max(word_tokenizer(tokenizer).most, end_id + 1) <= 1 << 16 else 4
     stride = struct.calcsize(RECORD) + width * length_max
     per_shard = max(1, shard_bytes // stride)
@@ -97,9 +112,10 @@ def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int =
 
     def place(batches):
         part, encoder, pack, n = TaskContext.get().partitionId(), word_tokenizer(tokenizer), zstandard.ZstdCompressor(level=1), 0
-        if part in parts:
-            fs, root = pafs.FileSystem.from_uri(path)
-            with fs.open_input_file(f"{root}/{parts[part][1]}") as f:
+        count, base, name = part_of(words, part)
+        if name:
+            fs, root = pafs.FileSystem.from_uri(words)
+            with fs.open_input_file(f"{root}/{name}") as f:
                 encoder.load(f)
         for b in slices(batches, 1, 4 << 20, keep=True):
             flat, sizes = encoder.encode_flat(b.column(1))
@@ -111,12 +127,12 @@ def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int =
                     stop = min(start + length_max, size)
                     packed.append(pack.compress(struct.pack(RECORD, ident or 0, k | NO_ID * (ident is None), stop - start) + raw[width * (at + start) : width * (at + stop)]))
                 at += size
-            slot = permute(np.arange(base.get(part, 0) + n, base.get(part, 0) + n + len(packed)), total, key) if packed and n + len(packed) <= counts.get(part, 0) else np.empty(0, np.int64)
+            slot = permute(np.arange(base + n, base + n + len(packed)), total, key) if packed and n + len(packed) <= count else np.empty(0, np.int64)
             n += len(packed)
-            if n > counts.get(part, 0):
+            if n > count:
                 break
             yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(packed, pa.binary())], ["shard", "slot", "record"])
-        if n != counts.get(part, 0):
+        if n != count:
             raise RuntimeError("the input changed between two readings; write it to files first")
 
     def write(batches):
@@ -154,6 +170,8 @@ def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int =
 
     placed = rows.mapInArrow(place, "shard int, slot long, record binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
     manifest = written(placed.select("shard", "slot", "record").mapInArrow(write, "shard int, path string, records long, crc32 long"), "shards")
+    fs, root = pafs.FileSystem.from_uri(words)
+    fs.delete_dir(root)  # both readings have ended
     return manifest.withColumn("first_slot", F.col("shard").cast("long") * per_shard).withColumn("length_max", F.lit(length_max))
 
 

@@ -229,17 +229,29 @@ class WordTokenizer(CachedEncoder):
         plain = pc.and_(pc.utf8_is_alpha(words), pc.invert(pc.match_substring_regex(words, _NOT_LATIN))).to_numpy(zero_copy_only=False)
         letters = words.filter(pa.array(plain)).to_pylist()
         texts = [" ".join(letters[i : i + 200]) for i in range(0, len(letters), 200)]
-        ids = np.fromiter(chain.from_iterable([e.ids for e in self.light.encode_batch_fast(texts, add_special_tokens=False)]), np.uint32)
+        ids = self._some_ids(self.light, texts, 20)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(letters):
             raise RuntimeError("a word of letters has not one end")
-        rest = [e.ids for e in self.tokenizer.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        counts: list[int] = []
+        rest = self._some_ids(self.tokenizer, words.filter(pa.array(~plain)).to_pylist(), 4000, counts)
         sizes = np.zeros(len(words), np.int64)
-        sizes[plain], sizes[~plain] = np.diff(stops, prepend=0), [len(x) for x in rest]
+        sizes[plain], sizes[~plain] = np.diff(stops, prepend=0), counts
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         first = np.zeros(len(words), np.int64)
         first[order] = np.cumsum(sizes[order]) - sizes[order]
-        return np.concatenate([ids, np.fromiter(chain.from_iterable(rest), np.uint32)]), first, sizes
+        return np.concatenate([ids, rest]), first, sizes
+
+    @staticmethod
+    def _some_ids(tokenizer, texts: list[str], at_once: int, counts: list[int] | None = None) -> np.ndarray:
+        """Ids of all texts, and in ``counts`` how many each has. Few texts at once: a tokenizer's own results are large."""
+        parts = [np.empty(0, np.uint32)]
+        for i in range(0, len(texts), at_once):
+            got = [e.ids for e in tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False)]
+            parts.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            if counts is not None:
+                counts.extend(map(len, got))
+        return np.concatenate(parts)
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
