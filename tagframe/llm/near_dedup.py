@@ -158,8 +158,8 @@ def _ranked(sigs: np.ndarray, counts: np.ndarray, first: int) -> tuple[np.ndarra
     return np.take_along_axis(tokens, order, 1), often.sum(axis=1)
 
 
-def _stacked(column: pa.Array, coordinates: int, kind: type = np.uint32) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, coordinates)
+def _stacked(column: pa.Array, coordinates: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, coordinates)
 
 
 def _postings(nodes: DataFrame, shared, coordinates: int, prefix: int) -> DataFrame:
@@ -242,9 +242,9 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
     return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of equal leading columns from sorted batches; the column that makes rows large is the fifth."""
-    batches = slices(batches, 4, 4 << 20)
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, large: int = 4) -> Iterator[pa.Table]:
+    """Tables of equal leading columns from sorted batches; ``large`` is the column that makes rows large."""
+    batches = slices(batches, large, 4 << 20)
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
@@ -265,23 +265,31 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
 
 
 def _blocked(lists: DataFrame) -> DataFrame:
-    """``token, block, node, comp`` of lists ``token, node, comp, n, most, others``: the largest component dealt out, the others in every block."""
+    """``token, block, node, comp, rank`` of lists ``token, node, comp, rank, n, most, others``: the largest component dealt out, the others in every block."""
     blocks = F.ceil((F.col("n") - F.col("others")) / F.lit(BLOCK)).cast("int")
     own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    return lists.withColumn("block", F.explode(F.when(F.col("comp") == F.col("most"), own).otherwise(F.sequence(F.lit(0), blocks - 1)))).select("token", "block", "node", "comp")
+    return lists.withColumn("block", F.explode(F.when(F.col("comp") == F.col("most"), own).otherwise(F.sequence(F.lit(0), blocks - 1)))).select("token", "block", "node", "comp", "rank")
 
 
-def _alive(batches: Iterator[pa.RecordBatch], coordinates: int, matches: int) -> Iterator[pa.RecordBatch]:
-    """Of each group the documents with a signature near that of a document of another component."""
+def _alive(batches: Iterator[pa.RecordBatch], counts: np.ndarray, coordinates: int, matches: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Of each group the documents with a signature near that of a document of another component, in the one list in which the two have to meet.
+
+    Two documents may share many lists: the pairs that they share before the list's own are ``level`` in number in the first of them only.
+    """
     for t in _grouped(batches, 2):
         comp = t.column("comp").to_numpy()
         if len(comp) < 2 or comp.min() == comp.max():
             continue
-        sig = _stacked(t.column("sig8"), coordinates, np.uint8)
-        agree = np.zeros((len(comp), len(comp)), np.uint8)
+        sig = _stacked(t.column("sig"), coordinates)
+        order = _ranked(sig, counts, coordinates)[0] >> 32  # coordinates from rare to common
+        before = np.zeros(sig.shape, bool)
+        np.put_along_axis(before, order, np.arange(coordinates)[None, :] < t.column("rank").to_numpy()[:, None], 1)
+        agree, early = np.zeros((2, len(comp), len(comp)), np.uint8)
         for k in range(coordinates):
-            agree += sig[:, k, None] == sig[None, :, k]
-        keep = ((agree >= matches) & (comp[:, None] != comp[None, :])).any(axis=1)
+            same = sig[:, k, None] == sig[None, :, k]
+            agree += same
+            early += same & before[:, k, None]
+        keep = ((agree >= matches) & (early == level) & (comp[:, None] != comp[None, :])).any(axis=1)
         if keep.any():
             yield from t.select(["token", "block", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -358,7 +366,6 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, coordinates:
     all_rows = written(signed.select("doc_id", "n_shingles", "set_key"), "rows")
     removed(signed)
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(nodes, coordinates, nodes.count()))
-    small = nodes.mapInArrow(lambda bs: _bytes_of(bs, coordinates), "node long, sig8 binary")
 
     found, postings, level = None, _postings(nodes, shared, coordinates, prefix), 0
     while True:
@@ -385,8 +392,8 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, coordinates:
         about = written(about, "open")
         fits = F.lit(True) if level == matches - 1 else F.col("others") <= BLOCK  # in the end all share as many pairs as it takes
         narrow = _blocked(placed.join(about.where(fits), "token"))
-        blocks = narrow.join(small, "node").select("token", "block", "node", "comp", "sig8")
-        alive = written(blocks.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(lambda bs: _alive(bs, coordinates, matches), "token long, block int, node long, comp long"), "alive")
+        blocks = narrow.join(nodes.select("node", "sig"), "node").select("token", "block", "node", "comp", "sig", "rank")
+        alive = written(blocks.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(lambda bs, level=level: _alive(bs, shared.value, coordinates, matches, level), "token long, block int, node long, comp long"), "alive")
         full = _with_texts(docs, alive, id_col, text_col).select("token", "block", "node", "comp", "text")
         across = written(full.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(lambda bs: _link(bs, percent, words), "a long, b long"), "across")
         removed(alive)
@@ -412,12 +419,6 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, coordinates:
     return out
 
 
-def _bytes_of(batches: Iterator[pa.RecordBatch], coordinates: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sig = _stacked(b.column("sig"), coordinates)
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], ["node", "sig8"])
-
-
 def drop_near(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, all columns as they were."""
     groups = near_groups(docs, percent, words, id_col=id_col, text_col=text_col)
