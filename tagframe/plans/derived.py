@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagframe.functions import kinds, timezones, units
-from tagframe.operators import changes, graph, ontology, specs, taxonomy, walks
+from tagframe.functions.filters import num, tag
+from tagframe.operators import changes, graph, history, ontology, specs, taxonomy, walks
+from tagframe.operators.actions import Actions
 from tagframe.operators.lineage import folder
 from tagframe.operators.store import Store
-from tagframe.plans.catalog import change_log, query, star, table
+from tagframe.plans.catalog import branches, change_log, points, query, star, table
+from tagframe.plans.compile import where_dynamic
 from tagframe.sources import formats
 
 # --- types of parts as a taxonomy ------------------------------------------------------------------
@@ -330,3 +333,32 @@ def q103_slot_types(spark, d):
     p = table(spark, d, "part")
     e = p.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), kinds.tags(size=kinds.number(F.col("p_size")), dis=kinds.string(F.col("p_name")), brand=F.when(F.col("p_size") > 9, kinds.string(F.col("p_brand"))), other=kinds.boolean(F.lit(True))).alias("tags"))
     return specs.check(e, _SIZED, "Sized")
+
+
+# --- actions and saved history ---------------------------------------------------------------------
+
+
+def _instalments(ident, tags, args):
+    n = int(args["n"])
+    for i in range(n):
+        yield i + 1, tags["acctbal"] / n, f"{tags['dis']}/{i + 1}"
+
+
+ACTIONS = Actions()
+ACTIONS.register("instalments", _instalments, "n int, amount double, label string")
+
+
+@query("SELECT 'cust-' || c_custkey AS id, t.n, c_acctbal / 3 AS amount, c_name || '/' || t.n AS label FROM customer, (VALUES (1), (2), (3)) t(n) WHERE c_acctbal > 5000")
+def q104_invoke_action(spark, d):
+    """Three rows a customer from a registered action."""
+    e = where_dynamic(branches(spark, d), tag("acctbal") > num(5000, "USD"))
+    return ACTIONS.invoke(e, "instalments", {"n": 3})
+
+
+@query("SELECT user_id AS point_id, ts, value AS val FROM events WHERE user_id = 11 AND ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-19 23:59:59'")
+def q105_saved_history(spark, d):
+    """Saved by buckets; a point's rows come from its bucket alone."""
+    path = folder(spark, "history")
+    history.save(points(spark, d), path, buckets=32)
+    start, end = history.parse_range("2024-01-03,2024-01-19")
+    return history.read_saved(spark, path, 11, start, end, buckets=32).select("point_id", "ts", "val")
