@@ -9,9 +9,9 @@ comes from a sketch of bounded size and only orders the pairs; any order is righ
 
 Lists are never expanded into all their pairs. First each document is compared with the list's leader,
 the document of the most common pairs. What that links forms components. A list that still holds
-several is merged across them: members of its largest component are dealt out in blocks, the others, at
-most ``BLOCK``, join each block, so that rows grow with the list and not with its square. Lists with more
-others than that are parted by the next pair that documents share, which is one of the next in the order
+several is merged across them: documents outside its largest component, at most ``BLOCK``, meet each other, in the first list that two of them
+share; a component meets all that share a list with it at once, dealt out in blocks, however many lists those are. So rows
+grow with the documents and not with the square of a list. Lists with more others than that are parted by the next pair that documents share, which is one of the next in the order
 of both (the prefix, longer by one), and each part is a list again. Signatures screen every comparison, full sets confirm it, so the
 components are exactly those of the confirmed links; documents of equal sets are joined before and take part once.
 
@@ -41,7 +41,7 @@ from .words import ascii_words, hashes, mix, slices
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _C = _U(0xD6E8FEB86659FD93)
-#: Documents of the largest component in a block, and of the others that join it, in the comparison across components.
+#: Documents of a component in a block, of the others that join it, and the most in a list outside its largest component.
 BLOCK = 512
 #: Documents that are compared with one copy of their leader.
 FAN = 1024
@@ -264,17 +264,24 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int, large: int = 4) -> It
         yield pa.Table.from_batches(held)
 
 
-def _blocked(lists: DataFrame) -> DataFrame:
-    """``token, block, node, comp, rank`` of lists ``token, node, comp, rank, n, most, others``: the largest component dealt out, the others in every block."""
-    blocks = F.ceil((F.col("n") - F.col("others")) / F.lit(BLOCK)).cast("int")
-    own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    return lists.withColumn("block", F.explode(F.when(F.col("comp") == F.col("most"), own).otherwise(F.sequence(F.lit(0), blocks - 1)))).select("token", "block", "node", "comp", "rank")
+def _stars(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """``token, block, node, comp``: each large component of ``rest`` (``node, comp, most``) dealt out once, whatever the number of its lists, and the documents that share one with it in every block."""
+    pairs = written(rest.select("most", "node", "comp").distinct(), "others")
+    some = pairs.groupBy("most").agg(F.count(F.lit(1)).alias("k"))
+    members = some.join(found.select(F.col("node").alias("_m"), F.col("component").alias("_c")), F.col("most") == F.col("_c"), "left").select("most", "k", F.coalesce("_m", "most").alias("node"))
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = written(members.groupBy("most").agg(parts(F.max("k")).alias("chunks"), parts(F.count(F.lit(1))).alias("blocks")), "sizes")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = members.join(sizes, "most").select("most", "chunks", each("chunks").alias("j"), at("blocks").alias("i"), "node", F.col("most").alias("comp"))
+    others = pairs.join(sizes, "most").select("most", "chunks", at("chunks").alias("j"), each("blocks").alias("i"), "node", "comp")
+    return mine.unionByName(others).select(F.col("most").alias("token"), (F.col("i") * F.col("chunks") + F.col("j")).alias("block"), "node", "comp")
 
 
 def _alive(batches: Iterator[pa.RecordBatch], counts: np.ndarray, coordinates: int, matches: int, level: int) -> Iterator[pa.RecordBatch]:
-    """Of each group the documents with a signature near that of a document of another component, in the one list in which the two have to meet.
+    """Of each group the documents with a signature near that of a document of another component.
 
-    Two documents may share many lists: the pairs that they share before the list's own are ``level`` in number in the first of them only.
+    Two documents may share many lists (block -1) and have to meet in one: the pairs that they share before the list's own are ``level`` in number in the first of them only.
     """
     for t in _grouped(batches, 2):
         comp = t.column("comp").to_numpy()
@@ -289,7 +296,8 @@ def _alive(batches: Iterator[pa.RecordBatch], counts: np.ndarray, coordinates: i
             same = sig[:, k, None] == sig[None, :, k]
             agree += same
             early += same & before[:, k, None]
-        keep = ((agree >= matches) & (early == level) & (comp[:, None] != comp[None, :])).any(axis=1)
+        once = early == level if t.column("block")[0].as_py() == -1 else True
+        keep = ((agree >= matches) & once & (comp[:, None] != comp[None, :])).any(axis=1)
         if keep.any():
             yield from t.select(["token", "block", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -391,12 +399,14 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, coordinates:
         about = sizes.groupBy("token").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top")).select("token", "n", F.col("top.comp").alias("most"), (F.col("n") - F.col("top.m")).alias("others")).where("others > 0")
         about = written(about, "open")
         fits = F.lit(True) if level == matches - 1 else F.col("others") <= BLOCK  # in the end all share as many pairs as it takes
-        narrow = _blocked(placed.join(about.where(fits), "token"))
+        rest = written(placed.join(about.where(fits), "token").where("comp <> most").select("token", "node", "comp", "rank", "most", "others"), "rest")
+        among = rest.where("others > 1").select("token", F.lit(-1).alias("block"), "node", "comp", "rank")
+        narrow = among.unionByName(_stars(rest, found).withColumn("rank", F.lit(0)))
         blocks = narrow.join(nodes.select("node", "sig"), "node").select("token", "block", "node", "comp", "sig", "rank")
         alive = written(blocks.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(lambda bs, level=level: _alive(bs, shared.value, coordinates, matches, level), "token long, block int, node long, comp long"), "alive")
         full = _with_texts(docs, alive, id_col, text_col).select("token", "block", "node", "comp", "text")
         across = written(full.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(lambda bs: _link(bs, percent, words), "a long, b long"), "across")
-        removed(alive)
+        removed(alive, rest)
         found = _composed(found, components(across))
         wide = written(placed.join(about.where(~fits), "token", "left_semi").select("token", "node", "rank"), "wide")
         removed(across, about, placed)
