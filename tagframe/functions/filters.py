@@ -8,6 +8,9 @@ Python's own. ``plans.compile`` turns conditions into column predicates and join
 from __future__ import annotations
 
 import datetime as dt
+import decimal
+import json
+import math
 from dataclasses import dataclass
 
 MARKER, NA, REMOVE, NULL = ({"kind": k} for k in ("marker", "na", "remove", "null"))
@@ -136,6 +139,36 @@ def xstr(type_name: str, text: str) -> dict:
     return {"kind": "xstr", "json": type_name, "str": text}
 
 
+def list_of(*values: object) -> dict:
+    """A list of numbers, strings, booleans, references, symbols and further lists and dicts."""
+    return {"kind": "list", "json": f"[{','.join(map(_nested, values))}]"}
+
+
+def dict_of(*markers: str, **values: object) -> dict:
+    """A dict of marker names and of names with values."""
+    parts = {m: '{"_kind":"marker"}' for m in markers} | {k: _nested(v) for k, v in values.items()}
+    return {"kind": "dict", "json": "{" + ",".join(f"{json.dumps(k)}:{parts[k]}" for k in sorted(parts)) + "}"}
+
+
+def _nested(value: object) -> str:
+    """Canonical text of a value inside another."""
+    f = literal(value)
+    match f["kind"]:
+        case "list" | "dict":
+            return f["json"]
+        case "bool":
+            return "true" if f["b"] else "false"
+        case "str":
+            return json.dumps(f["str"], ensure_ascii=False)
+        case "number" if math.isfinite(f["num"]):
+            digits = format(decimal.Decimal(repr(f["num"])), "f")
+            digits = digits.rstrip("0").rstrip(".") if "." in digits else digits
+            return digits if f["unit"] is None else f'{{"_kind":"number","unit":{json.dumps(f["unit"], ensure_ascii=False)},"val":{digits}}}'
+        case "ref" | "symbol" | "uri":
+            return f'{{"_kind":"{f["kind"]}","val":{json.dumps(f["str"], ensure_ascii=False)}}}'
+    raise FilterError(f"no literal inside another: {value!r}")
+
+
 def at(stamp: dt.datetime, tz: str = "UTC", ns: int = 0) -> dict:
     """An instant with the name of its zone and the nanoseconds beyond its microseconds."""
     if stamp.tzinfo is None:

@@ -1,15 +1,20 @@
 """Tag values: one struct for every kind, and columns that build it.
 
-Recursive kinds (list, dict, grid) are kept as canonical JSON text, so that equality is text equality.
+Recursive kinds (list, dict, grid) are kept as canonical JSON text (``nested``); they are deeply equal when their comparable texts are.
 ``ts`` holds microseconds and ``ts_ns`` the rest of a nanosecond time; equality of times counts the zone's name, order doesn't.
 """
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagframe.functions.nested import comparable
+
 KIND = T.StructType(
     [
         T.StructField("kind", T.StringType()),
@@ -36,16 +41,23 @@ ORDERED = ("number", "str", "date", "time", "dateTime")
 #: Which fields make two values of a kind equal.
 EQUAL_BY = {
     "number": ("num", "unit"), "str": ("str",), "uri": ("str",), "symbol": ("str",), "ref": ("str",), "bool": ("b",), "date": ("d",), "time": ("t_ns",),
-    "dateTime": ("ts", "ts_ns", "tz"), "coord": ("lat", "lng"), "xstr": ("str", "json"), "list": ("json",), "dict": ("json",), "grid": ("json",),
+    "dateTime": ("ts", "ts_ns", "tz"), "coord": ("lat", "lng"), "xstr": ("str", "json"),
     "null": (), "marker": (), "na": (), "remove": (),
 }
 TYPE_NAMES = {"null": "Null", "marker": "Marker", "na": "NA", "remove": "Remove", "bool": "Bool", "number": "Number", "str": "Str", "ref": "Ref", "uri": "Uri", "symbol": "Symbol", "date": "Date", "time": "Time", "dateTime": "DateTime", "coord": "Coord", "xstr": "XStr", "list": "List", "dict": "Dict", "grid": "Grid"}
 
 
+@functools.lru_cache(maxsize=4)
+def _absent(context: SparkContext | None) -> dict[str, Column]:
+    """Each field without a value, made once a context: most fields of most values are these."""
+    return {f.name: F.lit(None).cast(f.dataType.simpleString()).alias(f.name) for f in KIND.fields}
+
+
 def value(kind: Column | str, **fields: Column) -> Column:
     """A value of a kind with the given fields."""
     named = {"kind": F.lit(kind) if isinstance(kind, str) else kind} | fields
-    return F.struct(*[(named[f.name] if f.name in named else F.lit(None)).cast(f.dataType).alias(f.name) for f in KIND.fields])
+    absent = _absent(SparkContext._active_spark_context)
+    return F.struct(*[named[f.name].cast(f.dataType.simpleString()).alias(f.name) if f.name in named else absent[f.name] for f in KIND.fields])
 
 
 def marker() -> Column:
@@ -123,7 +135,8 @@ def _same_zero(a: Column, b: Column) -> Column:
 
 def equal(a: Column, b: Column) -> Column:
     """Deep equality of two values; never null for values that are there."""
-    same = [F.when(a.kind == k, _fields_equal(a, b, by)) for k, by in EQUAL_BY.items()]
+    deep = F.when(a.kind.isin("list", "dict", "grid"), comparable(a.json).eqNullSafe(comparable(b.json)))
+    same = [deep, *[F.when(a.kind == k, _fields_equal(a, b, by)) for k, by in EQUAL_BY.items()]]
     return (a.kind == b.kind) & F.coalesce(*same, F.lit(False))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagframe.functions import kinds, timezones, units
-from tagframe.functions.filters import num, tag
+from tagframe.functions.filters import dict_of, list_of, num, tag
 from tagframe.operators import changes, graph, history, ontology, specs, taxonomy, walks
 from tagframe.operators.actions import Actions
 from tagframe.operators.lineage import folder
@@ -362,3 +362,31 @@ def q105_saved_history(spark, d):
     history.save(points(spark, d), path, buckets=32)
     start, end = history.parse_range("2024-01-03,2024-01-19")
     return history.read_saved(spark, path, 11, start, end, buckets=32).select("point_id", "ts", "val")
+
+
+# --- lists and dicts in cells ----------------------------------------------------------------------
+
+
+def _nested_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose Zinc cell ``flags`` is a list by line number, flag and status of a dict of status and return flag for each line, names in either order."""
+    n = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    first = F.concat(F.lit('{s:"'), "l_linestatus", F.lit('" r:"'), "l_returnflag", F.lit('"}'))
+    second = F.concat(F.lit('{ r:"'), "l_returnflag", F.lit('", s:"'), "l_linestatus", F.lit('" }'))
+    cell = F.when(F.col("l_linenumber") % 2 == 0, first).otherwise(second)
+    lines = n.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus", cell.alias("cell")))).alias("x"))
+    text = F.concat(F.lit("["), F.array_join(F.col("x.cell"), ", "), F.lit("]"))
+    return lines.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("id"), F.create_map(F.lit("flags"), formats.zinc_decode(text)).alias("tags"))
+
+
+@query("SELECT 'order-' || l_orderkey AS id FROM lineitem GROUP BY l_orderkey HAVING string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_linenumber) = 'NO,NO'")
+def q106_nested_equal(spark, d):
+    """Orders of just two lines, both new and open, by deep equality of a list of dicts."""
+    line = dict_of(r="N", s="O")
+    return where_dynamic(_nested_orders(spark, d), tag("flags") == list_of(line, line)).select("id")
+
+
+@query("""SELECT 'order-' || l_orderkey AS id, '[' || string_agg('{r:"' || l_returnflag || '",s:"' || l_linestatus || '"}', ',' ORDER BY l_linenumber, l_returnflag, l_linestatus) || ']' AS zinc FROM lineitem GROUP BY l_orderkey""")
+def q107_nested_through_json(spark, d):
+    """Lists of dicts from Zinc to the prefix form of JSON, read back and written as Zinc."""
+    e = _nested_orders(spark, d).select("id", formats.json3_encode(F.col("tags")["flags"]).alias("json"))
+    return e.select("id", formats.zinc_encode(formats.json3_decode(F.col("json"))).alias("zinc"))

@@ -1,7 +1,8 @@
 """Text formats of tagged grids as Spark sources and sinks. Cells are decoded and encoded by column expressions.
 
 Reading gives a row per grid row, ``file, pos, id, tags``; ``operators.graph.from_rows`` makes entities of them. Large files are read by
-splits (``sources.lines``). Meta of grids and columns is a table beside (``read_meta``). Lists, dicts and grids in cells keep their text. A cell splits at commas outside quotes, back-quotes and one level of brackets.
+splits (``sources.lines``). Meta of grids and columns is a table beside (``read_meta``). Lists, dicts and grids in cells become one
+canonical text, whatever the format (``functions.nested``). A cell splits at commas outside quotes, back-quotes and brackets, which nest up to ``DEPTH`` deep; deeper cells are an error.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagframe.functions import nested
 from tagframe.functions.kinds import KIND, number_text, value
 from tagframe.operators.lineage import written
 from tagframe.sources import lines
@@ -21,7 +23,20 @@ ZINC, TRIO, JSON4, JSON3, CSV = "text/zinc", "text/trio", "application/json", "a
 _NUMBER = r"^(-?(?:INF|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?)|NaN)"
 _UNIT = r"([A-Za-z%_/$°²³Δℳµ\x{80}-\x{10ffff}][^\s,]*)?"
 _DATE, _CLOCK, _ZONE = r"\d{4}-\d\d-\d\d", r"\d\d:\d\d(?::\d\d(?:\.\d+)?)?", r"(?:Z|[+-]\d\d:\d\d)"
-_CELL = r""",((?:"(?:[^"\\]|\\.)*"|`(?:[^`\\]|\\.)*`|\[(?:[^\]"]|"(?:[^"\\]|\\.)*")*\]|\{(?:[^}"]|"(?:[^"\\]|\\.)*")*\}|\((?:[^)"]|"(?:[^"\\]|\\.)*")*\)|[^,"`\[{(])*)"""
+#: Levels of lists and dicts in a cell of a Zinc line.
+DEPTH = 24
+_QUOTED = r'"(?:[^"\\]|\\.)*+"|`(?:[^`\\]|\\.)*+`'
+
+
+def _brackets(depth: int) -> str:
+    inner = rf"[^\[\]{{}}\"`]|{_QUOTED}"
+    out = rf"[\[{{](?:{inner})*+[\]}}]"
+    for _ in range(depth - 1):
+        out = rf"[\[{{](?:{inner}|{out})*+[\]}}]"
+    return out
+
+
+_CELL = rf",((?:{_QUOTED}|{_brackets(DEPTH)}|\((?:[^)\"]|{_QUOTED})*+\)|[^,\"`\[{{(])*+)"
 
 
 def _double(text: Column) -> Column:
@@ -75,8 +90,13 @@ def _once(value_: Column, f) -> Column:
 
 
 def zinc_decode(cell: Column) -> Column:
-    """The value of a Zinc scalar; null for none, error for text that is no scalar."""
+    """The value of a Zinc scalar, list or dict; null for none, error for text that is neither."""
     t = F.trim(cell)
+    inner = nested.from_zinc(t, lambda x: json4_encode(_zinc_scalar(x)))
+    return F.when(t.rlike(r"^[\[{]"), value(F.when(t.startswith("["), "list").otherwise("dict"), json=inner)).when(t.startswith("<<"), value("grid", json=t)).otherwise(_zinc_scalar(t))
+
+
+def _zinc_scalar(t: Column) -> Column:
     got = lambda pattern, i=1: F.regexp_extract(t, pattern, i)
     number = rf"{_NUMBER}{_UNIT}$"
     return (
@@ -93,13 +113,14 @@ def zinc_decode(cell: Column) -> Column:
         .when(t.rlike(r"^C\("), value("coord", lat=got(r"^C\(\s*(-?[\d.]+)").try_cast("double"), lng=got(r",\s*(-?[\d.]+)\s*\)$").try_cast("double")))
         .when(t.rlike(number), value("number", num=_double(got(number)), unit=F.nullif(got(number, 2), F.lit(""))))
         .when(t.rlike(r"^[A-Z]\w*\("), value("xstr", json=got(r"^(\w+)\("), str=_unquote(got(r'\(\s*(".*")\s*\)$'))))
-        .when(t.startswith("["), value("list", json=t)).when(t.startswith("{"), value("dict", json=t)).when(t.startswith("<<"), value("grid", json=t))
         .otherwise(F.raise_error(F.concat(F.lit("no Zinc scalar: "), t)).cast(KIND))
     )
 
 
 def zinc_encode(value_: Column) -> Column:
-    return _once(value_, _zinc_encode)
+    """A value as Zinc; nothing for an absent one."""
+    inner = lambda v: nested.to_zinc(v.json, lambda x: _once(_json4_scalar(x), _zinc_encode))
+    return _once(value_, lambda v: F.when(v.kind.isin("list", "dict"), inner(v)).otherwise(_zinc_encode(v)))
 
 
 def _zinc_encode(v: Column) -> Column:
@@ -117,7 +138,6 @@ def _zinc_encode(v: Column) -> Column:
         .when(v.kind == "dateTime", F.concat(_stamp_text(v), F.when(v.tz.isNull() | (v.tz == ""), F.lit("")).otherwise(F.concat(F.lit(" "), v.tz))))
         .when(v.kind == "coord", F.concat(F.lit("C("), number_text(v.lat), F.lit(","), number_text(v.lng), F.lit(")")))
         .when(v.kind == "xstr", F.concat(v.json, F.lit("("), _quote(v.str), F.lit(")")))
-        .when(v.kind.isin("list", "dict"), v.json)
         .otherwise(F.raise_error(F.concat(F.lit("no Zinc scalar for "), v.kind)))
     )
 
@@ -130,6 +150,16 @@ def _json_text(text: Column) -> Column:
 
 def json4_decode(raw: Column) -> Column:
     """The value of a JSON text in the ``_kind`` form."""
+    inner = lambda v: nested.from_json(v.json, lambda x: json4_encode(_json4_scalar(x)))
+    return _canonical(_json4_scalar(raw), inner)
+
+
+def _canonical(value_: Column, inner) -> Column:
+    """A value whose text, if it is a list, dict or grid, is replaced by ``inner`` of it."""
+    return _once(value_, lambda v: F.when(v.kind.isin("list", "dict", "grid"), value(v.kind, json=inner(v))).otherwise(v))
+
+
+def _json4_scalar(raw: Column) -> Column:
     t = F.trim(raw)
     fields = F.from_json(t, ", ".join(f"{n} string" for n in ("_kind", "val", "unit", "dis", "tz", "lat", "lng", "type")))
     return _once(F.struct(t.alias("t"), fields.alias("f")), lambda x: _json4_decode(x.t, x.f))
@@ -182,6 +212,15 @@ def _json4_encode(v: Column) -> Column:
 
 def json3_decode(raw: Column) -> Column:
     """The value of a JSON text in the prefix form; an unknown prefix is a plain string."""
+
+    def inner(v: Column) -> Column:
+        text = nested.from_json(v.json, lambda x: json4_encode(_json3_scalar(x)))
+        return F.when(v.kind == "grid", nested.canonical(F.concat(F.lit('{"_kind":"grid",'), F.substr(text, F.lit(2))))).otherwise(text)
+
+    return _canonical(_json3_scalar(raw), inner)
+
+
+def _json3_scalar(raw: Column) -> Column:
     t = F.trim(raw)
     s = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]
     head, rest = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(3))
@@ -203,7 +242,8 @@ def json3_decode(raw: Column) -> Column:
 
 
 def json3_encode(value_: Column) -> Column:
-    return _once(value_, _json3_encode)
+    inner = lambda v: nested.to_json3(v.json, lambda x: _once(_json4_scalar(x), _json3_encode))
+    return _once(value_, lambda v: F.when(v.kind.isin("list", "dict", "grid"), inner(v)).otherwise(_json3_encode(v)))
 
 
 def _json3_encode(v: Column) -> Column:
@@ -229,7 +269,7 @@ def _rows(df: DataFrame, names: Column, cells: Column, decode) -> DataFrame:
     """``file, pos, id, tags`` of rows with arrays of names and cells; of equal names the last stands."""
     pairs = F.zip_with(names, cells, lambda n, c: F.struct(n.alias("key"), decode(c).alias("value")))
     present = F.filter(pairs, lambda p: p.value.isNotNull() & p.key.isNotNull())
-    last = F.filter(present, lambda p, i: ~F.exists(F.slice(present, i + 2, F.size(present)), lambda q: q.key == p.key))
+    last = _once(present, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q.key == p.key)))
     tags = F.map_from_entries(last)
     return df.select("file", "pos", tags.alias("tags")).withColumn("id", F.when(F.col("tags")["id"].kind == "ref", F.col("tags")["id"].str)).select("file", "pos", "id", "tags")
 
@@ -381,14 +421,18 @@ def names_of(entities: DataFrame) -> list[str]:
     return sorted(names, key=lambda n: (n != "id", n))
 
 
+def _literals(names: list[str]) -> Column:
+    return F.array(*map(F.lit, names)).cast("array<string>")
+
+
 def zinc_lines(entities: DataFrame, names: list[str]) -> DataFrame:
-    line = F.concat_ws(",", *[zinc_encode(F.col("tags")[n]) for n in names])
+    line = F.array_join(F.transform(_literals(names), lambda n: zinc_encode(F.col("tags")[n])), ",")
     return entities.select(F.when(line == "", F.lit("N")).otherwise(line).alias("value"))
 
 
 def csv_lines(entities: DataFrame, names: list[str]) -> DataFrame:
-    quoted = [F.concat(F.lit('"'), F.replace(zinc_encode(F.col("tags")[n]), F.lit('"'), F.lit('""')), F.lit('"')) for n in names]
-    return entities.select(F.concat_ws(",", *quoted).alias("value"))
+    quoted = F.transform(_literals(names), lambda n: F.concat(F.lit('"'), F.replace(zinc_encode(F.col("tags")[n]), F.lit('"'), F.lit('""')), F.lit('"')))
+    return entities.select(F.array_join(quoted, ",").alias("value"))
 
 
 def json_lines(entities: DataFrame, encode=json4_encode) -> DataFrame:
