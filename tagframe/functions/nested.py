@@ -28,6 +28,15 @@ _ZINC_TOKEN = "|".join(
 #: An object of one scalar: its names are sorted, so its kind stands first.
 _OBJECT = rf'\{{"_kind":"(?!dict"|grid")\w+"(?:[^{{}}"]|{_STRING})*+\}}'
 _JSON_TOKEN = "|".join([_OBJECT, rf"{_STRING}\s*:", _STRING, r"[\[\]{},]", r'[^\s,\[\]{}:"]+'])
+#: A string without escapes and control characters: its text is its content between two quotes, in every format.
+BARE = r'[^"\\\x00-\x1f]'
+PLAIN = rf'\A"{BARE}*+"\z'
+_UNPREFIXED = rf'"(?!.:){BARE}*+"'
+# Texts of brackets, names and such strings alone are rewritten as a whole, without looking at tokens. In Zinc a string then has no
+# bracket, comma or colon and isn't empty, so that these signs and two quotes side by side are always outside.
+_PLAIN_ZINC = r'\A(?:[\[\]{},\s]|[a-z]\w*+\s*+:|"[^"\\\[\]{},:\x00-\x1f]++")*+\z'
+_PLAIN_TO_ZINC = r'\A(?:[\[\]{},]|"[a-z]\w*+":|"[^"\\$\x00-\x1f]*+")*+\z'
+_PLAIN_JSON = rf'\A(?:[\[\]{{}},:]|"(?!_kind"){_UNPREFIXED[1:]}|true|false|null)*+\z'
 
 
 def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -41,6 +50,15 @@ def _rewritten(text: Column, pattern: str, f: Callable[[Column, Column], Column]
     return _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda ts: F.array_join(F.zip_with(ts, F.array_prepend(ts, F.lit("")), each), ""))
 
 
+def _is_mark(token: Column) -> Column:
+    return token.isin("[", "]", "{", "}", ",")
+
+
+def _is_name(token: Column) -> Column:
+    """A token of JSON is a name of a dict; strings end with their quote."""
+    return token.endswith('":')
+
+
 def canonical(text: Column) -> Column:
     """JSON with sorted names and no blanks."""
     return _bound(text, lambda t: F.coalesce(F.to_json(F.try_parse_json(t)), t))
@@ -52,34 +70,46 @@ def from_zinc(text: Column, scalar: Scalar) -> Column:
     def token(t: Column, b: Column) -> Column:
         name = F.regexp_extract(t, r"^([a-z]\w*)\s*:?$", 1)
         joint = F.when(b.isin("", "[", "{") | b.rlike(r"^[a-z]\w*\s*:$") | t.isin("]", "}"), "").otherwise(",")
-        return F.concat(joint, F.when(t.isin("[", "]", "{", "}"), t).when(name == "", F.coalesce(scalar(t), F.lit("null"))).when(t.endswith(":"), F.concat(F.lit('"'), name, F.lit('":'))).otherwise(F.concat(F.lit('"'), name, F.lit('":' + _MARKER))))
+        return F.concat(joint, F.when(t.isin("[", "]", "{", "}") | t.rlike(PLAIN), t).when(name == "", F.coalesce(scalar(t), F.lit("null"))).when(t.endswith(":"), F.concat(F.lit('"'), name, F.lit('":'))).otherwise(F.concat(F.lit('"'), name, F.lit('":' + _MARKER))))
+
+    def whole(t: Column) -> Column:
+        named = F.regexp_replace(t, r"([a-z]\w*+)\s*+:", '"$1":')
+        tight = F.regexp_replace(named, r'("[^"]*+")|[\s,]++', "$1")
+        return F.regexp_replace(tight, r'(?<=["\]}])(?=["\[{])', ",")
+
+    return canonical(_bound(text, lambda t: F.when(t.rlike(_PLAIN_ZINC), whole(t)).otherwise(_rewritten(t, _ZINC_TOKEN, token))))
+
 
-    return canonical(_rewritten(text, _ZINC_TOKEN, token))
+def _same_text(token: Column) -> Column:
+    """A string that all forms of JSON write alike: it has no prefix and nothing to escape."""
+    return token.rlike(rf"\A{_UNPREFIXED}\z")
 
 
 def from_json(text: Column, scalar: Scalar) -> Column:
     """Canonical text of a JSON list, dict or grid; ``scalar`` turns a scalar of its form into the ``_kind`` form."""
-    plain = F.regexp_replace(canonical(text), r'\{"_kind":"dict",?', "{")
-    token = lambda t, b: F.when(t.rlike(r"^[\[\]{},]$") | t.rlike(r'^"(?s:.*)":$'), t).otherwise(F.coalesce(scalar(t), F.lit("null")))
-    return canonical(_rewritten(plain, _JSON_TOKEN, token))
+    token = lambda t, b: F.when(_is_mark(t) | _is_name(t) | _same_text(t), t).otherwise(F.coalesce(scalar(t), F.lit("null")))
+    tokens = lambda t: canonical(_rewritten(F.regexp_replace(t, r'\{"_kind":"dict",?', "{"), _JSON_TOKEN, token))
+    return _bound(canonical(text), lambda t: F.when(t.rlike(_PLAIN_JSON), t).otherwise(tokens(t)))
 
 
 def to_zinc(text: Column, scalar: Scalar) -> Column:
     """Zinc text of a canonical list or dict; ``scalar`` turns JSON into a Zinc scalar. A grid is an error."""
 
     def token(t: Column, b: Column) -> Column:
-        named = b.rlike(r'^"(?s:.*)":$')
-        key = t.rlike(r'^"(?s:.*)":$')
-        body = F.when(t.rlike(r"^[\[\]{},]$"), t).otherwise(F.coalesce(F.nullif(scalar(t), F.lit("")), F.lit("N")))
-        return F.when(key, F.substr(t, F.lit(2), F.length(t) - 3)).when(named & (t == _MARKER), "").when(named, F.concat(F.lit(":"), body)).otherwise(body)
+        named = _is_name(b)
+        body = F.when(_is_mark(t) | (t.rlike(PLAIN) & ~t.contains("$")), t).otherwise(F.coalesce(F.nullif(scalar(t), F.lit("")), F.lit("N")))
+        return F.when(_is_name(t), F.substr(t, F.lit(2), F.length(t) - 3)).when(named & (t == _MARKER), "").when(named, F.concat(F.lit(":"), body)).otherwise(body)
 
-    return F.when(text.contains('{"_kind":"grid"'), F.raise_error(F.lit("no Zinc scalar for grid")).cast("string")).otherwise(_rewritten(text, _JSON_TOKEN, token))
+    whole = lambda t: F.regexp_replace(t, r'"([a-z]\w*+)":', "$1:")
+    grid = F.raise_error(F.lit("no Zinc scalar for grid")).cast("string")
+    return _bound(text, lambda t: F.when(t.rlike(_PLAIN_TO_ZINC), whole(t)).when(t.contains('{"_kind":"grid"'), grid).otherwise(_rewritten(t, _JSON_TOKEN, token)))
 
 
 def to_json3(text: Column, scalar: Scalar) -> Column:
     """Prefix-form text of a canonical value; ``scalar`` turns the ``_kind`` form into it."""
-    token = lambda t, b: F.when(t.rlike(r"^[\[\]{},]$") | t.rlike(r'^"(?s:.*)":$'), t).otherwise(scalar(t))
-    return canonical(_rewritten(F.regexp_replace(text, r'\{"_kind":"grid",?', "{"), _JSON_TOKEN, token))
+    token = lambda t, b: F.when(_is_mark(t) | _is_name(t) | _same_text(t), t).otherwise(scalar(t))
+    tokens = lambda t: canonical(_rewritten(F.regexp_replace(t, r'\{"_kind":"grid",?', "{"), _JSON_TOKEN, token))
+    return _bound(text, lambda t: F.when(t.rlike(_PLAIN_JSON), t).otherwise(tokens(t)))
 
 
 def comparable(text: Column) -> Column:

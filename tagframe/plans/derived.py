@@ -373,7 +373,7 @@ def _nested_orders(spark: SparkSession, d: str) -> DataFrame:
     first = F.concat(F.lit('{s:"'), "l_linestatus", F.lit('" r:"'), "l_returnflag", F.lit('"}'))
     second = F.concat(F.lit('{ r:"'), "l_returnflag", F.lit('", s:"'), "l_linestatus", F.lit('" }'))
     cell = F.when(F.col("l_linenumber") % 2 == 0, first).otherwise(second)
-    lines = n.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus", cell.alias("cell")))).alias("x"))
+    lines = n.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus", cell.alias("cell")))).alias("x"))
     text = F.concat(F.lit("["), F.array_join(F.col("x.cell"), ", "), F.lit("]"))
     return lines.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("id"), F.create_map(F.lit("flags"), formats.zinc_decode(text)).alias("tags"))
 

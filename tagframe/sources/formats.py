@@ -45,13 +45,24 @@ def _double(text: Column) -> Column:
 
 def _unquote(text: Column) -> Column:
     """Text of a quoted string; its escapes are JSON's, and ``\\$``."""
-    body = F.replace(text, F.lit("\\$"), F.lit("$"))
-    return F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")[0]
+    return _once(text, lambda t: F.when(t.rlike(nested.PLAIN), _inside(t)).otherwise(_parsed(F.replace(t, F.lit("\\$"), F.lit("$")))))
+
+
+def _inside(text: Column) -> Column:
+    return F.substr(text, F.lit(2), F.length(text) - 2)
+
+
+def _parsed(text: Column) -> Column:
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")[0]
+
+
+def _json_string(text: Column) -> Column:
+    """The content of a JSON string; one without escapes needs no parser."""
+    return F.when(text.rlike(nested.PLAIN), _inside(text)).otherwise(_parsed(text))
 
 
 def _quote(text: Column) -> Column:
-    raw = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit("$"), F.lit("\\$")))
+    return F.replace(_json_text(text), F.lit("$"), F.lit("\\$"))
 
 
 def _nanoseconds(clock: Column) -> Column:
@@ -91,7 +102,10 @@ def _once(value_: Column, f) -> Column:
 
 def zinc_decode(cell: Column) -> Column:
     """The value of a Zinc scalar, list or dict; null for none, error for text that is neither."""
-    t = F.trim(cell)
+    return _once(F.trim(cell), _zinc_decode)
+
+
+def _zinc_decode(t: Column) -> Column:
     inner = nested.from_zinc(t, lambda x: json4_encode(_zinc_scalar(x)))
     return F.when(t.rlike(r"^[\[{]"), value(F.when(t.startswith("["), "list").otherwise("dict"), json=inner)).when(t.startswith("<<"), value("grid", json=t)).otherwise(_zinc_scalar(t))
 
@@ -144,8 +158,8 @@ def _zinc_encode(v: Column) -> Column:
 
 def _json_text(text: Column) -> Column:
     """A string as JSON writes it; null stays null."""
-    raw = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substr(raw, F.lit(2), F.length(raw) - 2))
+    escaped = lambda x: _once(F.to_json(F.array(x)), _inside)
+    return _once(text, lambda x: F.when(x.rlike(rf"\A{nested.BARE}*+\z"), F.concat(F.lit('"'), x, F.lit('"'))).when(x.isNotNull(), escaped(x)))
 
 
 def json4_decode(raw: Column) -> Column:
@@ -160,9 +174,8 @@ def _canonical(value_: Column, inner) -> Column:
 
 
 def _json4_scalar(raw: Column) -> Column:
-    t = F.trim(raw)
-    fields = F.from_json(t, ", ".join(f"{n} string" for n in ("_kind", "val", "unit", "dis", "tz", "lat", "lng", "type")))
-    return _once(F.struct(t.alias("t"), fields.alias("f")), lambda x: _json4_decode(x.t, x.f))
+    fields = lambda t: F.when(t.startswith("{"), F.from_json(t, ", ".join(f"{n} string" for n in ("_kind", "val", "unit", "dis", "tz", "lat", "lng", "type"))))
+    return _once(F.trim(raw), lambda t: _once(fields(t), lambda f: _json4_decode(t, f)))
 
 
 def _json4_decode(t: Column, fields: Column) -> Column:
@@ -171,7 +184,7 @@ def _json4_decode(t: Column, fields: Column) -> Column:
     return (
         F.when(t.isNull(), F.lit(None).cast(KIND)).when(t == "null", value("null"))
         .when(t.isin("true", "false"), value("bool", b=t == "true"))
-        .when(t.startswith('"'), value("str", str=F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]))
+        .when(t.startswith('"'), value("str", str=_json_string(t)))
         .when(t.startswith("["), value("list", json=t))
         .when(~t.startswith("{"), value("number", num=t.try_cast("double")))
         .when(kind.isin("marker", "na", "remove"), value(kind))
@@ -221,15 +234,24 @@ def json3_decode(raw: Column) -> Column:
 
 
 def _json3_scalar(raw: Column) -> Column:
-    t = F.trim(raw)
-    s = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]
-    head, rest = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(3))
-    first, after = F.split(rest, " ", 2)[0], F.nullif(F.get(F.split(rest, " ", 2), F.lit(1)), F.lit(""))
+    return _once(F.trim(raw), _json3_decode)
+
+
+def _json3_decode(t: Column) -> Column:
     return (
         F.when(t.isNull(), F.lit(None).cast(KIND)).when(t == "null", value("null"))
         .when(t.isin("true", "false"), value("bool", b=t == "true"))
         .when(t.startswith("["), value("list", json=t)).when(t.startswith("{"), value(F.when(t.rlike(r'"meta"\s*:') & t.rlike(r'"cols"\s*:'), "grid").otherwise("dict"), json=t))
         .when(~t.startswith('"'), value("number", num=t.try_cast("double")))
+        .otherwise(_once(_json_string(t), _json3_prefixed))
+    )
+
+
+def _json3_prefixed(s: Column) -> Column:
+    head, rest = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(3))
+    first, after = F.split(rest, " ", 2)[0], F.nullif(F.get(F.split(rest, " ", 2), F.lit(1)), F.lit(""))
+    return (
+        F.when(~F.coalesce(F.substr(s, F.lit(2), F.lit(1)) == ":", F.lit(False)), value("str", str=s))
         .when(s == "m:", value("marker")).when(s == "z:", value("na")).when(s == "-:", value("remove"))
         .when(head == "s:", value("str", str=rest)).when(head == "n:", value("number", num=_double(first), unit=after))
         .when(head == "r:", value("ref", str=first, json=after)).when(head == "u:", value("uri", str=rest)).when(head == "y:", value("symbol", str=rest))

@@ -40,6 +40,24 @@ def test_round_trip_through_json(spark, encode, decode):
     assert [r["t"] for r in df.orderBy("i").collect()] == list(VALUES.values())
 
 
+def test_plain_strings_are_rewritten_without_looking_at_them(spark):
+    """Scalars that are an error: only other values than strings without escapes may need them."""
+    bad = lambda x: F.raise_error(F.lit("looked at")).cast("string")
+    zinc, canonical = ['[{s:"O" r:"N x"}, { r:"N", s:"O" },["a" "b"] ]', '{a:"" b:["$"]}'], ['[{"r":"N x","s":"O"},{"r":"N","s":"O"},["a","b"]]', '{"a":"","b":["$"]}']
+    assert column(spark, zinc, lambda t: nested.from_zinc(t, bad)) == canonical
+    assert column(spark, canonical, lambda t: nested.to_json3(t, bad)) == canonical == column(spark, canonical, lambda t: nested.from_json(t, bad))
+    assert column(spark, canonical[:1], lambda t: nested.to_zinc(t, bad)) == ['[{r:"N x",s:"O"},{r:"N",s:"O"},["a","b"]]']
+    for text in ('["a:b"]', '["\\n"]', "[1]"):
+        with pytest.raises(Exception, match="looked at"):
+            column(spark, [text], lambda t: nested.to_json3(t, bad))
+
+
+def test_signs_inside_strings_stay(spark):
+    v = {'[", " "]{" "a:b" ":" "" "x"]': '[", ","]{","a:b",":","","x"]', '{a:"b:" c:"{d:" e : "$"}': '{a:"b:",c:"{d:",e:"\\$"}', '["m:" "n:1" "s:" "_kind"]': '["m:","n:1","s:","_kind"]'}
+    assert column(spark, v, f.zinc_decode, f.zinc_encode) == list(v.values())
+    assert column(spark, v, f.zinc_decode, f.json3_encode, f.json3_decode, f.zinc_encode) == list(v.values())
+
+
 def test_forms_of_json(spark):
     v = ['{site dis:"x" n:[1kW,@a "A"]}']
     assert column(spark, v, f.zinc_decode, f.json4_encode) == ['{"dis":"x","n":[{"_kind":"number","unit":"kW","val":1},{"_kind":"ref","dis":"A","val":"a"}],"site":{"_kind":"marker"}}']
