@@ -74,6 +74,11 @@ def write(history: DataFrame, rows: DataFrame, cap: int = CAP) -> DataFrame:
     """History after a write; at most 100,000 rows at once."""
     if rows.limit(WRITE_ROWS + 1).count() > WRITE_ROWS:
         raise ValueError(f"more than {WRITE_ROWS} rows in one write")
+    return write_all(history, rows, cap)
+
+
+def write_all(history: DataFrame, rows: DataFrame, cap: int = CAP) -> DataFrame:
+    """History as any number of writes leave it. The last written wins and the cap drops only what is older than rows that stay, so one pass does what one write after the other does."""
     return capped(last_wins(history.unionByName(rows)), cap)
 
 

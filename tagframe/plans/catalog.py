@@ -581,7 +581,7 @@ def q68_history_write(spark, d):
     h = points(spark, d).withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     e = table(spark, d, "events").where("event_type = 'click'")
     rows = e.select(F.col("user_id").alias("point_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), (F.col("event_id") + 1_000_000_000).alias("ord"), (-F.col("value")).alias("val"))
-    return history.write(h, rows, cap=5)
+    return history.write_all(h, rows, cap=5)
 
 
 @query("SELECT user_id AS point_id, ts, value AS val FROM events WHERE user_id = 5 AND ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-19 23:59:59'")

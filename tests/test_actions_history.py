@@ -92,3 +92,15 @@ def test_a_library_that_others_build_on_stays(spark):
     assert [x[0] for x in taxonomy.without_lib(defs, "l2").select("symbol").collect()] == ["a"]
     with pytest.raises(ValueError):
         taxonomy.without_lib(defs, "l1")
+
+
+def test_more_rows_than_one_write_takes(spark):
+    at = F.timestamp_seconds(F.col("id") % 7 * 86_400)
+    rows = lambda n, first: spark.range(n).select((F.col("id") % 3).alias("point_id"), at.alias("ts"), (F.col("id") + first).alias("ord"), (F.col("id") + first).cast("double").alias("val"))
+    h, n = rows(20, 0), history.WRITE_ROWS + 1
+    with pytest.raises(ValueError, match="more than"):
+        history.write(h, rows(n, 100), cap=2)
+    got = sorted(tuple(r) for r in history.write_all(h, rows(n, 100), cap=2).collect())
+    first, rest = rows(n, 100).where(F.col("ord") < 50_000), rows(n, 100).where(F.col("ord") >= 50_000)
+    assert got == sorted(tuple(r) for r in history.write(history.write(h, first, cap=2), rest, cap=2).collect())
+    assert len(got) == 6
