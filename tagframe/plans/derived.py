@@ -305,8 +305,8 @@ def q71_watch_ids(spark, d):
     watches = spark.createDataFrame([], "watch_id string, owner string, id string, last_version long")
     of = lambda n: c.where(F.col("c_nationkey") == n)
     for n in (0, 1, 2):
-        watches = changes.subscribe(watches, f"w-{n}", "me", of(n).select(ident.alias("id")), 7)
-    watches = changes.watch_ids(watches, "w-0", "me", table(spark, d, "supplier").where("s_nationkey = 0").select(F.concat(F.lit("supp-"), F.col("s_suppkey").cast("string")).alias("id")))
+        watches = changes.subscribe(watches, f"w-{n}", "me", of(n).select(ident.alias("id")), 7, limited=False)
+    watches = changes.watch_ids(watches, "w-0", "me", table(spark, d, "supplier").where("s_nationkey = 0").select(F.concat(F.lit("supp-"), F.col("s_suppkey").cast("string")).alias("id")), limited=False)
     for n in (0, 1):
         watches = changes.unwatch_ids(watches, f"w-{n}", "me", of(n).where("c_custkey % 3 = 0").select(ident.alias("id")))
     return changes.unsubscribe(watches, "w-2", "me")

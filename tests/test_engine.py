@@ -185,6 +185,21 @@ def log_of(spark):
     return df.select("version", "op", "ref", empty.alias("old"), F.when(F.col("op") == "add", value).alias("new"), F.when(F.col("op") == "update", value).alias("changed"), empty.alias("previous"))
 
 
+def test_watches_without_limits(spark):
+    ids = lambda first, n: spark.range(first, first + n).select(F.col("id").cast("string").alias("id"))
+    none = spark.createDataFrame([], "watch_id string, owner string, id string, last_version long")
+    many = changes.IDS_A_USER + 1
+    with pytest.raises(changes.GraphError, match="too many"):
+        changes.subscribe(none, "w", "me", ids(0, many), 3)
+    w = changes.subscribe(none, "w", "me", ids(0, many), 3, limited=False)
+    with pytest.raises(changes.GraphError, match="too many"):
+        changes.watch_ids(w, "w", "me", ids(many, 1))
+    w = changes.watch_ids(w, "w", "me", ids(many - 10, many), limited=False)
+    assert w.count() == w.select("id").distinct().count() == 2 * many - 10
+    with pytest.raises(changes.GraphError, match="no such watch"):
+        changes.watch_ids(w, "x", "me", ids(0, 1), limited=False)
+
+
 def test_change_log_and_watches(spark):
     log = log_of(spark).cache()
     assert [r["version"] for r in changes.since(log, 3).collect()] == [4, 5]
