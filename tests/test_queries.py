@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -42,5 +43,18 @@ def test_query_matches_sql(spark, db, name):
     assert got == rows_of(names, c.fetchall())
 
 
+def test_both_zeros_are_no_balance(spark, tmp_path):
+    for name in ("region", "nation", "supplier"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    zero = F.when(F.col("c_custkey") % 3 == 0, F.lit(-0.0)).when(F.col("c_custkey") % 3 == 1, F.lit(0.0)).otherwise(F.col("c_acctbal"))
+    spark.read.parquet(f"{SF}/customer.parquet").withColumn("c_acctbal", zero).write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted(r["id"] for r in entry.queries()["q51_dynamic_ne_unit"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    for name, at in (("customer", "customer.parquet/*.parquet"), ("supplier", "supplier.parquet")):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{at}'")
+    assert got == sorted(r[0] for r in c.execute(SQL["q51_dynamic_ne_unit"]).fetchall())
+    assert not any(i.startswith("cust-") and int(i[5:]) % 3 < 2 for i in got)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
