@@ -43,7 +43,8 @@ def _checked(ok: Column, value: Column, message: str, ident: Column) -> Column:
 def diff(entities: DataFrame, writes: DataFrame) -> DataFrame:
     """Entities and the writes to them, joined once: ``id, tags`` as they are afterwards (null: gone) and, where something was written, ``op, old, new, changed, previous``."""
     real = writes.where(~((F.col("op") == "update") & (F.coalesce(F.size("tags"), F.lit(0)) <= 0)) | F.col("id").isNull())
-    one = real.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.any_value("op").alias("_op"), F.any_value(F.struct("tags")).alias("_w")).select("id", "_n", "_op", F.col("_w.tags").alias("_w"))
+    # maps are aggregated by sorting, so rows are dealt out first: a task would else sort all that it read, as much as its file holds
+    one = real.repartition("id").groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.any_value("op").alias("_op"), F.any_value(F.struct("tags")).alias("_w")).select("id", "_n", "_op", F.col("_w.tags").alias("_w"))
     both = entities.select("id", F.col("tags").alias("_old"), F.lit(True).alias("_there")).join(one, "id", "full")
     there, ident = F.coalesce(F.col("_there"), F.lit(False)), F.col("id")
     op = F.when(F.col("_op") == "upsert", F.when(there, "update").otherwise("add")).otherwise(F.col("_op"))
@@ -168,7 +169,8 @@ class Store:
             fs.delete(there, True)
             return head["version"]
         kept = joined.where("tags is not null").select("id", "tags", self.bucket(F.col("id")).alias("bucket"))
-        kept.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/entities/{token}")
+        # a large bucket is the work of several tasks, and has as many files
+        kept.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/entities/{token}")
         removed(batch, joined)
         there, fs = self._fs(f"{self.path}/entities/{token}")
         full = {s.getPath().getName().removeprefix("bucket=") for s in fs.listStatus(there)}

@@ -9,7 +9,7 @@ from tagframe.functions import kinds
 from tagframe.operators import changes
 from tagframe.operators.changes import ChangelogGap
 from tagframe.operators.lineage import folder
-from tagframe.operators.store import Conflict, Store, numbered
+from tagframe.operators.store import Conflict, Store, diff, numbered
 from tagframe.sources import feed
 from tagframe.streaming import watches
 
@@ -177,6 +177,15 @@ def test_feed_from_a_version_and_after_the_floor(spark, filled):
         drained(spark, other, folder(spark, "feed"))
 
 
+def test_writes_are_dealt_out_before_they_are_sorted(spark):
+    e = frame(spark, [("a", "add", {"x": 1.0})])
+    joined = diff(e.select("id", "tags"), frame(spark, [("a", "update", {"x": 2.0}), ("b", "add", {"x": 3.0})]))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    # what is last stands next to the rows of writes
+    assert 0 < plan.rfind("SortAggregate") < plan.rfind("Exchange hashpartitioning(id")
+    assert {r["id"]: (r["op"], plain(r["tags"])) for r in joined.collect()} == {"a": ("update", {"x": 2.0}), "b": ("add", {"x": 3.0})}
+
+
 # ---- watches
 
 
