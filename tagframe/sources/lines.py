@@ -32,6 +32,8 @@ from pyspark.sql.types import StructType
 SCHEMA = "file string, pos long, text string, whole boolean, head array<string>"
 _ARROW = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("text", pa.string()), ("whole", pa.bool_()), ("head", pa.list_(pa.string()))])
 _BLOCK = 4 << 20
+#: Heads, and splits that are smaller than this, are read by so many bytes.
+_SMALL = 1 << 16
 _DASHES = re.compile(rb"-{3,}")
 _ROWS = re.compile(r'"rows"\s*:\s*\[\s*$')
 SPLIT = 64 << 20
@@ -66,12 +68,12 @@ class Split(InputPartition):
     end: int
 
 
-def _blocks(f, at: int) -> Iterator[tuple[int, bytes]]:
-    """Whole lines from a line's start on, some megabytes at once, each with its offset; the last may lack a newline."""
+def _blocks(f, at: int, most: int = _BLOCK) -> Iterator[tuple[int, bytes]]:
+    """Whole lines from a line's start on, at most so many bytes at once, each with its offset; the last may lack a newline."""
     f.seek(at)
     held: list[bytes] = []
     size = 0
-    while block := f.read(_BLOCK):
+    while block := f.read(most):
         cut = block.rfind(b"\n") + 1
         if not cut:
             held.append(block)
@@ -85,13 +87,13 @@ def _blocks(f, at: int) -> Iterator[tuple[int, bytes]]:
         yield at, rest
 
 
-def _line_start(f, at: int) -> int:
+def _line_start(f, at: int, most: int = _BLOCK) -> int:
     """The first line's start at or after an offset."""
     if at == 0:
         return 0
     f.seek(at - 1)
     where = at - 1
-    while block := f.read(_BLOCK):
+    while block := f.read(min(most, _SMALL)):
         cut = block.find(b"\n")
         if cut >= 0:
             return where + cut + 1
@@ -99,9 +101,9 @@ def _line_start(f, at: int) -> int:
     return where
 
 
-def _lines(f, start: int, end: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """Offsets and texts of the lines that begin in a range."""
-    for at, block in _blocks(f, _line_start(f, start)):
+def _lines(f, start: int, end: int, most: int = _BLOCK) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Offsets and texts of the lines that begin in a range, read by blocks no larger than a split, so that small splits don't read each other's lines."""
+    for at, block in _blocks(f, _line_start(f, start, most), most):
         if at >= end:
             return
         lines = pc.split_pattern(pa.array([block], pa.large_binary()), b"\n").flatten()
@@ -117,7 +119,7 @@ def _lines(f, start: int, end: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
 def zinc_head(f) -> tuple[int, list[str]]:
     """Where the rows of a Zinc grid begin, and its two head lines."""
     head: list[str] = []
-    for at, block in _blocks(f, 0):
+    for at, block in _blocks(f, 0, _SMALL):
         for line in block.splitlines(keepends=True):
             text = line.decode("utf-8").strip()
             at += len(line)
@@ -132,7 +134,7 @@ def zinc_head(f) -> tuple[int, list[str]]:
 
 def json_head(f) -> tuple[int, list[str] | None]:
     """Where the rows of a JSON grid begin if they have lines of their own, and what stands before."""
-    for _, block in _blocks(f, 0):
+    for _, block in _blocks(f, 0, _SMALL):
         line, newline, _ = block.partition(b"\n")
         text = line.decode("utf-8")
         return (len(line) + 1, [text]) if newline and _ROWS.search(text) else (0, None)
@@ -162,10 +164,11 @@ class Reader(DataSourceReader):
         if not split.uri:
             return
         fs, at = open_path(split.uri)
+        most = min(_BLOCK, max(split.end - split.start, _SMALL))
         with fs.open_input_file(at) as f:
             if self.layout == "trio":
                 if not self.only:
-                    yield from self._trio(f, split)
+                    yield from self._trio(f, split, most)
                 return
             first, head = (zinc_head if self.layout == "zinc" else json_head)(f)
             if self.only:
@@ -176,7 +179,7 @@ class Reader(DataSourceReader):
                     f.seek(0)
                     yield self._batch(split.uri, [0], [f.read().decode("utf-8")], None, True)
                 return
-            for pos, lines in _lines(f, max(split.start, first), split.end):
+            for pos, lines in _lines(f, max(split.start, first), split.end, most):
                 text = pc.utf8_trim_whitespace(lines.cast(pa.large_string()))
                 if self.layout == "zinc":
                     keep = pc.and_(pc.not_equal(text, ""), pc.invert(pc.starts_with(text, "//")))
@@ -187,12 +190,12 @@ class Reader(DataSourceReader):
                 if len(kept):
                     yield self._batch(split.uri, pos[keep.to_numpy(zero_copy_only=False)], kept.to_pylist(), head)
 
-    def _trio(self, f, split: Split) -> Iterator[pa.RecordBatch]:
+    def _trio(self, f, split: Split, most: int) -> Iterator[pa.RecordBatch]:
         """Records whose line of dashes, or the file's beginning, lies in the split; the last one goes on past its end."""
         rows: list[tuple[int, str]] = []
         at, record = (0, []) if split.start == 0 else (None, [])
         size, done = 0, False
-        for pos, lines in _lines(f, split.start, 1 << 62):
+        for pos, lines in _lines(f, split.start, 1 << 62, most):
             for p, line in zip(pos.tolist(), lines.to_pylist(), strict=True):
                 if not _DASHES.match(line):
                     if at is not None:

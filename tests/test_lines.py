@@ -128,3 +128,46 @@ def test_no_files_and_empty_ones(spark, tmp_path):
     assert f.read_zinc(spark, str(tmp_path / "*.zinc")).count() == 0
     with pytest.raises(Exception, match="nowhere"):
         f.read_zinc(spark, str(tmp_path / "nowhere.zinc")).collect()
+
+
+@pytest.mark.parametrize("layout", ["zinc", "trio", "json_grid"])
+def test_small_splits_read_little_more_than_themselves(tmp_path, layout, monkeypatch):
+    """A block of megabytes for each split of 64 KB made the bytes read grow as splits times blocks."""
+    n = 40_000
+    texts = {
+        "zinc": 'ver:"3.0"\nid,n\n' + "".join(f"@item-{i:09d},{i:09d}\n" for i in range(n)),
+        "trio": "".join(f"id: @item-{i:09d}\nn: {i:09d}\n---\n" for i in range(n)),
+        "json_grid": '{"meta":{},"cols":[],"rows":[\n' + ",\n".join(f'{{"id":"r:item-{i:09d}","n":"n:{i}"}}' for i in range(n)) + "\n]}\n",
+    }
+    path = tmp_path / "grid"
+    path.write_text(texts[layout])
+    read = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, size=None):
+            out = self.f.read(size)
+            read.append(len(out))
+            return out
+
+    class Files:
+        def open_input_file(self, at):
+            return Counted(open(at, "rb"))
+
+    reader = lines.Reader(layout, {"path": str(path), "splitsize": str(1 << 16)})
+    splits = reader.partitions()
+    monkeypatch.setattr(lines, "open_path", lambda uri: (Files(), uri.removeprefix("file://")))
+    got = [t for s in splits for b in reader.read(s) for t in b.column(2).to_pylist()]
+    assert len(splits) > 10 and sum("item-" in t for t in got) == n
+    assert sum(read) < 6 * path.stat().st_size
