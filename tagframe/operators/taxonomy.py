@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagframe.operators.graph import triples
+from tagframe.operators.joins import MOST, dealt_join, frequent
 from tagframe.operators.walks import reachable
 
 
@@ -79,11 +79,15 @@ def listing(defs: DataFrame, search: str) -> DataFrame:
     return row(names, "def").unionByName(row(libs, "lib")).unionByName(row(names.where(F.col("name").contains(search)), "search"))
 
 
-def fitting(entities: DataFrame, needs: DataFrame) -> DataFrame:
+def fitting(entities: DataFrame, needs: DataFrame, most: int = MOST) -> DataFrame:
     """``id, symbol`` where an entity has every tag that a type requires (``required``), whatever the tag holds. Types that require none fit everything and don't come."""
-    size = needs.groupBy("symbol").agg(F.count(F.lit(1)).alias("_need"))
-    has = triples(entities).select("id", "tag").join(needs, "tag").groupBy("id", "symbol").agg(F.count(F.lit(1)).alias("_has"))
-    return has.join(size, "symbol").where("_has = _need").select("id", "symbol")
+    names = entities.select("id", F.map_keys("tags").alias("_tags")).select("id", "_tags", F.explode("_tags").alias("tag"))
+    # a type meets the entities that have the rarest of its tags, which are looked at for the others
+    hot = frequent(names, "tag", most)
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)), "tag")).tag
+    types = needs.join(F.broadcast(hot), "tag", "left").groupBy("symbol").agg(F.collect_set("tag").alias("_needs"), rarest.alias("tag"))
+    met = dealt_join(names, types, "tag", most, hot)
+    return met.where(F.forall("_needs", lambda t: F.array_contains("_tags", t))).select("id", "symbol")
 
 
 def inherited_slots(bases: DataFrame, slots: DataFrame) -> DataFrame:

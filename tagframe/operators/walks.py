@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagframe.operators.joins import dealt_join
 from tagframe.operators.lineage import removed, written
 
 
@@ -23,7 +24,7 @@ def reachable(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
         known = reduce(DataFrame.unionByName, rounds)
         edge = rounds[-1].where(F.col("depth") == horizon).select("src", F.col("dst").alias("_mid"))
         step = known.select(F.col("src").alias("_mid"), "dst", (F.col("depth") + horizon).alias("depth"))
-        found = edge.join(step, "_mid").groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+        found = dealt_join(edge, step, "_mid").groupBy("src", "dst").agg(F.min("depth").alias("depth"))
         found = written(found.join(known.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "depth"), "pairs")
         if found.isEmpty():
             removed(found)
