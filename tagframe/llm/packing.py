@@ -184,7 +184,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokenizer(tokenizer)
-        for b in slices(batches, 1, 4 << 20, keep=True):
+        for b in slices(batches, 1, 2 << 20, keep=True):
             rows: list[list] = [[] for _ in names]
             flat, counts = encoder.encode_flat(b.column(1))
             whole = np.full(len(flat) + len(counts), end_id, "<u4")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from itertools import chain
 
 import numpy as np
@@ -111,6 +112,8 @@ class WordTokenizer(CachedEncoder):
     def __init__(self, path: str, max_words: int = 500_000, keep_words: int = 150_000):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
+        # a task has one core: a pool of threads in each worker costs CPU seconds and memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__(max_words, keep_words)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
