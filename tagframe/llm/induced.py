@@ -91,27 +91,28 @@ def _induce(t: np.ndarray, small: np.ndarray, sorted_starts: np.ndarray, size: n
 def _induce_each(t: np.ndarray, small: np.ndarray, sorted_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """As ``_induce``, suffix by suffix, for large alphabets."""
     n = len(t)
-    text, kind = t.tolist(), small.tolist()
+    # by place: the character before it if the suffix from there is larger, or smaller, than the next one, else -1; the last entry is for -1, no suffix yet
+    before_larger = [-1, *np.where(small[:-1], -1, t[:-1]).tolist(), -1]
+    before_smaller = [-1, *np.where(small[:-1], t[:-1], -1).tolist(), -1]
     ends = np.cumsum(size)
     head, tail = (ends - size).tolist(), ends.tolist()
     sa = [-1] * n
-    for i in reversed(sorted_starts.tolist()):
-        c = text[i]
+    for i, c in zip(sorted_starts[::-1].tolist(), t[sorted_starts[::-1]].tolist(), strict=True):
         tail[c] -= 1
         sa[tail[c]] = i
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not kind[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
+    # both loops meet what they put in
+    for i in sa:
+        c = before_larger[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
     tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and kind[j]:
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+    for i in reversed(sa):
+        c = before_smaller[i]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            sa[at] = i - 1
     sa[0] = n - 1
     return np.array(sa, np.int64)
 
