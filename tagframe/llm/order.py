@@ -37,6 +37,8 @@ MAGIC = b"TFSHARD2"
 HEAD = "<8sqii"  # magic, shard, ids of a record, bytes of an id
 RECORD = "<qIi"
 NO_ID = 1 << 31
+#: Words that a task keeps: those of its partition, or the second reading encodes them again.
+MAX_WORDS = 1_000_000
 
 
 def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -60,11 +62,11 @@ def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nda
 
 def sequence_counts(rows: DataFrame, tokenizer: str, length_max: int, path: str) -> int:
     """Counts the sequences of each partition of ``doc_id, text``. Below ``path`` a partition has a file with its count, the sum of
-    those before it, and the name of a file with the ids of its words, so that a second reading doesn't encode them again.
+    those before it, and the name of a file with the ids of its words, so that a second reading in the same order doesn't encode them again.
     Returns the sum of all; nothing else of it reaches the driver."""
 
     def run(batches):
-        encoder, n = word_tokenizer(tokenizer), 0
+        encoder, n = word_tokenizer(tokenizer, MAX_WORDS), 0
         encoder.forget()
         for b in slices(batches, 0, keep=True):
             n += int((encoder.count(b.column(0)) // length_max + 1).sum())
@@ -111,7 +113,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 2024, length_max: int =
     shards = max(1, -(-total // per_shard))
 
     def place(batches):
-        part, encoder, pack, n = TaskContext.get().partitionId(), word_tokenizer(tokenizer), zstandard.ZstdCompressor(level=1), 0
+        part, encoder, pack, n = TaskContext.get().partitionId(), word_tokenizer(tokenizer, MAX_WORDS), zstandard.ZstdCompressor(level=1), 0
         count, base, name = part_of(words, part)
         if name:
             fs, root = pafs.FileSystem.from_uri(words)

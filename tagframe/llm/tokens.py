@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 from itertools import chain
@@ -10,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import held, unicode_words
+from .words import hashes, held, unicode_words
 
 #: White space that splitting texts knows and the tokenizer's own expression does not.
 _ODD = "[\x1c-\x1f]"
-#: A word of letters and a sign after it; letters whose other forms are not simply those in lower case.
-_SIGNED = r"^(?P<stem>\pL+)(?P<sign>[.,;:!?])$"
+#: A word of Latin letters and signs after it, which the tokenizer keeps together (an apostrophe may part them). A letter whose other
+#: forms are not simply those in lower case may take a mark along, which joins the signs; such words aren't parted.
+_SIGNED = r"^(?P<stem>[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]+)(?P<sign>[!-&(-/:-@\[-`{-~]+)$"
 _NOT_LATIN = r"[^\x{00}-\x{17f}]|\x{130}"
 # How the one kind of tokenizer that may be used by the word takes texts apart.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -26,6 +28,9 @@ _PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
+#: The characters that stand for bytes in such a vocabulary; the blank is left to part words.
+_BYTES = "".join(chr(b) for b in range(256))
+_BYTES = _BYTES.translate({b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))} | {32: 32})
 
 
 def file_of(name: str) -> str:
@@ -125,10 +130,10 @@ class WordTokenizer(CachedEncoder):
         self.by_word = (said.get("normalizer"), said.get("pre_tokenizer")) == (_NORMALIZER, _PRE_TOKENIZER) and kind == dict.fromkeys(kind) | {"type": "BPE"} and bool(suffix)
         self.most = self.tokenizer.get_vocab_size()
         if self.by_word:
-            # the same model for words of Latin letters, which need no normaliser
+            # the same model for words of Latin letters, which need no normaliser, put in ``_BYTES``
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
             self.light = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=suffix))
-            self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.light.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             # pieces that end a word
             self.ends = np.zeros(self.most, bool)
             self.ends[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
@@ -136,29 +141,66 @@ class WordTokenizer(CachedEncoder):
     def _reset(self) -> None:
         super()._reset()
         self.words = pa.array([], pa.string())
+        self.hashes, self.places = np.empty(0, np.uint64), np.empty(0, np.int32)  # of the cache's words in ascending order, and where these are
         self.met = np.zeros(1 << 14, bool)  # which words of the cache came since the last call of ``forget``
+        self.full = False  # whether the cache has lost words since then
+        self.log: list[tuple[np.ndarray, ...]] | None = None  # ids, sizes and hashes of words in the order in which they came
+        self.told: tuple[np.ndarray, ...] | None = None  # the same from a file, as far as it was not yet read
 
     def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places in the cache of all words of some texts, and the words of each."""
         if len(self.words) > self.max_words:
-            self.words = pa.concat_arrays([self.words[: self.keep_words]])
-            self.used = int(self.start[self.keep_words])
-            self.met[self.keep_words :] = False
+            self._shrink()
+            self.full = True
         words = unicode_words(texts)
-        at = pc.index_in(words.distinct, self.words)
-        place = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        if at.null_count:
-            new = words.distinct.filter(at.is_null())
-            place[place < 0] = len(self.words) + np.arange(len(new))
-            self._append(len(self.words), *self._encode_new(new))
-            self.words = pa.concat_arrays([self.words, new])
+        place, coded = self._find(words.distinct)
+        fresh = place < 0
+        if fresh.any():
+            new = words.distinct.filter(pa.array(fresh))
+            place[fresh] = len(self.words) + np.arange(len(new))
+            self._append(len(self.words), *(self._retold(coded[fresh]) or self._encode_new(new)))
+            self._add(new, coded[fresh])
         if len(self.met) < len(self.words):
             self.met = np.concatenate([self.met, np.zeros(max(len(self.met), len(self.words)), bool)])
+        if self.log is not None and not self.full:
+            first = place[~self.met[place]]
+            sizes = self.start[first + 1] - self.start[first]
+            self.log.append((take(self.flat, self.start[first], sizes), sizes.astype(np.uint32), coded[~self.met[place]].astype(np.uint32)))
         self.met[place] = True
         return place[words.ids], words.sizes
 
+    def _find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where words are in the cache, -1 for those that are not, and their hashes. No table of the whole cache is built for it."""
+        coded = hashes(words)
+        place = np.full(len(words), -1, np.int64)
+        if len(self.hashes):
+            i = np.minimum(np.searchsorted(self.hashes, coded), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[i] == coded)
+            at = self.places[i[hit]]
+            # another word of the same hash is not in the cache, as far as this goes
+            same = pc.equal(words.take(pa.array(hit)), self.words.take(pa.array(at))).to_numpy(zero_copy_only=False)
+            place[hit[same]] = at[same]
+        return place, coded
+
+    def _add(self, words: pa.Array, coded: np.ndarray) -> None:
+        order = np.argsort(coded)
+        where = np.searchsorted(self.hashes, coded[order])
+        self.hashes = np.insert(self.hashes, where, coded[order])
+        self.places = np.insert(self.places, where, (len(self.words) + order).astype(np.int32))
+        self.words = pa.concat_arrays([self.words, words])
+
+    def _shrink(self) -> None:
+        self.words = pa.concat_arrays([self.words[: self.keep_words]])
+        self.used = int(self.start[len(self.words)])
+        self.met[self.keep_words :] = False
+        kept = self.places < self.keep_words
+        self.hashes, self.places = self.hashes[kept], self.places[kept]
+
     def forget(self) -> None:
+        """Begins a task whose words are to be saved: none was met yet, and the cache has room for them."""
+        self._shrink()
         self.met[:] = False
+        self.log, self.told, self.full = [], None, False
 
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
@@ -188,22 +230,33 @@ class WordTokenizer(CachedEncoder):
         return flat, counts
 
     def save(self, sink) -> None:
-        """Writes the words of the cache that came since ``forget``, and their ids, to an open file."""
-        at = np.flatnonzero(self.met[: len(self.words)])
-        sizes = self.start[at + 1] - self.start[at]
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(take(self.flat, self.start[at], sizes).astype(np.uint16 if self.most <= 1 << 16 else np.uint32)))
-        batch = pa.RecordBatch.from_arrays([self.words.take(pa.array(at)), ids], ["word", "ids"])
+        """Writes the ids of the words that came since ``forget`` to an open file, in the order in which they came; of the words
+        themselves, which come in that order again, 32 bits of their hashes."""
+        kinds = (np.uint16 if self.most <= 1 << 16 else np.uint32, np.uint32, np.uint32)
+        columns = [np.concatenate([np.empty(0, kind), *(x.astype(kind) for x in part)]) for kind, *part in zip(kinds, *self.log or (), strict=True)]
+        batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns], ["ids", "sizes", "hashes"])
         with pa.ipc.new_file(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
             f.write_batch(batch)
+        self.log = None
 
     def load(self, source) -> None:
-        """Takes a saved cache in the place of its own."""
-        table = pa.ipc.open_file(source).read_all().combine_chunks()
+        """Empties the cache; words that now come as they did before ``save`` have the ids from there."""
+        batch = pa.ipc.open_file(source).get_batch(0)
         self._reset()
-        if table.num_rows:
-            self.words, ids = table.column(0).chunk(0), table.column(1).chunk(0)
-            self._append(0, ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.diff(ids.offsets.to_numpy()))
+        self.told = tuple(c.flatten().to_numpy() for c in batch.columns)
+
+    def _retold(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the next new words, and how many each has, from a file; None, then and later, if others are next there."""
+        if self.told is None:
+            return None
+        flat, sizes, hashed = self.told
+        n = len(coded)
+        if not np.array_equal(hashed[:n], coded.astype(np.uint32)):
+            self.told = None
+            return None
+        used = int(sizes[:n].sum())
+        self.told = flat[used:], sizes[n:], hashed[n:]
+        return flat[:used].astype(np.uint32), sizes[:n].astype(np.int64)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         if not texts:
@@ -212,14 +265,14 @@ class WordTokenizer(CachedEncoder):
         return np.split(flat, np.cumsum(counts)[:-1])
 
     def _encode_new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new words and how many each has. A letter word is parted from a sign after it, as the tokenizer parts them,
+        """Ids of new words and how many each has. A letter word is parted from the signs after it, as the tokenizer parts them,
         and put in lower case, so that its forms are encoded once; letters beyond the Latin ones stay as they are."""
         parted = pc.extract_regex(words, _SIGNED)
         stem = pc.if_else(parted.is_valid(), pc.struct_field(parted, 0), words)
         stem = pc.if_else(pc.match_substring_regex(stem, _NOT_LATIN), stem, pc.utf8_lower(stem))
         coded = pc.dictionary_encode(pa.concat_arrays([stem, pc.fill_null(pc.struct_field(parted, 1), "")]))
         names, part = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        at = pc.index_in(names, self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, _ = self._find(names)
         flat, first, sizes = self._encode_each(names.filter(pa.array(at < 0)))
         places, lengths = self.start[at], self.start[at + 1] - self.start[at]
         places[at < 0], lengths[at < 0] = self.used + first, sizes
@@ -231,7 +284,7 @@ class WordTokenizer(CachedEncoder):
         past the normaliser, which leaves them as they are; marks tell their ends."""
         plain = pc.and_(pc.utf8_is_alpha(words), pc.invert(pc.match_substring_regex(words, _NOT_LATIN))).to_numpy(zero_copy_only=False)
         letters = words.filter(pa.array(plain)).to_pylist()
-        texts = [" ".join(letters[i : i + 200]) for i in range(0, len(letters), 200)]
+        texts = [codecs.charmap_decode(" ".join(letters[i : i + 200]).encode(), "strict", _BYTES)[0] for i in range(0, len(letters), 200)]
         ids = self._some_ids(self.light, texts, 20)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(letters):
@@ -260,6 +313,6 @@ class WordTokenizer(CachedEncoder):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, max_words: int = 500_000) -> WordTokenizer:
     """The worker's tokenizer of a file; workers are reused between tasks."""
-    return held(("words", path), lambda: WordTokenizer(path))
+    return held(("words", path, max_words), lambda: WordTokenizer(path, max_words))

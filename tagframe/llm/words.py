@@ -14,6 +14,8 @@ import xxhash
 
 _U = np.uint64
 _C1, _C2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
+#: White space other than the six ASCII blanks.
+_WIDE_BLANK = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Longer words are hashed one by one.
 _SHORT = 32
 
@@ -88,7 +90,8 @@ def ascii_words(texts: pa.Array, lower: bool = True) -> Words:
 
 def unicode_words(texts: pa.Array) -> Words:
     """Words as ``str.split`` parts them."""
-    return _numbered(pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.string()), "")))
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    return _numbered((pc.utf8_split_whitespace if pc.any(pc.match_substring_regex(texts, _WIDE_BLANK)).as_py() else pc.ascii_split_whitespace)(texts))
 
 
 def hashes(words: pa.Array) -> np.ndarray:

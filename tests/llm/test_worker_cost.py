@@ -1,12 +1,14 @@
 """What a worker costs besides its results."""
 
+import io
 import os
 import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 
-from tagframe.llm import induced
+from tagframe.llm import induced, tokens
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 ENCODE = """
@@ -38,3 +40,34 @@ def test_inducing_one_by_one_equals_inducing_by_blocks():
         ordered = np.array([i for i in order if i in set(starts.tolist())], np.int64)
         for induce in (induced._induce, induced._induce_each):
             assert induce(t, small, ordered, size).tolist() == order
+
+
+def test_second_reading_encodes_no_word_of_the_first_again(monkeypatch):
+    encoder = tokens.WordTokenizer(tokens.file_of("word_bpe_49k.json"), max_words=60, keep_words=10)
+    encoder.count(pa.array([" ".join(f"früher{i}" for i in range(45))]))  # an earlier task of this worker
+    task = [pa.array([" ".join(f"x{i}y," for i in range(a, a + 25))]) for a in (0, 20)]
+    encoder.forget()
+    counts = [encoder.count(t).tolist() for t in task]
+    sink = io.BytesIO()
+    encoder.save(sink)
+    for again in (task[::-1], [*task, pa.array(["and more"])]):  # in another order words are encoded again
+        encoder.load(io.BytesIO(sink.getvalue()))
+        for t in again:
+            assert encoder.encode_flat(t)[0].tolist() == encoder.encode_whole(t[0].as_py())
+    encoder.load(io.BytesIO(sink.getvalue()))
+    monkeypatch.setattr(encoder, "_encode_new", None)
+    for t, n in zip(task, counts, strict=True):
+        flat, sizes = encoder.encode_flat(t)
+        assert sizes.tolist() == n
+        assert flat.tolist() == encoder.encode_whole(t[0].as_py())
+
+
+def test_words_of_one_hash_and_signs_after_letters(monkeypatch):
+    texts = ["İ. İ?, É$$$ é. क़! don't's ß###, x-- y_'_ \x1ca b ǅ; ς!?", "É$$$ é. nié&&& ß"]
+    whole = tokens.WordTokenizer(tokens.file_of("word_bpe_49k.json")).encode_whole
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(tokens, "hashes", lambda words: np.zeros(len(words), np.uint64))
+        encoder = tokens.WordTokenizer(tokens.file_of("word_bpe_49k.json"))
+        for _ in range(2):
+            assert [g.tolist() for g in encoder.encode_batch(texts)] == [whole(t) for t in texts]
