@@ -3,7 +3,7 @@
 ``suffix_array`` classifies suffixes, sorts the leftmost-smaller substrings by inducing them from their
 starts, names them, sorts the string of names recursively and induces the whole order from that. Over a small
 alphabet a bucket's suffixes are induced together in numpy; the recursion's names are too many for
-that and go one by one. ``common_prefixes`` computes, for each position, how far its suffix agrees with the one before it in order,
+that and go one by one, and there the substrings, which are short, are sorted a few characters at a time instead. ``common_prefixes`` computes, for each position, how far its suffix agrees with the one before it in order,
 comparing only where the preceding characters differ and deriving the rest.
 """
 
@@ -18,7 +18,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     out = np.ones(n, bool)
     if n > 1:
         differs = np.flatnonzero(t[:-1] != t[1:])
-        after = differs[np.searchsorted(differs, np.arange(n - 1))]
+        after = np.repeat(differs, np.diff(differs, prepend=-1))  # the last two differ
         out[:-1] = t[after] < t[after + 1]
     return out
 
@@ -120,7 +120,9 @@ def _induce_each(t: np.ndarray, small: np.ndarray, sorted_starts: np.ndarray, si
 def _names(t: np.ndarray, starts: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the leftmost-smaller substrings in text order, equal ones alike, and how many there are."""
     length = np.append(np.diff(starts), 1) + 1
-    rank = np.searchsorted(starts, ordered)
+    rank_of = np.empty(len(t), np.int64)
+    rank_of[starts] = np.arange(len(starts))
+    rank = rank_of[ordered]
     a, b = ordered[:-1], ordered[1:]
     la, lb = length[rank[:-1]], length[rank[1:]]
     same = la == lb
@@ -138,6 +140,37 @@ def _names(t: np.ndarray, starts: np.ndarray, ordered: np.ndarray) -> tuple[np.n
     return out, int(name[-1]) + 1
 
 
+def _names_each(t: np.ndarray, small: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
+    """As ``_names``, without an order to start from, for large alphabets. Characters go with their types, which tell where a
+    substring ends: none begins another, and those that agree so far end together."""
+    length = np.append(np.diff(starts), 0) + 1
+    typed = np.append(t.astype(np.uint64) * np.uint64(2) + small, np.uint64(0))
+    bits = int(typed.max()).bit_length()
+    step = max(1, 64 // bits)
+    rank = np.zeros(len(starts), np.int64)  # how many are before those that agree so far
+    live, at = np.arange(len(starts)), 0
+    while len(live):
+        key = np.zeros(len(live), np.uint64)
+        for k in range(at, at + step):
+            here = np.where(k < length[live], starts[live] + k, len(t))
+            key = key << np.uint64(bits) | typed[here]
+        order = np.lexsort((key, rank[live])) if at else np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        old = rank[live]
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        first = group | np.concatenate([[True], key[1:] != key[:-1]])
+        place, number = np.arange(len(live)), np.cumsum(first) - 1
+        begin = np.flatnonzero(first)
+        rank[live] = old + begin[number] - np.maximum.accumulate(np.where(group, place, 0))
+        at += step
+        live = live[(np.diff(np.append(begin, len(live)))[number] > 1) & (length[live] > at)]
+    order = np.argsort(rank, kind="stable")
+    name = np.concatenate([[0], np.cumsum(np.diff(rank[order]) > 0)])
+    out = np.empty(len(starts), np.int64)
+    out[order] = name
+    return out, int(name[-1]) + 1
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Starts of the suffixes in order. The last character must be the only 0."""
     n = len(t)
@@ -146,15 +179,16 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     small = _types(t)
     starts = _starts(small)
     size = np.bincount(t)
-    induce = _induce if len(size) * 64 <= n or len(size) <= 256 else _induce_each
-    ordered = induce(t, small, starts, size)
-    is_start = np.zeros(n, bool)
-    is_start[starts] = True
-    ordered = ordered[is_start[ordered]]
-    names, kinds = _names(t, starts, ordered)
-    if kinds < len(starts):
-        ordered = starts[suffix_array(names)]
-    return induce(t, small, ordered, size)
+    few = len(size) * 64 <= n or len(size) <= 256
+    if few:
+        ordered = _induce(t, small, starts, size)
+        is_start = np.zeros(n, bool)
+        is_start[starts] = True
+        names, kinds = _names(t, starts, ordered[is_start[ordered]])
+    else:
+        names, kinds = _names_each(t, small, starts)
+    ordered = starts[suffix_array(names) if kinds < len(starts) else np.argsort(names)]
+    return (_induce if few else _induce_each)(t, small, ordered, size)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

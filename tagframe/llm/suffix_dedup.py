@@ -36,6 +36,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Windows that are handled at once: long texts go in stretches.
 _STRETCH = 1 << 19
+#: Bytes of short texts that are handled at once.
+_TOGETHER = 1 << 15
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -59,24 +61,55 @@ def _rolling(data: np.ndarray, width: int) -> np.ndarray:
         return mix((total[width:] - total[:n]) * down[:n])
 
 
+def _owners(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a stretch, and for each window the place of its anchor."""
+    h = _rolling(data, gram)
+    low = h & ~_U((1 << 20) - 1) | np.arange(len(h), dtype=_U)
+    span, reach = length - gram + 1, 1
+    while reach * 2 <= span:
+        low = np.minimum(low[:-reach], low[reach:])
+        reach *= 2
+    if span > reach:
+        low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
+    return h, (low & _U((1 << 20) - 1)).astype(np.int64)
+
+
 def anchors(data: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For stretches of a text: hash of each anchor, first window that it owns, and how many follow."""
     windows = len(data) - length + 1
     for at in range(0, max(0, windows), _STRETCH):
         n = min(_STRETCH, windows - at)
-        h = _rolling(data[at : at + n + length - 1], gram)
-        low = h & ~_U((1 << 20) - 1) | np.arange(len(h), dtype=_U)
-        span, reach = length - gram + 1, 1
-        while reach * 2 <= span:
-            low = np.minimum(low[:-reach], low[reach:])
-            reach *= 2
-        if span > reach:
-            low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
-        place = (low & _U((1 << 20) - 1)).astype(np.int64)
+        h, place = _owners(data[at : at + n + length - 1], length, gram)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         yield h[place[first]].view(np.int64), first + at, np.diff(np.append(first, n))
 
 
+def anchors_of(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """As ``anchors`` of each text, with the number of the text before; short texts go together."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    for i in np.flatnonzero(sizes > _TOGETHER).tolist():
+        for h, first, n in anchors(np.frombuffer(texts[i], np.uint8), length, gram):
+            yield np.full(len(h), i), h, first, n
+    short = np.flatnonzero((sizes >= length) & (sizes <= _TOGETHER))
+    ends = np.cumsum(sizes[short])
+    start = 0
+    while start < len(short):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[short[start]] + _TOGETHER, "right")))
+        mine, start = short[start:stop], stop
+        h, place = _owners(np.frombuffer(b"".join([texts[i] for i in mine.tolist()]), np.uint8), length, gram)
+        begins = np.cumsum(sizes[mine]) - sizes[mine]
+        windows = sizes[mine] - length + 1
+        new = np.concatenate([[True], place[1:] != place[:-1]])
+        new[begins] = True
+        new[(begins + windows)[:-1]] = True  # windows from here on reach into the next text
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(place)))
+        of = np.searchsorted(begins, first, "right") - 1
+        inside = first - begins[of] < windows[of]
+        first, n, of = first[inside], n[inside], of[inside]
+        yield mine[of], h[place[first]].view(np.int64), first - begins[of], n
+
+
 def _bits(hashes: np.ndarray, bits: int, times: int = 3) -> Iterator[np.ndarray]:
     for k in range(times):
         yield (mix(hashes.view(_U) + _U((k + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) & _U(bits - 1)).astype(np.int64)
@@ -124,11 +157,14 @@ def _collect_bloom(keys: DataFrame, rows: int, max_bits: int = 1 << 27) -> np.nd
     return out
 
 
-def _place_key(doc_id: int | None, text_hash: int, first: np.ndarray) -> np.ndarray:
-    """A hash of a context's place."""
-    base = xxhash.xxh64_intdigest(f"{doc_id}:{text_hash}")
+def _place_key(base: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of contexts' places, from those of their texts."""
     with np.errstate(over="ignore"):
-        return mix(first.astype(_U) * _U(_BASE) + _U(base)).view(np.int64)
+        return mix(first.astype(_U) * _U(_BASE) + base).view(np.int64)
+
+
+def _place_base(ids: list[int | None], text_hashes: list[int]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f"{i}:{h}") for i, h in zip(ids, text_hashes, strict=True)], _U)
 
 
 def _text_hash(data: bytes) -> int:
@@ -144,9 +180,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _anchor_hashes(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for b in slices(batches, 1, 2 << 20):
-            got = [np.empty(0, np.int64)]
-            for text in b.column(1).to_pylist():
-                got += [h for h, _, _ in anchors(np.frombuffer(utf8(text), np.uint8), length, gram)]
+            got = [np.empty(0, np.int64), *(h for _, h, _, _ in anchors_of([utf8(t) for t in b.column(1).to_pylist()], length, gram))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got))], ["anchor"])
 
     return rows.mapInArrow(run, "anchor long")
@@ -174,25 +208,23 @@ def _contexts(rows: DataFrame, length: int, gram: int, bloom, with_bytes: bool)
             return batch
 
         for b in slices(batches, 1, 2 << 20):
-            for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = utf8(text)
-                if len(data) < length:
-                    continue
-                text_hash = _text_hash(data)
-                for h, first, n in anchors(np.frombuffer(data, np.uint8), length, gram):
-                    keep = _member(held, _place_key(ident, text_hash, first) if with_bytes else h)
-                    h, first, n = h[keep], first[keep].tolist(), n[keep].tolist()
-                    for k in range(0, len(first), 8192):
-                        parts = [data[s : s + m + length - 1] for s, m in zip(first[k : k + 8192], n[k : k + 8192], strict=True)]
-                        mine = (h[k : k + 8192].tolist(), map(xxhash.xxh3_128_digest, parts), [ident] * len(parts), [text_hash] * len(parts), first[k : k + 8192], n[k : k + 8192])
-                        for column, values in zip(out, mine, strict=True):
-                            column.extend(values)
-                        if with_bytes:
-                            raw += parts
-                        size += len(parts)
-                        if size >= 8192:
-                            yield flush()
-                            size = 0
+            ids, texts = b.column(0).to_pylist(), [utf8(t) for t in b.column(1).to_pylist()]
+            text_hashes = [_text_hash(d) if len(d) >= length else 0 for d in texts]
+            base = _place_base(ids, text_hashes) if with_bytes else None
+            for found in anchors_of(texts, length, gram):
+                keep = np.flatnonzero(_member(held, _place_key(base[found[0]], found[2]) if with_bytes else found[1]))
+                for k in range(0, len(keep), 8192):
+                    of, h, first, n = (x[keep[k : k + 8192]].tolist() for x in found)
+                    parts = [texts[i][s : s + m + length - 1] for i, s, m in zip(of, first, n, strict=True)]
+                    mine = (h, map(xxhash.xxh3_128_digest, parts), [ids[i] for i in of], [text_hashes[i] for i in of], first, n)
+                    for column, values in zip(out, mine, strict=True):
+                        column.extend(values)
+                    if with_bytes:
+                        raw += parts
+                    size += len(parts)
+                    if size >= 8192:
+                        yield flush()
+                        size = 0
         yield flush()
 
     return rows.mapInArrow(run, _CONTEXT + ", bytes binary" * with_bytes)
@@ -281,8 +313,8 @@ def _spans(rows: DataFrame, length: int, gram: int, shard_bytes: int, hot: int)
 
     def key_of(batches):
         for b in batches:
-            out = [_place_key(d, h, np.array([f]))[0] for d, h, f in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["key"])
+            base = _place_base(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(_place_key(base, b.column(2).to_numpy()))], ["key"])
 
     keys = written(keys.mapInArrow(key_of, "key long"), "keys")
     chosen = context.broadcast(_collect_bloom(keys, keys.count()))

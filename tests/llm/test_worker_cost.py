@@ -8,7 +8,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 
-from tagframe.llm import induced, tokens
+from tagframe.llm import induced, suffix_dedup, tokens
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 ENCODE = """
@@ -71,3 +71,27 @@ def test_words_of_one_hash_and_signs_after_letters(monkeypatch):
         encoder = tokens.WordTokenizer(tokens.file_of("word_bpe_49k.json"))
         for _ in range(2):
             assert [g.tolist() for g in encoder.encode_batch(texts)] == [whole(t) for t in texts]
+
+
+def test_names_are_induced_once_a_level(monkeypatch):
+    r, met, each = np.random.default_rng(5), [], induced._induce_each
+    monkeypatch.setattr(induced, "_induce_each", lambda t, *rest: met.append(len(t)) or each(t, *rest))
+    part = r.integers(1, 2000, 900)
+    for base in (part, np.tile(part, 3), np.concatenate([np.sort(part)] * 3 + [np.sort(part)[::-1]] * 2)):
+        met.clear()
+        t = np.append(base, 0)
+        assert induced.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        assert met and len(met) == len(set(met))
+
+
+def test_anchors_of_texts_together_equal_those_of_each(monkeypatch):
+    r = np.random.default_rng(6)
+    texts = [bytes(r.integers(97, 97 + int(r.integers(1, 4)), int(r.integers(0, 90))).astype(np.uint8)) for _ in range(200)] + [b"", b"ab" * 10, b"x" * 19, b"y" * 500]
+    want = sorted((i, *map(int, row)) for i, text in enumerate(texts) for found in suffix_dedup.anchors(np.frombuffer(text, np.uint8), 20, 10) for row in zip(*found, strict=True))
+    owners, calls = suffix_dedup._owners, []
+    monkeypatch.setattr(suffix_dedup, "_owners", lambda *a: calls.append(1) or owners(*a))
+    for together in (1, 100, 1000, 1 << 15):
+        calls.clear()
+        monkeypatch.setattr(suffix_dedup, "_TOGETHER", together)
+        assert sorted(tuple(map(int, row)) for found in suffix_dedup.anchors_of(texts, 20, 10) for row in zip(*found, strict=True)) == want
+    assert len(calls) == 1
