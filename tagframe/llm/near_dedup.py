@@ -70,14 +70,24 @@ def shingles(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def signature(hashes: np.ndarray, coordinates: int) -> np.ndarray:
-    """32-bit minima of a non-empty set under multiply-shift hashes."""
-    a = mix(np.arange(1, coordinates + 1, dtype=_U) * _GOLD) | _U(1)
-    b = mix(np.arange(1001, coordinates + 1001, dtype=_U) * _GOLD)
-    out = np.full(coordinates, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(hashes), 4096):
-        out = np.minimum(out, ((hashes[i : i + 4096, None] * a + b) >> _U(32)).min(axis=0).astype(np.uint32))
-    return out
+def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
+    """A row for each of the sets, none of them empty: 32-bit digests of the minima under multiply-shift hashes.
+
+    The minima themselves are small numbers, the smaller the larger the set; cut to 32 bits, those of large sets that share nothing
+    would often be equal, the more so the more sets there are. Their digests are spread over all 32 bits.
+    """
+    if not sets:
+        return np.empty((0, coordinates), np.uint32)
+    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    out, value = np.empty((len(sets), coordinates), _U), np.empty_like(flat)
+    with np.errstate(over="ignore"):
+        a = mix(np.arange(1, coordinates + 1, dtype=_U) * _GOLD) | _U(1)
+        b = mix(np.arange(1001, coordinates + 1001, dtype=_U) * _GOLD)
+        for j in range(coordinates):
+            np.multiply(flat, a[j], out=value)
+            np.add(value, b[j], out=value)
+            out[:, j] = np.minimum.reduceat(value, starts)
+        return (mix(out) >> _U(32)).astype(np.uint32)
 
 
 def least_matches(coordinates: int, similarity: float, miss: float) -> int:
@@ -102,12 +112,10 @@ def _slots(tokens: np.ndarray, width: int) -> np.ndarray:
 def _signatures_of(docs: DataFrame, id_col: str, text_col: str, words: int, coordinates: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, 4 << 20):
-            n, keys, sigs = [], [], []
-            with np.errstate(over="ignore"):
-                for s in shingles(b.column(1), words):
-                    n.append(len(s))
-                    keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-                    sigs.append(signature(s, coordinates).tobytes() if len(s) else None)
+            sets = shingles(b.column(1), words)
+            keys = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
+            signed = iter(signatures([s for s in sets if len(s)], coordinates))
+            n, sigs = [len(s) for s in sets], [next(signed).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")

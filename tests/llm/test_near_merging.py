@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from test_operators import brute_components, prose
 
@@ -42,3 +45,13 @@ def test_wide_lists(spark, monkeypatch, block, fan):
 def test_coordinates_are_bounded(spark):
     with pytest.raises(ValueError):
         near_dedup.near_groups(spark.createDataFrame(corpus()[:2], "doc_id long, text string"), coordinates=256)
+
+
+def test_large_sets_that_share_nothing(spark, tmp_path):
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"{x:03x}" for x in r.integers(0, 4096, 20_000).tolist()) for _ in range(400)]
+    pq.write_table(pa.table({"doc_id": range(400), "text": texts}), tmp_path / "d.parquet", row_group_size=50)
+    rows = near_dedup._signatures_of(spark.read.parquet(str(tmp_path / "d.parquet")), "doc_id", "text", 5, 64).collect()
+    sigs = np.stack([np.frombuffer(row["sig"], np.uint32) for row in rows])
+    assert sigs.shape == (400, 64)
+    assert sum(400 - len(np.unique(sigs[:, k])) for k in range(64)) == 0  # no two of them meet in a list
