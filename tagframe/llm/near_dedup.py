@@ -9,10 +9,12 @@ comes from a sketch of bounded size and only orders the pairs; any order is righ
 
 Lists are never expanded into all their pairs. First each document is compared with the list's leader,
 the document of the most common pairs. What that links forms components. A list that still holds
-several is merged across them: documents outside its largest component, at most ``BLOCK``, meet each other, in the first list that two of them
-share; a component meets all that share a list with it at once, dealt out in blocks, however many lists those are. So rows
-grow with the documents and not with the square of a list. Lists with more others than that are parted by the next pair that documents share, which is one of the next in the order
-of both (the prefix, longer by one), and each part is a list again. Signatures screen every comparison, full sets confirm it, so the
+several is merged across them: a component meets all that share a list with it at once, dealt out in blocks, however many lists those are;
+documents outside its largest component, at most ``BLOCK``, meet each other, in the first list that two of them share, dealt out by
+pairs of cells of some ``CELL``. So each is repeated ``BLOCK / CELL`` times at most, and rows grow with the documents and not with the square of a list.
+Where more are outside, they alone are parted by the next pair that documents share, which is one of the next in the order
+of both (the prefix, longer by one), and each part is a list again; the members of a large component, which share most of
+their pairs and so would be in each of the parts, have met them by then. Signatures screen every comparison, full sets confirm it, so the
 components are exactly those of the confirmed links; documents of equal sets are joined before and take part once.
 
 Tables that a step leaves are removed when their last reader has ended; what is returned is a table of its own.
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -41,8 +43,10 @@ from .words import ascii_words, hashes, mix, slices
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _C = _U(0xD6E8FEB86659FD93)
-#: Documents of a component in a block, of the others that join it, and the most in a list outside its largest component.
-BLOCK = 512
+#: The most documents in a list outside its largest component that meet each other without being parted.
+BLOCK = 1 << 15
+#: Documents on each side of a block, about.
+CELL = 512
 #: Documents that are compared with one copy of their leader.
 FAN = 1024
 
@@ -194,7 +198,12 @@ def _parted(wide: DataFrame, nodes: DataFrame, shared, coordinates: int, upto: i
                 token = mix(mix(b.column(0).to_numpy().astype(_U))[row] * _C + t[row, at].astype(_U)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(b.column(1).to_numpy()[row]), pa.array(score[row]), pa.array(at.astype(np.int32))], ["token", "node", "score", "rank"])
 
-    return wide.join(nodes.select("node", "sig"), "node").select("token", "node", "rank", "sig").mapInArrow(run, "token long, node long, score long, rank int")
+    return _shuffled(wide).join(nodes.select("node", "sig"), "node").select("token", "node", "rank", "sig").mapInArrow(run, "token long, node long, score long, rank int")
+
+
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows of lists, which a join must not send through the driver: their columns repeat so much that a small file may hold millions."""
+    return rows.hint("merge")
 
 
 def _enough(both: int, a: int, b: int, percent: int) -> bool:
@@ -209,7 +218,7 @@ def _screen(pairs: DataFrame, nodes: DataFrame, coordinates: int, matches: int)
             x, y = (_stacked(b.column(c), coordinates) for c in ("sig_a", "sig_b"))
             yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= matches))
 
-    joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+    joined = _shuffled(pairs).join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
@@ -220,7 +229,7 @@ def _with_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     bloom = written(bloom, "bloom")
     removed(ids)
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return rows.where(maybe_in(F.col("node"), bloom.scalar(), bits)).join(wanted, "node")
+    return rows.where(maybe_in(F.col("node"), bloom.scalar(), bits)).join(_shuffled(wanted), "node")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -272,40 +281,56 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int, large: int = 4) -> It
         yield pa.Table.from_batches(held)
 
 
+def _parts(n: Column) -> Column:
+    return F.ceil(n / F.lit(min(BLOCK, CELL))).cast("int")
+
+
+def _among(rest: DataFrame) -> DataFrame:
+    """``token, block, node, comp, rank, side``: the documents of each list of ``rest``, any two of them in one block or more, of numbers below 0."""
+    dealt = rest.withColumn("p", _parts(F.col("others"))).withColumn("i", F.pmod(F.xxhash64("node"), "p").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    return dealt.select("token", (-1 - F.least("i", "j") * F.col("p") - F.greatest("i", "j")).alias("block"), "node", "comp", "rank", (F.col("i") > F.col("j")).cast("int").alias("side"))
+
+
 def _stars(rest: DataFrame, found: DataFrame) -> DataFrame:
-    """``token, block, node, comp``: each large component of ``rest`` (``node, comp, most``) dealt out once, whatever the number of its lists, and the documents that share one with it in every block."""
+    """``token, block, node, comp, rank, side``: each large component of ``rest`` (``node, comp, most``) dealt out once, whatever the number of its lists, and the documents that share one with it in every block."""
     pairs = written(rest.select("most", "node", "comp").distinct(), "others")
     some = pairs.groupBy("most").agg(F.count(F.lit(1)).alias("k"))
     members = some.join(found.select(F.col("node").alias("_m"), F.col("component").alias("_c")), F.col("most") == F.col("_c"), "left").select("most", "k", F.coalesce("_m", "most").alias("node"))
-    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sizes = written(members.groupBy("most").agg(parts(F.max("k")).alias("chunks"), parts(F.count(F.lit(1))).alias("blocks")), "sizes")
+    sizes = written(members.groupBy("most").agg(_parts(F.max("k")).alias("chunks"), _parts(F.count(F.lit(1))).alias("blocks")), "sizes")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = members.join(sizes, "most").select("most", "chunks", each("chunks").alias("j"), at("blocks").alias("i"), "node", F.col("most").alias("comp"))
-    others = pairs.join(sizes, "most").select("most", "chunks", at("chunks").alias("j"), each("blocks").alias("i"), "node", "comp")
-    return mine.unionByName(others).select(F.col("most").alias("token"), (F.col("i") * F.col("chunks") + F.col("j")).alias("block"), "node", "comp")
+    mine = members.join(sizes, "most").select("most", "chunks", each("chunks").alias("j"), at("blocks").alias("i"), "node", F.col("most").alias("comp"), F.lit(0).alias("side"))
+    others = pairs.join(sizes, "most").select("most", "chunks", at("chunks").alias("j"), each("blocks").alias("i"), "node", "comp", F.lit(1).alias("side"))
+    return mine.unionByName(others).select(F.col("most").alias("token"), (F.col("i") * F.col("chunks") + F.col("j")).alias("block"), "node", "comp", F.lit(0).alias("rank"), "side")
 
 
 def _alive(batches: Iterator[pa.RecordBatch], counts: np.ndarray, coordinates: int, matches: int, level: int) -> Iterator[pa.RecordBatch]:
-    """Of each group the documents with a signature near that of a document of another component.
+    """Of each group the documents with a signature near that of a document of another component, and of the other side if there are two.
 
-    Two documents may share many lists (block -1) and have to meet in one: the pairs that they share before the list's own are ``level`` in number in the first of them only.
+    Two documents may share many lists (blocks below 0) and have to meet in one: the pairs that they share before the list's own are ``level`` in number in the first of them only.
     """
     for t in _grouped(batches, 2):
-        comp = t.column("comp").to_numpy()
-        if len(comp) < 2 or comp.min() == comp.max():
+        comp, side = t.column("comp").to_numpy(), t.column("side").to_numpy()
+        a, b = (np.flatnonzero(side == x) for x in (0, 1)) if side.any() or t.column("block")[0].as_py() >= 0 else (np.arange(len(comp)),) * 2
+        if not len(a) or not len(b) or comp.min() == comp.max():
             continue
         sig = _stacked(t.column("sig"), coordinates)
-        order = _ranked(sig, counts, coordinates)[0] >> 32  # coordinates from rare to common
-        before = np.zeros(sig.shape, bool)
-        np.put_along_axis(before, order, np.arange(coordinates)[None, :] < t.column("rank").to_numpy()[:, None], 1)
-        agree, early = np.zeros((2, len(comp), len(comp)), np.uint8)
+        x, y = sig[a].T.copy(), sig[b].T.copy()
+        agree = np.zeros((len(a), len(b)), np.uint8)
         for k in range(coordinates):
-            same = sig[:, k, None] == sig[None, :, k]
-            agree += same
-            early += same & before[:, k, None]
-        once = early == level if t.column("block")[0].as_py() == -1 else True
-        keep = ((agree >= matches) & once & (comp[:, None] != comp[None, :])).any(axis=1)
+            agree += x[k, :, None] == y[k]
+        near = (agree >= matches) & (comp[a, None] != comp[b])
+        if t.column("block")[0].as_py() < 0 and near.any():
+            order = _ranked(sig[a], counts, coordinates)[0] >> 32  # coordinates from rare to common
+            before = np.zeros((len(a), coordinates), bool)
+            np.put_along_axis(before, order, np.arange(coordinates)[None, :] < t.column("rank").to_numpy()[a, None], 1)
+            p, q = np.nonzero(near)
+            for at in range(0, len(p), 1 << 16):
+                i, j = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                near[i, j] = ((sig[a[i]] == sig[b[j]]) & before[i]).sum(axis=1) == level
+        keep = np.zeros(len(comp), bool)
+        keep[a[near.any(axis=1)]] = True
+        keep[b[near.any(axis=0)]] = True
         if keep.any():
             yield from t.select(["token", "block", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -407,17 +432,17 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, coordinates:
         about = sizes.groupBy("token").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top")).select("token", "n", F.col("top.comp").alias("most"), (F.col("n") - F.col("top.m")).alias("others")).where("others > 0")
         about = written(about, "open")
         fits = F.lit(True) if level == matches - 1 else F.col("others") <= BLOCK  # in the end all share as many pairs as it takes
-        rest = written(placed.join(about.where(fits), "token").where("comp <> most").select("token", "node", "comp", "rank", "most", "others"), "rest")
-        among = rest.where("others > 1").select("token", F.lit(-1).alias("block"), "node", "comp", "rank")
-        narrow = among.unionByName(_stars(rest, found).withColumn("rank", F.lit(0)))
-        blocks = narrow.join(nodes.select("node", "sig"), "node").select("token", "block", "node", "comp", "sig", "rank")
+        rest = written(placed.join(about, "token").where("comp <> most").select("token", "node", "comp", "rank", "most", "others"), "rest")
+        removed(placed, about)
+        narrow = _among(rest.where(fits & (F.col("others") > 1))).unionByName(_stars(rest, found))
+        blocks = _shuffled(narrow).join(nodes.select("node", "sig"), "node").select("token", "block", "node", "comp", "sig", "rank", "side")
         alive = written(blocks.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(lambda bs, level=level: _alive(bs, shared.value, coordinates, matches, level), "token long, block int, node long, comp long"), "alive")
         full = _with_texts(docs, alive, id_col, text_col).select("token", "block", "node", "comp", "text")
         across = written(full.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(lambda bs: _link(bs, percent, words), "a long, b long"), "across")
-        removed(alive, rest)
+        removed(alive)
         found = _composed(found, components(across))
-        wide = written(placed.join(about.where(~fits), "token", "left_semi").select("token", "node", "rank"), "wide")
-        removed(across, about, placed)
+        wide = written(rest.where(~fits).select("token", "node", "rank"), "wide")
+        removed(across, rest)
         level += 1
         if wide.isEmpty():
             break

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from test_operators import brute_components, prose
 
 from tagframe.llm import near_dedup
@@ -55,3 +56,27 @@ def test_large_sets_that_share_nothing(spark, tmp_path):
     sigs = np.stack([np.frombuffer(row["sig"], np.uint32) for row in rows])
     assert sigs.shape == (400, 64)
     assert sum(400 - len(np.unique(sigs[:, k])) for k in range(64)) == 0  # no two of them meet in a list
+
+
+@pytest.mark.parametrize(("block", "cell"), [(64, 4), (8, 3)])
+def test_dealt_lists(spark, monkeypatch, block, cell):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    texts, parted, kept = corpus(), [], near_dedup._parted
+    monkeypatch.setattr(near_dedup, "_parted", lambda wide, *a: parted.append(a[-1]) or kept(wide, *a))
+    got = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), 80).collect()
+    assert sorted(map(str, brute_components(texts, 80))) == sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got)
+    assert bool(parted) == (block == 8)
+
+
+def test_rows_of_lists_are_not_broadcast(spark):
+    texts = corpus()
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    signed = near_dedup._signatures_of(docs, "doc_id", "text", 5, 64).select(F.col("doc_id").alias("node"), "sig")
+    pairs = near_dedup.written(signed.select(F.col("node").alias("a"), F.lit(0).cast("long").alias("b")), "pairs")
+    wide = near_dedup.written(signed.select(F.lit(7).cast("long").alias("token"), "node", F.lit(0).alias("rank")), "wide")
+    nodes = near_dedup.written(signed, "nodes")
+    joined = [near_dedup._with_texts(docs, wide, "doc_id", "text"), near_dedup._parted(wide, nodes, None, 64, 30), near_dedup._screen(pairs, nodes, 64, 34)]
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in joined]
+    assert all("SortMergeJoin" in plan for plan in plans)
+    assert not any("BroadcastHashJoin" in plan for plan in plans[:2])
